@@ -1,0 +1,4 @@
+"""Registered queries and the DuckDB SQL that gives the same rows."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
