@@ -37,7 +37,7 @@ _TURN = r"(?s)<s>\[INST\] (.*?) \[/INST\]|<<SYS>>(.*?)<</SYS>>|<<ROLE>>(.*?)<</R
 
 def escaped(text: Column) -> Column:
     doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    return F.regexp_replace(doubled, _OPENING, r"$1\\\\")
+    return F.regexp_replace(doubled, _OPENING, r"$1\\")
 
 
 def unescaped(text: Column) -> Column:
