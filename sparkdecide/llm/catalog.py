@@ -6,7 +6,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize, table
-from . import chat, media
+from . import bpe, chat, langid, media, quality, samples, store
+
+try:
+    from public_tokenizers import path as tokenizer_path
+except ModuleNotFoundError:  # then the folder is a parameter
+    def tokenizer_path(name: str) -> str:
+        return f"/opt/tokenizers/{name}"
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = samples.fold(F.col("doc_id"), 5) == 0
+    model = langid.fit(docs.filter(~held_out))
+    p = docs.select("doc_id", held_out.alias("held_out"), langid.prediction(F.col("text"), model).alias("p"))
+    return p.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    written = store.write_store(store.encode_documents(docs, tokenizer_path("byte_bpe_50k.json")))
+    back = store.read_store(written).select("doc_id", "row", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return back.join(store.starts(written), "row").select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("word_bpe_49k.json")
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    return ids.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(bpe.decoded(F.col("ids"), path), 256).alias("decoded_sha256"),
+    )
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(samples.fold(F.col("doc_id"), 3) != 1))
+    scored = docs.select("doc_id", (samples.fold(F.col("doc_id"), 3) == 1).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +88,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_token_store": op2_token_store,
+    "op3_bpe": op3_bpe,
+    "op4_quality": op4_quality,
     "op9_chat_format": op9_chat_format,
     "op10_media_columns": op10_media_columns,
 }
