@@ -58,10 +58,10 @@ def reply_paths(messages: DataFrame) -> DataFrame:
         seg = materialize(seg, "segments")
         if reach >= most or seg.filter("up is not null").isEmpty():
             break
-        a, b = seg.alias("a"), seg.alias("b")
-        seg = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.up") == F.col("b.node")), "left").select(
+        done, a, b = seg.filter("up is null"), seg.filter("up is not null").alias("a"), seg.alias("b")
+        seg = done.unionByName(a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.up") == F.col("b.node")), "left").select(
             "a.conv_id", "a.node", F.col("b.up").alias("up"), F.when(F.col("b.node").isNull(), F.col("a.path")).otherwise(F.concat("b.path", "a.path")).alias("path")
-        )
+        ))
         reach *= 2
     replied = nodes.filter("parent is not null").select(F.col("conv_id").alias("c"), F.col("parent").alias("p")).distinct()
     leaves = seg.filter("up is null").join(replied, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("p")), "left_anti")

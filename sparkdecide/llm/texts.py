@@ -57,7 +57,7 @@ def powers(n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     out = np.empty(max(n, 1), np.uint64)
     out[0] = 1
     done = 1
-    step = np.uint64(base)
+    step = np.array([base], np.uint64)
     while done < n:
         take = min(done, n - done)
         out[done : done + take] = out[:take] * step
