@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize, table
-from . import bpe, chat, langid, media, quality, samples, store
+from . import bpe, chat, langid, media, neardup, quality, samples, store
 
 try:
     from public_tokenizers import path as tokenizer_path
@@ -48,6 +48,29 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+grams AS (SELECT doc_id, hash(unnest(s)) AS g FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
+both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, a AS other FROM both_ UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ e ON r.other = e.a),
+low AS (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(l.low, s.doc_id) AS component_id, coalesce(l.low, s.doc_id) = s.doc_id AS kept
+FROM sets s LEFT JOIN low l ON s.doc_id = l.doc_id
+"""
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], rows.schema)
@@ -92,10 +115,12 @@ QUERIES = {
     "op2_token_store": op2_token_store,
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
+    "op5_near_duplicates": op5_near_duplicates,
     "op9_chat_format": op9_chat_format,
     "op10_media_columns": op10_media_columns,
 }
 
 ORACLES = {
+    "op5_near_duplicates": OP5_SQL,
     "op9_chat_format": OP9_SQL,
 }
