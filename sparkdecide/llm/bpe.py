@@ -18,6 +18,7 @@ independent, except that pieces of long documents meet again by a row number.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Callable
 from functools import lru_cache
@@ -71,6 +72,28 @@ def tree(text: str, end: bool, text_of: Callable[[list[int]], str], encode: Call
     return parts[0]
 
 
+def byte_characters() -> list[str]:
+    """The printable character that byte-level models use for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    at = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+    return [at[b] for b in range(256)]
+
+
+class Remembered(dict):
+    """Ids of a unit, as bytes; a unit that isn't there is encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, unit: str) -> bytes:
+        out = self.encode(unit)
+        if len(unit) <= LONG:
+            self[unit] = out
+        return out
+
+
 class Encoder:
     """Encodes and decodes with one tokenizer file; one object a worker."""
 
@@ -84,9 +107,11 @@ class Encoder:
             self.spec = json.load(f)
         kind = "word" if self.spec["model"].get("end_of_word_suffix") else "byte"
         self.units, self.suffix = UNITS[kind], self.spec["model"].get("end_of_word_suffix") or ""
+        self.one = re.compile(f" ?(?:[{_LETTER}]+|[{_MARK}]+)" if kind == "byte" else f"[{_LETTER}]+|[{_MARK}]+")
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.seen: dict[str, bytes] = {}
+        self.marker = os.path.commonprefix(list(self.special))
+        self.seen = Remembered(self.unit)
         self._open = None
 
     def encode_stretch(self, text: str, end: bool) -> list[int]:
@@ -115,30 +140,28 @@ class Encoder:
             out.append(tree(p, end, self.text_of, self.encode_stretch) if len(p) > LEAF else self.encode_stretch(p, end))
         return out
 
-    def learn(self, units: set[str]) -> None:
-        """Encode what isn't remembered yet."""
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        short = [u for u in units if u not in self.seen and len(u) <= LONG]
-        for u, e in zip(short, self.tokenizer.encode_batch_fast(short, add_special_tokens=False), strict=True):
-            self.seen[u] = np.array(e.ids, np.uint32).tobytes()
+    def unit(self, unit: str) -> bytes:
+        """Ids of a unit. A word or a run of marks is one pre-token, which the library's model takes as it is."""
+        if len(unit) > LONG:
+            ids = [i for p in self.long_unit(unit) for i in p]
+        elif self.one.fullmatch(unit):
+            text = unit.lower() if self.suffix else unit
+            ids = [t.id for t in self.model.tokenize(text.translate(_BYTES) if text.isascii() else "".join(map(_CHARACTERS.__getitem__, text.encode())))]
+        else:
+            ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
+        return np.array(ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers in a row."""
-        split = [self.at_special.split(t) if self.at_special and any(s in t for s in self.special) else [t] for t in texts]
-        parts = [[[p] if k % 2 else self.units.findall(p) for k, p in enumerate(s)] for s in split]
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
-        new = {u for s in parts for k, p in enumerate(s) if k % 2 == 0 for u in p if u not in self.seen}
-        self.learn(new)
-        long = {u: np.array([i for p in self.long_unit(u) for i in p], np.uint32).tobytes() for u in new if len(u) > LONG}
-        get = (lambda u: self.seen.get(u) or long.get(u, b"")) if long else self.seen.__getitem__
-        out = []
-        for s in parts:
-            if len(s) == 1:
-                out.append(b"".join(map(get, s[0])))
+        get, find, out = self.seen.__getitem__, self.units.findall, []
+        for t in texts:
+            if self.at_special and self.marker in t:
+                parts = self.at_special.split(t)
+                out.append(b"".join(np.uint32(self.special[p]).tobytes() if k % 2 else b"".join(map(get, find(p))) for k, p in enumerate(parts)))
             else:
-                out.append(b"".join(np.uint32(self.special[p[0]]).tobytes() if k % 2 else b"".join(map(get, p)) for k, p in enumerate(s)))
+                out.append(b"".join(map(get, find(t))))
         return out
 
     @property
@@ -156,6 +179,10 @@ class Encoder:
         return self.tokenizer.decode_batch([row.tolist() for row in ids], skip_special_tokens=False)
 
 
+_CHARACTERS = byte_characters()
+_BYTES = {b: _CHARACTERS[b] for b in range(128)}
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -234,10 +261,8 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids
     Texts above ``split_chars`` are cut into pieces that separate tasks encode.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    if "<|" not in "".join(Encoder(path).special):
-        special = F.lit(False)
-    else:
-        special = text.contains("<|")
+    marker = encoder(path).marker
+    special = text.contains(marker) if marker else F.lit(False)
     is_long = (F.length(text) > split_chars) & ~special
     short = df.filter(~is_long).withColumn(out_col, encoded(F.col(text_col), path))
 

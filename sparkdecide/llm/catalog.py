@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize, table
-from . import bpe, chat, langid, media, neardup, quality, samples, store
+from . import bpe, chat, langid, media, neardup, quality, samples, store, suffix
 
 try:
     from public_tokenizers import path as tokenizer_path
@@ -71,6 +71,10 @@ FROM sets s LEFT JOIN low l ON s.doc_id = l.doc_id
 """
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(suffix.remove_repeated(table(spark, sf_dir, "documents"), 400))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], rows.schema)
@@ -116,6 +120,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
     "op5_near_duplicates": op5_near_duplicates,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_media_columns": op10_media_columns,
 }

@@ -51,16 +51,6 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    if base not in _POWERS or len(_POWERS[base]) < n:
-        made = powers(n, base)
-        if n > 1 << 22:  # for one long text; not kept
-            return made
-        _POWERS[base] = made
-    return _POWERS[base][:n]
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -73,8 +63,8 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     begin, end = edge[::2], edge[1::2]
     total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * _powers(len(b), _BASE), out=total[1:])
-    word = mixed((total[end] - total[begin]) * _powers(len(b) + 1, _INVERSE)[begin])
+    np.cumsum(_BYTE[b] * powers(len(b), _BASE), out=total[1:])
+    word = mixed((total[end] - total[begin]) * powers(len(b) + 1, _INVERSE)[begin])
     first = np.searchsorted(begin, starts)
     grams = np.zeros(max(0, len(word) - words + 1), np.uint64)
     for k in range(words):
@@ -281,9 +271,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, id_col: str = "doc_id"
     several = keyed.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1")
     met = keyed.join(several, "region").groupBy("doc_id").agg(F.collect_list(F.struct("region", (F.col("n") > NEAR).alias("crowded"))).alias("regions"))
     rows = classes.select("doc_id", "keys", "sig").join(met, "doc_id").select("doc_id", "sig", "keys", F.explode("regions").alias("r"))
-    turn = (F.array_position("keys", F.col("r.region")) * DEPTH).cast("int")
     place = F.concat(F.expr(f"substring(sig, int(array_position(keys, r.region)) * {DEPTH} + 1, {HASHES})"), F.expr(f"substring(sig, 1, int(array_position(keys, r.region)) * {DEPTH})"))
-    del turn
     rows = rows.select("r.region", "r.crowded", F.substring(place, 1, 24).alias("place"), "doc_id", "sig")
     ordered = rows.repartitionByRange(parts, "region", "place").sortWithinPartitions("region", "place")
     loose = components(ordered.mapInArrow(loose_edges, "a bigint, b bigint"))

@@ -52,8 +52,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; base is odd and so has an inverse."""
+_POWERS: dict[int, np.ndarray] = {}
+#: Powers up to this many stay in memory.
+_KEPT = 1 << 22
+
+
+def powers(n: int, base: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64; base is odd and so has an inverse. Not to be written to."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        have = _powers(max(n, 1 << 12), base)
+        if n <= _KEPT:
+            _POWERS[base] = have
+    return have[:n]
+
+
+def _powers(n: int, base: int) -> np.ndarray:
     out = np.empty(max(n, 1), np.uint64)
     out[0] = 1
     done = 1
