@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .texts import bounded_batches
+
 #: Characters with the Unicode property White_Space.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Letters whose lower case is one letter (all but U+0130 in this range).
@@ -38,7 +40,7 @@ _INNER = f"[{_LETTER}]++(?=[{_MARK}{SPACE}]|\\Z)|[{_MARK}]++(?=[A-Za-z0-9{SPACE}
 #: Units without the spaces; a unit with one space before it, and runs of space as byte-level tokenizers split them.
 UNITS = {"word": re.compile(_INNER), "byte": re.compile(f" ?(?:{_INNER})|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")}
 LONG, LEAF = 64, 32
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 
 
 def join(left: list[int], right: list[int], text_of: Callable[[list[int]], str], encode: Callable[[str, bool], list[int]], end: bool) -> list[int]:
@@ -261,6 +263,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids
     Texts above ``split_chars`` are cut into pieces that separate tasks encode.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    bounded_batches(df.sparkSession)
     marker = encoder(path).marker
     special = text.contains(marker) if marker else F.lit(False)
     is_long = (F.length(text) > split_chars) & ~special

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .components import components
-from .texts import chunks, encoded, joined, mixed, powers
+from .texts import bounded_batches, chunks, encoded, joined, mixed, powers
 
 ORDERS, DEPTH = 32, 4
 HASHES = ORDERS * DEPTH
@@ -261,6 +261,7 @@ def _confirm(words: int, key: str, most: int | None, overlap: int):
 
 def near_duplicates(documents: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (lowest doc_id reachable over links), kept (doc_id is component_id)."""
+    bounded_batches(documents.sparkSession)
     spark = documents.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     all_rows = forest_rows(documents, words, id_col, text_col)

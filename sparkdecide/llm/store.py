@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize
 from . import bpe
-from .texts import mixed, powers
+from .texts import bounded_batches, mixed, powers
 
 WINDOW, AVERAGE, LEAST, MOST = 16, 256, 64, 1024
 _BASE = 0x9E3779B97F4A7C15
@@ -108,7 +108,8 @@ def _width(vocabulary: int) -> type:
 
 def encode_documents(documents: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """row, doc_id, addresses, lengths and ids (bytes) of each document, written once."""
-    width = _width(bpe.Encoder(path).tokenizer.get_vocab_size(with_added_tokens=True))
+    bounded_batches(documents.sparkSession)
+    width = _width(bpe.encoder(path).tokenizer.get_vocab_size(with_added_tokens=True))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, end = bpe.encoder(path), np.array([end_id], np.int64)

@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .texts import chunks, joined, mixed, powers
+from .texts import bounded_batches, chunks, joined, mixed, powers
 
 _BYTE = np.random.default_rng(77).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of stretches whose suffixes are sorted together, and those of one name that go to one task.
-BATCH, HOT = 1 << 20, 4 << 20
+BATCH, HOT = 1 << 19, 1 << 20
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -316,6 +316,7 @@ def merged(windows: np.ndarray, length: int) -> np.ndarray:
 
 def remove_repeated(documents: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row, n_bytes, spans (array of begin and end, in bytes), kept (binary; null where nothing is removed), full_sha256."""
+    bounded_batches(documents.sparkSession)
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     long, found = repeated(rows, length)
 

@@ -6,11 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes of text that a vectorised step holds at once; its arrays take some tens of times that.
 CHUNK_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch; Spark's default of 10,000 texts with what is made of them would fill a worker.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let texts go to Python workers BATCH_ROWS at a time, unless the session sets fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def encoded(texts: pa.Array, null: bytes | None = b"") -> list[bytes | None]:
     """UTF-8 bytes of each text; ``null`` for nulls."""
     values = pa.array(texts).cast(pa.large_binary()).to_pylist()
