@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize, table
-from . import bpe, chat, decontaminate, langid, media, neardup, quality, samples, store, suffix
+from . import bpe, chat, decontaminate, html, langid, media, neardup, quality, samples, store, suffix
 
 try:
     from public_tokenizers import path as tokenizer_path
@@ -71,6 +71,10 @@ FROM sets s LEFT JOIN low l ON s.doc_id = l.doc_id
 """
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "matched", "share", "slots", "changed", "kind")
@@ -125,6 +129,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_html_main_text": op6_html_main_text,
     "op7_decontaminate": op7_decontaminate,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_chat_format": op9_chat_format,
