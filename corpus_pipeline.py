@@ -1,7 +1,82 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: documents to token ids, in five stages.
+
+Each stage takes what the one before kept, as a table that is written and read again.
+All but the last return the columns of documents. Null and empty texts pass all stages
+but the first, which rejects them as being in no language; an empty table stays empty.
+"""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkdecide.llm import bpe, decontaminate, langid, neardup, suffix
+from sparkdecide.llm.catalog import tokenizer_path
+from sparkdecide.storage import materialize, table
+
+#: Shortest repeated string that is removed, in bytes: less than 50 words of the shortest usual length.
+REPEATED_BYTES = 250
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is identified; others go."""
+    labelled = docs.filter("lang is not null and text is not null")
+    if labelled.isEmpty():
+        return docs.limit(0)
+    model = langid.fit(labelled)
+    return docs.withColumn("_p", langid.prediction(F.col("text"), model)).filter("not _p.rejected").drop("_p")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that with the lowest doc_id, of each group of near-duplicates on five-word shingles."""
+    gone = neardup.near_duplicates(docs, words=5).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    rest = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # null ids are documents of their own
+    return rest.withColumn("_own", own).dropDuplicates(["doc_id", "_own"]).drop("_own")
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes strings of REPEATED_BYTES or more that stand anywhere else out of the texts; a cut character goes whole."""
+
+    def text_of(kept: pa.Array) -> pa.Array:
+        return pa.array([None if k is None else k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
+
+    cut = suffix.removals(docs, REPEATED_BYTES).select("row", F.arrow_udf(text_of, "string")("kept").alias("_kept"))
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).join(cut, "row", "left")
+    text = F.coalesce("_kept", "text")
+    return rows.withColumns({"text": text, "n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast("long"))}).select(*docs.columns)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that hold no item of the benchmark, verbatim or re-parameterised."""
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their ids, how many they are, and the digest of what they decode to."""
+    path = tokenizer_path("word_bpe_49k.json")
+    ids = bpe.encode(docs, path)
+    return ids.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded_sha256": F.sha2(bpe.decoded(F.col("ids"), path), 256)})
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("suffix-array dedup", remove_repeated_passages),
+    ("benchmark decontamination", decontaminate_benchmark),
+    ("BPE encoding and decoding", encode),
+]
+
+#: Fitted models and suffix intervals have no form in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage{k + 1}")
+    return docs

@@ -314,10 +314,10 @@ def merged(windows: np.ndarray, length: int) -> np.ndarray:
     return np.stack([w[at, 0], np.append(end[at[1:] - 1], end[-1])], 1)
 
 
-def remove_repeated(documents: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row, n_bytes, spans (array of begin and end, in bytes), kept (binary; null where nothing is removed), full_sha256."""
+def removals(documents: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
+    """row (place in the scan), spans (begin and end of each removed run, in bytes) and kept (binary) of documents that lose something."""
     bounded_batches(documents.sparkSession)
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     long, found = repeated(rows, length)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,9 +331,14 @@ def remove_repeated(documents: DataFrame, length: int = 400, id_col: str = "doc_
                 kept.append(b"".join(text[i:j] for i, j in zip(ends, begins, strict=True)))
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["row", "spans", "kept"])
 
-    cut = long.join(found, "row").select("row", "text", "windows").mapInArrow(keep, "row bigint, spans array<bigint>, kept binary")
-    info = rows.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("full_sha256"))
-    return info.join(cut, "row", "left")
+    return long.join(found, "row").select("row", "text", "windows").mapInArrow(keep, "row bigint, spans array<bigint>, kept binary")
+
+
+def remove_repeated(documents: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row, n_bytes, spans, kept (null where nothing is removed), full_sha256 of every document."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    info = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("full_sha256"))
+    return info.join(removals(documents, length, text_col), "row", "left")
 
 
 def digests(removed: DataFrame) -> DataFrame:
