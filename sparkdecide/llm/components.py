@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,19 +17,38 @@ def _lowest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("low"))
 
 
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a batch of edges a, b a spanning forest: each node with the lowest it is connected with there."""
+    for batch in batches:
+        nodes, place = np.unique(np.concatenate([batch["a"].to_numpy(), batch["b"].to_numpy()]), return_inverse=True)
+        a, b = place[: batch.num_rows], place[batch.num_rows :]
+        low = np.arange(len(nodes))
+        while True:  # hook both ends to the lower label, then follow labels to their ends
+            m = np.minimum(low[a], low[b])
+            new = low.copy()
+            np.minimum.at(new, low[a], m)
+            np.minimum.at(new, low[b], m)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == low).all():
+                break
+            low = new
+        some = low != np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[low[some]])], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the lowest node it is connected with) of every node on an edge.
 
     edges: a, b (long). Each round is two aggregations and two joins, and the number
     of rounds grows with the logarithm of the longest chain. Edges of nulls are ignored.
     """
-    now = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = materialize(now, "edges")
+    now = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = materialize(now.mapInArrow(forest, "a bigint, b bigint").distinct(), "edges")
     last = None
     while True:
         both = now.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(now.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        large = both.join(_lowest(both), "node").filter("other > node").select(F.col("other").alias("a"), F.col("low").alias("b")).distinct()
-        large = large.filter("a <> b")
+        large = both.join(_lowest(both), "node").filter("other > node").select(F.col("other").alias("a"), F.col("low").alias("b")).filter("a <> b")
         down = large.select(F.col("a").alias("node"), F.col("b").alias("other"))
         low = _lowest(down)
         small = down.join(low, "node").select(F.col("other").alias("a"), F.col("low").alias("b")).unionByName(low.select(F.col("node").alias("a"), F.col("low").alias("b")))

@@ -43,6 +43,8 @@ HASHES = ORDERS * DEPTH
 AGREE = 80
 #: Rows of a region that are all compared; documents whose sets meet in one task.
 NEAR, BLOCK = 256, 512
+#: Orders that are gone through first.
+FIRST = 6
 _RNG = np.random.default_rng(2024)
 _XOR = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TIMES = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -208,7 +210,7 @@ def linked(sets: list[np.ndarray], rows: np.ndarray | None = None, share: int =
 
 
 def stars(link: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> tuple[list[int], list[int]]:
-    """A spanning forest of a table of links, as pairs of ids."""
+    """A spanning forest of a table of links as pairs of ids; of all pairs: each id with the lowest it is connected with."""
     a, b = [], []
     if rows is not None:
         root = {}
@@ -237,8 +239,8 @@ def stars(link: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) ->
             fresh = np.flatnonzero(reach)
             seen |= reach
         left &= ~seen
-        a += ids[np.flatnonzero(seen)].tolist()
-        b += [int(ids[start])] * int(seen.sum())
+        a += ids[seen].tolist()
+        b += [int(ids[seen].min())] * int(seen.sum())
     return a, b
 
 
@@ -268,34 +270,45 @@ def near_duplicates(documents: DataFrame, words: int = 5, id_col: str = "doc_id"
     first = all_rows.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "keys", "sig")).alias("r"))
     classes = materialize(first.select("set_key", "r.doc_id", "r.keys", "r.sig"), "classes")
 
-    keyed = classes.select("doc_id", F.explode("keys").alias("region"))
+    keyed = classes.select("doc_id", F.posexplode("keys").alias("o", "region"))
     several = keyed.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1")
-    met = keyed.join(several, "region").groupBy("doc_id").agg(F.collect_list(F.struct("region", (F.col("n") > NEAR).alias("crowded"))).alias("regions"))
-    rows = classes.select("doc_id", "keys", "sig").join(met, "doc_id").select("doc_id", "sig", "keys", F.explode("regions").alias("r"))
-    place = F.concat(F.expr(f"substring(sig, int(array_position(keys, r.region)) * {DEPTH} + 1, {HASHES})"), F.expr(f"substring(sig, 1, int(array_position(keys, r.region)) * {DEPTH})"))
-    rows = rows.select("r.region", "r.crowded", F.substring(place, 1, 24).alias("place"), "doc_id", "sig")
-    ordered = rows.repartitionByRange(parts, "region", "place").sortWithinPartitions("region", "place")
-    loose = components(ordered.mapInArrow(loose_edges, "a bigint, b bigint"))
-    loose = materialize(loose.filter("node >= 0").select(F.col("node").alias("doc_id"), F.col("component").alias("group")), "groups")
+    met = materialize(keyed.join(several.hint("merge"), "region").select("region", "o", (F.col("n") > NEAR).alias("crowded"), "doc_id"), "regions")
+    # some orders tie most of what belongs together; of the others only regions matter that hold several groups by then
+    tied = components(_loose(met.filter(F.col("o") < FIRST), classes, parts))
+    named = met.filter(F.col("o") >= FIRST).join(tied.hint("merge"), F.col("doc_id") == F.col("node"), "left").withColumn("t", F.coalesce("component", "doc_id"))
+    mixed_regions = named.groupBy("region").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("region")
+    rest = named.join(mixed_regions.hint("merge"), "region").select("region", "o", "crowded", "doc_id")
+    more = _loose(rest, classes, parts)
+    both = more.unionByName(tied.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    loose = materialize(components(both).filter("node >= 0").select(F.col("node").alias("doc_id"), F.col("component").alias("group")), "groups")
 
     sized = loose.join(loose.groupBy("group").agg(F.count("*").alias("n")), "group")
-    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(sized, "doc_id")
+    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(sized.hint("merge"), "doc_id")
     texts = materialize(texts, "texts")
     small = texts.filter(F.col("n") <= BLOCK).select("group", "doc_id", "text").repartition(parts, "group").sortWithinPartitions("group")
-    links = small.mapInArrow(_confirm(words, "group", None, 0), "a bigint, b bigint")
+    # all of a small group met in one task, so its answer is final
+    found = small.mapInArrow(_confirm(words, "group", None, 0), "a bigint, b bigint").select(F.col("a").alias("node"), F.col("b").alias("component"))
     large = texts.filter(F.col("n") > BLOCK).select("group", "n", "doc_id", "text")
     if not large.isEmpty():
-        links = links.unionByName(_confirm_large(large, classes, words, parts))
-    found = components(links)
+        found = found.unionByName(components(_confirm_large(large, classes, words, parts)))
+    found = found.groupBy("node").agg(F.min("component").alias("component"))
     return (
         all_rows.select("doc_id", "n_shingles", "set_key")
-        .join(classes.select("set_key", F.col("doc_id").alias("first")), "set_key", "left")
-        .join(found.select(F.col("node").alias("first"), "component"), "first", "left")
+        .join(classes.select("set_key", F.col("doc_id").alias("first")).hint("merge"), "set_key", "left")
+        .join(found.select(F.col("node").alias("first"), "component").hint("merge"), "first", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "first", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
+def _loose(regions: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
+    """Edges a, b between documents (and nodes of crowded regions) that some order brings together."""
+    place = F.substring(F.concat(F.expr(f"substring(sig, int(o * {DEPTH}) + {DEPTH + 1}, {HASHES})"), F.expr(f"substring(sig, 1, int(o * {DEPTH}))")), 1, 24)
+    rows = regions.join(classes.select("doc_id", "sig").hint("merge"), "doc_id").select("region", "crowded", place.alias("place"), "doc_id", "sig")
+    ordered = rows.repartitionByRange(parts, "region", "place").sortWithinPartitions("region", "place")
+    return ordered.mapInArrow(loose_edges, "a bigint, b bigint")
+
+
 def _confirm_large(large: DataFrame, classes: DataFrame, words: int, parts: int) -> DataFrame:
     """Links of groups above BLOCK documents: in sorted blocks of three orders, then all that is outside the
     largest component of a group with all of the group, block by block."""
