@@ -49,8 +49,8 @@ def params(spark: SparkSession, sf: str) -> DataFrame:
     """Cost parameters that vary by part."""
     p = table(spark, sf, "part")
     return p.select(
-        F.col("p_partkey").alias("item"), F.lit(1.0).alias("h"), (4.0 + F.col("p_size") % 6).alias("b"), ((F.col("p_size") % 4) * 0.25).alias("c"),
-        F.lit(0.5).alias("gamma"), F.lit(0.01).alias("theta"), F.lit(-2).alias("x_min"), F.lit(8).alias("x_max"),
+        F.col("p_partkey").alias("item"), F.lit(1.07131).alias("h"), (4.37177 + F.col("p_size") % 6).alias("b"), ((F.col("p_size") % 4) * 0.23117).alias("c"),
+        F.lit(0.471239).alias("gamma"), F.lit(0.01).alias("theta"), F.lit(-2).alias("x_min"), F.lit(8).alias("x_max"),
     )
 
 
@@ -90,7 +90,7 @@ metrics AS (SELECT *, sum(regret) OVER w AS cum_regret, sum(reward) OVER w AS cu
 summary AS (SELECT alg, step, count(*) AS n_runs, avg(cum_regret) AS mean_cum_regret, stddev_pop(cum_regret) AS std_cum_regret, avg(regret) AS mean_regret,
   avg(cum_reward) AS mean_cum_reward, 100 * avg(optimal) AS pct_optimal FROM metrics GROUP BY alg, step)"""
 PARAMS = """
-params AS (SELECT p_partkey AS item, 1.0::DOUBLE AS h, 4.0::DOUBLE + p_size % 6 AS b, (p_size % 4) * 0.25::DOUBLE AS c, 0.5::DOUBLE AS gamma, 0.01::DOUBLE AS theta, -2 AS x_min, 8 AS x_max FROM part),
+params AS (SELECT p_partkey AS item, 1.07131::DOUBLE AS h, 4.37177::DOUBLE + p_size % 6 AS b, (p_size % 4) * 0.23117::DOUBLE AS c, 0.471239::DOUBLE AS gamma, 0.01::DOUBLE AS theta, -2 AS x_min, 8 AS x_max FROM part),
 states AS (SELECT item, CAST(unnest(range(x_min, x_max + 1)) AS INTEGER) AS x FROM params),
 counts AS (SELECT l_partkey AS item, CAST(ceil(l_quantity / 10) AS INTEGER) AS d, count(*) AS n FROM lineitem GROUP BY ALL),
 pmf AS (SELECT item, d, n / sum(n) OVER (PARTITION BY item) AS p FROM counts)"""

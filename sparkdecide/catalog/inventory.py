@@ -1,2 +1,158 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries over demand and the inventory model."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import compare as M
+from ..operators import grids as G
+from ..operators import inventory as V
+from ..operators.regret import strided_rows
+from ..plans import bellman as P
+from ..storage import materialize, table
+from . import inputs as I
+from .inputs import HISTORY, MODEL, PARAMS, rounded, sweep
+
+#: Sweeps that the chained SQL spells out; every item has converged before.
+SWEEPS = 12
+
+
+def _model(s, d):
+    return P.Model(I.params(s, d).join(I.pmf(s, d).select("item").distinct(), "item"), I.pmf(s, d))
+
+
+def _swept(s, d, k):
+    """The model and values after k sweeps."""
+    m = _model(s, d)
+    v = m.zero().withColumn("y", F.lit(0))
+    for _ in range(k):
+        v = materialize(m.backup(v), "values")
+    return m, v
+
+
+def _levels(s, d):
+    ends = I.pmf(s, d).groupBy("item").agg(F.min("d").alias("d_min"), F.max("d").alias("d_max"))
+    p = I.params(s, d).join(ends, "item")
+    return p.select("item", C.base_stock_level(F.col("h"), F.col("b"), F.col("c"), F.col("gamma"), F.col("d_min"), F.col("d_max")).alias("s"))
+
+
+def _costs(s, d):
+    rows = I.history(s, d).join(I.params(s, d), "item").withColumns({"x": F.pmod(F.col("seq") * 3, F.lit(7)), "y": F.pmod(F.col("seq") * 3, F.lit(7)) + F.pmod("seq", F.lit(4))})
+    return rows.select(
+        "item", "seq", "x", "y",
+        (C.period_cost(F.col("y"), F.col("d"), F.col("x"), F.col("h"), F.col("b"), F.col("c")) + F.lit(0.0)).alias("cost"),
+        C.next_state(F.col("y"), F.col("d"), F.col("x_min"), F.col("x_max")).alias("x_next"),
+        C.nearest_state(F.col("y") * 2, F.col("x_min"), F.col("x_max")).alias("near"), C.terminal_value(F.col("x"), F.col("c")).alias("terminal"),
+    )
+
+
+def _instances(s, d):
+    return G.instance_grid(table(s, d, "part").select(F.col("p_partkey").alias("item"), (2 + F.col("p_size") % 15).alias("d_max")))
+
+
+def _start_policy(s, d):
+    return G.initial_policy(I.states(s, d), I.pmf(s, d))
+
+
+def _raise_to_four(states):
+    return states.select("item", "x", F.greatest("x", F.lit(4)).alias("y"))
+
+
+def _evaluated(s, d):
+    m = _model(s, d)
+    return P.policy_evaluation(m, _raise_to_four(m.states), max_sweeps=3)[0]
+
+
+def _known_states(s, d):
+    """Stock levels that an item has in fact held; far apart for rare items."""
+    return I.history(s, d).select("item", (F.col("d") * 3 - 4).alias("x")).distinct()
+
+
+QUERIES = {
+    "s1_demand_pmf": lambda s, d: rounded(I.pmf(s, d), "p"),
+    "s3_state_grid": lambda s, d: I.states(s, d),
+    "s4_action_grid": lambda s, d: G.action_grid(I.states(s, d)),
+    "s5_masked_action_grid": lambda s, d: G.masked_action_grid(I.states(s, d), 6),
+    "s7_instance_grid": lambda s, d: _instances(s, d),
+    "s7_instance_demand": lambda s, d: rounded(G.instance_demand(_instances(s, d)), "p"),
+    "s8_initial_policy": _start_policy,
+    "p1_p2_p3_p4_period": lambda s, d: rounded(_costs(s, d), "cost", "terminal"),
+    "p3_nearest_known": lambda s, d: V.nearest_known(I.states(s, d), _known_states(s, d)),
+    "p5_base_stock_level": _levels,
+    "p9_strided_rows": lambda s, d: strided_rows(I.history(s, d).select("item", "seq", "d"), ["item"], "seq", 10),
+    "l2_value_lookup": lambda s, d: rounded(V.value_lookup(G.action_grid(I.states(s, d).filter("x % 3 = 0"), 4), I.states(s, d).select("item", "x", (F.col("x") * F.col("x") * 0.5).alias("value")), "y"), "value"),
+    "l3_policy_lookup": lambda s, d: V.policy_lookup(_costs(s, d).select("item", "seq", F.col("x_next").alias("x")), _start_policy(s, d)),
+    "l4_demand_cross": lambda s, d: rounded(V.demand_cross(I.states(s, d).select("item", F.col("x").alias("y")), I.pmf(s, d)), "p"),
+    "a6_expected_cost": lambda s, d: rounded(V.expected_cost(I.states(s, d).select("item", F.col("x").alias("y")), I.pmf(s, d), I.params(s, d)), "cost"),
+    "a7_expected_next_value": lambda s, d: rounded(V.expected_next_value(V.transitions(I.states(s, d).select("item", F.col("x").alias("y")), I.pmf(s, d), I.params(s, d)), I.states(s, d).select("item", "x", (F.col("x") * F.col("x") * 0.5).alias("value"))), "ev"),
+    "a12_sweep_delta": lambda s, d: (lambda m, v: rounded(P.sweep_delta(m.backup(v), v), "delta"))(*_swept(s, d, 1)),
+    "a13_policy_changes": lambda s, d: (lambda m, v: P.policy_changes(m.backup(v), v))(*_swept(s, d, 1)),
+    "a14_value_range": lambda s, d: rounded(P.value_range(_swept(s, d, 2)[1]), "low", "high"),
+    "w8_sliding_best": lambda s, d: rounded(V.sliding_best_action(V.expected_cost(I.states(s, d).select("item", F.col("x").alias("y")), I.pmf(s, d), I.params(s, d)).select("item", "y", F.col("cost").alias("g")), 3), "best"),
+    "m1_q_values": lambda s, d: (lambda m, v: rounded(m.q_values(v), "q"))(*_swept(s, d, 1)),
+    "m2_bellman_backup": lambda s, d: rounded(_swept(s, d, 3)[1], "value"),
+    "m3_value_iteration": lambda s, d: rounded(P.value_iteration(_model(s, d), SWEEPS)[0], "value", places=5),
+    "m4_policy_evaluation": lambda s, d: rounded(_evaluated(s, d), "value"),
+    "m5_policy_improvement": lambda s, d: (lambda m, v: P.policy_improvement(m, v, _raise_to_four(m.states))[0])(*_swept(s, d, 2)),
+    "m6_policy_iteration": lambda s, d: rounded(P.policy_iteration(_model(s, d), _raise_to_four(_model(s, d).states), max_iter=6, max_sweeps=12), "value", places=4),
+    "c1_compare_policies": lambda s, d: rounded(M.compare_policies(_start_policy(s, d), _swept(s, d, 2)[1]), "pct_agree"),
+    "c2_value_error": lambda s, d: rounded(M.value_error(_swept(s, d, 2)[1], _swept(s, d, 3)[1]), "max_error", "mean_error"),
+    "c3_base_stock_report": lambda s, d: M.base_stock_report(M.method_union({"start": _start_policy(s, d), "swept": _swept(s, d, 3)[1].select("item", "x", "y")}), _levels(s, d)),
+    "c4_convergence_report": lambda s, d: rounded(M.convergence_report(P.value_iteration(_model(s, d), SWEEPS)[1].withColumn("method", F.lit("vi"))), "last_delta", places=5),
+    "t3_method_union": lambda s, d: M.method_union({"start": _start_policy(s, d), "four": _raise_to_four(I.states(s, d))}),
+}
+
+_PER = """, costs AS (SELECT h.item, h.seq, (h.seq * 3) % 7 AS x, (h.seq * 3) % 7 + h.seq % 4 AS y, h.d, p.h AS hh, p.b, p.c, p.x_min, p.x_max FROM history h JOIN params p USING (item))"""
+_ENDS = """, ends AS (SELECT item, min(d) AS d_min, max(d) AS d_max FROM pmf GROUP BY item),
+levels AS (SELECT item, CAST(round_even(d_min + (d_max - d_min) * ((b - (1.0 - gamma) * c) / (b + h)), 0) AS INTEGER) AS s FROM params JOIN ends USING (item)),
+start AS (SELECT s.item, s.x, greatest(s.x, e.d_max) AS y FROM states s JOIN ends e USING (item))"""
+_INST = """inst AS (SELECT p_partkey AS item, CAST(2 + p_size % 15 AS INTEGER) AS d_max, CAST(-greatest(2, (2 + p_size % 15) // 2) AS INTEGER) AS x_min, CAST(2 * (2 + p_size % 15) AS INTEGER) AS x_max FROM part)"""
+_ALL = "".join(sweep(k) for k in range(1, SWEEPS + 1))
+_CONV = ", ".join(f"dl{k} AS MATERIALIZED (SELECT a.item, {k} AS sweep, max(abs(a.value - b.value)) AS delta FROM v{k} a JOIN v{k - 1} b USING (item, x) GROUP BY a.item)" for k in range(1, SWEEPS + 1))
+_STOP = f", {_CONV}, deltas AS ({' UNION ALL '.join(f'SELECT * FROM dl{k}' for k in range(1, SWEEPS + 1))}), stops AS (SELECT item, coalesce(min(sweep) FILTER (delta < 0.01), {SWEEPS}) AS sweeps, count(*) FILTER (delta < 0.01) > 0 AS converged FROM deltas GROUP BY item)"
+_V = " UNION ALL ".join(f"SELECT item, x, value, y, {k} AS sweep FROM v{k}" for k in range(1, SWEEPS + 1))
+_HALF = ", half AS (SELECT item, x, x * x * 0.5::DOUBLE AS value FROM states)"
+
+
+def _evaluation() -> str:
+    sql = ", e0 AS (SELECT * FROM v0), four AS (SELECT s.item, s.x, greatest(s.x, 4) AS y FROM states s)"
+    for k in range(1, 4):
+        sql += f""", e{k} AS MATERIALIZED (SELECT f.item, f.x, pr.c * f.x - pr.c * f.y - c.cost + pr.gamma * ev.ev AS value FROM four f JOIN params pr USING (item) JOIN cost c ON c.item = f.item AND c.y = f.y
+  JOIN (SELECT m.item, m.y, sum(m.p * v.value) AS ev FROM moves m JOIN e{k - 1} v ON v.item = m.item AND v.x = m.x_next GROUP BY m.item, m.y) ev ON ev.item = f.item AND ev.y = f.y),
+ed{k} AS (SELECT a.item, max(abs(a.value - b.value)) AS delta FROM e{k} a JOIN e{k - 1} b USING (item, x) GROUP BY a.item)"""
+    return sql
+
+
+ORACLES = {
+    "s1_demand_pmf": f"WITH {PARAMS} SELECT item, d, round(p, 6) + 0.0 AS p FROM pmf",
+    "s3_state_grid": f"WITH {PARAMS} SELECT item, x FROM states",
+    "s4_action_grid": f"WITH {PARAMS} SELECT item, x, CAST(unnest(range(x, x + 11)) AS INTEGER) AS y FROM states",
+    "s5_masked_action_grid": f"WITH {PARAMS} SELECT item, x, CAST(unnest(range(x, 7)) AS INTEGER) AS y FROM states WHERE x <= 6",
+    "s7_instance_grid": f"WITH {_INST} SELECT *, x_max + 2 AS y_max, x_max - x_min + 1 AS n_states, x_max + 2 - x_min + 1 AS n_actions FROM inst",
+    "s7_instance_demand": f"WITH {_INST} SELECT item, CAST(unnest(range(0, d_max + 1)) AS INTEGER) AS d, round(1.0::DOUBLE / (d_max + 1), 6) + 0.0 AS p FROM inst",
+    "s8_initial_policy": f"WITH {PARAMS}{_ENDS} SELECT * FROM start",
+    "p1_p2_p3_p4_period": f"WITH {PARAMS}{HISTORY}{_PER} SELECT item, seq, x, y, round(c * (y - x) + hh * greatest(0, y - d) + b * greatest(0, d - y), 6) + 0.0 AS cost, greatest(x_min, least(x_max, y - d)) AS x_next, greatest(x_min, least(x_max, y * 2)) AS near, round(-c * greatest(x, 0), 6) + 0.0 AS terminal FROM costs",
+    "p3_nearest_known": f"WITH {PARAMS}{HISTORY}, known AS (SELECT DISTINCT item, d * 3 - 4 AS k FROM history) SELECT s.item, s.x, k.k AS nearest FROM states s LEFT JOIN known k ON k.item = s.item QUALIFY row_number() OVER (PARTITION BY s.item, s.x ORDER BY abs(s.x - k.k), k.k) = 1",
+    "p5_base_stock_level": f"WITH {PARAMS}{_ENDS} SELECT item, s FROM levels",
+    "p9_strided_rows": f"WITH {PARAMS}{HISTORY} SELECT item, seq, d FROM history QUALIFY (row_number() OVER (PARTITION BY item ORDER BY seq) - 1) % greatest(1, count(*) OVER (PARTITION BY item) // 10) = 0",
+    "l2_value_lookup": f"WITH {PARAMS}{_HALF}, a AS (SELECT item, x, CAST(unnest(range(x, x + 5)) AS INTEGER) AS y FROM states WHERE x % 3 = 0) SELECT a.item, a.x, a.y, round(h.value, 6) + 0.0 AS value FROM a JOIN half h ON h.item = a.item AND h.x = greatest(-2, least(8, a.y))",
+    "l3_policy_lookup": f"WITH {PARAMS}{HISTORY}{_PER}{_ENDS}, n AS (SELECT item, seq, greatest(x_min, least(x_max, y - d)) AS x FROM costs) SELECT n.item, n.seq, n.x, s.y FROM n LEFT JOIN start s USING (item, x)",
+    "l4_demand_cross": f"WITH {PARAMS} SELECT s.item, s.x AS y, d, round(p, 6) + 0.0 AS p FROM states s JOIN pmf USING (item)",
+    "a6_expected_cost": f"WITH {PARAMS} SELECT s.item, s.x AS y, round(sum(p * (h * greatest(0, s.x - d) + b * greatest(0, d - s.x))), 6) + 0.0 AS cost FROM states s JOIN pmf USING (item) JOIN params USING (item) GROUP BY s.item, s.x",
+    "a7_expected_next_value": f"WITH {PARAMS}{_HALF} SELECT s.item, s.x AS y, round(sum(p * v.value), 6) + 0.0 AS ev FROM states s JOIN pmf USING (item) JOIN half v ON v.item = s.item AND v.x = greatest(-2, least(8, s.x - d)) GROUP BY s.item, s.x",
+    "a12_sweep_delta": f"WITH {PARAMS}{MODEL}{sweep(1)}{sweep(2)} SELECT a.item, round(max(abs(a.value - b.value)), 6) + 0.0 AS delta FROM v2 a JOIN v1 b USING (item, x) GROUP BY a.item",
+    "a13_policy_changes": f"WITH {PARAMS}{MODEL}{sweep(1)}{sweep(2)} SELECT a.item, CAST(sum(CASE WHEN a.y <> b.y THEN 1 ELSE 0 END) AS BIGINT) AS changed, sum(CASE WHEN a.y <> b.y THEN 1 ELSE 0 END) = 0 AS stable FROM v2 a JOIN v1 b USING (item, x) GROUP BY a.item",
+    "a14_value_range": f"WITH {PARAMS}{MODEL}{sweep(1)}{sweep(2)} SELECT item, round(min(value), 6) + 0.0 AS low, round(max(value), 6) + 0.0 AS high FROM v2 GROUP BY item",
+    "w8_sliding_best": f"WITH {PARAMS}, g AS (SELECT s.item, s.x AS y, sum(p * (h * greatest(0, s.x - d) + b * greatest(0, d - s.x))) AS g FROM states s JOIN pmf USING (item) JOIN params USING (item) GROUP BY s.item, s.x) SELECT a.item, a.y, round(b.g, 6) + 0.0 AS best, b.y AS arg FROM g a JOIN g b ON a.item = b.item AND b.y BETWEEN a.y AND a.y + 3 QUALIFY row_number() OVER (PARTITION BY a.item, a.y ORDER BY round(b.g, 9) DESC, b.y) = 1",
+    "m1_q_values": f"WITH {PARAMS}{MODEL}{sweep(1)}{sweep(2)} SELECT s.item, s.x, g.y, round(g.c * s.x + g.g, 6) + 0.0 AS q FROM states s JOIN g2 g ON g.item = s.item AND g.y BETWEEN s.x AND s.x + 10",
+    "m2_bellman_backup": f"WITH {PARAMS}{MODEL}{sweep(1)}{sweep(2)}{sweep(3)} SELECT item, x, round(value, 6) + 0.0 AS value, y FROM v3",
+    "m3_value_iteration": f"WITH {PARAMS}{MODEL}{_ALL}{_STOP}, vs AS ({_V}) SELECT v.item, v.x, round(v.value, 5) + 0.0 AS value, v.y, s.sweeps, s.converged FROM vs v JOIN stops s ON v.item = s.item AND v.sweep = s.sweeps",
+    "m4_policy_evaluation": f"WITH {PARAMS}{MODEL}{_evaluation()} SELECT e.item, e.x, round(e.value, 6) + 0.0 AS value, k AS sweeps, k < 3 OR (SELECT delta FROM ed3 WHERE ed3.item = e.item) < 0.01 AS converged FROM (SELECT *, 1 AS k FROM e1 UNION ALL SELECT *, 2 FROM e2 UNION ALL SELECT *, 3 FROM e3) e JOIN (SELECT a.item, CASE WHEN a.delta < 0.01 THEN 1 WHEN b.delta < 0.01 THEN 2 ELSE 3 END AS stop FROM ed1 a JOIN ed2 b USING (item)) s ON s.item = e.item AND s.stop = e.k",
+    "m5_policy_improvement": f"WITH {PARAMS}{MODEL}{sweep(1)}{sweep(2)}{sweep(3)} SELECT item, x, y FROM v3",
+    "c1_compare_policies": f"WITH {PARAMS}{MODEL}{_ENDS}{sweep(1)}{sweep(2)} SELECT a.item, count(*) AS states, CAST(sum(CASE WHEN a.y = b.y THEN 1 ELSE 0 END) AS BIGINT) AS agree, round(100.0::DOUBLE * sum(CASE WHEN a.y = b.y THEN 1 ELSE 0 END) / count(*), 6) + 0.0 AS pct_agree FROM start a JOIN v2 b USING (item, x) GROUP BY a.item",
+    "c2_value_error": f"WITH {PARAMS}{MODEL}{sweep(1)}{sweep(2)}{sweep(3)} SELECT a.item, round(max(abs(a.value - b.value)), 6) + 0.0 AS max_error, round(avg(abs(a.value - b.value)), 6) + 0.0 AS mean_error FROM v2 a JOIN v3 b USING (item, x) GROUP BY a.item",
+    "c3_base_stock_report": f"WITH {PARAMS}{MODEL}{_ENDS}{sweep(1)}{sweep(2)}{sweep(3)}, u AS (SELECT 'start' AS method, item, x, y FROM start UNION ALL SELECT 'swept', item, x, y FROM v3) SELECT u.method, u.item, arg_min(u.y, u.x) AS s, any_value(l.s) AS s_formula, abs(arg_min(u.y, u.x) - any_value(l.s)) AS error FROM u JOIN levels l USING (item) GROUP BY u.method, u.item",
+    "c4_convergence_report": f"WITH {PARAMS}{MODEL}{_ALL}{_STOP} SELECT 'vi' AS method, s.item, s.sweeps, round(d.delta, 5) + 0.0 AS last_delta FROM stops s JOIN deltas d ON d.item = s.item AND d.sweep = s.sweeps",
+    "t3_method_union": f"WITH {PARAMS}{_ENDS} SELECT item, x, y, 'start' AS method FROM start UNION ALL SELECT item, x, greatest(x, 4), 'four' FROM states",
+}

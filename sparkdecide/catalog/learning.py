@@ -1,2 +1,97 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries over episodes and transitions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.columns import learning_rate, terminal_value
+from ..plans import bellman as P
+from ..plans import episodes as E
+from ..plans import qlearning as Q
+from . import inputs as I
+from . import inventory as N
+from .inputs import EPISODES, HISTORY, PARAMS, rounded
+
+GAMMA = 0.90123
+
+
+def _q(s, d):
+    return Q.q_learning(I.transitions(s, d), 6, gamma=GAMMA)
+
+
+def _mean_q(s, d):
+    """Mean reward of each pair, as a table of q that SQL can give too."""
+    return I.transitions(s, d).groupBy("item", "x", "y").agg(F.round(F.avg("reward"), 6).alias("q"))
+
+
+def _backtest(s, d):
+    return E.base_stock_backtest(I.history(s, d), I.params(s, d), N._levels(s, d))
+
+
+def _returns(s, d, **how):
+    return E.discounted_return(I.episodes(s, d), GAMMA, **how)
+
+
+def _trace(s, d):
+    pmf = I.pmf(s, d)
+    params = I.params(s, d).join(pmf.select("item").distinct(), "item")
+    m = P.Model(params, pmf)
+    return rounded(E.trace_policy_iteration(m, I.history(s, d), N._raise_to_four(m.states), terminal_value, 0.47, 10, 2), "value", places=4)
+
+
+def _policy_backtest(s, d):
+    """Order-up-to levels as a policy of every state: equals the lag window."""
+    policy = I.states(s, d).join(N._levels(s, d), "item").select("item", "x", F.greatest("x", "s").alias("y"))
+    return rounded(E.policy_backtest(I.history(s, d), I.params(s, d), policy), "reward")
+
+
+QUERIES = {
+    "m7_base_stock_backtest": lambda s, d: rounded(_backtest(s, d), "reward"),
+    "m7_policy_backtest": _policy_backtest,
+    "w6_discounted_return": lambda s, d: rounded(_returns(s, d).select("item", "episode_id", "t", "g"), "g"),
+    "w6_standard_return": lambda s, d: rounded(_returns(s, d, convention="standard").select("item", "episode_id", "t", "g"), "g"),
+    "w7_last_visit": lambda s, d: E.visit_filter(I.episodes(s, d)).select("item", "episode_id", "x", "t"),
+    "w7_first_visit": lambda s, d: E.visit_filter(I.episodes(s, d), "first").select("item", "episode_id", "x", "t"),
+    "a8_mc_value": lambda s, d: rounded(E.mc_value(_returns(s, d), I.episode_states(s, d)), "value"),
+    "a9_visit_counts": lambda s, d: rounded(E.visit_counts(I.episodes(s, d), I.episode_states(s, d)), "share"),
+    "a10_visit_extremes": lambda s, d: E.visit_extremes(E.visit_counts(I.episodes(s, d), I.episode_states(s, d))),
+    "a11_episode_reward": lambda s, d: rounded(E.episode_reward(I.episodes(s, d)), "total_reward"),
+    "m8_mc_evaluate": lambda s, d: rounded(E.mc_evaluate(I.episodes(s, d), I.episode_states(s, d), GAMMA), "value"),
+    "m9_trace_policy_iteration": _trace,
+    "m10_td_target": lambda s, d: rounded(Q.td_target(I.transitions(s, d), _mean_q(s, d), GAMMA).select("item", "episode_id", "t", "target"), "target"),
+    "m11_q_learning": lambda s, d: rounded(_q(s, d), "q"),
+    "m12_greedy_from_q": lambda s, d: rounded(Q.greedy_from_q(_mean_q(s, d), I.episode_states(s, d), 6), "value"),
+    "p7_learning_rate": lambda s, d: rounded(I.transitions(s, d).groupBy("item", "x", "y").agg(F.count("*").alias("n")).withColumn("rate", learning_rate(F.col("n"), 0.1)), "rate"),
+}
+
+
+def _return_sql(part: str) -> str:
+    return f""", parts AS (SELECT *, {part} AS part FROM (SELECT *, lead(t) OVER w IS NULL AS last, lead(reward) OVER w AS ahead FROM episodes WINDOW w AS (PARTITION BY item, episode_id ORDER BY t))),
+returns AS (SELECT a.item, a.episode_id, a.t, any_value(a.x) AS x, sum(b.part * power({GAMMA}, b.t - a.t)) AS g FROM parts a JOIN parts b ON a.item = b.item AND a.episode_id = b.episode_id AND b.t >= a.t GROUP BY a.item, a.episode_id, a.t)"""
+
+
+_SHIFTED = _return_sql("CASE WHEN last THEN reward ELSE ahead END")
+_VISIT = "SELECT item, episode_id, x, t FROM episodes QUALIFY row_number() OVER (PARTITION BY item, episode_id, x ORDER BY t {}) = 1"
+_COUNTS = ", visits AS (SELECT s.item, s.x, count(e.t) AS n FROM estates s LEFT JOIN episodes e ON e.item = s.item AND e.x = s.x GROUP BY s.item, s.x)"
+_MEAN = ", q AS (SELECT item, x, y, round(avg(reward), 6) AS q FROM transitions GROUP BY ALL)"
+_BACK = f"""WITH {PARAMS}{HISTORY}{N._ENDS}, rows_ AS (SELECT h.item, h.seq, h.d, l.s, p.*exclude(item), lag(h.d) OVER (PARTITION BY h.item ORDER BY h.seq) AS last FROM history h JOIN params p ON p.item = h.item JOIN levels l ON l.item = h.item),
+xs AS (SELECT *, CAST(CASE WHEN last IS NULL THEN 0 ELSE greatest(x_min, least(x_max, s - last)) END AS INTEGER) AS x FROM rows_)
+SELECT item, seq, x, greatest(x, s) AS y, d, round(-(c * (greatest(x, s) - x) + h * greatest(0, greatest(x, s) - d) + b * greatest(0, d - greatest(x, s))), 6) + 0.0 AS reward,
+  greatest(x_min, least(x_max, greatest(x, s) - d)) AS x_next FROM xs"""
+
+ORACLES = {
+    "m7_base_stock_backtest": _BACK,
+    "m7_policy_backtest": _BACK,
+    "w6_discounted_return": f"WITH {EPISODES}{_SHIFTED} SELECT item, episode_id, t, round(g, 6) + 0.0 AS g FROM returns",
+    "w6_standard_return": f"WITH {EPISODES}{_return_sql('reward')} SELECT item, episode_id, t, round(g, 6) + 0.0 AS g FROM returns",
+    "w7_last_visit": f"WITH {EPISODES} {_VISIT.format('DESC')}",
+    "w7_first_visit": f"WITH {EPISODES} {_VISIT.format('ASC')}",
+    "a8_mc_value": f"WITH {EPISODES}{_SHIFTED} SELECT s.item, s.x, round(coalesce(avg(r.g), 0.0), 6) + 0.0 AS value, count(r.g) AS n FROM estates s LEFT JOIN returns r ON r.item = s.item AND r.x = s.x GROUP BY s.item, s.x",
+    "a9_visit_counts": f"WITH {EPISODES}{_COUNTS} SELECT item, x, n, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY item), 6) + 0.0 AS share FROM visits",
+    "a10_visit_extremes": f"WITH {EPISODES}{_COUNTS} SELECT item, CAST(sum(n) AS BIGINT) AS total, first(x ORDER BY n DESC, x) AS most, first(x ORDER BY n, x) AS least FROM visits GROUP BY item",
+    "a11_episode_reward": f"WITH {EPISODES} SELECT item, episode_id, round(sum(reward), 6) + 0.0 AS total_reward, count(*) AS steps FROM episodes GROUP BY item, episode_id",
+    "m8_mc_evaluate": f"WITH {EPISODES}{_SHIFTED}{_COUNTS}, lastv AS (SELECT item, x, g FROM returns QUALIFY row_number() OVER (PARTITION BY item, episode_id, x ORDER BY t DESC) = 1) SELECT v.item, v.x, round(coalesce(avg(l.g), 0.0), 6) + 0.0 AS value, count(l.g) AS n, any_value(v.n) AS visits FROM visits v LEFT JOIN lastv l ON l.item = v.item AND l.x = v.x GROUP BY v.item, v.x",
+    "m10_td_target": f"WITH {EPISODES}{_MEAN}, best AS (SELECT item, x, max(q) AS best FROM q WHERE y >= x GROUP BY item, x) SELECT t.item, t.episode_id, t.t, round(t.reward + {GAMMA} * coalesce(b.best, 0.0), 6) + 0.0 AS target FROM transitions t LEFT JOIN best b ON b.item = t.item AND b.x = t.x_next",
+    "m12_greedy_from_q": f"WITH {EPISODES}{_MEAN} SELECT s.item, s.x, y.y, round(coalesce(q.q, 0.0), 6) + 0.0 AS value FROM estates s JOIN (SELECT CAST(r.r AS INTEGER) AS y FROM range(0, 7) r(r)) y ON y.y >= s.x LEFT JOIN q ON q.item = s.item AND q.x = s.x AND q.y = y.y QUALIFY row_number() OVER (PARTITION BY s.item, s.x ORDER BY coalesce(q.q, 0.0) DESC, y.y) = 1",
+    "p7_learning_rate": f"WITH {EPISODES} SELECT item, x, y, count(*) AS n, round(0.1 / (1.0 + 0.001 * count(*)), 6) + 0.0 AS rate FROM transitions GROUP BY ALL",
+}

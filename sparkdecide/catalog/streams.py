@@ -1,2 +1,85 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries that run the streaming operators over the events table until it is used up."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import bandit as B
+from ..sources.tables import write_results
+from ..storage import new_path
+from ..streaming import bandit as S
+from . import bandit as Q
+from . import inputs as I
+from . import learning as L
+from .inputs import LOG, PROBS, RUNS, rounded
+
+
+def _stream(spark: SparkSession, rows: DataFrame, files: int = 4) -> DataFrame:
+    """Rows as a stream of their files, one file a micro-batch."""
+    path = new_path(spark, "stream")
+    rows.repartitionByRange(files, rows.columns[0]).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _last(spark: SparkSession, out: DataFrame) -> DataFrame:
+    """The table that a complete-mode aggregation has when its source is used up."""
+    path = new_path(spark, "state")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/latest")
+
+    w = out.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", new_path(spark, "offsets"))
+    w.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/latest")
+
+
+def _assigned(s, d):
+    stats = B.arm_stats(I.log(s, d))
+    path = new_path(s, "assigned")
+    requests = _stream(s, Q._requests(s, d))
+    w = S.stream_assign(requests, lambda: stats, lambda r, st: B.epsilon_greedy_assign(r, st, 0.1, 5), path)
+    w.option("checkpointLocation", new_path(s, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(path).drop("batch")
+
+
+def _q_learning(s, d):
+    """Pairs and counts after the stream; q depends on the order of arrival."""
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path = new_path(s, "q")
+    rows = _stream(s, I.transitions(s, d).select("episode_id", "item", "t", "x", "y", "reward", "x_next"))
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    w = S.stream_q_learning(rows, 6, gamma=L.GAMMA).writeStream.outputMode("update").foreachBatch(put)
+    w.option("checkpointLocation", new_path(s, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    rows = s.read.parquet(path)
+    return rows.groupBy("item", "x", "y").agg({"n": "max"}).withColumnRenamed("max(n)", "n")
+
+
+def _written(s, d):
+    path = new_path(s, f"results-{uuid.uuid4().hex[:6]}")
+    write_results(rounded(B.arm_stats(I.log(s, d), ["run"]), "q"), path, ["arm"])
+    return s.read.parquet(path).select("run", "arm", "n", "q")
+
+
+QUERIES = {
+    "r1_stream_arm_stats": lambda s, d: rounded(_last(s, S.stream_arm_stats(_stream(s, I.log(s, d)))), "q"),
+    "r2_stream_beta_posterior": lambda s, d: _last(s, S.stream_beta_posterior(_stream(s, I.log(s, d)))),
+    "r3_stream_assign": _assigned,
+    "r4_stream_q_learning": _q_learning,
+    "r5_stream_regret": lambda s, d: rounded(_last(s, S.stream_regret(_stream(s, I.log(s, d)), I.arm_probs(s, d))), "regret", "pct_optimal"),
+    "s9_write_results": _written,
+}
+
+ORACLES = {
+    "r1_stream_arm_stats": f"WITH {LOG} SELECT context, arm, count(*) AS n, round(avg(reward), 6) + 0.0 AS q FROM log GROUP BY context, arm",
+    "r2_stream_beta_posterior": f"WITH {LOG} SELECT context, arm, 1.0::DOUBLE + sum(reward) AS alpha, 1.0::DOUBLE + sum(1 - reward) AS beta FROM log GROUP BY context, arm",
+    "r3_stream_assign": Q.ORACLES["b1_epsilon_greedy"],
+    "r4_stream_q_learning": f"WITH {I.EPISODES} SELECT item, x, y, count(*) AS n FROM transitions GROUP BY ALL",
+    "r5_stream_regret": f"WITH {LOG}{PROBS}{RUNS} SELECT alg, count(*) AS steps, round(sum(regret), 6) + 0.0 AS regret, CAST(sum(reward) AS BIGINT) AS reward, round(100 * avg(optimal), 6) + 0.0 AS pct_optimal FROM truth GROUP BY alg",
+    "s9_write_results": f"WITH {LOG}, g AS (SELECT c.run, a.arm FROM (SELECT DISTINCT run FROM log) c CROSS JOIN (SELECT DISTINCT arm FROM log) a) SELECT g.run, g.arm, count(l.reward) AS n, round(coalesce(avg(l.reward), 0.0), 6) + 0.0 AS q FROM g LEFT JOIN log l ON l.run = g.run AND l.arm = g.arm GROUP BY g.run, g.arm",
+}
+

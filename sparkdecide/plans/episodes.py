@@ -37,10 +37,11 @@ def policy_backtest(history: DataFrame, params: DataFrame, policy: DataFrame, x0
     """The same for any policy (item, x, y): a fold over each item's demand in order, items in parallel."""
     table = policy.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("acts"))
     rows = history.join(params.select("item", "h", "b", "c", "x_min", "x_max"), "item").join(table, "item")
+    rows = rows.withColumn("acts", F.when(F.col("seq") == 1, F.col("acts")))  # once an item is enough
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        acts = {int(a["x"]): int(a["y"]) for a in pdf["acts"].iloc[0]}
+        acts = {int(a["x"]): int(a["y"]) for a in next(a for a in pdf["acts"] if a is not None)}
         known = sorted(acts)
         lo, hi = int(pdf["x_min"].iloc[0]), int(pdf["x_max"].iloc[0])
         x, xs, ys = x0, [], []
