@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.grids import state_grid
@@ -15,14 +15,15 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in columns})
 
 
-_K = F.get_json_object("props", "$.k").cast("int")
+def _k() -> Column:
+    return F.get_json_object("props", "$.k").cast("int")
 
 
 def log(spark: SparkSession, sf: str) -> DataFrame:
     """Decisions from events: context and arm from user and props; a click is a reward. Each user is a run of one of three algorithms."""
     e = table(spark, sf, "events")
     keys = {"alg": F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")), "run": F.col("user_id")}
-    return decision_log(e, step=F.col("event_id"), ts=F.col("ts"), context=F.col("user_id") % 2, arm=_K % 3, reward=(F.col("event_type") == "click").cast("int"), keys=keys)
+    return decision_log(e, step=F.col("event_id"), ts=F.col("ts"), context=F.col("user_id") % 2, arm=_k() % 3, reward=(F.col("event_type") == "click").cast("int"), keys=keys)
 
 
 def run_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,8 +50,8 @@ def params(spark: SparkSession, sf: str) -> DataFrame:
     """Cost parameters that vary by part."""
     p = table(spark, sf, "part")
     return p.select(
-        F.col("p_partkey").alias("item"), F.lit(1.07131).alias("h"), (4.37177 + F.col("p_size") % 6).alias("b"), ((F.col("p_size") % 4) * 0.23117).alias("c"),
-        F.lit(0.471239).alias("gamma"), F.lit(0.01).alias("theta"), F.lit(-2).alias("x_min"), F.lit(8).alias("x_max"),
+        F.col("p_partkey").alias("item"), F.lit(1.071313739).alias("h"), (4.371773331 + F.col("p_size") % 6).alias("b"), ((F.col("p_size") % 4) * 0.231171713).alias("c"),
+        F.lit(0.4712393331).alias("gamma"), F.lit(0.01).alias("theta"), F.lit(-2).alias("x_min"), F.lit(8).alias("x_max"),
     )
 
 
@@ -62,7 +63,7 @@ def episodes(spark: SparkSession, sf: str) -> DataFrame:
     """One episode for each user and day: states are event types, actions x + k % 3, rewards the values."""
     e = table(spark, sf, "events")
     kinds = F.create_map(*(y for i, k in enumerate(("click", "error", "purchase", "signup", "view")) for y in (F.lit(k), F.lit(i))))
-    rows = e.select(F.col("user_id").alias("item"), F.date_format("ts", "yyyy-MM-dd").alias("episode_id"), "ts", "event_id", kinds[F.col("event_type")].alias("x"), _K.alias("k"), F.col("value").alias("reward"))
+    rows = e.select(F.col("user_id").alias("item"), F.date_format("ts", "yyyy-MM-dd").alias("episode_id"), "ts", "event_id", kinds[F.col("event_type")].alias("x"), _k().alias("k"), F.col("value").alias("reward"))
     t = F.row_number().over(Window.partitionBy("item", "episode_id").orderBy("ts", "event_id"))
     return rows.select("item", "episode_id", t.alias("t"), "x", (F.col("x") + F.col("k") % 3).alias("y"), "reward")
 
@@ -90,7 +91,7 @@ metrics AS (SELECT *, sum(regret) OVER w AS cum_regret, sum(reward) OVER w AS cu
 summary AS (SELECT alg, step, count(*) AS n_runs, avg(cum_regret) AS mean_cum_regret, stddev_pop(cum_regret) AS std_cum_regret, avg(regret) AS mean_regret,
   avg(cum_reward) AS mean_cum_reward, 100 * avg(optimal) AS pct_optimal FROM metrics GROUP BY alg, step)"""
 PARAMS = """
-params AS (SELECT p_partkey AS item, 1.07131::DOUBLE AS h, 4.37177::DOUBLE + p_size % 6 AS b, (p_size % 4) * 0.23117::DOUBLE AS c, 0.471239::DOUBLE AS gamma, 0.01::DOUBLE AS theta, -2 AS x_min, 8 AS x_max FROM part),
+params AS (SELECT p_partkey AS item, 1.071313739::DOUBLE AS h, 4.371773331::DOUBLE + p_size % 6 AS b, (p_size % 4) * 0.231171713::DOUBLE AS c, 0.4712393331::DOUBLE AS gamma, 0.01::DOUBLE AS theta, -2 AS x_min, 8 AS x_max FROM part),
 states AS (SELECT item, CAST(unnest(range(x_min, x_max + 1)) AS INTEGER) AS x FROM params),
 counts AS (SELECT l_partkey AS item, CAST(ceil(l_quantity / 10) AS INTEGER) AS d, count(*) AS n FROM lineitem GROUP BY ALL),
 pmf AS (SELECT item, d, n / sum(n) OVER (PARTITION BY item) AS p FROM counts)"""

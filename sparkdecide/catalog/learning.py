@@ -12,7 +12,7 @@ from . import inputs as I
 from . import inventory as N
 from .inputs import EPISODES, HISTORY, PARAMS, rounded
 
-GAMMA = 0.90123
+GAMMA = 0.9012347819
 
 
 def _q(s, d):

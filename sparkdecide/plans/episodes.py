@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,31 +32,35 @@ def base_stock_backtest(history: DataFrame, params: DataFrame, level: DataFrame,
     return rows.select("item", "seq", "x", "y", "d", reward.alias("reward"), to.alias("x_next"))
 
 
+BACKTEST = "array<struct<seq:int,x:int,y:int,d:int,x_next:int>>"
+
+
 def policy_backtest(history: DataFrame, params: DataFrame, policy: DataFrame, x0: int = 0) -> DataFrame:
-    """The same for any policy (item, x, y): a fold over each item's demand in order, items in parallel."""
+    """The same for any policy (item, x, y): a fold over each item's demand in order, items in parallel.
+
+    A state that the policy doesn't have takes the action of the nearest one it has.
+    """
     table = policy.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("acts"))
-    rows = history.join(params.select("item", "h", "b", "c", "x_min", "x_max"), "item").join(table, "item")
-    rows = rows.withColumn("acts", F.when(F.col("seq") == 1, F.col("acts")))  # once an item is enough
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        acts = {int(a["x"]): int(a["y"]) for a in next(a for a in pdf["acts"] if a is not None)}
-        known = sorted(acts)
-        lo, hi = int(pdf["x_min"].iloc[0]), int(pdf["x_max"].iloc[0])
-        x, xs, ys = x0, [], []
-        for d in pdf["d"]:
-            y = acts[x] if x in acts else acts[min(known, key=lambda k: (abs(k - x), k))]
-            xs.append(x)
-            ys.append(y)
-            x = max(lo, min(hi, y - int(d)))
-        out = pd.DataFrame({"item": pdf["item"], "seq": pdf["seq"], "x": xs, "y": ys, "d": pdf["d"]})
-        h, b, c = (float(pdf[k].iloc[0]) for k in ("h", "b", "c"))
-        xv, yv, dv = (out[k].to_numpy(float) for k in "xyd")
-        out["reward"] = -(c * (yv - xv) + h * np.maximum(0, yv - dv) + b * np.maximum(0, dv - yv)) + 0.0
-        out["x_next"] = np.clip(yv - dv, lo, hi).astype(int)
-        return out
-
-    return rows.groupBy("item").applyInPandas(fold, "item bigint, seq int, x int, y int, d int, reward double, x_next int")
+    demand = history.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("seq", "d"))).alias("demand"))
+    p = params.select("item", "h", "b", "c", "x_min", "x_max")
+
+    def fold(demand: pa.Array, acts: pa.Array, x_min: pa.Array, x_max: pa.Array) -> pa.Array:
+        out = []
+        for ds, table, lo, hi in zip(demand.to_pylist(), acts.to_pylist(), x_min.to_pylist(), x_max.to_pylist(), strict=True):
+            act = {a["x"]: a["y"] for a in table}
+            x, rows = x0, []
+            for r in ds:
+                y = act[x] if x in act else act[min(act, key=lambda k: (abs(k - x), k))]
+                to = max(lo, min(hi, y - r["d"]))
+                rows.append({"seq": r["seq"], "x": x, "y": y, "d": r["d"], "x_next": to})
+                x = to
+            out.append(rows)
+        return pa.array(out, pa.list_(pa.struct([(k, pa.int32()) for k in ("seq", "x", "y", "d", "x_next")])))
+
+    steps = F.explode(F.arrow_udf(fold, BACKTEST)("demand", "acts", "x_min", "x_max")).alias("s")
+    rows = demand.join(p, "item").join(table, "item").select("item", "h", "b", "c", steps).select("item", "h", "b", "c", "s.*")
+    reward = -period_cost(F.col("y"), F.col("d"), F.col("x"), F.col("h"), F.col("b"), F.col("c")) + F.lit(0.0)
+    return rows.select("item", "seq", "x", "y", "d", reward.alias("reward"), "x_next")
 
 
 def discounted_return(episodes: DataFrame, gamma: float = 0.95, convention: str = "shifted", terminal: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
