@@ -316,7 +316,7 @@ def _confirm_large(large: DataFrame, classes: DataFrame, words: int, parts: int)
     rows = large.join(sig, "doc_id").select("group", "doc_id", "text", F.posexplode("places").alias("o", "place"))
     rows = rows.select(F.xxhash64("group", "o").alias("run"), F.substring("place", 1, 24).alias("place"), "doc_id", "text")
     ordered = rows.repartitionByRange(parts, "run", "place").sortWithinPartitions("run", "place")
-    links = materialize(ordered.mapInArrow(_confirm(words, "run", BLOCK // 2, 32), "a bigint, b bigint"), "links")
+    links = materialize(ordered.mapInArrow(_confirm(words, "run", BLOCK // 2, BLOCK // 16), "a bigint, b bigint"), "links")
     known = components(links)
     named = large.select("group", "n", "doc_id").join(known, F.col("doc_id") == F.col("node"), "left").select("group", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     named = materialize(named, "named")
