@@ -40,7 +40,7 @@ _INNER = f"[{_LETTER}]++(?=[{_MARK}{SPACE}]|\\Z)|[{_MARK}]++(?=[A-Za-z0-9{SPACE}
 #: Units without the spaces; a unit with one space before it, and runs of space as byte-level tokenizers split them.
 UNITS = {"word": re.compile(_INNER), "byte": re.compile(f" ?(?:{_INNER})|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")}
 LONG, LEAF = 64, 32
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def join(left: list[int], right: list[int], text_of: Callable[[list[int]], str], encode: Callable[[str, bool], list[int]], end: bool) -> list[int]:

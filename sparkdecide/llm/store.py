@@ -38,26 +38,44 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a stream of ids: content-defined, LEAST to MOST ids long (the last may be shorter)."""
+_MIXED = mixed(np.arange(1, (1 << 17) + 1, dtype=np.uint64))
+
+
+def places(ids: np.ndarray) -> np.ndarray:
+    """Positions where the rolling hash of the WINDOW ids before has its form.
+
+    The hash doesn't depend on the position, so streams can be put one after the other;
+    a chunk is longer than the window, so what a window has from the stream before never counts.
+    """
     n = len(ids)
+    if n <= WINDOW:
+        return np.zeros(0, np.int64)
+    values = _MIXED[ids] if int(ids.max()) < len(_MIXED) else mixed(ids.astype(np.uint64) + np.uint64(1))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * powers(n, _BASE), out=total[1:])
+    window = (total[WINDOW:] - total[:-WINDOW]) * powers(n - WINDOW + 1, _INVERSE)
+    window *= np.uint64(0xFF51AFD7ED558CCD)
+    return np.flatnonzero(window < np.uint64((1 << 64) // AVERAGE)) + WINDOW
+
+
+def ends_of(places_: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a stream of n ids: LEAST to MOST ids long (the last may be shorter)."""
     ends, at = [], 0
-    if n > LEAST:
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(mixed(ids.astype(np.uint64) + np.uint64(1)) * powers(n, _BASE), out=total[1:])
-        # hash of the WINDOW ids before position i, whatever i is
-        window = (total[WINDOW:] - total[:-WINDOW]) * powers(n - WINDOW + 1, _INVERSE)
-        places = (np.flatnonzero((mixed(window) & np.uint64(AVERAGE - 1)) == 0) + WINDOW).tolist()
-        for place in [*places, n]:
-            while place - at > MOST:
-                at += MOST
-                ends.append(at)
-            if place - at >= LEAST and place < n:
-                ends.append(place)
-                at = place
+    for place in [*places_, n]:
+        while place - at > MOST:
+            at += MOST
+            ends.append(at)
+        if place - at >= LEAST and place < n:
+            ends.append(place)
+            at = place
     return [*ends, n] if n > at else ends
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one stream."""
+    return ends_of(places(ids).tolist(), len(ids))
+
+
 def address(data: bytes) -> bytes:
     return hashlib.sha256(data).digest()[:16]
 
@@ -112,18 +130,27 @@ def encode_documents(documents: DataFrame, path: str, end_id: int = 0) -> DataFr
     width = _width(bpe.encoder(path).tokenizer.get_vocab_size(with_added_tokens=True))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, end = bpe.encoder(path), np.array([end_id], np.int64)
+        e, end, size = bpe.encoder(path), np.uint32(end_id).tobytes(), np.dtype(width).itemsize
         for b in batches:
             texts = [t or "" for t in b["text"].to_pylist()]
             for i, j in bpe._some(texts):
+                coded = [raw + end for raw in e.encode(texts[i:j])]
+                ids = np.frombuffer(b"".join(coded), np.uint32)
+                data = ids.astype(width).tobytes()
+                starts = np.zeros(len(coded) + 1, np.int64)
+                np.cumsum([len(c) // 4 for c in coded], out=starts[1:])
+                found = places(ids)
+                first = np.searchsorted(found, starts).tolist()
+                found, starts = found.tolist(), starts.tolist()
                 out = {"addresses": [], "lengths": [], "ids": []}
-                for raw in e.encode(texts[i:j]):
-                    ids = np.concatenate([np.frombuffer(raw, np.int32), end])
-                    data, ends = ids.astype(width), cuts(ids)
-                    pieces = np.split(data, ends[:-1])
-                    out["addresses"].append([address(p.tobytes()) for p in pieces])
-                    out["lengths"].append([len(p) for p in pieces])
-                    out["ids"].append(data.tobytes())
+                for k, at in enumerate(starts[:-1]):
+                    n = starts[k + 1] - at
+                    ends = ends_of([p - at for p in found[first[k] : first[k + 1]]], n)
+                    raw = data[at * size : (at + n) * size]
+                    begins = [0, *ends[:-1]]
+                    out["addresses"].append([address(raw[x * size : y * size]) for x, y in zip(begins, ends, strict=True)])
+                    out["lengths"].append([y - x for x, y in zip(begins, ends, strict=True)])
+                    out["ids"].append(raw)
                 yield pa.RecordBatch.from_arrays([b["row"].slice(i, j - i), b["doc_id"].slice(i, j - i), *(pa.array(out[k], ENCODED.field(k).type) for k in ("addresses", "lengths", "ids"))], schema=ENCODED)
 
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
