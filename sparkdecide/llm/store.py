@@ -173,24 +173,32 @@ def write_store(encoded: DataFrame, width: type = np.uint16) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, size, held = Merkle(), np.dtype(width).itemsize, (None, {})
         for b in batches:
-            out: list[dict] = []
-            for r in b.to_pylist():
-                if r["addresses"] is None:
-                    held = (r["row"], {m["at"]: m["owner"] for m in r["marks"]})
+            docs: dict[str, list] = {k: [] for k in ("doc_id", "row", "n_tokens", "addresses", "lengths", "inline", "root", "ids")}
+            chunks: dict[str, list] = {k: [] for k in ("doc_id", "row", "address", "ids")}
+            for row, doc_id, marked, addresses, lengths, ids in zip(*(b[c].to_pylist() for c in ("row", "doc_id", "marks", "addresses", "lengths", "ids")), strict=True):
+                if addresses is None:
+                    held = (row, {m["at"]: m["owner"] for m in marked})
                     continue
-                marks = held[1] if held[0] == r["row"] else {}
-                root, own, at = merkle_root(r["addresses"]), [], 0
-                for k, n in enumerate(r["lengths"]):
-                    piece = r["ids"][at * size : (at + n) * size]
-                    at += n
-                    if k not in marks:
-                        own.append(piece)
-                    elif marks[k]:
-                        out.append({"kind": "chunk", "doc_id": r["doc_id"], "row": r["row"], "address": r["addresses"][k], "ids": piece})
+                marks = held[1] if held[0] == row else {}
+                n = len(ids) // size
+                if marks:
+                    own, at = [], 0
+                    for k, length in enumerate(lengths):
+                        piece = ids[at * size : (at + length) * size]
+                        at += length
+                        if k not in marks:
+                            own.append(piece)
+                        elif marks[k]:
+                            for c, v in zip(chunks.values(), (doc_id, row, addresses[k], piece), strict=True):
+                                c.append(v)
+                    ids = b"".join(own)
+                root = merkle_root(addresses)
                 tree.add(root)
-                out.append({"kind": "doc", "doc_id": r["doc_id"], "row": r["row"], "n_tokens": at, "addresses": r["addresses"], "lengths": r["lengths"], "inline": [k not in marks for k in range(len(r["lengths"]))], "root": root, "ids": b"".join(own)})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=STORE)
+                for c, v in zip(docs.values(), (doc_id, row, n, addresses, lengths, [k not in marks for k in range(len(lengths))], root, ids), strict=True):
+                    c.append(v)
+            for kind, part in (("chunk", chunks), ("doc", docs)):
+                if n := len(part["row"]):
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * n) if f.name == "kind" else pa.array(part[f.name], f.type) if f.name in part else pa.nulls(n, f.type) for f in STORE], schema=STORE)
         if tree.levels:
             yield pa.RecordBatch.from_pylist([{"kind": "pack", "root": tree.root()}], schema=STORE)
 
@@ -220,23 +228,28 @@ def read_store(store: DataFrame, width: type = np.uint16) -> DataFrame:
     whole = docs.filter(alone).withColumn("found", none).unionByName(docs.filter(~alone).join(found, "row"))
     size = np.dtype(width).itemsize
 
-    def build(batch: dict) -> bytes:
+    def build(doc_id: int, addresses: list, lengths: list, inline: list, root: bytes, ids: bytes, found: list | None) -> bytes:
         at, pieces = 0, []
-        more = {m["at"]: m["piece"] for m in batch["found"] or ()}
-        for k, (digest, n, inline) in enumerate(zip(batch["addresses"], batch["lengths"], batch["inline"], strict=True)):
-            piece = batch["ids"][at : at + n * size] if inline else more[k]
-            at += n * size * inline
+        more = {m["at"]: m["piece"] for m in found or ()}
+        for k, (digest, n, own) in enumerate(zip(addresses, lengths, inline, strict=True)):
+            if own:
+                piece = ids[at : at + n * size]
+                at += n * size
+            else:
+                piece = more[k]
             if address(piece) != digest:
-                raise ValueError(f"chunk {k} of document {batch['doc_id']} differs from its address")
+                raise ValueError(f"chunk {k} of document {doc_id} differs from its address")
             pieces.append(piece)
-        if merkle_root(batch["addresses"]) != batch["root"]:
-            raise ValueError(f"the recipe of document {batch['doc_id']} differs from its root")
+        if merkle_root(addresses) != root:
+            raise ValueError(f"the recipe of document {doc_id} differs from its root")
         return np.frombuffer(b"".join(pieces), width).astype("<u4").tobytes()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 some = b.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([some["doc_id"], some["row"], some["n_tokens"], pa.array([build(r) for r in some.to_pylist()], pa.binary())], names=["doc_id", "row", "n_tokens", "ids"])
+                columns = (some[c].to_pylist() for c in ("doc_id", "addresses", "lengths", "inline", "root", "ids", "found"))
+                whole_ids = [build(*r) for r in zip(*columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([some["doc_id"], some["row"], some["n_tokens"], pa.array(whole_ids, pa.binary())], names=["doc_id", "row", "n_tokens", "ids"])
 
     return whole.mapInArrow(read, "doc_id bigint, row bigint, n_tokens bigint, ids binary")
