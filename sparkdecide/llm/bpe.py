@@ -40,7 +40,8 @@ _INNER = f"[{_LETTER}]++(?=[{_MARK}{SPACE}]|\\Z)|[{_MARK}]++(?=[A-Za-z0-9{SPACE}
 #: Units without the spaces; a unit with one space before it, and runs of space as byte-level tokenizers split them.
 UNITS = {"word": re.compile(_INNER), "byte": re.compile(f" ?(?:{_INNER})|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")}
 LONG, LEAF = 64, 32
-REMEMBERED = 600_000
+#: Units that a worker remembers, some 160 bytes each; several workers share an executor.
+REMEMBERED = 200_000
 
 
 def join(left: list[int], right: list[int], text_of: Callable[[list[int]], str], encode: Callable[[str, bool], list[int]], end: bool) -> list[int]:
@@ -99,10 +100,10 @@ class Remembered(dict):
 class Encoder:
     """Encodes and decodes with one tokenizer file; one object a worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.path = path
+        self.path, self.remembered = path, remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
@@ -123,7 +124,9 @@ class Encoder:
         if self._open is None:  # the same merges without the mark of a word's end
             from tokenizers.models import BPE
 
-            self._open = BPE(self.spec["model"]["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in self.spec["model"]["merges"]])
+            with open(self.path, encoding="utf-8") as f:
+                model = json.load(f)["model"]
+            self._open = BPE(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
         return [t.id for t in self._open.tokenize(text)]
 
     def text_of(self, ids: list[int]) -> str:
@@ -155,7 +158,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers in a row."""
-        if len(self.seen) > REMEMBERED:
+        if len(self.seen) > self.remembered:
             self.seen.clear()
         get, find, out = self.seen.__getitem__, self.units.findall, []
         for t in texts:
@@ -186,8 +189,8 @@ _BYTES = {b: _CHARACTERS[b] for b in range(128)}
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    return Encoder(path, remembered)
 
 
 def _some(texts: list[str], most: int = 2_000_000):

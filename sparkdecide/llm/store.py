@@ -33,6 +33,8 @@ from ..storage import materialize
 from . import bpe
 from .texts import bounded_batches, mixed, powers
 
+#: Units that an encoding worker remembers here, where encoding is most of the work.
+REMEMBERED = 600_000
 WINDOW, AVERAGE, LEAST, MOST = 16, 256, 64, 1024
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -130,7 +132,7 @@ def encode_documents(documents: DataFrame, path: str, end_id: int = 0) -> DataFr
     width = _width(bpe.encoder(path).tokenizer.get_vocab_size(with_added_tokens=True))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, end, size = bpe.encoder(path), np.uint32(end_id).tobytes(), np.dtype(width).itemsize
+        e, end, size = bpe.encoder(path, REMEMBERED), np.uint32(end_id).tobytes(), np.dtype(width).itemsize
         for b in batches:
             texts = [t or "" for t in b["text"].to_pylist()]
             for i, j in bpe._some(texts):
