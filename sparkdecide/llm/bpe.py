@@ -107,11 +107,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
-            self.spec = json.load(f)
-        kind = "word" if self.spec["model"].get("end_of_word_suffix") else "byte"
-        self.units, self.suffix = UNITS[kind], self.spec["model"].get("end_of_word_suffix") or ""
+            spec = json.load(f)
+        kind = "word" if spec["model"].get("end_of_word_suffix") else "byte"
+        self.units, self.suffix = UNITS[kind], spec["model"].get("end_of_word_suffix") or ""
         self.one = re.compile(f" ?(?:[{_LETTER}]+|[{_MARK}]+)" if kind == "byte" else f"[{_LETTER}]+|[{_MARK}]+")
-        self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.marker = os.path.commonprefix(list(self.special))
         self.seen = Remembered(self.unit)
