@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkdecide.llm import bpe, decontaminate, langid, neardup, suffix
 from sparkdecide.llm.catalog import tokenizer_path
+from sparkdecide.llm.texts import bounded_batches
 from sparkdecide.storage import materialize, table
 
 #: Shortest repeated string that is removed, in bytes: less than 50 words of the shortest usual length.
@@ -24,6 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     labelled = docs.filter("lang is not null and text is not null")
     if labelled.isEmpty():
         return docs.limit(0)
+    bounded_batches(spark)
     model = langid.fit(labelled)
     return docs.withColumn("_p", langid.prediction(F.col("text"), model)).filter("not _p.rejected").drop("_p")
 
