@@ -48,12 +48,11 @@ def components(edges: DataFrame) -> DataFrame:
     last = None
     while True:
         both = now.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(now.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        large = both.join(_lowest(both), "node").filter("other > node").select(F.col("other").alias("a"), F.col("low").alias("b")).filter("a <> b")
-        large = large.mapInArrow(forest, "a bigint, b bigint")  # most of a dense group's edges say the same
+        large = both.join(_lowest(both), "node").filter("other > node").select(F.col("other").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()  # most of a dense group's edges say the same
         down = large.select(F.col("a").alias("node"), F.col("b").alias("other"))
         low = _lowest(down)
         small = down.join(low, "node").select(F.col("other").alias("a"), F.col("low").alias("b")).unionByName(low.select(F.col("node").alias("a"), F.col("low").alias("b")))
-        now = materialize(small.filter("a <> b").mapInArrow(forest, "a bigint, b bigint").distinct(), "edges")
+        now = materialize(small.filter("a <> b").distinct(), "edges")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == last:
             break
