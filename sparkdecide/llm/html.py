@@ -6,11 +6,14 @@ neighbours become a repeated group, what only one side has becomes optional, and
 become slots, which remember how much text and how much of it in links they have seen.
 In the finished wrapper the groups are marked as main text or as frame (menus, headers,
 footers, sidebars, notices, adverts, forms, comments), by their tags and names, by the
-article or main group if there is one, and by the share of links otherwise. Pages are
-then read along their host's wrapper; what it doesn't have is marked by the same rules.
+article or main groups, and by the share of links on pages without any.
 
-Wrappers are fitted on at most ``per_host`` distinct pages of a host; all pages are
-extracted, whole.
+Wrappers are fitted on all pages of a host: pages with one skeleton (tags, names and
+quantities) are summed up first, and each skeleton is merged once. Pages are then read
+along their host's wrapper. What it doesn't have where the page has it, and a page none
+of whose main groups the wrapper takes, are marked by the same rules on the page alone.
+Names that differ from page to page are left out: digits, ids without a meaning for the
+rules, and all such names of html, body, article and main.
 
 Defined results: null or empty html gives an empty text; a page without a host has
 no wrapper and is read by the rules alone. Unclosed tags end where HTML ends them.
@@ -21,13 +24,15 @@ table gives an empty table. Other columns are not read.
 from __future__ import annotations
 
 import html
-import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
@@ -46,15 +51,40 @@ FRAME_NAMES = frozenset(
 )
 MAIN_NAMES = frozenset("article articlebody content entry main maincontent post story".split())
 
+#: Tasks that the skeletons of one host are first merged in.
+PARTS = 32
+# pages nest as deeply as they like
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/!?])[^<]*\Z", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "children")
+    __slots__ = ("tag", "name", "children", "size")
 
     def __init__(self, tag: str, name: str = ""):
-        self.tag, self.name, self.children = tag, name, []
+        self.tag, self.name, self.children, self.size = tag, name, [], 0
+
+
+@lru_cache(maxsize=1 << 16)
+def named(tag: str, attributes: str) -> str:
+    """Classes, id and role of a tag, without what differs from page to page."""
+    out = []
+    for key, value in _NAMED.findall(attributes):
+        for word in value.strip("\"'").lower().split():
+            if _is_main_name(word) or _is_frame_name(word) or key.lower() != "id" and tag not in ("html", "body", "article", "main"):
+                out.append(_DIGITS.sub("0", word))
+    return " ".join(out)
+
+
+def _is_frame_name(word: str) -> bool:
+    return any(w in FRAME_NAMES for w in (word, *re.split(r"[-_]+", word)))
+
+
+def _is_main_name(word: str) -> bool:
+    return re.sub(r"[-_]", "", word) in MAIN_NAMES
 
 
 def parse(page: str) -> Node:
@@ -91,7 +121,7 @@ def parse(page: str) -> Node:
                 break
             if stack[k].tag in SCOPE:
                 break
-        node = Node(tag, " ".join(v.strip("\"'").lower() for _, v in _NAMED.findall(m[3])) if m[3] else "")
+        node = Node(tag, named(tag, m[3]) if m[3] else "")
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -108,7 +138,8 @@ def sign(node: Node | str) -> str:
 def wrapper_of(node: Node, in_link: bool = False) -> dict:
     """The stream of one page as a wrapper, with equal neighbours made one repeated group.
 
-    s: sign; q: "1", "?", "+" or "*"; t, l: characters of text seen, and those in links; c: inner items.
+    s: sign; q: "1", "?", "+" or "*"; t, l: characters of text seen, and those in links; n, k: pages
+    that have it as a main region with text, and those that take it as main text; c: inner items.
     """
     in_link = in_link or node.tag == "a"
     items: list[dict] = []
@@ -117,10 +148,10 @@ def wrapper_of(node: Node, in_link: bool = False) -> dict:
             size = len("".join(child.split()))
             if not size:
                 continue
-            item = {"s": "#", "q": "1", "t": size, "l": size * in_link, "c": []}
+            item = _item("#", size, size * in_link, [])
         elif child.tag in INLINE and child.tag != "a":
             continue_in = wrapper_of(child, in_link)
-            item = {"s": "#", "q": "1", "t": continue_in["t"], "l": continue_in["l"], "c": []}
+            item = _item("#", continue_in["t"], continue_in["l"], [])
             if not item["t"]:
                 continue
         else:
@@ -129,7 +160,33 @@ def wrapper_of(node: Node, in_link: bool = False) -> dict:
             items[-1] = merged(items[-1], item) | {"q": "+"}
         else:
             items.append(item)
-    return {"s": sign(node), "q": "1", "t": sum(i["t"] for i in items), "l": sum(i["l"] for i in items), "c": items}
+    node.size = sum(i["t"] for i in items)
+    return _item(sign(node), node.size, sum(i["l"] for i in items), items)
+
+
+def _item(s: str, t: int, l: int, c: list[dict]) -> dict:  # noqa: E741
+    return {"s": s, "q": "1", "t": t, "l": l, "n": 0, "k": 0, "c": c}
+
+
+def regions(wrapper: dict) -> list[dict]:
+    """The outermost article and main groups that aren't in a frame."""
+    out, work = [], [wrapper]
+    while work:
+        for c in work.pop()["c"]:
+            if c["s"] == "#" or is_frame(c["s"]):
+                continue
+            (out if is_main(c["s"]) else work).append(c)
+    return out
+
+
+def page_wrapper(root: Node) -> dict:
+    """The wrapper of one page, with its main regions compared with each other."""
+    out = wrapper_of(root)
+    found = [r for r in regions(out) if r["t"]]
+    most = max((r["t"] for r in found), default=0)
+    for r in found:
+        r["n"], r["k"] = 1, int(r["t"] >= 0.2 * most)
+    return out
 
 
 _BOTH = {("1", "1"): "1", ("1", "?"): "?", ("1", "+"): "+", ("1", "*"): "*", ("?", "?"): "?", ("?", "+"): "*", ("?", "*"): "*", ("+", "+"): "+", ("+", "*"): "*", ("*", "*"): "*"}
@@ -141,7 +198,13 @@ def _quantity(a: str, b: str) -> str:
 
 def aligned(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
     """Longest common subsequence of two lists of signs, with the rest of both in order."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    if (whole := _embedded(b, a)) is not None:
+        by = {i: j for j, i in enumerate(whole)}
+        return [(i, by.get(i)) for i in range(len(a))]
+    if (whole := _embedded(a, b)) is not None:
+        by = {j: i for i, j in enumerate(whole)}
+        return [(by.get(j), j) for j in range(len(b))]
+    best = [array("I", bytes(4 * (len(b) + 1))) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
@@ -159,6 +222,18 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
     return out
 
 
+def _embedded(few: list[str], many: list[str]) -> list[int] | None:
+    """Places in ``many`` of all of ``few``, in order, if they are there."""
+    out, at = [], 0
+    for x in few:
+        try:
+            at = many.index(x, at) + 1
+        except ValueError:
+            return None
+        out.append(at - 1)
+    return out
+
+
 def merged(a: dict, b: dict) -> dict:
     """Two groups of one sign as one: a mismatch becomes optional, a repetition stays one."""
     items = []
@@ -172,9 +247,10 @@ def merged(a: dict, b: dict) -> dict:
             items[-1] = merged(items[-1], item) | {"q": "*" if "?" in items[-1]["q"] + item["q"] else "+"}
         else:
             items.append(item)
-    return {"s": a["s"], "q": _quantity(a["q"], b["q"]), "t": a["t"] + b["t"], "l": a["l"] + b["l"], "c": items}
+    return {"s": a["s"], "q": _quantity(a["q"], b["q"]), "t": a["t"] + b["t"], "l": a["l"] + b["l"], "n": a["n"] + b["n"], "k": a["k"] + b["k"], "c": items}
 
 
+@lru_cache(maxsize=1 << 16)
 def is_frame(s: str) -> bool:
     """Is a group of this sign frame, by its tag or its names?"""
     tag, _, name = s.partition(".")
@@ -182,51 +258,65 @@ def is_frame(s: str) -> bool:
         return True
     if not name or tag in ("html", "body", "article", "main"):
         return False
-    return any(w in FRAME_NAMES for x in name.split() for w in (x, *re.split(r"[-_]+", x)))
+    return any(_is_frame_name(x) for x in name.split())
 
 
+@lru_cache(maxsize=1 << 16)
 def is_main(s: str) -> bool:
     tag, _, name = s.partition(".")
-    return tag in ("article", "main") or any(re.sub(r"[-_]", "", x) in MAIN_NAMES for x in name.split())
+    return tag in ("article", "main") or any(_is_main_name(x) for x in name.split())
 
 
-def marked(wrapper: dict) -> dict:
-    """The wrapper with m: True where a group is main text, False where it is frame."""
-    regions: list[dict] = []
+OUT, OPEN, IN = 0, 1, 2
 
-    def find(w: dict) -> None:
-        for c in w["c"]:
-            if c["s"] == "#" or is_frame(c["s"]):
-                continue
-            if is_main(c["s"]):
-                regions.append(c)
-            else:
-                find(c)
 
-    find(wrapper)
-    most = max((r["t"] for r in regions), default=0)
-    chosen = [r for r in regions if r["t"] and r["t"] >= 0.2 * most]
+def marked(wrapper: dict) -> dict:
+    """The wrapper with marks: m by its main regions, a by the share of links, for pages without main regions.
+
+    IN is main text, OUT is frame with all that is inside, OPEN is neither (it may hold main regions).
+    """
+    most = max((r["t"] for r in regions(wrapper)), default=0)
+    chosen = {id(r) for r in regions(wrapper) if r["t"] and r["t"] >= 0.2 * most}
 
-    def mark(w: dict, inside: bool) -> dict:
-        inside = (inside or any(w is r for r in chosen)) and not is_frame(w["s"])
-        if inside and not chosen and w["s"] not in ("#root.", "html.", "body.") and w["t"] and w["l"] > 0.6 * w["t"]:
-            inside = False
-        return w | {"m": inside, "c": [mark(c, inside) for c in w["c"]]}
+    def mark(w: dict, m: int, a: int) -> dict:
+        if is_frame(w["s"]):
+            m = a = OUT
+        elif id(w) in chosen:
+            m = IN
+        if a and w["s"] not in ("#root.", "html.", "body.") and w["t"] and w["l"] > 0.6 * w["t"]:
+            a = OUT
+        return w | {"m": m, "a": a, "c": [mark(c, m, a) for c in w["c"]]}
 
-    return mark(wrapper, not chosen)
+    return mark(wrapper, OPEN, IN)
 
 
 def infer(pages: list[str]) -> dict:
     """The marked wrapper of some pages of a host."""
     out = None
     for p in pages:
-        one = wrapper_of(parse(p))
+        one = page_wrapper(parse(p))
         out = one if out is None else merged(out, one)
     return marked(out)
 
 
-def read(page: str, wrapper: dict) -> str:
-    """Blocks of the page's main text, two line ends between them."""
+def _find(items: list[dict], s: str, at: int) -> int | None:
+    """The next item of a sign, or the first if they come in another order."""
+    for k in (*range(at, len(items)), *range(min(at, len(items)))):
+        if items[k]["s"] == s:
+            return k
+    return None
+
+
+def read(page: str, wrapper: dict | None = None) -> str:
+    """Blocks of the page's main text, two line ends between them; without a wrapper by the page alone."""
+    root = parse(page)
+    one = page_wrapper(root)
+    own = marked(one)
+    mode = "m" if any(r["n"] for r in regions(one)) else "a"
+    return (_read(root, wrapper, own, mode) if wrapper else "") or _read(root, None, own, mode)
+
+
+def _read(root: Node, wrapper: dict | None, own: dict, mode: str) -> str:
     blocks: list[str] = []
     open_: list[str] = []
 
@@ -236,15 +326,15 @@ def read(page: str, wrapper: dict) -> str:
             blocks.append(text)
         open_.clear()
 
-    # an explicit stack: pages may nest deeply. Each entry: node, its group or None, inside main text
-    work: list[tuple] = [(parse(page), wrapper, wrapper["m"])]
+    # an explicit stack: pages may nest deeply. Each entry: node, its groups in both wrappers or None, its mark
+    work: list[tuple] = [(root, wrapper, own, (wrapper or own)[mode])]
     while work:
-        node, group, inside = work.pop()
+        node, group, alone, state = work.pop()
         if node is None:
             end()
             continue
         if isinstance(node, str):
-            if inside:
+            if state == IN:
                 open_.append(node)
             continue
         if node.tag == "br" or node.tag in VOID:
@@ -253,51 +343,156 @@ def read(page: str, wrapper: dict) -> str:
         if block:
             end()
         todo: list[tuple] = []
-        at = 0
-        items = group["c"] if group else []
+        at = [0, 0]
+        items = [g["c"] if g else [] for g in (group, alone)]
+
+        def step(s: str) -> list[dict | None]:
+            out: list[dict | None] = []
+            for w in (0, 1):
+                k = _find(items[w], s, at[w])  # noqa: B023
+                if k is not None and k >= at[w]:  # noqa: B023
+                    at[w] = k  # noqa: B023
+                out.append(None if k is None else items[w][k])  # noqa: B023
+            return out
+
         for child in node.children:
             if isinstance(child, str):
-                todo.append((child, None, inside))
+                if child.strip():
+                    step("#")
+                todo.append((child, None, None, state))
             elif child.tag in INLINE and child.tag != "a":
-                todo.append((child, group, inside and not is_frame(sign(child))))
+                if child.size:
+                    step("#")
+                todo.append((child, group, alone, OUT if is_frame(sign(child)) else state))
             else:
                 s = sign(child)
-                found = next((k for k in range(at, len(items)) if items[k]["s"] == s), None)
-                if found is None:
-                    todo.append((child, None, inside and not is_frame(s)))
+                known, here = step(s)
+                if known is not None:
+                    mark = known[mode]
+                elif state == OUT or is_frame(s):
+                    mark = OUT
+                elif here is not None:
+                    mark = here[mode] if state == OPEN or mode == "a" else IN
                 else:
-                    at = found
-                    todo.append((child, items[found], items[found]["m"]))
+                    mark = IN if state == OPEN and is_main(s) else state
+                todo.append((child, known, here, mark))
         if block:
-            todo.append((None, None, False))
+            todo.append((None, None, None, OUT))
         work.extend(reversed(todo))
     end()
     return "\n\n".join(blocks)
 
 
-@lru_cache(maxsize=4096)
+def flat(wrapper: dict, keys: str) -> str:
+    """Items in order, one a line: depth, values of ``keys``, sign."""
+    out, work = [], [(0, wrapper)]
+    while work:
+        depth, w = work.pop()
+        out.append(f"{depth}\t{''.join(str(w[k]) for k in keys)}\t{w['s']}")
+        work.extend((depth + 1, c) for c in reversed(w["c"]))
+    return "\n".join(out)
+
+
+def numbers(wrapper: dict) -> list[int]:
+    """t, l, n, k of the items in the order of ``flat``."""
+    out, work = [], [wrapper]
+    while work:
+        w = work.pop()
+        out += (w["t"], w["l"], w["n"], w["k"])
+        work.extend(reversed(w["c"]))
+    return out
+
+
+def nested(text: str) -> list[dict]:
+    """Items of ``flat`` in order, the first with all others inside; the values are in v."""
+    out: list[dict] = []
+    path: list[dict] = []
+    for line in text.split("\n"):
+        depth, v, s = line.split("\t")
+        item = {"s": s, "v": v, "c": []}
+        del path[int(depth) :]
+        if path:
+            path[-1]["c"].append(item)
+        path.append(item)
+        out.append(item)
+    return out
+
+
+def of_skeleton(skeleton: str, sums: np.ndarray) -> dict:
+    items = nested(skeleton)
+    for item, (t, l, n, k) in zip(items, sums.reshape(-1, 4).tolist(), strict=True):  # noqa: E741
+        item |= {"q": item.pop("v"), "t": t, "l": l, "n": n, "k": k}
+    return items[0]
+
+
+@lru_cache(maxsize=1024)
 def _wrapper(text: str) -> dict:
-    return json.loads(text)
+    items = nested(text)
+    for item in items:
+        m, a = item.pop("v")
+        item |= {"m": int(m), "a": int(a)}
+    return items[0]
 
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def wrappers(pages: DataFrame, per_host: int = 6) -> DataFrame:
-    """host, wrapper (JSON) of each host, from up to ``per_host`` distinct pages with the lowest hashes."""
-    rows = pages.select(host(F.col("url")).alias("host"), "html").filter("host <> '' and html <> ''").withColumn("key", F.xxhash64("html"))
-    near = F.row_number().over(Window.partitionBy("host", F.pmod("key", F.lit(16))).orderBy("key"))
-    some = rows.withColumn("n", near).filter(F.col("n") <= per_host).dropDuplicates(["host", "key"])
-    some = some.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("key"))).filter(F.col("n") <= per_host)
-    listed = some.groupBy("host").agg(F.collect_list("html").alias("pages"))
+def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, skeleton, sums of the distinct skeletons of a batch of host, html."""
+    for b in batches:
+        known: dict[tuple[str, str], np.ndarray] = {}
+        for h, page in zip(b["host"].to_pylist(), b["html"].to_pylist(), strict=True):
+            w = page_wrapper(parse(page))
+            key, sums = (h, flat(w, "q")), np.array(numbers(w), np.int64)
+            known[key] = known[key] + sums if key in known else sums
+        yield _rows([k[0] for k in known], [k[1] for k in known], list(known.values()))
+
+
+def _rows(hosts: list[str], texts: list[str], sums: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(sums, pa.list_(pa.int64()))], names=["host", "skeleton", "sums"])
+
+
+def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, dict]]:
+    """One wrapper for each run of rows with equal host and part, whose equal skeletons follow each other."""
+    run, skeleton, sums, out = None, None, None, None
+
+    def put() -> dict:
+        one = of_skeleton(skeleton, sums)
+        return one if out is None else merged(out, one)
+
+    for b in batches:
+        for h, part, s, v in zip(b["host"].to_pylist(), b["part"].to_pylist(), b["skeleton"].to_pylist(), b["sums"], strict=True):
+            more = v.values.to_numpy(zero_copy_only=False)
+            if run == (h, part) and skeleton == s:
+                sums = sums + more
+                continue
+            if run is not None:
+                out = put()
+                if run != (h, part):
+                    yield run[0], out
+                    out = None
+            run, skeleton, sums = (h, part), s, more
+    if run is not None:
+        yield run[0], put()
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, wrapper of each host, from all its pages."""
+    rows = pages.select(host(F.col("url")).alias("host"), "html").filter("host <> '' and html <> ''")
+    schema = "host string, skeleton string, sums array<bigint>"
+
+    def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, w in fitted(batches):
+            yield _rows([h], [flat(w, "q")], [np.array(numbers(w), np.int64)])
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [json.dumps(infer(sorted(p.as_py())), separators=(",", ":")) for p in b["pages"]]
-            yield pa.RecordBatch.from_arrays([b["host"], pa.array(made)], names=["host", "wrapper"])
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, w in fitted(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([flat(marked(w), "ma")])], names=["host", "wrapper"])
 
-    return materialize(listed.mapInArrow(fit, "host string, wrapper string"), "wrappers")
+    seen = rows.mapInArrow(skeletons, schema).withColumn("part", F.pmod(F.xxhash64("skeleton"), F.lit(PARTS)))
+    parts = seen.repartition("host", "part").sortWithinPartitions("host", "part", "skeleton").mapInArrow(partly, schema).withColumn("part", F.lit(0).cast("long"))
+    return materialize(parts.repartition("host").sortWithinPartitions("host", "skeleton").mapInArrow(whole, "host string, wrapper string"), "wrappers")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -308,7 +503,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     def extract(source: pa.Array, wrapper: pa.Array) -> pa.Array:
         out = []
         for h, w in zip(source.to_pylist(), wrapper.to_pylist(), strict=True):
-            out.append(read(h, _wrapper(w) if w else infer([h])) if h else "")
+            out.append(read(h, _wrapper(w) if w else None) if h else "")
         return pa.array(out, pa.string())
 
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(known, "host", "left")
