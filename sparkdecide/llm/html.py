@@ -6,7 +6,9 @@ neighbours become a repeated group, what only one side has becomes optional, and
 become slots, which remember how much text and how much of it in links they have seen.
 In the finished wrapper the groups are marked as main text or as frame (menus, headers,
 footers, sidebars, notices, adverts, forms, comments), by their tags and names, by the
-article or main groups, and by the share of links on pages without any.
+article or main groups, and by the share of links on pages without any. An article or
+main group is main text if on at least half of the pages that have it, it has a fifth
+or more of the text of the page's largest one.
 
 Wrappers are fitted on all pages of a host: pages with one skeleton (tags, names and
 quantities) are summed up first, and each skeleton is merged once. Pages are then read
@@ -275,8 +277,7 @@ def marked(wrapper: dict) -> dict:
 
     IN is main text, OUT is frame with all that is inside, OPEN is neither (it may hold main regions).
     """
-    most = max((r["t"] for r in regions(wrapper)), default=0)
-    chosen = {id(r) for r in regions(wrapper) if r["t"] and r["t"] >= 0.2 * most}
+    chosen = {id(r) for r in regions(wrapper) if r["n"] and 2 * r["k"] >= r["n"]}
 
     def mark(w: dict, m: int, a: int) -> dict:
         if is_frame(w["s"]):

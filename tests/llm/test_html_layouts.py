@@ -27,5 +27,12 @@ def test_op6_html_main_text_unknown_to_the_wrapper():
     assert html.read("<body><nav><main>no</main></nav><article>y</article>", known) == "y"
 
 
+def test_op6_html_main_text_compares_regions_on_each_page(spark):
+    pages = [f"<body>{MENU}<article><p>{'long ' * 200}{k}</article>" for k in range(5)]
+    pages += [f"<body>{MENU}<main><p>short</main>", f"<body>{MENU}<div class=entry>short too</div>"]
+    assert texts(spark, pages)[5:] == ["short", "short too"]
+    assert texts(spark, [p.replace("</article>", "</article><div class=entry>see</div>") for p in pages[:5]])[0].endswith("long 0")
+
+
 def test_op6_html_main_text_deep_pages(spark):
     assert texts(spark, ["<div>" * 3000 + "deep" + "</div>" * 3000]) == ["deep"]
