@@ -1,12 +1,14 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become templates: numbers, capitalised names and units after numbers are replaced
-by typed placeholders, all other words are lower-cased. Windows of SIZE template tokens
-(an item with fewer is one window) are hash-joined between documents and benchmark items.
-Matches of one document, item and alignment are put together, and the values in their
-slots are compared: a value of the item must stand for the same value of the document
-wherever it occurs. Enough matching windows with consistent slots are a leak, verbatim
-if all slots have the item's values and re-parameterised if not.
+by typed placeholders, all other words are lower-cased. A numeral with separators or
+decimals, a compound number word and a run of names are one placeholder each. Windows of
+SIZE template tokens (an item with fewer is one window) are hash-joined between documents
+and benchmark items. Matches of one document and item are put together, of one alignment
+and of alignments near each other, and the values in their slots are compared: a value of
+the item must stand for the same value of the document wherever it occurs. Enough matching
+windows, or enough of the item's tokens covered by them, with consistent slots are a leak,
+verbatim if all slots have the item's values and re-parameterised if not.
 
 Each window is taken in two forms: with placeholders for names, and with names as
 lower-case words, which finds copies in other case.
@@ -26,19 +28,23 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .texts import bounded_batches, chunks, encoded, joined, mixed, powers
 
 SIZE, LEAST = 10, 5
+#: Least part of an item's tokens that matching windows cover, where they are fewer than the share asked for.
+COVERED = 0.8
 #: Least share of a window's tokens that are words and not placeholders.
 WORDS = 0.4
 BITS = 23
 # Number words, and units that may follow a number.
-NUMBERS = "one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
-UNITS = "mm cm m km inch inches foot feet yard yards mile miles g kg mg gram grams ounce ounces pound pounds ton tons ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees mph kmh".split()
+NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion dozen".split()
+SCALES = "hundred thousand million billion trillion dozen".split()
+AND = ["and"]
+UNITS = "mm millimeter millimeters millimetre millimetres cm centimeter centimeters centimetre centimetres m meter meters metre metres km kilometer kilometers kilometre kilometres inch inches foot feet ft yard yards yd mile miles mi mg milligram milligrams g gram grams kg kilogram kilograms oz ounce ounces lb lbs pound pounds ton tons tonne tonnes ml milliliter milliliters millilitre millilitres l liter liters litre litres pint pints quart quarts cup cups gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years decade decades century centuries dollar dollars cent cents euro euros penny pennies percent degree degrees celsius fahrenheit mph kmh kph acre acres hectare hectares watt watts volt volts byte bytes kb mb gb".split()
 
 _BYTE = np.random.default_rng(909).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xA0761D6478BD642F
@@ -47,12 +53,14 @@ _CLASS, _LOWER = np.zeros(256, np.int8), np.arange(256, dtype=np.uint8)
 _CLASS[48:58] = 1
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 2
 _LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
 NUMBER, NAME, UNIT = (np.uint64(k) for k in (1, 2, 3))
 
 
 class Template:
-    """Tokens of some texts: bytes, begins, ends, the text each is in, and its code (a placeholder or a word's
-    hash) in each form: names as placeholders, names as words."""
+    """Tokens of some texts in each form (names as placeholders, names as words): bytes, begins, ends, the text
+    each is in, and its code, a placeholder or a word's hash."""
 
     def __init__(self, texts: list[bytes]):
         self.bytes, self.starts = joined(texts, b"", b" ")
@@ -62,39 +70,59 @@ class Template:
         at = np.flatnonzero(edge)
         end = np.append(at[1:], len(b))
         token = kind[at] > 0
-        self.begin, self.end = at[token], end[token]
-        first = kind[self.begin]
+        begin, end = at[token], end[token]
+        first = kind[begin]
         total = np.zeros(len(b) + 1, np.uint64)
-        low = _LOWER[b]
+        self.low = low = _LOWER[b]
         latin = (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E) & (b[1:] != 0x97)
         low[1:][latin] += 32
         np.cumsum(_BYTE[low] * powers(len(b), _BASE), out=total[1:])
-        code = mixed((total[self.end] - total[self.begin]) * powers(len(b) + 1, _INVERSE)[self.begin])
-        head = b[self.begin]
-        second = b[np.minimum(self.begin + 1, len(b) - 1)]
+        code = mixed((total[end] - total[begin]) * powers(len(b) + 1, _INVERSE)[begin])
+        head = b[begin]
+        second = b[np.minimum(begin + 1, len(b) - 1)]
         # an upper-case letter of ASCII or of Latin-1, whose first byte in UTF-8 is 0xC3
         name = (first == 2) & (((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E)))
-        number = (first == 1) | _among(code, NUMBERS)
+        spelt, digits, scale, joint = _among(code, NUMBERS), first == 1, _among(code, SCALES), _among(code, AND)
+        text = np.searchsorted(self.starts, begin, side="right") - 1
+        # what stands between a token and the one before it
+        ink = np.concatenate([[0], np.cumsum(~_SPACE[b])])
+        gap, sign = begin[1:] - end[:-1], b[np.minimum(end[:-1], len(b) - 1)]
+        same = text[1:] == text[:-1]
+        near = same & ((ink[begin[1:]] == ink[end[:-1]]) | ((gap == 1) & (sign == 45)))
+        part = same & digits[1:] & digits[:-1] & (gap == 1) & ((sign == 46) | ((sign == 44) & (end[1:] - begin[1:] == 3)))
+        word = near & spelt[1:] & (spelt[:-1] | (digits[:-1] & scale[1:]))
+        follows = np.zeros(len(begin), bool)
+        follows[1:] = part | word
+        both = near[:-1] & near[1:] & scale[:-2] & joint[1:-1] & spelt[2:]  # "hundred and five"
+        follows[1:-1] |= both
+        follows[2:] |= both
+        number = digits | spelt | (follows & joint)
+        begin, end, (code, number, name, text) = _run(follows, begin, end, code, number, name, text)
         unit = _among(code, UNITS)
-        unit[1:] &= number[:-1]
+        unit[1:] &= number[:-1] & (text[1:] == text[:-1])
         unit[:1] = False
         code[number] = NUMBER
         code[unit] = UNIT
-        self.codes = [np.where(name & ~number & ~unit, NAME, code), code]
+        name &= ~number & ~unit
+        follows = np.zeros(len(begin), bool)
+        follows[1:] = name[1:] & name[:-1] & (text[1:] == text[:-1])
+        follows[1:] &= (ink[begin[1:]] == ink[end[:-1]]) | ((begin[1:] - end[:-1] == 1) & (b[np.minimum(end[:-1], len(b) - 1)] == 45))
+        first_form = _run(follows, begin, end, np.where(name, NAME, code), text)
+        self.begins, self.ends = [first_form[0], begin], [first_form[1], end]
+        self.codes, self.texts = [first_form[2][0], code], [first_form[2][1], text]
         self.words = [c > UNIT for c in self.codes]
-        self.text = np.searchsorted(self.starts, self.begin, side="right") - 1
 
     def windows(self, size: int, form: int) -> tuple[np.ndarray, np.ndarray]:
         """First tokens and hashes of the windows of ``size`` tokens that lie in one text and have words enough."""
-        code, word = self.codes[form], self.words[form]
+        code, word, text = self.codes[form], self.words[form], self.texts[form]
         n = len(code)
         if n < size:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(mixed(code + np.uint64(0x9E37)) * powers(n, _BASE), out=total[1:])
-        h = mixed((total[size:] - total[:-size]) * powers(n - size + 1, _INVERSE) + np.uint64(2 * size + form))
+        h = mixed((total[size:] - total[:-size]) * powers(n - size + 1, _INVERSE) + np.uint64(4 * size + form))
         words = np.concatenate([[0], np.cumsum(word)])
-        good = (self.text[size - 1 :] == self.text[: n - size + 1]) & (words[size:] - words[:-size] >= WORDS * size)
+        good = (text[size - 1 :] == text[: n - size + 1]) & (words[size:] - words[:-size] >= WORDS * size)
         at = np.flatnonzero(good)
         return at, h[at]
 
@@ -103,11 +131,18 @@ class Template:
         out = []
         for k in range(at, at + size):
             if not self.words[form][k]:
-                value = self.bytes[self.begin[k] : self.end[k]].tobytes().decode("utf-8", "replace").lower()
-                out.append(f"{int(self.codes[form][k])}:{value}")
+                value = self.bytes[self.begins[form][k] : self.ends[form][k]].tobytes().decode("utf-8", "replace").lower()
+                out.append(f"{int(self.codes[form][k])}:{' '.join(value.split())}")
         return out
 
 
+def _run(follows: np.ndarray, begin: np.ndarray, end: np.ndarray, *columns: np.ndarray) -> tuple:
+    """Begins, ends and columns of the tokens, each with those that follow it as one, with the first one's columns."""
+    at = np.flatnonzero(~follows)
+    last = np.append(at[1:], len(follows)) - 1 if len(at) else at
+    return begin[at], end[last], tuple(c[at] for c in columns)
+
+
 def _hashes(words: list[str]) -> np.ndarray:
     out = []
     for w in words:
@@ -138,17 +173,18 @@ def _window_rows(sizes: list[int] | None, bitmap: bytes | None):
             texts, ids, rows = encoded(b["text"]), b["id"].to_pylist(), b["row"].to_pylist()
             for i, j in chunks(texts):
                 t = Template(texts[i:j])
-                count = np.bincount(t.text, minlength=j - i) if len(t.text) else np.zeros(j - i, np.int64)
+                counts = [np.bincount(x, minlength=j - i) for x in t.texts]
                 out: dict[str, list] = {k: [] for k in ("id", "row", "form", "at", "size", "hash", "slots", "tokens")}
-                first = np.searchsorted(t.text, np.arange(j - i))
+                firsts = [np.searchsorted(x, np.arange(j - i)) for x in t.texts]
                 for size, form in product(sizes if sizes is not None else range(LEAST, SIZE + 1), (0, 1)):
                     at, h = t.windows(size, form)
+                    text, count, first = t.texts[form], counts[form], firsts[form]
                     if bits is not None:
                         hit = bits[(h >> np.uint64(64 - BITS)).astype(np.int64)]
                     else:
-                        hit = (count[t.text[at]] == size) | (size == SIZE) & (count[t.text[at]] > SIZE)
+                        hit = (count[text[at]] == size) | (size == SIZE) & (count[text[at]] > SIZE)
                     for p, x in zip(at[hit].tolist(), h[hit].view(np.int64).tolist(), strict=True):
-                        k = int(t.text[p])
+                        k = int(text[p])
                         out["id"].append(ids[i + k])
                         out["row"].append(rows[i + k])
                         out["form"].append(form)
@@ -167,8 +203,8 @@ def _window_rows(sizes: list[int] | None, bitmap: bytes | None):
 def leaks(documents: DataFrame, benchmark: DataFrame, share: float = 0.5, consistent: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, item_id, matched, share, slots, changed, kind: the leaks found.
 
-    share: least part of an item's windows that one alignment matches. consistent: least
-    part of its slots that agree with the most frequent reading of their value. ``row``
+    share: least part of an item's windows that one alignment matches, or several near each
+    other do. consistent: least part of its slots that agree with the most frequent reading of their value. ``row``
     is the document's place in the scan.
     """
     bounded_batches(documents.sparkSession)
@@ -181,21 +217,33 @@ def leaks(documents: DataFrame, benchmark: DataFrame, share: float = 0.5, consis
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     found = docs.mapInArrow(_window_rows(sizes, np.packbits(bits).tobytes()), WINDOW_DDL)
     per_item = known.groupBy("row", "form").agg(F.count("*").alias("windows"))
-    i = known.join(per_item, ["row", "form"]).select(F.col("id").alias("item_id"), F.col("row").alias("item"), F.col("at").alias("item_at"), "form", "hash", F.col("slots").alias("item_slots"), "windows")
+    i = known.join(per_item, ["row", "form"]).select(F.col("id").alias("item_id"), F.col("row").alias("item"), F.col("at").alias("item_at"), "form", "hash", F.col("slots").alias("item_slots"), "windows", "size", "tokens")
     d = found.select(F.col("id").alias("doc_id"), "row", "at", "hash", "slots")
     pairs = d.join(i, "hash").filter(F.size("slots") == F.size("item_slots"))
     pairs = pairs.withColumn("shift", F.col("at") - F.col("item_at"))
-    side = ["row", "doc_id", "item_id", "item", "shift", "form"]
-    pairs = materialize(pairs.select(*side, "item_at", "windows", "slots", "item_slots"), "matches")
-    whole = pairs.groupBy(*side).agg(F.countDistinct("item_at").alias("matched"), F.first("windows").alias("windows"))
+    both = ["row", "doc_id", "item_id", "item", "form"]
+    pairs = materialize(pairs.select(*both, "shift", "item_at", "windows", "size", "tokens", "slots", "item_slots"), "matches")
+    # alignments belong together if no more lies between them than the item is long
+    shifts = pairs.select("row", "item", "form", "shift", "tokens").distinct()
+    in_order = Window.partitionBy("row", "item", "form").orderBy("shift")
+    cut = F.coalesce(F.col("shift") - F.lag("shift").over(in_order) > F.greatest("tokens", F.lit(SIZE)), F.lit(False)).cast("int")
+    chains = shifts.withColumn("cut", cut).withColumn("chain", F.sum("cut").over(in_order))
+    several = chains.groupBy("row", "item", "form", "chain").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    chained = pairs.join(chains.join(several, ["row", "item", "form", "chain"]).select("row", "item", "form", "shift", F.col("chain").cast("long").alias("run")), ["row", "item", "form", "shift"])
+    side = [*both, "single", "run"]
+    pairs = pairs.withColumns({"single": F.lit(True), "run": F.col("shift").cast("long")}).unionByName(chained.withColumn("single", F.lit(False)))
+    whole = pairs.groupBy(*side).agg(F.array_sort(F.collect_set("item_at")).alias("a"), F.first("windows").alias("windows"), F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+    covered = F.expr("size + aggregate(zip_with(slice(a, 2, size(a)), slice(a, 1, size(a) - 1), (y, x) -> y - x), 0, (s, g) -> s + least(g, size))")
+    whole = whole.select(*side, F.size("a").cast("long").alias("matched"), "windows", (covered / F.col("tokens")).alias("covered"))
     slot = pairs.select(*side, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*side, F.col("s.item_slots").alias("said"), F.col("s.slots").alias("reads"))
     reading = slot.groupBy(*side, "said", "reads").agg(F.count("*").alias("n"))
     by_value = reading.groupBy(*side, "said").agg(F.sum("n").alias("n"), F.max("n").alias("usual"), F.sum(F.when(F.col("said") != F.col("reads"), F.col("n")).otherwise(0)).alias("changed"))
     by_pair = by_value.groupBy(*side).agg(F.sum("n").alias("slots"), F.sum("usual").alias("usual"), F.sum("changed").alias("changed"))
-    judged = whole.join(by_pair.drop("doc_id", "item_id"), ["row", "item", "shift", "form"], "left").fillna(0, ["slots", "usual", "changed"])
-    leak = (F.col("matched") >= share * F.col("windows")) & (F.col("usual") >= consistent * F.col("slots"))
-    best = judged.filter(leak).groupBy("row", "doc_id", "item_id", "item").agg(F.max(F.struct("matched", F.col("windows"), "slots", F.negate("changed").alias("same"))).alias("b"))
+    judged = whole.join(by_pair.drop("doc_id", "item_id"), ["row", "item", "form", "single", "run"], "left").fillna(0, ["slots", "usual", "changed"])
+    leak = ((F.col("matched") >= share * F.col("windows")) | (F.col("covered") >= COVERED)) & (F.col("usual") >= consistent * F.col("slots"))
+    most = F.struct((F.col("matched") / F.col("windows")).alias("share"), "matched", "windows", "single", "slots", F.negate("changed").alias("same"))
+    best = judged.filter(leak).groupBy("row", "doc_id", "item_id", "item").agg(F.max(most).alias("b"))
     return best.select(
-        "row", "doc_id", "item_id", F.col("b.matched").alias("matched"), (F.col("b.matched") / F.col("b.windows")).alias("share"), F.col("b.slots").alias("slots"),
+        "row", "doc_id", "item_id", F.col("b.matched").alias("matched"), F.col("b.share").alias("share"), F.col("b.slots").alias("slots"),
         (-F.col("b.same")).alias("changed"), F.when(F.col("b.same") == 0, "verbatim").otherwise("re-parameterised").alias("kind"),
     )
