@@ -11,20 +11,26 @@ windows, or enough of the item's tokens covered by them, with consistent slots a
 verbatim if all slots have the item's values and re-parameterised if not.
 
 Each window is taken in two forms: with placeholders for names, and with names as
-lower-case words, which finds copies in other case.
+lower-case words, which finds copies in other case. Items that have no window in these
+forms (short ones, and those of numbers mostly) are taken literally: windows of their
+lower-cased tokens, numbers as they are. Items in a script without spaces, and those
+without any token, are taken as windows of RUN bytes (a shorter one is one window) of
+the text in lower case without white space. Literal windows have no slots. A very short
+item so matches wherever it stands.
 
 Only windows whose hash is in a bitmap of the benchmark's hashes leave the scan. The
 bitmap has a fixed size, so it is sent to all tasks whatever the benchmark's size.
 
-Defined results: null and empty texts and items under LEAST tokens match nothing.
+Defined results: null texts and texts of white space match nothing; every other item
+has a window.
 Repeated documents are found each; null ids match as ids of their own. An empty
 document or benchmark table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +41,10 @@ from ..storage import materialize
 from .texts import bounded_batches, chunks, encoded, joined, mixed, powers
 
 SIZE, LEAST = 10, 5
+#: Bytes of a window of the last form.
+RUN = 30
+#: Forms: names as placeholders, names as words, literal tokens, bytes.
+NAMES, LOWER, LITERAL, BYTES = range(4)
 #: Least part of an item's tokens that matching windows cover, where they are fewer than the share asked for.
 COVERED = 0.8
 #: Least share of a window's tokens that are words and not placeholders.
@@ -53,16 +63,18 @@ _CLASS, _LOWER = np.zeros(256, np.int8), np.arange(256, dtype=np.uint8)
 _CLASS[48:58] = 1
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 2
 _LOWER[65:91] += 32
+#: Scripts that are written without spaces between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 NUMBER, NAME, UNIT = (np.uint64(k) for k in (1, 2, 3))
 
 
 class Template:
-    """Tokens of some texts in each form (names as placeholders, names as words): bytes, begins, ends, the text
-    each is in, and its code, a placeholder or a word's hash."""
+    """Tokens of some texts in each form (bytes, in the last): bytes, begins, ends, the text each is in, and its
+    code, a placeholder or a word's hash."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], by_bytes: bool = True):
         self.bytes, self.starts = joined(texts, b"", b" ")
         b = self.bytes
         kind = _CLASS[b]
@@ -82,8 +94,9 @@ class Template:
         second = b[np.minimum(begin + 1, len(b) - 1)]
         # an upper-case letter of ASCII or of Latin-1, whose first byte in UTF-8 is 0xC3
         name = (first == 2) & (((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E)))
+        literal = code.copy(), begin, end
         spelt, digits, scale, joint = _among(code, NUMBERS), first == 1, _among(code, SCALES), _among(code, AND)
-        text = np.searchsorted(self.starts, begin, side="right") - 1
+        text = every = np.searchsorted(self.starts, begin, side="right") - 1
         # what stands between a token and the one before it
         ink = np.concatenate([[0], np.cumsum(~_SPACE[b])])
         gap, sign = begin[1:] - end[:-1], b[np.minimum(end[:-1], len(b) - 1)]
@@ -108,9 +121,11 @@ class Template:
         follows[1:] = name[1:] & name[:-1] & (text[1:] == text[:-1])
         follows[1:] &= (ink[begin[1:]] == ink[end[:-1]]) | ((begin[1:] - end[:-1] == 1) & (b[np.minimum(end[:-1], len(b) - 1)] == 45))
         first_form = _run(follows, begin, end, np.where(name, NAME, code), text)
-        self.begins, self.ends = [first_form[0], begin], [first_form[1], end]
-        self.codes, self.texts = [first_form[2][0], code], [first_form[2][1], text]
-        self.words = [c > UNIT for c in self.codes]
+        dark = np.flatnonzero(~_SPACE[b]) if by_bytes else np.zeros(0, np.int64)
+        self.begins, self.ends = [first_form[0], begin, literal[1], dark], [first_form[1], end, literal[2], dark + 1]
+        self.codes = [first_form[2][0], code, literal[0], _BYTE[low[dark]]]
+        self.texts = [first_form[2][1], text, every, np.searchsorted(self.starts, dark, side="right") - 1]
+        self.words = [c > UNIT if form < LITERAL else np.ones(len(c), bool) for form, c in enumerate(self.codes)]
 
     def windows(self, size: int, form: int) -> tuple[np.ndarray, np.ndarray]:
         """First tokens and hashes of the windows of ``size`` tokens that lie in one text and have words enough."""
@@ -164,25 +179,39 @@ def _among(code: np.ndarray, words: list[str]) -> np.ndarray:
 WINDOW_DDL = "id bigint, row bigint, form int, at int, size int, hash bigint, slots array<string>, tokens int"
 
 
-def _window_rows(sizes: list[int] | None, bitmap: bytes | None):
-    """Windows of documents (of ``sizes``, if the bitmap has their hash) or of items (sizes None: SIZE, or all of a short one)."""
+def _all_sizes() -> list[tuple[int, int]]:
+    template = [(size, form) for form in (NAMES, LOWER) for size in range(LEAST, SIZE + 1)]
+    return template + [(size, LITERAL) for size in range(1, SIZE + 1)] + [(size, BYTES) for size in range(1, RUN + 1)]
+
+
+def _window_rows(sizes: list[tuple[int, int]] | None, bitmap: bytes | None):
+    """Windows of documents (of ``sizes`` and forms, if the bitmap has their hash) or of items (sizes None: SIZE, or all of a short one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(bitmap, np.uint8)).view(bool) if bitmap is not None else None
         for b in batches:
             texts, ids, rows = encoded(b["text"]), b["id"].to_pylist(), b["row"].to_pylist()
             for i, j in chunks(texts):
-                t = Template(texts[i:j])
+                t = Template(texts[i:j], bits is None or any(form == BYTES for _, form in sizes))
                 counts = [np.bincount(x, minlength=j - i) for x in t.texts]
                 out: dict[str, list] = {k: [] for k in ("id", "row", "form", "at", "size", "hash", "slots", "tokens")}
                 firsts = [np.searchsorted(x, np.arange(j - i)) for x in t.texts]
-                for size, form in product(sizes if sizes is not None else range(LEAST, SIZE + 1), (0, 1)):
+                seen = np.zeros((4, j - i), bool)  # items that have a window in this form or an earlier one
+                unspaced = np.array([bool(_UNSPACED.search(x.decode("utf-8", "replace"))) for x in texts[i:j]]) if bits is None else None
+                for size, form in sizes if sizes is not None else _all_sizes():
                     at, h = t.windows(size, form)
                     text, count, first = t.texts[form], counts[form], firsts[form]
                     if bits is not None:
                         hit = bits[(h >> np.uint64(64 - BITS)).astype(np.int64)]
                     else:
-                        hit = (count[text[at]] == size) | (size == SIZE) & (count[text[at]] > SIZE)
+                        most = RUN if form == BYTES else SIZE
+                        hit = (count[text[at]] == size) | (size == most) & (count[text[at]] > most)
+                        if form == LITERAL:
+                            hit &= ~seen[LOWER][text[at]]
+                        elif form == BYTES:
+                            hit &= (unspaced | ~seen[LITERAL])[text[at]]
+                        for k in range(form, 4):
+                            seen[k][text[at[hit]]] = True
                     for p, x in zip(at[hit].tolist(), h[hit].view(np.int64).tolist(), strict=True):
                         k = int(text[p])
                         out["id"].append(ids[i + k])
@@ -191,7 +220,7 @@ def _window_rows(sizes: list[int] | None, bitmap: bytes | None):
                         out["at"].append(p - int(first[k]))
                         out["size"].append(size)
                         out["hash"].append(x)
-                        out["slots"].append(t.slots(p, size, form))
+                        out["slots"].append(t.slots(p, size, form) if form < LITERAL else [])
                         out["tokens"].append(int(count[k]))
                 if out["id"]:
                     types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.int32())
@@ -213,7 +242,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, share: float = 0.5, consis
     bits = np.zeros(1 << BITS, bool)
     places = known.select(F.shiftrightunsigned("hash", 64 - BITS).alias("bit")).distinct().collect()  # 2**BITS at most
     bits[[r[0] for r in places]] = True
-    sizes = sorted(r[0] for r in known.select("size").distinct().collect())  # SIZE - LEAST + 1 at most
+    sizes = sorted((r[0], r[1]) for r in known.select("size", "form").distinct().collect())  # those of _all_sizes at most
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     found = docs.mapInArrow(_window_rows(sizes, np.packbits(bits).tobytes()), WINDOW_DDL)
     per_item = known.groupBy("row", "form").agg(F.count("*").alias("windows"))

@@ -27,3 +27,9 @@ def test_op7_decontaminate_knows_all_number_words_and_units(spark):
     item = "she ran two meters and then three more before the bell rang"
     texts = [f"she ran {n} {u} and then {m} more before the bell rang" for n, m, u in (("thirteen", "zero", "kilograms"), ("ninety", "billion", "meters"), ("sixty", "nineteen", "pints"))]
     assert {k: v.kind for k, v in leak_rows(spark, texts, (item,)).items()} == dict.fromkeys(range(3), "re-parameterised")
+
+
+def test_op7_decontaminate_finds_every_item_verbatim(spark):
+    items = ("What is 12 + 7 * 3 - 4?", "12 * 7 = 84", "小明有十二个苹果,他给了小红五个苹果,请问他还剩下几个苹果?", "今天天气好", "?!?!", "cat Zürich", None, " \n")
+    texts = [f"so now we are asked {items[0]} and then some", "3 + 4, 12*7=84, 5", f"问题:{items[2]}答案", "昨天说今天天气好吗", "what ?!?!", "my CAT zürich", "What is 13 + 7 * 3 - 4?", "今天天气坏", "cat", ""]
+    assert {k: v.item_id for k, v in leak_rows(spark, texts, items).items()} == dict(enumerate(range(6)))
