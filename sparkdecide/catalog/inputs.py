@@ -55,6 +55,11 @@ def params(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def reference_params(spark: SparkSession, sf: str) -> DataFrame:
+    """The parameters with the reference's discount and threshold, under which loops run to convergence."""
+    return params(spark, sf).withColumns({"gamma": F.lit(0.95), "theta": F.lit(1e-4)})
+
+
 def states(spark: SparkSession, sf: str) -> DataFrame:
     return state_grid(params(spark, sf))
 

@@ -22,6 +22,12 @@ def _model(s, d):
     return P.Model(I.params(s, d).join(I.pmf(s, d).select("item").distinct(), "item"), I.pmf(s, d))
 
 
+def _whole_model(s, d):
+    """The model with the reference's discount and threshold."""
+    pmf = I.pmf(s, d)
+    return P.Model(I.reference_params(s, d).join(pmf.select("item").distinct(), "item"), pmf)
+
+
 def _swept(s, d, k):
     """The model and values after k sweeps."""
     m = _model(s, d)
@@ -64,6 +70,16 @@ def _evaluated(s, d):
     return P.policy_evaluation(m, _raise_to_four(m.states), max_sweeps=3)[0]
 
 
+def _evaluated_whole(s, d):
+    m = _whole_model(s, d)
+    return P.policy_evaluation(m, _raise_to_four(m.states), max_sweeps=1000)[0]
+
+
+def _iterated(s, d):
+    m = _whole_model(s, d)
+    return P.policy_iteration(m, _raise_to_four(m.states))
+
+
 def _known_states(s, d):
     """Stock levels that an item has in fact held; far apart for rare items."""
     return I.history(s, d).select("item", (F.col("d") * 3 - 4).alias("x")).distinct()
@@ -92,10 +108,12 @@ QUERIES = {
     "w8_sliding_best": lambda s, d: rounded(V.sliding_best_action(V.expected_cost(I.states(s, d).select("item", F.col("x").alias("y")), I.pmf(s, d), I.params(s, d)).select("item", "y", F.col("cost").alias("g")), 3), "best"),
     "m1_q_values": lambda s, d: (lambda m, v: rounded(m.q_values(v), "q"))(*_swept(s, d, 1)),
     "m2_bellman_backup": lambda s, d: rounded(_swept(s, d, 3)[1], "value"),
-    "m3_value_iteration": lambda s, d: rounded(P.value_iteration(_model(s, d), SWEEPS)[0], "value", places=5),
-    "m4_policy_evaluation": lambda s, d: rounded(_evaluated(s, d), "value"),
+    "m3_value_iteration": lambda s, d: rounded(P.value_iteration(_whole_model(s, d))[0], "value", places=5),
+    "m3_twelve_sweeps": lambda s, d: rounded(P.value_iteration(_model(s, d), SWEEPS)[0], "value", places=5),
+    "m4_policy_evaluation": lambda s, d: rounded(_evaluated_whole(s, d), "value"),
+    "m4_three_sweeps": lambda s, d: rounded(_evaluated(s, d), "value"),
     "m5_policy_improvement": lambda s, d: (lambda m, v: P.policy_improvement(m, v, _raise_to_four(m.states))[0])(*_swept(s, d, 2)),
-    "m6_policy_iteration": lambda s, d: rounded(P.policy_iteration(_model(s, d), _raise_to_four(_model(s, d).states), max_iter=6, max_sweeps=12), "value", places=4),
+    "m6_policy_iteration": lambda s, d: rounded(_iterated(s, d), "value", places=4),
     "c1_compare_policies": lambda s, d: rounded(M.compare_policies(_start_policy(s, d), _swept(s, d, 2)[1]), "pct_agree"),
     "c2_value_error": lambda s, d: rounded(M.value_error(_swept(s, d, 2)[1], _swept(s, d, 3)[1]), "max_error", "mean_error"),
     "c3_base_stock_report": lambda s, d: M.base_stock_report(M.method_union({"start": _start_policy(s, d), "swept": _swept(s, d, 3)[1].select("item", "x", "y")}), _levels(s, d)),
@@ -147,8 +165,8 @@ ORACLES = {
     "w8_sliding_best": f"WITH {PARAMS}, g AS (SELECT s.item, s.x AS y, sum(p * (h * greatest(0, s.x - d) + b * greatest(0, d - s.x))) AS g FROM states s JOIN pmf USING (item) JOIN params USING (item) GROUP BY s.item, s.x) SELECT a.item, a.y, round(b.g, 6) + 0.0 AS best, b.y AS arg FROM g a JOIN g b ON a.item = b.item AND b.y BETWEEN a.y AND a.y + 3 QUALIFY row_number() OVER (PARTITION BY a.item, a.y ORDER BY round(b.g, 9) DESC, b.y) = 1",
     "m1_q_values": f"WITH {PARAMS}{MODEL}{sweep(1)}{sweep(2)} SELECT s.item, s.x, g.y, round(g.c * s.x + g.g, 6) + 0.0 AS q FROM states s JOIN g2 g ON g.item = s.item AND g.y BETWEEN s.x AND s.x + 10",
     "m2_bellman_backup": f"WITH {PARAMS}{MODEL}{sweep(1)}{sweep(2)}{sweep(3)} SELECT item, x, round(value, 6) + 0.0 AS value, y FROM v3",
-    "m3_value_iteration": f"WITH {PARAMS}{MODEL}{_ALL}{_STOP}, vs AS ({_V}) SELECT v.item, v.x, round(v.value, 5) + 0.0 AS value, v.y, s.sweeps, s.converged FROM vs v JOIN stops s ON v.item = s.item AND v.sweep = s.sweeps",
-    "m4_policy_evaluation": f"WITH {PARAMS}{MODEL}{_evaluation()} SELECT e.item, e.x, round(e.value, 6) + 0.0 AS value, k AS sweeps, k < 3 OR (SELECT delta FROM ed3 WHERE ed3.item = e.item) < 0.01 AS converged FROM (SELECT *, 1 AS k FROM e1 UNION ALL SELECT *, 2 FROM e2 UNION ALL SELECT *, 3 FROM e3) e JOIN (SELECT a.item, CASE WHEN a.delta < 0.01 THEN 1 WHEN b.delta < 0.01 THEN 2 ELSE 3 END AS stop FROM ed1 a JOIN ed2 b USING (item)) s ON s.item = e.item AND s.stop = e.k",
+    "m3_twelve_sweeps": f"WITH {PARAMS}{MODEL}{_ALL}{_STOP}, vs AS ({_V}) SELECT v.item, v.x, round(v.value, 5) + 0.0 AS value, v.y, s.sweeps, s.converged FROM vs v JOIN stops s ON v.item = s.item AND v.sweep = s.sweeps",
+    "m4_three_sweeps": f"WITH {PARAMS}{MODEL}{_evaluation()} SELECT e.item, e.x, round(e.value, 6) + 0.0 AS value, k AS sweeps, k < 3 OR (SELECT delta FROM ed3 WHERE ed3.item = e.item) < 0.01 AS converged FROM (SELECT *, 1 AS k FROM e1 UNION ALL SELECT *, 2 FROM e2 UNION ALL SELECT *, 3 FROM e3) e JOIN (SELECT a.item, CASE WHEN a.delta < 0.01 THEN 1 WHEN b.delta < 0.01 THEN 2 ELSE 3 END AS stop FROM ed1 a JOIN ed2 b USING (item)) s ON s.item = e.item AND s.stop = e.k",
     "m5_policy_improvement": f"WITH {PARAMS}{MODEL}{sweep(1)}{sweep(2)}{sweep(3)} SELECT item, x, y FROM v3",
     "c1_compare_policies": f"WITH {PARAMS}{MODEL}{_ENDS}{sweep(1)}{sweep(2)} SELECT a.item, count(*) AS states, CAST(sum(CASE WHEN a.y = b.y THEN 1 ELSE 0 END) AS BIGINT) AS agree, round(100.0::DOUBLE * sum(CASE WHEN a.y = b.y THEN 1 ELSE 0 END) / count(*), 6) + 0.0 AS pct_agree FROM start a JOIN v2 b USING (item, x) GROUP BY a.item",
     "c2_value_error": f"WITH {PARAMS}{MODEL}{sweep(1)}{sweep(2)}{sweep(3)} SELECT a.item, round(max(abs(a.value - b.value)), 6) + 0.0 AS max_error, round(avg(abs(a.value - b.value)), 6) + 0.0 AS mean_error FROM v2 a JOIN v3 b USING (item, x) GROUP BY a.item",

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import learning_rate, terminal_value
-from ..plans import bellman as P
 from ..plans import episodes as E
 from ..plans import qlearning as Q
 from . import inputs as I
@@ -33,10 +32,8 @@ def _returns(s, d, **how):
 
 
 def _trace(s, d):
-    pmf = I.pmf(s, d)
-    params = I.params(s, d).join(pmf.select("item").distinct(), "item")
-    m = P.Model(params, pmf)
-    return rounded(E.trace_policy_iteration(m, I.history(s, d), N._raise_to_four(m.states), terminal_value, 0.47, 10, 2), "value", places=4)
+    m = N._whole_model(s, d)
+    return rounded(E.trace_policy_iteration(m, I.history(s, d), N._raise_to_four(m.states), terminal_value, max_iter=15), "value", places=4)
 
 
 def _policy_backtest(s, d):

@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import bandit as B
 from ..sources.tables import write_results
-from ..storage import new_path
+from ..storage import materialize, new_path
 from ..streaming import bandit as S
 from . import bandit as Q
 from . import inputs as I
@@ -23,6 +24,15 @@ def _stream(spark: SparkSession, rows: DataFrame, files: int = 4) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def _stream_in_order(spark: SparkSession, rows: DataFrame, files: int = 4) -> DataFrame:
+    """As _stream, with the files written one after the other, as a stream takes them by their age."""
+    path = new_path(spark, "stream")
+    cut = materialize(rows.repartitionByRange(files, rows.columns[0]).withColumn("_file", F.spark_partition_id()), "ordered")
+    for k in range(files):
+        cut.filter(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _last(spark: SparkSession, out: DataFrame) -> DataFrame:
     """The table that a complete-mode aggregation has when its source is used up."""
     path = new_path(spark, "state")
@@ -45,10 +55,10 @@ def _assigned(s, d):
 
 
 def _q_learning(s, d):
-    """Pairs and counts after the stream; q depends on the order of arrival."""
+    """Pairs, q and counts after the stream, which takes the episodes in order."""
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path = new_path(s, "q")
-    rows = _stream(s, I.transitions(s, d).select("episode_id", "item", "t", "x", "y", "reward", "x_next"))
+    rows = _stream_in_order(s, I.transitions(s, d).select("episode_id", "item", "t", "x", "y", "reward", "x_next"))
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -56,7 +66,8 @@ def _q_learning(s, d):
     w = S.stream_q_learning(rows, 6, gamma=L.GAMMA).writeStream.outputMode("update").foreachBatch(put)
     w.option("checkpointLocation", new_path(s, "offsets")).trigger(availableNow=True).start().awaitTermination()
     rows = s.read.parquet(path)
-    return rows.groupBy("item", "x", "y").agg({"n": "max"}).withColumnRenamed("max(n)", "n")
+    last = rows.groupBy("item", "x", "y").agg(F.max(F.struct("n", "q")).alias("last"))
+    return last.select("item", "x", "y", F.col("last.q").alias("q"), F.col("last.n").alias("n"))
 
 
 def _written(s, d):
@@ -69,7 +80,8 @@ QUERIES = {
     "r1_stream_arm_stats": lambda s, d: rounded(_last(s, S.stream_arm_stats(_stream(s, I.log(s, d)))), "q"),
     "r2_stream_beta_posterior": lambda s, d: _last(s, S.stream_beta_posterior(_stream(s, I.log(s, d)))),
     "r3_stream_assign": _assigned,
-    "r4_stream_q_learning": _q_learning,
+    "r4_stream_q_learning": lambda s, d: rounded(_q_learning(s, d), "q"),
+    "r4_stream_visit_counts": lambda s, d: _q_learning(s, d).drop("q"),
     "r5_stream_regret": lambda s, d: rounded(_last(s, S.stream_regret(_stream(s, I.log(s, d)), I.arm_probs(s, d))), "regret", "pct_optimal"),
     "s9_write_results": _written,
 }
@@ -78,7 +90,7 @@ ORACLES = {
     "r1_stream_arm_stats": f"WITH {LOG} SELECT context, arm, count(*) AS n, round(avg(reward), 6) + 0.0 AS q FROM log GROUP BY context, arm",
     "r2_stream_beta_posterior": f"WITH {LOG} SELECT context, arm, 1.0::DOUBLE + sum(reward) AS alpha, 1.0::DOUBLE + sum(1 - reward) AS beta FROM log GROUP BY context, arm",
     "r3_stream_assign": Q.ORACLES["b1_epsilon_greedy"],
-    "r4_stream_q_learning": f"WITH {I.EPISODES} SELECT item, x, y, count(*) AS n FROM transitions GROUP BY ALL",
+    "r4_stream_visit_counts": f"WITH {I.EPISODES} SELECT item, x, y, count(*) AS n FROM transitions GROUP BY ALL",
     "r5_stream_regret": f"WITH {LOG}{PROBS}{RUNS} SELECT alg, count(*) AS steps, round(sum(regret), 6) + 0.0 AS regret, CAST(sum(reward) AS BIGINT) AS reward, round(100 * avg(optimal), 6) + 0.0 AS pct_optimal FROM truth GROUP BY alg",
     "s9_write_results": f"WITH {LOG}, g AS (SELECT c.run, a.arm FROM (SELECT DISTINCT run FROM log) c CROSS JOIN (SELECT DISTINCT arm FROM log) a) SELECT g.run, g.arm, count(l.reward) AS n, round(coalesce(avg(l.reward), 0.0), 6) + 0.0 AS q FROM g LEFT JOIN log l ON l.run = g.run AND l.arm = g.arm GROUP BY g.run, g.arm",
 }
