@@ -1,13 +1,13 @@
-"""Near-duplicate documents by MinHash and an LSH forest, confirmed on full shingle sets.
+"""Near-duplicate documents by MinHash and bands of the signature, confirmed on full shingle sets.
 
 A document's set is the distinct hashes of its word shingles. Documents with equal
-sets are one class from the start. Each class has HASHES minimum hashes; the forest
-holds ORDERS sorted orders of the signatures, each beginning at another place. Rows
-of an order that share a prefix of DEPTH values are a region. Inside a region, rows
-are compared with their neighbours in sorted order, which are those with the longest
-common prefix: all of a small region, and a block with deeper common prefixes where
-a region is crowded. Pairs whose signatures agree well enough tie classes together
-loosely; a crowded region ties all its rows, so nothing is lost between its blocks.
+sets are one class from the start. Each class has HASHES minimum hashes, in ORDERS
+orders, each beginning at another place. Rows of an order with equal hashes of its first
+DEPTH values are a region: this is banding with a fixed depth, and common prefixes
+beyond it are not computed. All rows of a small region are compared, those of a
+crowded one in sorted blocks. Pairs whose signatures agree well enough tie classes
+together loosely; a crowded region ties all its rows, so nothing is lost between its
+blocks, and the exact confirmation resolves what is tied too much.
 
 Each loose group is then confirmed exactly: texts of a group meet once, and all pairs
 are decided on the full sets. A group above BLOCK documents is first confirmed in
