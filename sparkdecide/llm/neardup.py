@@ -280,7 +280,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, id_col: str = "doc_id"
     rest = named.join(mixed_regions.hint("merge"), "region").select("region", "o", "crowded", "doc_id")
     more = _loose(rest, classes, parts)
     both = more.unionByName(tied.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    loose = materialize(components(both).filter("node >= 0").select(F.col("node").alias("doc_id"), F.col("component").alias("group")), "groups")
+    # regions go; one whose node is also a doc_id only ties groups together that are then confirmed exactly
+    loose = components(both).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+    loose = materialize(loose.join(classes.select("doc_id").hint("merge"), "doc_id", "left_semi"), "groups")
 
     sized = loose.join(loose.groupBy("group").agg(F.count("*").alias("n")), "group")
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(sized.hint("merge"), "doc_id")
