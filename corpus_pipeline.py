@@ -21,10 +21,12 @@ REPEATED_BYTES = 250
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is identified; others go."""
+    """Keeps documents whose language is identified; others go. Raises ValueError if there are documents but no labelled one."""
     labelled = docs.filter("lang is not null and text is not null")
     if labelled.isEmpty():
-        return docs.limit(0)
+        if docs.isEmpty():
+            return docs
+        raise ValueError("no labelled texts to learn languages from")
     bounded_batches(spark)
     model = langid.fit(labelled)
     return docs.withColumn("_p", langid.prediction(F.col("text"), model)).filter("not _p.rejected").drop("_p")
