@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folder of each table that ``materialize`` wrote and that is still in use.
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
@@ -23,7 +27,7 @@ def scratch_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-scratch-"))
     return sc.getCheckpointDir().rstrip("/")
@@ -38,7 +42,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once all that is made of them is written; other DataFrames are left alone."""
+    for t in tables:
+        if path := _WRITTEN.pop(t, None):
+            jvm = t.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def replaced(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """``new``, made of ``old``, written in its place."""
+    out = materialize(new, name)
+    remove(old)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
