@@ -1,18 +1,24 @@
-"""Near-duplicate documents by MinHash and bands of the signature, confirmed on full shingle sets.
+"""Near-duplicate documents by an LSH forest of MinHash signatures, confirmed on full shingle sets.
 
 A document's set is the distinct hashes of its word shingles. Documents with equal
-sets are one class from the start. Each class has HASHES minimum hashes, in ORDERS
-orders, each beginning at another place. Rows of an order with equal hashes of its first
-DEPTH values are a region: this is banding with a fixed depth, and common prefixes
-beyond it are not computed. All rows of a small region are compared, those of a
-crowded one in sorted blocks. Pairs whose signatures agree well enough tie classes
-together loosely; a crowded region ties all its rows, so nothing is lost between its
-blocks, and the exact confirmation resolves what is tied too much.
-
-Each loose group is then confirmed exactly: texts of a group meet once, and all pairs
-are decided on the full sets. A group above BLOCK documents is first confirmed in
-sorted blocks, and then whatever is outside its largest component is compared with
-all of the group, block by block. No group, region or candidate is capped.
+sets are one class from the start. Each class has HASHES minimum hashes, read in ORDERS
+sorted orders, each beginning at another place. Rows of an order whose common prefix has
+DEPTH values or more are a region. The rows of a region are candidates of each other if
+there are at most NEAR; a crowded region goes on to longer prefixes, each part as deep as
+it has to be to hold NEAR rows, and neighbours in the sorted order, which have the
+longest common prefixes, are candidates across the parts. Signatures of candidates are
+compared, and those that agree in AGREE values tie their classes.
+
+What crowded regions leave open is settled without a cap. Once all orders are through,
+only rows outside the largest tied group of their region are open; they are compared with
+all rows of the region, block by block. A crowded region with more than MANY open rows is
+keyed again by the first DEPTH values of every other order, so that its parts are DEPTH
+values deeper, and treated like the first regions, DEEPER times at most.
+
+Each tied group is then confirmed exactly: texts of a group meet once, and all pairs
+are decided on the full sets. A group above BLOCK documents or BLOCK_BYTES bytes is first
+confirmed in sorted blocks, and then whatever is outside its largest component is compared
+with all of the group, block by block. No group, region or candidate is capped.
 
 Two documents with similarity 0.8 share a region with probability
 1 - (1 - 0.8**DEPTH)**ORDERS, above 0.9999999, and pass the signature threshold with
@@ -30,10 +36,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, remove
 from .components import components
 from .texts import bounded_batches, chunks, encoded, joined, mixed, powers
 
@@ -41,10 +47,14 @@ ORDERS, DEPTH = 32, 4
 HASHES = ORDERS * DEPTH
 #: Agreeing values, of HASHES, from which two signatures are candidates: five standard deviations below similarity 0.8.
 AGREE = 80
-#: Rows of a region that are all compared; documents whose sets meet in one task.
-NEAR, BLOCK = 256, 512
+#: Rows of a region that are all compared; rows of a crowded one that a task holds, and how many two such chunks share.
+NEAR, CHUNK, SHARED = 256, 2048, 64
+#: Documents, and bytes of their texts, whose sets meet in one task.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
+#: Open rows of a crowded region that are compared with all its rows; how often a region with more is keyed again.
+MANY, DEEPER = 16384, 2
 #: Orders that are gone through first.
-FIRST = 6
+FIRST = 4
 _RNG = np.random.default_rng(2024)
 _XOR = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TIMES = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,7 +118,7 @@ def region_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def forest_rows(documents: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set_key, keys, sig of each row; written once."""
+    """doc_id, n_shingles, n_bytes, set_key, keys, sig of each row; written once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,32 +130,48 @@ def forest_rows(documents: DataFrame, words: int, id_col: str, text_col: str) ->
                     [
                         b["doc_id"].slice(i, j - i),
                         pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([len(t) for t in texts[i:j]], pa.int64()),
                         pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([None if g is None else region_keys(g) for g in sigs], pa.list_(pa.int64())),
                         pa.array([None if g is None else g.astype(np.uint8).tobytes() for g in sigs], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "keys", "sig"],
+                    names=["doc_id", "n_shingles", "n_bytes", "set_key", "keys", "sig"],
                 )
 
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return materialize(docs.mapInArrow(rows, "doc_id bigint, n_shingles bigint, set_key binary, keys array<bigint>, sig binary"), "signatures")
+    return materialize(docs.mapInArrow(rows, "doc_id bigint, n_shingles bigint, n_bytes bigint, set_key binary, keys array<bigint>, sig binary"), "signatures")
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None, overlap: int = 0) -> Iterator[pa.Table]:
-    """Consecutive rows with equal ``key``; runs above ``most`` rows in blocks that share ``overlap`` rows."""
+    """Consecutive rows with equal ``key``; runs above ``most`` rows, or with a column ``n_bytes`` BLOCK_BYTES bytes, in
+    blocks that share ``overlap`` rows, or a quarter of a block that is bounded by its bytes."""
     held: pa.Table | None = None
 
+    def blocks(t: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table]:
+        out = []
+        while t.num_rows:
+            n, share = min(most, t.num_rows), overlap
+            if "n_bytes" in t.column_names:
+                fit = int(np.searchsorted(np.cumsum(t["n_bytes"].slice(0, n).to_numpy()), BLOCK_BYTES, side="right"))
+                if fit < n:
+                    n = max(2, fit)
+                    share = min(overlap, n // 4)
+            if n >= t.num_rows:
+                break
+            out.append(t.slice(0, n))
+            t = t.slice(n - max(1, share))
+        return ([*out, t], t.slice(t.num_rows)) if last else (out, t)
+
     def parts(t: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table | None]:
         ids = t[key].to_numpy()
         edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), t.num_rows]
         out = []
         for i, j in zip(edges[:-1], edges[1:], strict=True):
-            while most and j - i > most:
-                out.append(t.slice(i, most))
-                i += most - overlap
-            if j == t.num_rows and not last:
-                return out, t.slice(i)
-            out.append(t.slice(i, j - i))
+            ends = last or j < t.num_rows
+            done, rest = blocks(t.slice(i, j - i), ends) if most else ([t.slice(i, j - i)] if ends else [], t.slice(i, j - i))
+            out += done
+            if not ends:
+                return out, rest
         return out, None
 
     for b in batches:
@@ -159,30 +185,85 @@ def groups(batches: Iterator[pa.RecordBatch], key: str, most: int | None = None,
         yield from parts(held, True)[0]
 
 
-def loose_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For sorted rows of region, place, doc_id, sig, crowded: a spanning forest of the candidate pairs of each block."""
-    for g in groups(batches, "region", NEAR, NEAR // 4):
-        ids = g["doc_id"].to_numpy()
-        sig = np.frombuffer(b"".join(g["sig"].to_pylist()), np.uint8).reshape(len(ids), HASHES)
-        left, a, b = np.arange(len(ids)), [], []
-        while len(left) > 1:  # grow one tree, then the next from what it didn't reach
-            tree, rest = left[:1], left[1:]
-            while len(tree) and len(rest):
-                best = np.zeros(len(rest), np.int64)
-                by = np.zeros(len(rest), np.int64)
-                for t in tree:
-                    n = (sig[rest] == sig[t]).sum(axis=1)
-                    by[n > best], best = t, np.maximum(n, best)
-                met = best >= AGREE
-                a += ids[rest[met]].tolist()
-                b += ids[by[met]].tolist()
-                tree, rest = rest[met], rest[~met]
-            left = rest
-        if g["crowded"][0].as_py():
-            a += ids.tolist()
-            b += [-(abs(int(g["region"][0].as_py())) % (1 << 62)) - 2] * len(ids)  # a node for the region
+def prefix_parts(places: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of sorted rows (a value a column) with at most ``most`` rows and a common prefix, each as short as that allows.
+
+    Rows with equal values stay in ranges of ``most``.
+    """
+    differs = places[1:] != places[:-1]
+    common = np.where(differs.any(axis=1), differs.argmax(axis=1), places.shape[1])  # with the row before
+    out, todo = [], [(0, len(places), 0)]
+    while todo:
+        i, j, depth = todo.pop()
+        if j - i <= most:
+            out.append((i, j))
+        elif depth == places.shape[1]:
+            out += [(k, min(k + most, j)) for k in range(i, j, most)]
+        else:
+            edges = [i, *(np.flatnonzero(common[i : j - 1] <= depth) + i + 1).tolist(), j]
+            todo += [(x, y, depth + 1) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+    return sorted(out)
+
+
+EDGES = "a bigint, b bigint"
+
+
+def edge_batch(a: np.ndarray | list[int], b: np.ndarray | list[int]) -> pa.RecordBatch:
+    """Distinct ties between different names."""
+    both = np.unique(np.stack([np.asarray(a, np.int64), np.asarray(b, np.int64)], 1), axis=0)
+    both = both[both[:, 0] != both[:, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+
+def agreeing(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the rows that agree in AGREE values."""
+    left, a, b = np.arange(len(sig)), [], []
+    while len(left) > 1:  # grow one tree, then the next from what it didn't reach
+        tree, rest = left[:1], left[1:]
+        while len(tree) and len(rest):
+            met, by = np.zeros(len(rest), bool), np.zeros(len(rest), np.int64)
+            for t in tree:
+                new = ((sig[rest] == sig[t]).sum(axis=1) >= AGREE) & ~met
+                by[new] = t
+                met |= new
+            a.append(rest[met])
+            b.append(by[met])
+            tree, rest = rest[met], rest[~met]
+        left = rest
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def _signatures(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    names = g["name"].to_numpy()
+    return names, np.frombuffer(b"".join(g["sig"].to_pylist()), np.uint8).reshape(len(names), HASHES)
+
+
+def region_ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For sorted rows of region, place, name, sig: names tied in each region."""
+    for g in groups(batches, "region", CHUNK, SHARED):
+        names, sig = _signatures(g)
+        if len(names) <= NEAR:
+            ends = [agreeing(sig)]
+        else:
+            places = np.frombuffer(b"".join(g["place"].to_pylist()), np.uint8).reshape(len(names), -1)
+            ends = [(x + i, y + i) for i, j in prefix_parts(places, NEAR) for x, y in [agreeing(sig[i:j])]]
+            next_to = np.flatnonzero((sig[1:] == sig[:-1]).sum(axis=1) >= AGREE)
+            ends.append((next_to, next_to + 1))
+        yield edge_batch(names[np.concatenate([x for x, _ in ends])], names[np.concatenate([y for _, y in ends])])
+
+
+def open_ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows of run, query, name, sig by run: names that a query row of the run is tied to."""
+    for g in groups(batches, "run"):
+        names, sig = _signatures(g)
+        a, b = [], []
+        for q in np.flatnonzero(g["query"].to_numpy()):
+            met = np.unique(names[(sig == sig[q]).sum(axis=1) >= AGREE])
+            a.append(np.full(len(met), names[q]))
+            b.append(met)
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield edge_batch(np.concatenate(a), np.concatenate(b))
 
 
 def linked(sets: list[np.ndarray], rows: np.ndarray | None = None, share: int = 80) -> np.ndarray:
@@ -209,29 +290,13 @@ def linked(sets: list[np.ndarray], rows: np.ndarray | None = None, share: int =
     return (100 * both >= share * union) & (both > 0)
 
 
-def stars(link: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> tuple[list[int], list[int]]:
-    """A spanning forest of a table of links as pairs of ids; of all pairs: each id with the lowest it is connected with."""
+def stars(link: np.ndarray, names: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of a table of all links: each name with the lowest it is connected with."""
     a, b = [], []
-    if rows is not None:
-        root = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for r, c in zip(*np.nonzero(link), strict=True):
-            x, y = find(int(rows[r])), find(int(c))
-            if x != y:
-                root[x] = y
-                a.append(int(ids[rows[r]]))
-                b.append(int(ids[c]))
-        return a, b
-    left = np.ones(len(ids), bool)
+    left = np.ones(len(names), bool)
     while left.any():
         start = int(np.argmax(left))
-        seen = np.zeros(len(ids), bool)
+        seen = np.zeros(len(names), bool)
         seen[start] = True
         fresh = np.array([start])
         while len(fresh):
@@ -239,99 +304,175 @@ def stars(link: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) ->
             fresh = np.flatnonzero(reach)
             seen |= reach
         left &= ~seen
-        a += ids[seen].tolist()
-        b += [int(ids[seen].min())] * int(seen.sum())
+        a += names[seen].tolist()
+        b += [int(names[seen].min())] * int(seen.sum())
     return a, b
 
 
-def _confirm(words: int, key: str, most: int | None, overlap: int):
+def _confirm(words: int, key: str, most: int | None = None, overlap: int = 0):
+    """Ties between names of sorted rows with equal ``key`` by their full sets; with a column ``query`` of its rows with all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, key, most, overlap):
-            if g.num_rows < 2:
-                continue
-            ids = g["doc_id"].to_numpy()
             rows = np.flatnonzero(g["query"].to_numpy()) if "query" in g.column_names else None
-            if rows is not None and not len(rows):
+            if g.num_rows < 2 or (rows is not None and not len(rows)):
                 continue
-            texts = encoded(g["text"])
+            names, texts = g["name"].to_numpy(), encoded(g["text"])
             sets = [s for i, j in chunks(texts) for s in shingle_sets(texts[i:j], words)]
-            a, b = stars(linked(sets, rows), ids, rows)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            link = linked(sets, rows)
+            if rows is None:
+                a, b = stars(link, names)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            else:
+                x, y = np.nonzero(link)
+                yield edge_batch(names[rows[x]], names[y])
 
     return run
 
 
+def _salt(n: str, seed: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
+
+
+def _cells(rows: DataFrame, key: str, *kept: str) -> DataFrame:
+    """run, query, doc_id and ``kept``: rows of a key in ``blocks`` parts, query rows in ``queries`` parts, each part with each."""
+    as_row = rows.select(key, "doc_id", *kept, _salt("blocks", 1).alias("b"), F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("q"), F.lit(False).alias("query"))
+    as_query = rows.filter("query").select(key, "doc_id", *kept, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), _salt("queries", 2).alias("q"), F.lit(True).alias("query"))
+    return as_row.unionByName(as_query).select(F.xxhash64(key, "b", "q").alias("run"), "query", "doc_id", *kept)
+
+
+def _parts(of: Column, size: int) -> Column:
+    return F.ceil(of / size).cast("int")
+
+
 def near_duplicates(documents: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (lowest doc_id reachable over links), kept (doc_id is component_id)."""
     bounded_batches(documents.sparkSession)
-    spark = documents.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     all_rows = forest_rows(documents, words, id_col, text_col)
-    first = all_rows.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "keys", "sig")).alias("r"))
-    classes = materialize(first.select("set_key", "r.doc_id", "r.keys", "r.sig"), "classes")
-
-    keyed = classes.select("doc_id", F.posexplode("keys").alias("o", "region"))
-    several = keyed.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1")
-    met = materialize(keyed.join(several.hint("merge"), "region").select("region", "o", (F.col("n") > NEAR).alias("crowded"), "doc_id"), "regions")
-    # some orders tie most of what belongs together; of the others only regions matter that hold several groups by then
-    tied = components(_loose(met.filter(F.col("o") < FIRST), classes, parts))
-    named = met.filter(F.col("o") >= FIRST).join(tied.hint("merge"), F.col("doc_id") == F.col("node"), "left").withColumn("t", F.coalesce("component", "doc_id"))
-    mixed_regions = named.groupBy("region").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("region")
-    rest = named.join(mixed_regions.hint("merge"), "region").select("region", "o", "crowded", "doc_id")
-    more = _loose(rest, classes, parts)
-    both = more.unionByName(tied.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    # regions go; one whose node is also a doc_id only ties groups together that are then confirmed exactly
-    loose = components(both).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
-    loose = materialize(loose.join(classes.select("doc_id").hint("merge"), "doc_id", "left_semi"), "groups")
-
-    sized = loose.join(loose.groupBy("group").agg(F.count("*").alias("n")), "group")
-    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(sized.hint("merge"), "doc_id")
-    texts = materialize(texts, "texts")
-    small = texts.filter(F.col("n") <= BLOCK).select("group", "doc_id", "text").repartition(parts, "group").sortWithinPartitions("group")
-    # all of a small group met in one task, so its answer is final
-    found = small.mapInArrow(_confirm(words, "group", None, 0), "a bigint, b bigint").select(F.col("a").alias("node"), F.col("b").alias("component"))
-    large = texts.filter(F.col("n") > BLOCK).select("group", "n", "doc_id", "text")
-    if not large.isEmpty():
-        found = found.unionByName(components(_confirm_large(large, classes, words, parts)))
-    found = found.groupBy("node").agg(F.min("component").alias("component"))
-    return (
+    first = all_rows.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_bytes", "keys", "sig")).alias("r"))
+    classes = materialize(first.select("set_key", "r.*"), "classes")
+    group = materialize(_tied(classes), "groups")
+    found = _confirmed(documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), group, classes, words)
+    out = materialize(
         all_rows.select("doc_id", "n_shingles", "set_key")
         .join(classes.select("set_key", F.col("doc_id").alias("first")).hint("merge"), "set_key", "left")
         .join(found.select(F.col("node").alias("first"), "component").hint("merge"), "first", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "first", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))),
+        "near",
     )
+    remove(all_rows, classes, group, found)
+    return out
+
 
+def _tied(classes: DataFrame) -> DataFrame:
+    """doc_id, group of the classes that are tied to others."""
+    keyed = classes.select("doc_id", F.posexplode("keys").alias("o", "region"))
+    several = keyed.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1")
+    met = materialize(keyed.join(several.hint("merge"), "region").select("region", "o", "n", "doc_id"), "regions")
+    # some orders tie most of what belongs together; of the others only regions matter that hold several groups by then
+    tied = components(_ties(met.filter(F.col("o") < FIRST).withColumn("name", F.col("doc_id")), classes))
+    group = tied.select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+    later = _named(met.filter(F.col("o") >= FIRST), group)
+    group = _joined(group, _ties(_mixed_regions(later), classes))
+    crowded = met.filter(F.col("n") > NEAR)
+    if not crowded.isEmpty():
+        more = _open(_named(crowded, group).select("region", F.array("o").alias("orders"), "doc_id", "name"), classes, DEEPER)
+        if more is not None:
+            group = _joined(group, more)
+    remove(met)
+    return group
+
+
+def _named(rows: DataFrame, group: DataFrame) -> DataFrame:
+    """``rows`` with ``name``: the group of their doc_id, or itself."""
+    return rows.join(group.hint("merge"), "doc_id", "left").withColumn("name", F.coalesce("group", "doc_id")).drop("group")
+
+
+def _mixed_regions(rows: DataFrame) -> DataFrame:
+    """Rows of the regions that hold several names."""
+    mixed_ = rows.groupBy("region").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo <> hi").select("region")
+    return rows.join(mixed_.hint("merge"), "region")
+
+
+def _joined(group: DataFrame, ties: DataFrame) -> DataFrame:
+    """doc_id, group once groups are tied to each other and to documents that had none."""
+    more = components(ties)
+    renamed = group.join(more.select(F.col("node").alias("group"), "component").hint("merge"), "group", "left").select("doc_id", F.coalesce("component", "group").alias("group"))
+    new = more.join(group.select(F.col("group").alias("node")).distinct().hint("merge"), "node", "left_anti").select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+    out = materialize(renamed.unionByName(new), "groups")
+    remove(group, more)
+    return out
 
-def _loose(regions: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
-    """Edges a, b between documents (and nodes of crowded regions) that some order brings together."""
+
+def _ties(regions: DataFrame, classes: DataFrame) -> DataFrame:
+    """Ties a, b between names that the sorted orders bring together; regions: region, o, doc_id, name."""
     place = F.substring(F.concat(F.expr(f"substring(sig, int(o * {DEPTH}) + {DEPTH + 1}, {HASHES})"), F.expr(f"substring(sig, 1, int(o * {DEPTH}))")), 1, 24)
-    rows = regions.join(classes.select("doc_id", "sig").hint("merge"), "doc_id").select("region", "crowded", place.alias("place"), "doc_id", "sig")
-    ordered = rows.repartitionByRange(parts, "region", "place").sortWithinPartitions("region", "place")
-    return ordered.mapInArrow(loose_edges, "a bigint, b bigint")
+    rows = regions.join(classes.select("doc_id", "sig").hint("merge"), "doc_id").select("region", place.alias("place"), "name", "sig")
+    return rows.repartitionByRange("region", "place").sortWithinPartitions("region", "place").mapInArrow(region_ties, EDGES)
+
+
+def _open(rows: DataFrame, classes: DataFrame, deeper: int) -> DataFrame | None:
+    """Ties between names of crowded regions: all that rows outside a region's most frequent name have in their region.
+
+    rows: region, orders (that made the region), doc_id, name.
+    """
+    sizes = rows.groupBy("region", "name").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("region").agg(F.sum("c").alias("n"), F.max(F.struct("c", "name")).alias("main")).filter("n > main.c")
+    still = rows.join(main, "region").select("region", "orders", "doc_id", "name", "n", (F.col("n") - F.col("main.c")).alias("open"), (F.col("name") != F.col("main.name")).alias("query"))
+    still = materialize(still, "open")
+    if still.isEmpty():
+        return None
+    many = F.col("open") > MANY if deeper else F.lit(False)
+    cut = still.filter(~many).withColumns({"blocks": _parts(F.col("n"), BLOCK), "queries": _parts(F.col("open"), BLOCK)})
+    met = _cells(cut, "region", "name").join(classes.select("doc_id", "sig").hint("merge"), "doc_id").select("run", "query", "name", "sig")
+    out = met.repartition("run").sortWithinPartitions("run").mapInArrow(open_ties, EDGES)
+    again = still.filter(many)
+    if not deeper or again.isEmpty():
+        return out
+    keyed = again.join(classes.select("doc_id", F.posexplode("keys").alias("o", "key")).hint("merge"), "doc_id").filter("not array_contains(orders, o)")
+    keyed = keyed.select(F.xxhash64("region", "key").alias("region"), F.array_append("orders", F.col("o")).alias("orders"), "o", "doc_id", "name")
+    finer = materialize(_mixed_regions(keyed), "regions")
+    ties = materialize(_ties(finer, classes), "ties")
+    merged = components(ties).select(F.col("node").alias("name"), "component")
+    left = finer.join(merged.hint("merge"), "name", "left").withColumn("name", F.coalesce("component", "name")).select("region", "orders", "doc_id", "name")
+    crowded = left.join(left.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > NEAR).select("region"), "region")
+    out = out.unionByName(ties)
+    rest = _open(crowded, classes, deeper - 1)
+    return out if rest is None else out.unionByName(rest)
+
+
+def _confirmed(texts: DataFrame, group: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """node, component of documents that are linked with others, decided on full sets within each group."""
+    sized = group.join(classes.select("doc_id", "n_bytes").hint("merge"), "doc_id")
+    sized = sized.join(sized.groupBy("group").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).filter("n > 1"), "group")
+    sized = sized.withColumn("blocks", F.greatest(_parts(F.col("n"), BLOCK), _parts(F.col("bytes"), BLOCK_BYTES)))
+    texts = materialize(texts.join(sized.hint("merge"), "doc_id"), "texts")
+    small = texts.filter("blocks = 1").select("group", F.col("doc_id").alias("name"), "text").repartition("group").sortWithinPartitions("group")
+    # all of a small group met in one task, so its answer is final
+    found = small.mapInArrow(_confirm(words, "group"), EDGES).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    large = texts.filter("blocks > 1").drop("bytes")
+    if not large.isEmpty():
+        found = found.unionByName(_confirmed_large(large, classes, words))
+    out = materialize(found.groupBy("node").agg(F.min("component").alias("component")), "linked")
+    remove(texts)
+    return out
 
 
-def _confirm_large(large: DataFrame, classes: DataFrame, words: int, parts: int) -> DataFrame:
-    """Links of groups above BLOCK documents: in sorted blocks of three orders, then all that is outside the
+def _confirmed_large(large: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """node, component of groups of several blocks: in sorted blocks of three orders, then all that is outside the
     largest component of a group with all of the group, block by block."""
     sig = classes.select("doc_id", F.expr("transform(array(0, 40, 80), k -> concat(substring(sig, k + 1, 40), substring(sig, 1, k)))").alias("places"))
-    rows = large.join(sig, "doc_id").select("group", "doc_id", "text", F.posexplode("places").alias("o", "place"))
-    rows = rows.select(F.xxhash64("group", "o").alias("run"), F.substring("place", 1, 24).alias("place"), "doc_id", "text")
-    ordered = rows.repartitionByRange(parts, "run", "place").sortWithinPartitions("run", "place")
-    links = materialize(ordered.mapInArrow(_confirm(words, "run", BLOCK // 2, BLOCK // 16), "a bigint, b bigint"), "links")
-    known = components(links)
-    named = large.select("group", "n", "doc_id").join(known, F.col("doc_id") == F.col("node"), "left").select("group", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    named = materialize(named, "named")
-    sizes = named.groupBy("group", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("group").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("c"))
-    rest = named.join(main, "group").filter("n > c")
-    cut = rest.select(
-        "doc_id", "group", (F.col("component") != F.col("main")).alias("query"),
-        F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("c")) / BLOCK).cast("int").alias("queries"),
-    )
-    salt = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
-    as_row = cut.select("doc_id", "group", salt("blocks", 1).alias("b"), F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("q"), F.lit(False).alias("query"))
-    as_query = cut.filter("query").select("doc_id", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), salt("queries", 2).alias("q"), F.lit(True).alias("query"))
-    places = as_row.unionByName(as_query).select("doc_id", "query", F.xxhash64("group", "b", "q").alias("run"))
-    met = large.select("doc_id", "text").join(places, "doc_id").repartition(parts, "run").sortWithinPartitions("run")
-    return links.unionByName(met.mapInArrow(_confirm(words, "run", None, 0), "a bigint, b bigint"))
+    rows = large.join(sig, "doc_id").select("group", "doc_id", "n_bytes", "text", F.posexplode("places").alias("o", "place"))
+    rows = rows.select(F.xxhash64("group", "o").alias("run"), F.substring("place", 1, 24).alias("place"), F.col("doc_id").alias("name"), "n_bytes", "text")
+    ordered = rows.repartitionByRange("run", "place").sortWithinPartitions("run", "place")
+    known = components(ordered.mapInArrow(_confirm(words, "run", BLOCK // 2, BLOCK // 16), EDGES))
+    known = known.select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+    named = materialize(_named(large.select(F.col("group").alias("of"), "n", "n_bytes", "blocks", "doc_id"), known), "named")
+    sizes = named.groupBy("of", "name").agg(F.count("*").alias("c"), F.sum("n_bytes").alias("bytes"))
+    main = sizes.groupBy("of").agg(F.max(F.struct("c", "name", "bytes")).alias("main"), F.sum("bytes").alias("all_bytes"))
+    rest = named.join(main, "of").filter("n > main.c")
+    queries = F.greatest(_parts(F.col("n") - F.col("main.c"), BLOCK), _parts(F.col("all_bytes") - F.col("main.bytes"), BLOCK_BYTES), F.lit(1))
+    cells = _cells(rest.select("of", "doc_id", "name", "blocks", queries.alias("queries"), (F.col("name") != F.col("main.name")).alias("query")), "of", "name")
+    met = large.select("doc_id", "text").join(cells, "doc_id").select("run", "query", "name", "text").repartition("run").sortWithinPartitions("run")
+    return _joined(known, met.mapInArrow(_confirm(words, "run"), EDGES)).select(F.col("doc_id").alias("node"), F.col("group").alias("component"))
