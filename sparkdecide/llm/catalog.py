@@ -81,7 +81,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.digests(suffix.remove_repeated(table(spark, sf_dir, "documents"), 400))
+    return suffix.digests(table(spark, sf_dir, "documents"), 400)
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ whole window, where equal names mean equal windows.
 
 Defined results: a null text is an empty text; texts under ``length`` bytes lose
 nothing. Each row is a document of its own, so a repeated row repeats its text.
-An empty table gives an empty table. Rows are told apart by their place in the scan,
-so ``documents`` should be a scan of stored tables.
+An empty table gives an empty table. Rows are numbered once, in a table that is written
+before anything else; its number avoids names that ``documents`` has.
 """
 
 from __future__ import annotations
@@ -33,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialize
-from .texts import bounded_batches, chunks, joined, mixed, powers
+from ..storage import materialize, remove
+from .texts import bounded_batches, chunks, encoded, joined, mixed, powers, unused
 
 _BYTE = np.random.default_rng(77).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes of stretches whose suffixes are sorted together, and those of one name that go to one task.
-BATCH, HOT = 1 << 19, 1 << 20
+BATCH, HOT = 1 << 19, 1 << 19
+#: Stretches that are sorted together, but for those of the last name.
+MANY = 1 << 13
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -86,6 +88,8 @@ def stretches(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, .
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """Suffix array of ``symbols`` (under 65536, ending in a unique one), by doubling from four symbols on."""
     n = len(symbols)
+    if n and int(symbols.max()) >= 1 << 16:
+        raise ValueError("symbols have to be under 65536: too many strings at once")
     s = np.concatenate([symbols, np.zeros(4, np.int64)]).astype(np.uint64)
     key = s[:n] << np.uint64(48) | s[1 : n + 1] << np.uint64(32) | s[2 : n + 2] << np.uint64(16) | s[3 : n + 3]
     order = np.argsort(key, kind="stable")
@@ -216,7 +220,7 @@ def _decide(length: int):
         held, size, last = [], 0, None
         for b in batches:
             for r in zip(*(b[c].to_pylist() for c in ("name", "digest", "weight", "piece")), strict=True):
-                if size > BATCH and r[0] != last:
+                if (size > BATCH or len(held) > MANY) and r[0] != last:
                     yield batch(held)
                     held, size = [], 0
                 held.append(r)
@@ -247,10 +251,12 @@ def _again(length: int, gram: int):
     return run
 
 
-def _decided(pieces: DataFrame, length: int, grams: tuple[int, ...], parts: int) -> DataFrame:
-    """name, digest, spans of distinct stretches (name, digest, weight, piece) of names that have several."""
+def _decided(pieces: DataFrame, length: int, grams: tuple[int, ...], parts: int, made: list[DataFrame]) -> DataFrame:
+    """name, digest, spans of distinct stretches (name, digest, weight, piece) of names that have several; adds to
+    ``made`` the tables it writes."""
     sizes = pieces.groupBy("name").agg(F.sum(F.octet_length("piece")).alias("bytes"))
     hot = materialize(sizes.filter(F.col("bytes") > HOT).select("name"), "hot")
+    made.append(hot)
     some = not hot.isEmpty()
     usual = pieces.join(hot, "name", "left_anti") if some else pieces
     out = usual.repartition(parts, "name").sortWithinPartitions("name").mapInArrow(_decide(length), "name bigint, digest bigint, spans array<int>")
@@ -258,31 +264,32 @@ def _decided(pieces: DataFrame, length: int, grams: tuple[int, ...], parts: int)
         return out
     ddl = "of_name bigint, of_digest bigint, weight bigint, start int, windows int, name bigint, digest bigint, piece binary"
     finer = materialize(pieces.join(hot, "name", "left_semi").mapInArrow(_again(length, grams[0]), ddl), "finer")
+    made.append(finer)
     distinct = finer.groupBy("name", "digest").agg(F.sum("weight").alias("weight"), F.min("piece").alias("piece"))
     by_name = distinct.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("weight").alias("n"))
     distinct = distinct.join(by_name.filter("n > 1"), "name")
     whole = F.array(F.lit(0), F.lit(1 << 30)).alias("spans")
     verdict = distinct.filter("kinds = 1").select("name", "digest", whole)
     if grams[1:]:
-        verdict = verdict.unionByName(_decided(materialize(distinct.filter("kinds > 1").select("name", "digest", "weight", "piece"), "pieces"), length, grams[1:], parts))
+        made.append(materialize(distinct.filter("kinds > 1").select("name", "digest", "weight", "piece"), "pieces"))
+        verdict = verdict.unionByName(_decided(made[-1], length, grams[1:], parts, made))
     moved = F.transform("spans", lambda x: F.col("start") + F.least(x, F.col("windows")))
     back = finer.join(verdict, ["name", "digest"]).select(F.col("of_name").alias("name"), F.col("of_digest").alias("digest"), moved.alias("spans"))
     return out.unionByName(back.groupBy("name", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
-def repeated(documents: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, found): row and text of the documents; row and places of its repeated strings, as
-    first and last-but-one byte of each span, in pairs; only of rows that have any."""
-    parts = max(8, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def repeated(rows: DataFrame, length: int) -> DataFrame:
+    """row and windows (numbers of the first and the last-but-one window of each span of repeated windows, in pairs)
+    of the rows (row, text; a stored table) that have any; written."""
+    parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     gram = max(1, length * 2 // 5)
-    long = documents.filter(F.octet_length("text") >= length).select("row", "text")
+    long = rows.filter(F.octet_length("text") >= length)
     stretch = materialize(long.mapInArrow(_stretch_rows(length, gram), STRETCH_DDL), "stretches")
-    kinds = stretch.groupBy("name", "digest").agg(F.count("*").alias("weight"), F.min(F.struct("row", "start", "windows")).alias("first"))
-    kinds = materialize(kinds, "kinds")
-    names = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.sum("weight").alias("n")).filter("n > 1").select("name", "kinds")
-    kinds = materialize(kinds.join(names, "name"), "repeated")
-    several = kinds.filter("kinds > 1").select("name", "digest", "weight", "first.*")
-    by_row = several.groupBy("row").agg(F.collect_list(F.struct("name", "digest", "weight", "start", "windows")).alias("cuts"))
+    names = stretch.groupBy("name").agg(F.count("*").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("n > 1")
+    met = materialize(stretch.join(names.select("name", (F.col("lo") != F.col("hi")).alias("differ")), "name"), "repeated")
+    remove(stretch)
+    several = met.filter("differ").groupBy("name", "digest").agg(F.count("*").alias("weight"), F.min(F.struct("row", "start", "windows")).alias("first"))
+    by_row = several.select("name", "digest", "weight", "first.*").groupBy("row").agg(F.collect_list(F.struct("name", "digest", "weight", "start", "windows")).alias("cuts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,11 +304,14 @@ def repeated(documents: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     pieces = long.join(by_row, "row").select("text", "cuts").mapInArrow(cut, "name bigint, digest bigint, weight bigint, piece binary")
     pieces = materialize(pieces, "pieces")
     finer = tuple(g for g in (length * 3 // 4, length) if g > gram)
-    whole = F.array(F.lit(0), F.lit(1 << 30)).alias("spans")
-    verdict = kinds.filter("kinds = 1").select("name", "digest", whole).unionByName(_decided(pieces, length, finer, parts)).filter(F.size("spans") > 0)
+    made = [met, pieces]
+    verdict = _decided(pieces, length, finer, parts, made).filter(F.size("spans") > 0)
     places = F.transform("spans", lambda x: F.col("start") + F.least(x, F.col("windows")))
-    found = stretch.join(verdict, ["name", "digest"]).select("row", places.alias("spans"))
-    return long, found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("windows"))
+    found = met.filter("differ").join(verdict, ["name", "digest"]).select("row", places.alias("spans"))
+    found = found.unionByName(met.filter("not differ").select("row", F.array(F.col("start"), F.col("start") + F.col("windows")).alias("spans")))
+    found = materialize(found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("windows")), "found")
+    remove(*made)
+    return found
 
 
 def merged(windows: np.ndarray, length: int) -> np.ndarray:
@@ -314,39 +324,47 @@ def merged(windows: np.ndarray, length: int) -> np.ndarray:
     return np.stack([w[at, 0], np.append(end[at[1:] - 1], end[-1])], 1)
 
 
-def removals(documents: DataFrame, length: int = 400, text_col: str = "text") -> DataFrame:
-    """row (place in the scan), spans (begin and end of each removed run, in bytes) and kept (binary) of documents that lose something."""
-    bounded_batches(documents.sparkSession)
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    long, found = repeated(rows, length)
+REMOVED_DDL = "struct<spans:array<bigint>,kept:binary,text:string>"
+REMOVED = pa.struct([("spans", pa.list_(pa.int64())), ("kept", pa.binary()), ("text", pa.string())])
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spans, kept = [], []
-            for text, windows in zip(b["text"].cast(pa.binary()).to_pylist(), b["windows"].to_pylist(), strict=True):
-                s = merged(np.array(windows), length)
-                ends = [0, *s[:, 1].tolist()]
-                begins = [*s[:, 0].tolist(), len(text)]
-                spans.append(s.ravel().tolist())
-                kept.append(b"".join(text[i:j] for i, j in zip(ends, begins, strict=True)))
-            yield pa.RecordBatch.from_arrays([b["row"], pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["row", "spans", "kept"])
-
-    return long.join(found, "row").select("row", "text", "windows").mapInArrow(keep, "row bigint, spans array<bigint>, kept binary")
-
-
-def remove_repeated(documents: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row, n_bytes, spans, kept (null where nothing is removed), full_sha256 of every document."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    info = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("full_sha256"))
-    return info.join(removals(documents, length, text_col), "row", "left")
-
-
-def digests(removed: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of what ``remove_repeated`` returns."""
-    some = F.col("kept").isNotNull()
-    return removed.select(
-        "doc_id", "n_bytes",
-        F.when(some, F.col("n_bytes") - F.octet_length("kept")).otherwise(0).cast("long").alias("n_removed"),
-        F.when(some, F.size("spans") / 2).otherwise(0).cast("long").alias("n_spans"),
-        F.when(some, F.sha2("kept", 256)).otherwise(F.col("full_sha256")).alias("kept_sha256"),
+
+def remove_repeated(documents: DataFrame, length: int = 400, text_col: str = "text", out_col: str = "removed") -> DataFrame:
+    """``documents`` with ``out_col``: spans (begin and end of each removed run, in bytes), kept (the other bytes) and
+    text (kept without characters that are cut) of each row that loses something, null for others."""
+    bounded_batches(documents.sparkSession)
+    row = unused(documents, "row")
+    windows = unused(documents, "windows")
+    numbered = materialize(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = repeated(numbered.select(F.col(row).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), length)
+
+    def keep(texts: pa.Array, found_windows: pa.Array) -> pa.Array:
+        spans, kept, left = [], [], []
+        for text, w in zip(encoded(texts), found_windows.to_pylist(), strict=True):
+            if w is None:
+                for c in (spans, kept, left):
+                    c.append(None)
+                continue
+            s = merged(np.array(w), length)
+            parts = [text[i:j] for i, j in zip([0, *s[:, 1].tolist()], [*s[:, 0].tolist(), len(text)], strict=True)]
+            spans.append(s.ravel().tolist())
+            kept.append(b"".join(parts))
+            left.append("".join([p.decode("utf-8", "ignore") for p in parts]))
+        columns = [pa.array(c, f.type) for c, f in zip((spans, kept, left), REMOVED, strict=True)]
+        return pa.StructArray.from_arrays(columns, fields=list(REMOVED), mask=pa.array([k is None for k in kept], pa.bool_()))
+
+    rows = numbered.join(found.select(F.col("row").alias(row), F.col("windows").alias(windows)), row, "left")
+    touched = F.when(F.col(windows).isNotNull(), F.col(text_col))
+    return rows.select(*documents.columns, F.arrow_udf(keep, REMOVED_DDL)(touched, F.col(windows)).alias(out_col))
+
+
+def digests(documents: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and remaining text of every document."""
+    found = remove_repeated(documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), length)
+    some, n_bytes = F.col("removed").isNotNull(), F.octet_length("text").cast("long")
+    return found.select(
+        "doc_id", n_bytes.alias("n_bytes"),
+        F.when(some, n_bytes - F.octet_length("removed.kept")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(some, F.size("removed.spans") / 2).otherwise(0).cast("long").alias("n_spans"),
+        F.when(some, F.sha2("removed.kept", 256)).otherwise(F.sha2(F.col("text").cast("binary"), 256)).alias("kept_sha256"),
+        F.coalesce("removed.text", "text").alias("text"),
     )

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a vectorised step holds at once; its arrays take some tens of times that.
 CHUNK_BYTES = 1 << 20
@@ -23,6 +23,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def encoded(texts: pa.Array, null: bytes | None = b"") -> list[bytes | None]:
     """UTF-8 bytes of each text; ``null`` for nulls."""
     values = pa.array(texts).cast(pa.large_binary()).to_pylist()
