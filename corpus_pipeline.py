@@ -3,18 +3,18 @@
 Each stage takes what the one before kept, as a table that is written and read again.
 All but the last return the columns of documents. Null and empty texts pass all stages
 but the first, which rejects them as being in no language; an empty table stays empty.
+Columns that the stages add inside avoid the names that documents have.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkdecide.llm import bpe, decontaminate, langid, neardup, suffix
 from sparkdecide.llm.catalog import tokenizer_path
-from sparkdecide.llm.texts import bounded_batches
-from sparkdecide.storage import materialize, table
+from sparkdecide.llm.texts import bounded_batches, unused
+from sparkdecide.storage import replaced, table
 
 #: Shortest repeated string that is removed, in bytes: less than 50 words of the shortest usual length.
 REPEATED_BYTES = 250
@@ -29,33 +29,40 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         raise ValueError("no labelled texts to learn languages from")
     bounded_batches(spark)
     model = langid.fit(labelled)
-    return docs.withColumn("_p", langid.prediction(F.col("text"), model)).filter("not _p.rejected").drop("_p")
+    p = unused(docs, "predicted")
+    return docs.withColumn(p, langid.prediction(F.col("text"), model)).filter(~F.col(f"{p}.rejected")).drop(p)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the lowest doc_id, of each group of near-duplicates on five-word shingles."""
-    gone = neardup.near_duplicates(docs, words=5).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    rest = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # null ids are documents of their own
-    return rest.withColumn("_own", own).dropDuplicates(["doc_id", "_own"]).drop("_own")
+    """Keeps one document, that with the lowest doc_id, of each group of near-duplicates on five-word shingles.
+
+    Of rows with one doc_id the one with the lowest text stays, and of equal texts the one with the lowest hash of
+    its columns; rows without doc_id all stay.
+    """
+    gone, n, own, rank = (unused(docs, c) for c in ("gone", "n_rows", "own_id", "rank"))
+    near = neardup.near_duplicates(docs, words=5).filter("doc_id is not null")
+    flags = near.groupBy(F.col("doc_id").alias(own)).agg(F.bool_or(~F.col("kept")).alias(gone), F.count("*").alias(n)).filter(F.col(gone) | (F.col(n) > 1))
+    rest = docs.join(flags, F.col("doc_id") == F.col(own), "left").filter(~F.coalesce(F.col(gone), F.lit(False)))
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*docs.columns))
+    several = rest.filter(F.col(n) > 1).withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1)
+    return rest.filter(F.col(n).isNull()).select(*docs.columns).unionByName(several.select(*docs.columns))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes strings of REPEATED_BYTES or more that stand anywhere else out of the texts; a cut character goes whole."""
-
-    def text_of(kept: pa.Array) -> pa.Array:
-        return pa.array([None if k is None else k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
-
-    cut = suffix.removals(docs, REPEATED_BYTES).select("row", F.arrow_udf(text_of, "string")("kept").alias("_kept"))
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).join(cut, "row", "left")
-    text = F.coalesce("_kept", "text")
-    return rows.withColumns({"text": text, "n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast("long"))}).select(*docs.columns)
+    r = unused(docs, "removed")
+    some = F.col(r).isNotNull()
+    changed = {"text": F.when(some, F.col(f"{r}.text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(some, F.length(f"{r}.text").cast("long")).otherwise(F.col("n_chars"))
+    return suffix.remove_repeated(docs, REPEATED_BYTES, out_col=r).withColumns(changed).select(*docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that hold no item of the benchmark, verbatim or re-parameterised."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    own = unused(docs, "own_id")
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(own)), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +87,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage{k + 1}")
+        kept = stage(spark, docs, sf_dir)
+        docs = kept if k == len(STAGES) - 1 else replaced(docs, kept, f"stage{k + 1}")
     return docs
