@@ -25,10 +25,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .texts import bounded_batches
+from ..storage import materialize
+from .texts import bounded_batches, unused
 
 #: Characters with the Unicode property White_Space.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -237,88 +238,121 @@ def decoded(ids: Column, path: str) -> Column:
 
 
 PIECES = "array<struct<at:int,piece:string,glued:boolean>>"
-_WORDS = re.compile("[A-Za-z]{2}")
+#: Letters that compose with no letter after them and whose lower case doesn't depend on others.
+_PLAIN = "A-Za-z\u0410-\u044f\u05d0-\u05ea\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
+#: Between the third and the fourth of four letters a word goes on, whatever stands before them.
+_WORDS = re.compile(f"[{_PLAIN}]{{4}}")
+_SPACES = re.compile(f"[{SPACE}]")
 
 
-def pieces_of(text: str, most: int) -> list[tuple[int, str, bool]]:
-    """Pieces of about ``most`` characters: cut at spaces or, in text without them, between two
-    ASCII letters of a word; such a piece is glued to the next. Text with neither stays whole."""
+def pieces_of(text: str, most: int, at_special: re.Pattern | None = None) -> list[tuple[int, str, bool]]:
+    """Pieces of about ``most`` characters: cut at spaces or, in text without them, between two letters of a word
+    outside special tokens; such a piece is glued to the next. Text with neither stays whole."""
     out, at = [], 0
-    space = re.compile(f"[{SPACE}]")
+    specials = [m.span() for m in at_special.finditer(text)] if at_special else []
     while len(text) - at > most:
-        tail = [m.start() for m in space.finditer(text, at + most // 2, at + most)]
+        tail = [m.start() for m in _SPACES.finditer(text, at + most // 2, at + most)]
         if tail:
             cut, glued = tail[-1], False
-        elif m := _WORDS.search(text, at + most // 2):
-            cut, glued = m.start() + 1, True
-            if s := space.search(text, at + most // 2, cut):
-                cut, glued = s.start(), False
         else:
-            break
+            inside = (m.start() + 3 for m in _WORDS.finditer(text, at + most // 2))
+            cut = next((c for c in inside if not any(i < c < j for i, j in specials)), None)
+            space = _SPACES.search(text, at + most // 2, len(text) if cut is None else cut)
+            if cut is None and space is None:
+                break
+            cut, glued = (space.start(), False) if space else (cut, True)
         out.append((len(out), text[at:cut], glued))
         at = cut
     return [*out, (len(out), text[at:], False)]
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids", split_chars: int = 1 << 16) -> DataFrame:
-    """``df`` and the ids of its texts in ``out_col``.
+class Piece:
+    """Ids of a stretch of text, those of its first and last pre-token where they go on outside it, and whether it is one pre-token."""
+
+    def __init__(self, ids: list[int], first: int, last: int, single: bool, glued: bool):
+        self.ids, self.first, self.last, self.single, self.glued = ids, first, last, single, glued
+
+    def then(self, other: Piece, e: Encoder) -> Piece:
+        if not self.glued:
+            return Piece(self.ids + other.ids, self.first, other.last, False, other.glued)
+        before, after = self.ids[: len(self.ids) - self.last], other.ids[other.first :]
+        met = join(self.ids[len(before) :], other.ids[: other.first], e.text_of, e.encode_stretch, not (other.glued and other.single))
+        first = len(met) if self.single else self.first
+        last = len(met) if other.single else other.last
+        return Piece(before + met + after, first, last, self.single and other.single, other.glued)
+
+
+def concatenated(pieces: list[Piece], e: Encoder) -> Piece:
+    """Pieces in order as one, joined in pairs, level by level."""
+    while len(pieces) > 1:
+        paired = [pieces[k].then(pieces[k + 1], e) for k in range(0, len(pieces) - 1, 2)]
+        pieces = paired + pieces[len(paired) * 2 :]
+    return pieces[0]
+
+
+BOTH_DDL = "struct<ids:array<int>,text:string>"
+
+
+def _both(ids: pa.ListArray, path: str) -> pa.StructArray:
+    """Ids and what they decode to, in the worker that has them."""
+    ends, flat, e, texts = ids.offsets.to_numpy(), ids.values.to_numpy(), encoder(path), []
+    for k in range(0, len(ids), 100):
+        texts += e.decode([flat[ends[i] : ends[i + 1]] for i in range(k, min(k + 100, len(ids)))])
+    return pa.StructArray.from_arrays([ids, pa.array(texts, pa.string())], names=["ids", "text"])
+
+
+def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids", split_chars: int = 1 << 16, decoded_col: str | None = None) -> DataFrame:
+    """``df``, the ids of its texts in ``out_col`` and, if named, the text they decode to in ``decoded_col``.
 
     Texts above ``split_chars`` are cut into pieces that separate tasks encode.
     """
+    row, both = unused(df, "row"), unused(df, "both")
     text = F.coalesce(F.col(text_col), F.lit(""))
     bounded_batches(df.sparkSession)
-    marker = encoder(path).marker
-    special = text.contains(marker) if marker else F.lit(False)
-    is_long = (F.length(text) > split_chars) & ~special
-    short = df.filter(~is_long).withColumn(out_col, encoded(F.col(text_col), path))
+    is_long = F.length(text) > split_chars
+    result = lambda ids: _both(ids, path) if decoded_col else ids
+    kind = BOTH_DDL if decoded_col else "array<int>"
+    short = df.filter(~is_long).withColumn(both, F.arrow_udf(lambda texts: result(_ids(texts, path)), kind)(F.col(text_col)))
 
     def cut(texts: pa.Array) -> pa.Array:
-        return pa.array([[{"at": a, "piece": p, "glued": g} for a, p, g in pieces_of(t, split_chars // 4)] for t in texts.to_pylist()], pa.list_(pa.struct([("at", pa.int32()), ("piece", pa.string()), ("glued", pa.bool_())])))
+        return pa.array([[{"at": a, "piece": p, "glued": g} for a, p, g in pieces_of(t, split_chars // 4, encoder(path).at_special)] for t in texts.to_pylist()], pa.list_(pa.struct([("at", pa.int32()), ("piece", pa.string()), ("glued", pa.bool_())])))
 
     def encode_piece(piece: pa.Array, glued: pa.Array, after: pa.Array) -> pa.Array:
         e, rows = encoder(path), []
         for p, g, a in zip(piece.to_pylist(), glued.to_pylist(), after.to_pylist(), strict=True):
             if not (g or a):
-                rows.append({"ids": np.frombuffer(e.encode([p])[0], np.int32), "first": 0, "last": 0})
+                rows.append({"ids": np.frombuffer(e.encode([p])[0], np.int32), "first": 0, "last": 0, "single": False})
                 continue
-            space = re.compile(f"[{SPACE}]")
-            runs = [m.start() for m in space.finditer(p)]
-            head = (runs[0] if runs else len(p)) if a else 0
-            tail = (runs[-1] if runs else 0) if g else len(p)
+            spaces, specials = [m.start() for m in _SPACES.finditer(p)], [m.span() for m in e.at_special.finditer(p)] if e.at_special else []
+            head = min([*spaces, *(i for i, _ in specials)], default=len(p)) if a else 0
+            tail = max([*spaces, *(j for _, j in specials)], default=0) if g else len(p)
             if head > tail:
                 one = e.long_unit(p, g)
-                rows.append({"ids": [i for t in one for i in t], "first": len(one[0]), "last": len(one[-1])})
+                rows.append({"ids": [i for t in one for i in t], "first": len(one[0]), "last": len(one[-1]), "single": len(one) == 1})
                 continue
             one, two = (e.long_unit(p[:head]) if a else []), (e.long_unit(p[tail:], True) if g else [])
             middle = np.frombuffer(e.encode([p[head:tail]])[0], np.int32).tolist()
-            rows.append({"ids": [i for t in one for i in t] + middle + [i for t in two for i in t], "first": len(one[0]) if one else 0, "last": len(two[-1]) if two else 0})
-        return pa.array(rows, pa.struct([("ids", pa.list_(pa.int32())), ("first", pa.int32()), ("last", pa.int32())]))
+            ids = [i for t in one for i in t] + middle + [i for t in two for i in t]
+            rows.append({"ids": ids, "first": len(one[0]) if one else 0, "last": len(two[-1]) if two else 0, "single": False})
+        return pa.array(rows, pa.struct([("ids", pa.list_(pa.int32())), ("first", pa.int32()), ("last", pa.int32()), ("single", pa.bool_())]))
 
     def concatenate(parts: pa.Array) -> pa.Array:
         e, out = encoder(path), []
         for row in parts.to_pylist():
-            ids, last, glued = [], 0, False
-            for p in row:
-                if glued:
-                    # the first pre-token of this piece goes on the last of what is there
-                    whole = not (p["glued"] and p["first"] == len(p["ids"]))
-                    left, right = ids[len(ids) - last :], p["ids"][: p["first"]]
-                    met = join(left, right, e.text_of, e.encode_stretch, whole)
-                    ids = ids[: len(ids) - last] + met + p["ids"][p["first"] :]
-                    last = len(met) if p["glued"] and p["first"] == len(p["ids"]) else p["last"]
-                else:
-                    ids, last = ids + p["ids"], p["last"]
-                glued = p["glued"]
-            out.append(np.array(ids, np.int32).tobytes())
-        return _list_array(out)
-
-    long = df.filter(is_long).withColumn("_row", F.monotonically_increasing_id())
-    parts = long.select("_row", F.explode(F.arrow_udf(cut, PIECES)(F.col(text_col))).alias("p")).select("_row", "p.*")
-    parts = parts.select("_row", "at", "piece", "glued")
-    from pyspark.sql import Window
-
-    after = F.coalesce(F.lag("glued").over(Window.partitionBy("_row").orderBy("at")), F.lit(False))
-    parts = parts.withColumn("after", after).repartition(F.xxhash64("_row", "at"))
-    done = parts.select("_row", "at", "glued", F.arrow_udf(encode_piece, "struct<ids:array<int>,first:int,last:int>")("piece", "glued", "after").alias("e"))
-    whole = done.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "glued", "e.ids", "e.first", "e.last"))).alias("parts"))
-    return short.unionByName(long.join(whole.select(F.col("_row"), F.arrow_udf(concatenate, "array<int>")("parts").alias(out_col)), "_row").drop("_row"))
+            whole = concatenated([Piece(p["ids"], p["first"], p["last"], p["single"], p["glued"]) for p in row], e)
+            out.append(np.array(whole.ids, np.int32).tobytes())
+        return result(_list_array(out))
+
+    long = df.filter(is_long).withColumn(row, F.monotonically_increasing_id())
+    long = materialize(long, "long")
+    parts = long.select(F.col(row).alias("row"), F.explode(F.arrow_udf(cut, PIECES)(F.col(text_col))).alias("p")).select("row", "p.*")
+    after = F.coalesce(F.lag("glued").over(Window.partitionBy("row").orderBy("at")), F.lit(False))
+    parts = parts.withColumn("after", after).repartition(F.xxhash64("row", "at"))
+    done = parts.select("row", "at", "glued", F.arrow_udf(encode_piece, "struct<ids:array<int>,first:int,last:int,single:boolean>")("piece", "glued", "after").alias("e"))
+    whole = done.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "glued", "e.ids", "e.first", "e.last", "e.single"))).alias("parts"))
+    whole = whole.select(F.col("row").alias(row), F.arrow_udf(concatenate, kind)("parts").alias(both))
+    done_all = short.unionByName(long.join(whole, row).drop(row))
+    kept = [c for c in df.columns if c.lower() not in (out_col.lower(), (decoded_col or out_col).lower())]
+    if decoded_col:
+        return done_all.select(*kept, F.col(f"{both}.ids").alias(out_col), F.col(f"{both}.text").alias(decoded_col))
+    return done_all.select(*kept, F.col(both).alias(out_col))

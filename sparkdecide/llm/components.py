@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
-    def reduced() -> tuple[np.ndarray, np.ndarray]:
+    def held() -> tuple[np.ndarray, np.ndarray]:
         return spanning(np.concatenate([a, *(x for x, _ in waiting)]), np.concatenate([b, *(y for _, y in waiting)]))
 
     def batch() -> pa.RecordBatch:
@@ -55,15 +55,20 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting.append((some["a"].to_numpy(), some["b"].to_numpy()))
         size += some.num_rows
         if size >= HELD:
-            a, b = reduced()
+            a, b = held()
             waiting, size = [], 0
             if len(a) >= HELD:
                 yield batch()
                 a, b = a[:0], b[:0]
-    a, b = reduced()
+    a, b = held()
     yield batch()
 
 
+def reduced(edges: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``edges``, which makes edges a, b of a task's batches, with a forest in their place; in the same worker."""
+    return lambda batches: forest(edges(batches))
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether each node is under one lower node that is under none."""
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("under"), F.lit(0).alias("over"))
@@ -71,16 +76,17 @@ def _stars(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("under").alias("under"), F.max("over").alias("over")).filter("under + over > 1").isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, forests: bool = False) -> DataFrame:
     """node, component (the lowest node it is connected with) of every node on an edge.
 
-    edges: a, b (long). Each task reduces its edges to a forest before they are shuffled.
+    edges: a, b (long). Each task reduces its edges to a forest before they are shuffled, unless what made
+    them did so (``forests``).
     A round is two aggregations and two joins, and the number of rounds grows with the
     logarithm of the longest chain. A node with very many edges is one key of the joins,
     whose partitions adaptive execution splits. Edges of nulls are ignored.
     """
     now = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = materialize(now.mapInArrow(forest, "a bigint, b bigint").distinct(), "edges")
+    now = materialize((now if forests else now.mapInArrow(forest, "a bigint, b bigint")).distinct(), "edges")
     while not _stars(now):
         both = now.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(now.select(F.col("b").alias("node"), F.col("a").alias("other")))
         large = both.join(_lowest(both), "node").filter("other > node").select(F.col("other").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()  # most of a dense group's edges say the same

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize, remove
-from .components import components
+from .components import components, reduced
 from .texts import bounded_batches, chunks, encoded, joined, mixed, powers
 
 ORDERS, DEPTH = 32, 4
@@ -371,7 +371,7 @@ def _tied(classes: DataFrame) -> DataFrame:
     several = keyed.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1")
     met = materialize(keyed.join(several.hint("merge"), "region").select("region", "o", "n", "doc_id"), "regions")
     # some orders tie most of what belongs together; of the others only regions matter that hold several groups by then
-    tied = components(_ties(met.filter(F.col("o") < FIRST).withColumn("name", F.col("doc_id")), classes))
+    tied = components(_ties(met.filter(F.col("o") < FIRST).withColumn("name", F.col("doc_id")), classes), True)
     group = tied.select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
     later = _named(met.filter(F.col("o") >= FIRST), group)
     group = _joined(group, _ties(_mixed_regions(later), classes))
@@ -397,7 +397,7 @@ def _mixed_regions(rows: DataFrame) -> DataFrame:
 
 def _joined(group: DataFrame, ties: DataFrame) -> DataFrame:
     """doc_id, group once groups are tied to each other and to documents that had none."""
-    more = components(ties)
+    more = components(ties, True)
     renamed = group.join(more.select(F.col("node").alias("group"), "component").hint("merge"), "group", "left").select("doc_id", F.coalesce("component", "group").alias("group"))
     new = more.join(group.select(F.col("group").alias("node")).distinct().hint("merge"), "node", "left_anti").select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
     out = materialize(renamed.unionByName(new), "groups")
@@ -406,10 +406,10 @@ def _joined(group: DataFrame, ties: DataFrame) -> DataFrame:
 
 
 def _ties(regions: DataFrame, classes: DataFrame) -> DataFrame:
-    """Ties a, b between names that the sorted orders bring together; regions: region, o, doc_id, name."""
+    """Ties a, b between names that the sorted orders bring together, a forest of each task; regions: region, o, doc_id, name."""
     place = F.substring(F.concat(F.expr(f"substring(sig, int(o * {DEPTH}) + {DEPTH + 1}, {HASHES})"), F.expr(f"substring(sig, 1, int(o * {DEPTH}))")), 1, 24)
     rows = regions.join(classes.select("doc_id", "sig").hint("merge"), "doc_id").select("region", place.alias("place"), "name", "sig")
-    return rows.repartitionByRange("region", "place").sortWithinPartitions("region", "place").mapInArrow(region_ties, EDGES)
+    return rows.repartitionByRange("region", "place").sortWithinPartitions("region", "place").mapInArrow(reduced(region_ties), EDGES)
 
 
 def _open(rows: DataFrame, classes: DataFrame, deeper: int) -> DataFrame | None:
@@ -426,7 +426,7 @@ def _open(rows: DataFrame, classes: DataFrame, deeper: int) -> DataFrame | None:
     many = F.col("open") > MANY if deeper else F.lit(False)
     cut = still.filter(~many).withColumns({"blocks": _parts(F.col("n"), BLOCK), "queries": _parts(F.col("open"), BLOCK)})
     met = _cells(cut, "region", "name").join(classes.select("doc_id", "sig").hint("merge"), "doc_id").select("run", "query", "name", "sig")
-    out = met.repartition("run").sortWithinPartitions("run").mapInArrow(open_ties, EDGES)
+    out = met.repartition("run").sortWithinPartitions("run").mapInArrow(reduced(open_ties), EDGES)
     again = still.filter(many)
     if not deeper or again.isEmpty():
         return out
@@ -434,7 +434,7 @@ def _open(rows: DataFrame, classes: DataFrame, deeper: int) -> DataFrame | None:
     keyed = keyed.select(F.xxhash64("region", "key").alias("region"), F.array_append("orders", F.col("o")).alias("orders"), "o", "doc_id", "name")
     finer = materialize(_mixed_regions(keyed), "regions")
     ties = materialize(_ties(finer, classes), "ties")
-    merged = components(ties).select(F.col("node").alias("name"), "component")
+    merged = components(ties, True).select(F.col("node").alias("name"), "component")
     left = finer.join(merged.hint("merge"), "name", "left").withColumn("name", F.coalesce("component", "name")).select("region", "orders", "doc_id", "name")
     crowded = left.join(left.groupBy("region").agg(F.count("*").alias("n")).filter(F.col("n") > NEAR).select("region"), "region")
     out = out.unionByName(ties)
@@ -466,7 +466,7 @@ def _confirmed_large(large: DataFrame, classes: DataFrame, words: int) -> DataFr
     rows = large.join(sig, "doc_id").select("group", "doc_id", "n_bytes", "text", F.posexplode("places").alias("o", "place"))
     rows = rows.select(F.xxhash64("group", "o").alias("run"), F.substring("place", 1, 24).alias("place"), F.col("doc_id").alias("name"), "n_bytes", "text")
     ordered = rows.repartitionByRange("run", "place").sortWithinPartitions("run", "place")
-    known = components(ordered.mapInArrow(_confirm(words, "run", BLOCK // 2, BLOCK // 16), EDGES))
+    known = components(ordered.mapInArrow(reduced(_confirm(words, "run", BLOCK // 2, BLOCK // 16)), EDGES), True)
     known = known.select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
     named = materialize(_named(large.select(F.col("group").alias("of"), "n", "n_bytes", "blocks", "doc_id"), known), "named")
     sizes = named.groupBy("of", "name").agg(F.count("*").alias("c"), F.sum("n_bytes").alias("bytes"))
@@ -475,4 +475,4 @@ def _confirmed_large(large: DataFrame, classes: DataFrame, words: int) -> DataFr
     queries = F.greatest(_parts(F.col("n") - F.col("main.c"), BLOCK), _parts(F.col("all_bytes") - F.col("main.bytes"), BLOCK_BYTES), F.lit(1))
     cells = _cells(rest.select("of", "doc_id", "name", "blocks", queries.alias("queries"), (F.col("name") != F.col("main.name")).alias("query")), "of", "name")
     met = large.select("doc_id", "text").join(cells, "doc_id").select("run", "query", "name", "text").repartition("run").sortWithinPartitions("run")
-    return _joined(known, met.mapInArrow(_confirm(words, "run"), EDGES)).select(F.col("doc_id").alias("node"), F.col("group").alias("component"))
+    return _joined(known, met.mapInArrow(reduced(_confirm(words, "run")), EDGES)).select(F.col("doc_id").alias("node"), F.col("group").alias("component"))

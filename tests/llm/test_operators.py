@@ -97,14 +97,19 @@ def test_tree_concatenation_of_unsplit_text(text):
 def test_bpe_of_whole_documents_and_of_pieces(spark):
     r = random.Random(5)
     texts = [*ODD, words(r, 900, pool(r)), "".join(r.choice("aeinst") for _ in range(5000)), words(r, 300, pool(r)) + "q" * 3000 + " end"]
+    texts += ["日本語文字" * 700, "привет" * 600, "<|endoftext|>" * 300, words(r, 300, pool(r)) + "<|endoftext|>" + "".join(r.choice("xyzst") for _ in range(3000)) + "<|endoftext|>end"]
+    texts += ["it'restless'llama'verity" * 120, "1234567890" * 400, "!?" * 1500]
     for path in (WORD_PATH, BYTE_PATH):
         e = bpe.encoder(path).tokenizer
-        got = bpe.encode(frame(spark, texts), path, split_chars=1000).withColumn("back", bpe.decoded(F.col("ids"), path)).collect()
+        got = bpe.encode(frame(spark, texts).withColumn("ids", F.lit(1)), path, split_chars=1000, decoded_col="back").collect()
         assert len(got) == len(texts)
         for x in got:
             ids = e.encode(texts[x.doc_id] or "", add_special_tokens=False).ids
-            assert x.ids == ids and x.back == e.decode(ids, skip_special_tokens=False)
+            assert x.ids == ids and x.back == e.decode(ids, skip_special_tokens=False), texts[x.doc_id][:80]
     assert bpe.encode(spark.createDataFrame([], DOCS), WORD_PATH).count() == 0
+    ids = spark.createDataFrame([([5, 6],), (None,), ([],)], "ids array<int>")
+    e = bpe.encoder(WORD_PATH).tokenizer
+    assert [x.t for x in ids.select(bpe.decoded(F.col("ids"), WORD_PATH).alias("t")).collect()] == [e.decode([5, 6], skip_special_tokens=False), None, ""]
 
 
 def test_store_round_trip(spark):
