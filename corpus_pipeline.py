@@ -67,9 +67,9 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids, how many they are, and the digest of what they decode to."""
-    path = tokenizer_path("word_bpe_49k.json")
-    ids = bpe.encode(docs, path)
-    return ids.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded_sha256": F.sha2(bpe.decoded(F.col("ids"), path), 256)})
+    d = unused(docs, "decoded")
+    ids = bpe.encode(docs, tokenizer_path("word_bpe_49k.json"), decoded_col=d)
+    return ids.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded_sha256": F.sha2(d, 256)}).drop(d)
 
 
 STAGES = [
