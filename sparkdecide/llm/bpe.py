@@ -351,7 +351,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids
     done = parts.select("row", "at", "glued", F.arrow_udf(encode_piece, "struct<ids:array<int>,first:int,last:int,single:boolean>")("piece", "glued", "after").alias("e"))
     whole = done.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "glued", "e.ids", "e.first", "e.last", "e.single"))).alias("parts"))
     whole = whole.select(F.col("row").alias(row), F.arrow_udf(concatenate, kind)("parts").alias(both))
-    done_all = short.unionByName(long.join(whole, row).drop(row))
+    done_all = short.unionByName(long.join(whole.hint("merge"), row).drop(row))
     kept = [c for c in df.columns if c.lower() not in (out_col.lower(), (decoded_col or out_col).lower())]
     if decoded_col:
         return done_all.select(*kept, F.col(f"{both}.ids").alias(out_col), F.col(f"{both}.text").alias(decoded_col))
