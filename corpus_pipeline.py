@@ -36,16 +36,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that with the lowest doc_id, of each group of near-duplicates on five-word shingles.
 
-    Of rows with one doc_id the one with the lowest text stays, and of equal texts the one with the lowest hash of
-    its columns; rows without doc_id all stay.
+    Of rows with one doc_id that with the lowest hash of its columns stays; rows without doc_id all stay.
     """
-    gone, n, own, rank = (unused(docs, c) for c in ("gone", "n_rows", "own_id", "rank"))
-    near = neardup.near_duplicates(docs, words=5).filter("doc_id is not null")
-    flags = near.groupBy(F.col("doc_id").alias(own)).agg(F.bool_or(~F.col("kept")).alias(gone), F.count("*").alias(n)).filter(F.col(gone) | (F.col(n) > 1))
-    rest = docs.join(flags, F.col("doc_id") == F.col(own), "left").filter(~F.coalesce(F.col(gone), F.lit(False)))
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*docs.columns))
-    several = rest.filter(F.col(n) > 1).withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1)
-    return rest.filter(F.col(n).isNull()).select(*docs.columns).unionByName(several.select(*docs.columns))
+    own, rank = unused(docs, "own_id"), unused(docs, "rank")
+    gone = neardup.near_duplicates(docs, words=5).filter("not kept").select(F.col("doc_id").alias(own)).distinct()
+    rest = docs.join(gone, F.col("doc_id") == F.col(own), "left_anti")
+    rest = rest.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))))
+    return rest.filter(F.col("doc_id").isNull() | (F.col(rank) == 1)).drop(rank)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
