@@ -120,7 +120,8 @@ FROM sized GROUP BY conv_id
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.write_images(table(spark, sf_dir, "documents"))
-    return media.read_features(stored).drop("tile")
+    tiles = media.write_tiles(media.read_features(stored))
+    return tiles.withColumns({"tile_hash": media.tile_hash(F.col("tile")), "tile_sha256": F.sha2("tile", 256)}).drop("tile")
 
 
 QUERIES = {

@@ -10,8 +10,9 @@ comes from the same texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and
 rejected. Rows are independent: repeated rows give equal values. Other columns
-pass through. An empty table gives an empty table; without labelled texts, fitting
-raises ValueError.
+pass through. An empty table gives an empty table. Without labelled texts there is no
+language to choose from, and every text is ``und`` with score 0 and rejected. Texts above
+``max_bytes`` are not in the sample that is learned from; their languages are predicted.
 """
 
 from __future__ import annotations
@@ -134,10 +135,13 @@ def train(texts: list[str], langs: list[str], *, epochs: int = 8, batch: int = 3
     return model
 
 
-def fit(labelled: DataFrame, *, per_lang: int = 700, seed: int = 1) -> Model:
-    """Train on a bounded sample of rows of doc_id, text, lang: about ``per_lang`` of each language, whole texts."""
-    known = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
+def fit(labelled: DataFrame, *, per_lang: int = 700, max_bytes: int = 1 << 17, seed: int = 1) -> Model:
+    """Train on a bounded sample of rows of doc_id, text, lang: about ``per_lang`` of each language, whole texts of
+    ``max_bytes`` at most."""
+    known = labelled.filter(F.col("lang").isNotNull() & (F.octet_length("text") <= max_bytes)).select("doc_id", "text", "lang")
     rows = sampled(known, "lang", per_lang, seed).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text").collect()
+    if not rows:
+        return Model([], np.zeros((1, 1), np.float32), np.zeros(0))
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
@@ -147,13 +151,13 @@ def prediction(text: Column, model: Model) -> Column:
     def predict(texts: pa.Array) -> pa.Array:
         values = [t if t and any(map(str.isalpha, t)) else "" for t in texts.to_pylist()]
         lang, score = ["und"] * len(values), np.zeros(len(values))
-        some = [i for i, v in enumerate(values) if v]
+        some = [i for i, v in enumerate(values) if v] if model.langs else []
         raw = [values[i].encode("utf-8", "surrogatepass") for i in some]
         for i, j in chunks(raw):
             p = model.probabilities([values[k] for k in some[i:j]])
             for k, row in zip(some[i:j], p, strict=True):
                 lang[k], score[k] = model.langs[int(row.argmax())], float(row.max())
-        no = [v == "" or s < model.threshold for v, s in zip(values, score, strict=True)]
+        no = [v == "" or not model.langs or s < model.threshold for v, s in zip(values, score, strict=True)]
         return pa.StructArray.from_arrays([pa.array(lang), pa.array(score), pa.array(no)], fields=list(RESULT))
 
     return F.arrow_udf(predict, RESULT_DDL)(text)

@@ -13,6 +13,7 @@ independent, so repeated rows give equal values; other columns pass through.
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 import struct
 import zlib
@@ -171,6 +172,15 @@ def read_features(stored: DataFrame) -> DataFrame:
     return f.select("doc_id", "n_bytes", "f.*")
 
 
-def write_tiles(features: DataFrame, path: str) -> None:
-    """NPY tiles with their difference hashes, as a table."""
-    features.select("doc_id", "feature", "tile").write.parquet(path)
+def write_tiles(features: DataFrame) -> DataFrame:
+    """Store the features with their NPY tiles and difference hashes as a table of the shared folder and return a scan of it."""
+    return materialize(features, "tiles")
+
+
+def tile_hash(tile: Column) -> Column:
+    """Difference hash of a stored NPY tile, as it is read back; null for null."""
+
+    def hashes(tiles: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else difference_hash(np.load(io.BytesIO(t)).astype(np.float64)) for t in tiles.to_pylist()], pa.string())
+
+    return F.arrow_udf(hashes, "string")(tile)

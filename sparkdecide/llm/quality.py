@@ -8,7 +8,9 @@ labelled texts.
 
 Defined results: null and empty texts score as a chunk of padding. Rows are
 independent: repeated rows give equal scores. Other columns pass through. An empty
-table gives an empty table; without both labels, fitting raises ValueError.
+table gives an empty table. Where only one label is known, every score is its share, and
+0.5 where none is. Texts above ``max_bytes`` are not in the sample that is learned from;
+they are scored whole like all others.
 """
 
 from __future__ import annotations
@@ -133,21 +135,34 @@ def train(texts: list[bytes], labels: list[int], *, prior: float | None = None,
     return m
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, per_label: int = 500, seed: int = 3) -> Model:
-    """Train on a bounded sample: about ``per_label`` whole texts of each label.
+@dataclass
+class Constant:
+    """The model where only one label, or none, is known: its share, or one half."""
+
+    share: float
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        return np.full(len(texts), self.share)
 
-    documents: doc_id, text. labels: doc_id, quality (0 or 1).
+
+def fit(documents: DataFrame, labels: DataFrame, *, per_label: int = 500, max_bytes: int = 1 << 17, seed: int = 3) -> Model | Constant:
+    """Train on a bounded sample: about ``per_label`` whole texts of each label, of ``max_bytes`` at most.
+
+    documents: doc_id, text. labels: doc_id, quality (0 or 1); of several labels of one document the lowest counts.
     """
-    known = labels.filter("quality is not null and doc_id is not null").select("doc_id", "quality").dropDuplicates(["doc_id"])
+    known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     counts = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
+    total = sum(counts.values())
     some = sampled(known, "quality", per_label, seed)  # some thousand ids at most, by per_label
-    rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy("doc_id", "text").collect()
+    short = documents.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
+    rows = short.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy("doc_id", "text").collect()
     data = [(r.text or "").encode("utf-8", "surrogatepass") for r in rows]
-    total = sum(counts.values())
-    return train(data, [r.quality for r in rows], prior=counts.get(1, 0) / total if total else None)
+    if len({r.quality for r in rows}) < 2:
+        return Constant(counts.get(1, 0) / total if total else 0.5)
+    return train(data, [r.quality for r in rows], prior=counts.get(1, 0) / total)
 
 
-def score(text: Column, model: Model) -> Column:
+def score(text: Column, model: Model | Constant) -> Column:
     """Probability of label 1."""
 
     def scores(texts: pa.Array) -> pa.Array:

@@ -12,7 +12,9 @@ in ascending order of doc_id:
 * ``pack`` rows: the manifest of a file: the Merkle root over its documents' roots.
 
 Reading puts documents together again and checks every chunk against its address,
-and every recipe against its root.
+every recipe against its root, and the roots of a file against its manifest. A missing
+chunk, document or manifest raises ValueError like a changed one; of a file that is gone
+as a whole the store knows nothing.
 
 Defined results: a null text is an empty text, and its ids are the end id alone.
 Repeated doc_ids are stored one after the other, by row number. Null doc_ids come
@@ -211,12 +213,39 @@ def write_store(encoded: DataFrame, width: type = np.uint16) -> DataFrame:
 
 
 def starts(store: DataFrame) -> DataFrame:
-    """row, start: ids of all documents before, from sums by pack and then within each pack."""
-    docs = store.filter("kind = 'doc'").select("pack", "doc_id", "row", "n_tokens")
+    """row, start: ids of all documents before, from sums by pack and then within each pack.
+
+    Each pack's documents are counted in order and their roots checked against its manifest.
+    """
+    rows = store.select("pack", "doc_id", "row", "n_tokens", "kind", "root").filter("kind <> 'chunk'")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tree, at, done = None, Merkle(), 0, True
+        for b in batches:
+            out: dict[str, list] = {"pack": [], "row": [], "inside": []}
+            for pack, row, n, kind, root in zip(*(b[c].to_pylist() for c in ("pack", "row", "n_tokens", "kind", "root")), strict=True):
+                if pack != now:
+                    if not done:
+                        raise ValueError(f"the manifest of file {now} is missing")
+                    now, tree, at, done = pack, Merkle(), 0, False
+                if kind == "pack":
+                    if tree.root() != root:
+                        raise ValueError(f"the documents of file {pack} differ from its manifest")
+                    done = True
+                    continue
+                tree.add(root)
+                for c, v in zip(out.values(), (pack, row, at), strict=True):
+                    c.append(v)
+                at += n
+            yield pa.RecordBatch.from_arrays([pa.array(out["pack"], pa.int32()), pa.array(out["row"], pa.int64()), pa.array(out["inside"], pa.int64())], names=list(out))
+        if not done:
+            raise ValueError(f"the manifest of file {now} is missing")
+
+    ordered = rows.repartition("pack").sortWithinPartitions("pack", F.col("kind") == "pack", "doc_id", "row")
+    inside = ordered.mapInArrow(check, "pack int, row bigint, inside bigint")
     before = Window.orderBy("pack").rowsBetween(Window.unboundedPreceding, -1)  # one row a pack
-    packs = docs.groupBy("pack").agg(F.sum("n_tokens").alias("n")).select("pack", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("pack").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
-    return docs.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(packs), "pack").select("row", (F.col("offset") + F.col("inside")).alias("start"))
+    packs = rows.groupBy("pack").agg(F.sum("n_tokens").alias("n")).select("pack", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return inside.join(F.broadcast(packs), "pack").select("row", (F.col("offset") + F.col("inside")).alias("start"))
 
 
 def read_store(store: DataFrame, width: type = np.uint16) -> DataFrame:
@@ -225,7 +254,7 @@ def read_store(store: DataFrame, width: type = np.uint16) -> DataFrame:
     alone = F.forall("inline", lambda x: x)
     chunks = store.filter("kind = 'chunk'").select("address", F.col("ids").alias("piece"))
     wanted = docs.filter(~alone).select("row", F.posexplode(F.arrays_zip("addresses", "inline")).alias("at", "c")).filter("not c.inline").select("row", "at", F.col("c.addresses").alias("address"))
-    found = wanted.join(chunks, "address").groupBy("row").agg(F.collect_list(F.struct("at", "piece")).alias("found"))
+    found = wanted.join(chunks, "address", "left").groupBy("row").agg(F.collect_list(F.struct("at", "piece")).alias("found"))
     none = F.lit(None).cast("array<struct<at:int,piece:binary>>").alias("found")
     whole = docs.filter(alone).withColumn("found", none).unionByName(docs.filter(~alone).join(found, "row"))
     size = np.dtype(width).itemsize
@@ -238,7 +267,9 @@ def read_store(store: DataFrame, width: type = np.uint16) -> DataFrame:
                 piece = ids[at : at + n * size]
                 at += n * size
             else:
-                piece = more[k]
+                piece = more.get(k)
+            if piece is None:
+                raise ValueError(f"chunk {k} of document {doc_id} is missing")
             if address(piece) != digest:
                 raise ValueError(f"chunk {k} of document {doc_id} differs from its address")
             pieces.append(piece)
