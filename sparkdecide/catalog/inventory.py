@@ -80,6 +80,39 @@ def _iterated(s, d):
     return P.policy_iteration(m, _raise_to_four(m.states))
 
 
+def _vectors(step: str) -> str:
+    """CTEs m (an item's model in lists; level y stands at y + 3) and it: rows of item, k, v, delta of repeated sweeps."""
+    return f"""WITH RECURSIVE {PARAMS}, m0 AS (SELECT p.item, any_value(q.h) AS h, any_value(q.b) AS b, any_value(q.c) AS c, list(p.d ORDER BY p.d) AS ds, list(p.p::DOUBLE ORDER BY p.d) AS ps FROM pmf p JOIN params q USING (item) GROUP BY p.item),
+m AS (SELECT item, c, ds, ps, list_transform(range(1, 22), lambda j: -c * (j - 3) - list_sum(list_transform(range(1, len(ds) + 1), lambda i: ps[i] * (h * greatest(0, j - 3 - ds[i]) + b * greatest(0, ds[i] - j + 3))))) AS fixed FROM m0),
+{step}"""
+
+
+#: Values of each level from values of the states.
+_LEVELS = "list_transform(range(1, 22), lambda j: m.fixed[j] + 0.95 * list_sum(list_transform(range(1, len(m.ds) + 1), lambda i: m.ps[i] * it.v[greatest(1, least(11, j - m.ds[i]))])))"
+_DELTA = "list_max(list_transform(range(1, 12), lambda i: abs(nv[i] - v[i])))"
+#: Levels that are best in states -2 to 8, the lowest of those within 1e-9.
+_BEST = "list_transform(range(1, 12), lambda x: list_position(list_transform({g}[x : x + 10], lambda z: round(z, 9)), list_max(list_transform({g}[x : x + 10], lambda z: round(z, 9)))) + x - 4)"
+_OPTIMAL = f"""it AS (SELECT item, 0 AS k, list_transform(range(0, 11), lambda i: 0.0::DOUBLE) AS v, 1e9::DOUBLE AS delta, list_transform(range(0, 11), lambda i: 0::BIGINT) AS y FROM m
+  UNION ALL SELECT item, k + 1, nv, {_DELTA}, y FROM (SELECT item, k, v, y, list_transform(range(1, 12), lambda x: c * (x - 3) + g[y[x] + 3]) AS nv
+    FROM (SELECT *, {_BEST.format(g="g")} AS y FROM (SELECT it.item, it.k, it.v, m.c, {_LEVELS} AS g FROM it JOIN m USING (item) WHERE it.delta >= 1e-4 AND it.k < 1000)))),
+last AS (SELECT item, max(k) AS k, arg_max(v, k) AS v, arg_max(y, k) AS y, arg_max(delta, k) AS delta FROM it GROUP BY item)
+SELECT item, CAST(unnest(range(-2, 9)) AS INTEGER) AS x, round(unnest(v), 5) + 0.0 AS value, CAST(unnest(y) AS INTEGER) AS y, CAST(k AS INTEGER) AS sweeps, delta < 1e-4 AS converged FROM last"""
+_RAISED = f"""it AS (SELECT item, 0 AS k, list_transform(range(0, 11), lambda i: 0.0::DOUBLE) AS v, 1e9::DOUBLE AS delta FROM m
+  UNION ALL SELECT item, k + 1, nv, {_DELTA} FROM (SELECT item, k, v, list_transform(range(1, 12), lambda x: c * (x - 3) + g[greatest(x, 7)]) AS nv
+    FROM (SELECT it.item, it.k, it.v, m.c, {_LEVELS} AS g FROM it JOIN m USING (item) WHERE it.delta >= 1e-4 AND it.k < 1000))),
+last AS (SELECT item, max(k) AS k, arg_max(v, k) AS v, arg_max(delta, k) AS delta FROM it GROUP BY item)
+SELECT item, CAST(unnest(range(-2, 9)) AS INTEGER) AS x, round(unnest(v), 6) + 0.0 AS value, CAST(k AS INTEGER) AS sweeps, delta < 1e-4 AS converged FROM last"""
+#: A step is a sweep under the policy; where its change is small, or it is the 100th, the policy is improved.
+_ITERATED = f"""it AS (SELECT item, 0 AS k, 1 AS round, 0 AS n, list_transform(range(0, 11), lambda i: 0.0::DOUBLE) AS v, list_transform(range(-2, 9), lambda x: greatest(x, 4)) AS y, false AS stable FROM m
+  UNION ALL SELECT item, k + 1, CASE WHEN ends AND better <> y THEN round + 1 ELSE round END, CASE WHEN ends THEN 0 ELSE n + 1 END, nv, CASE WHEN ends THEN better ELSE y END, ends AND better = y
+  FROM (SELECT item, k, round, n, nv, y, {_DELTA} < 1e-4 OR n = 99 AS ends, {_BEST.format(g="after")} AS better
+    FROM (SELECT z.item, z.k, z.round, z.n, z.v, z.y, z.nv, {_LEVELS.replace("it.v", "z.nv")} AS after
+      FROM (SELECT item, k, round, n, v, y, list_transform(range(1, 12), lambda x: c * (x - 3) + g[y[x] + 3]) AS nv
+        FROM (SELECT it.item, it.k, it.round, it.n, it.v, it.y, m.c, {_LEVELS} AS g FROM it JOIN m USING (item) WHERE NOT it.stable AND it.round <= 100)) z JOIN m USING (item)))),
+last AS (SELECT item, arg_max(v, k) AS v, arg_max(y, k) AS y, arg_max(round, k) AS round, bool_or(stable) AS stable FROM it GROUP BY item)
+SELECT item, CAST(unnest(range(-2, 9)) AS INTEGER) AS x, CAST(unnest(y) AS INTEGER) AS y, round(unnest(v), 4) + 0.0 AS value, CAST(round AS INTEGER) AS iterations, stable FROM last"""
+
+
 def _known_states(s, d):
     """Stock levels that an item has in fact held; far apart for rare items."""
     return I.history(s, d).select("item", (F.col("d") * 3 - 4).alias("x")).distinct()
@@ -143,6 +176,9 @@ ed{k} AS (SELECT a.item, max(abs(a.value - b.value)) AS delta FROM e{k} a JOIN e
 
 
 ORACLES = {
+    "m3_value_iteration": _vectors(_OPTIMAL),
+    "m4_policy_evaluation": _vectors(_RAISED),
+    "m6_policy_iteration": _vectors(_ITERATED),
     "s1_demand_pmf": f"WITH {PARAMS} SELECT item, d, round(p, 6) + 0.0 AS p FROM pmf",
     "s3_state_grid": f"WITH {PARAMS} SELECT item, x FROM states",
     "s4_action_grid": f"WITH {PARAMS} SELECT item, x, CAST(unnest(range(x, x + 11)) AS INTEGER) AS y FROM states",

@@ -1,39 +1,66 @@
-"""Value and policy iteration over all items in one loop.
-
-A sweep uses what does not change (expected costs, pre-summed transitions) from tables
-written once, needs one aggregation by (item, y), and finds the best action of every
-state with one sliding window per item, as costs other than c * (y - x) do not depend
-on the state. Items that have converged are left out of later sweeps, so each stops
-where it would alone. The state of the loop is written to the shared folder each sweep,
-which cuts the lineage; the driver only sees one count a sweep.
+"""Value and policy iteration over all items.
+
+One sweep (``Model.backup``, ``Model.evaluate_once``) is a join and an aggregation by
+(item, y) and one sliding window per item, as costs other than c * (y - x) do not depend
+on the state. Items don't depend on each other, so loops over sweeps don't come back to
+the driver: each item's parameters, demand, policy and start values meet in one row, and
+tasks sweep batches of items until each has converged. That is one job with shuffles by
+item, whatever the number of sweeps; an item's states and demands have to fit a task.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.grids import action_grid, initial_policy, state_grid
 from ..operators.inventory import expected_cost, expected_next_value, sliding_best_action, transitions
 from ..storage import materialize
+from .batches import SOLVED_DDL, solver
 
 SPAN = 10
 
 
 class Model:
-    """Tables of a set of items: states, and for every reachable y its cost and transitions.
+    """States of a set of items, and for every reachable y its cost and transitions, which are written when first used.
 
     params: item, h, b, c, gamma, theta, x_min, x_max. pmf: item, d, p.
     """
 
     def __init__(self, params: DataFrame, pmf: DataFrame, span: int = SPAN):
         self.span = span
-        self.params = params
+        self.params, self.pmf = params, pmf
         self.states = state_grid(params)
-        actions = action_grid(self.states, span).select("item", "y").distinct()
-        costs = expected_cost(actions, pmf, params).join(params.select("item", "c", "gamma"), "item")
-        self.costs = materialize(costs, "costs")
-        self.moves = materialize(transitions(actions, pmf, params), "moves")
+
+    @cached_property
+    def _pmf(self) -> DataFrame:
+        return materialize(self.pmf, "pmf")
+
+    @cached_property
+    def _actions(self) -> DataFrame:
+        return action_grid(self.states, self.span).select("item", "y").distinct()
+
+    @cached_property
+    def costs(self) -> DataFrame:
+        costs = expected_cost(self._actions, self._pmf, self.params).join(self.params.select("item", "c", "gamma"), "item")
+        return materialize(costs, "costs")
+
+    @cached_property
+    def moves(self) -> DataFrame:
+        return materialize(transitions(self._actions, self._pmf, self.params), "moves")
+
+    def solved(self, kind: str, most: int, most_sweeps: int = 0, policy: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
+        """item, rounds, done, states (x, value, y), changes: a loop of sweeps over each item, written once."""
+        demand = self.pmf.groupBy("item").agg(F.sort_array(F.collect_list(F.struct(F.col("d").cast("int").alias("d"), F.col("p").cast("double").alias("p")))).alias("demand"))
+        rows = self.params.select(F.col("item").cast("long").alias("item"), *(F.col(k).cast("double").alias(k) for k in ("h", "b", "c", "gamma", "theta")), "x_min", "x_max").join(demand, "item")
+        if policy is not None:
+            rows = rows.join(policy.groupBy("item").agg(F.collect_list(F.struct("x", "y")).alias("policy")), "item")
+        if start is not None:
+            rows = rows.join(start.groupBy("item").agg(F.collect_list(F.struct("x", "value")).alias("start")), "item")
+        rows = rows.withColumns({k: F.lit(None).cast(t) for k, t in (("policy", "array<struct<x:int,y:int>>"), ("start", "array<struct<x:int,value:double>>")) if k not in rows.columns})
+        return materialize(rows.mapInArrow(solver(kind, self.span, most, most_sweeps), SOLVED_DDL), "solved")
 
     def zero(self) -> DataFrame:
         return self.states.select("item", "x", F.lit(0.0).alias("value"))
@@ -77,39 +104,25 @@ def value_range(v: DataFrame) -> DataFrame:
     return v.groupBy("item").agg(F.min("value").alias("low"), F.max("value").alias("high"))
 
 
-def _until_converged(model: Model, start: DataFrame, sweep, most: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with sweeps and converged, history of item, sweep, delta) of repeated sweeps over open items."""
-    v = start
-    done, history = [], []
-    theta = model.params.select("item", "theta")
-    for k in range(1, most + 1):
-        new = sweep(v)
-        delta = sweep_delta(new, v).join(theta, "item").select("item", "delta", (F.col("delta") < F.col("theta")).alias("closed"))
-        now = materialize(new.join(delta, "item"), "sweep")
-        history.append(now.select("item", F.lit(k).alias("sweep"), "delta").distinct())
-        closed = now.filter("closed") if k < most else now
-        done.append(closed.select(*new.columns, F.lit(k).alias("sweeps"), F.col("closed").alias("converged")))
-        if k == most:
-            break
-        v = now.filter("not closed").select(*new.columns)
-        if v.isEmpty():
-            break
-    out, hist = done[0], history[0]
-    for a, b in zip(done[1:], history[1:], strict=True):
-        out, hist = out.unionByName(a), hist.unionByName(b)
-    return out, hist
+def _by_state(solved: DataFrame, rounds: str, done: str) -> DataFrame:
+    return solved.select("item", F.explode("states").alias("s"), F.col("rounds").alias(rounds), F.col("done").alias(done)).select("item", "s.*", rounds, done)
+
+
+def _changes(solved: DataFrame) -> DataFrame:
+    """item, sweep, delta."""
+    return solved.select("item", F.posexplode("changes").alias("at", "delta")).select("item", (F.col("at") + 1).alias("sweep"), "delta")
 
 
 def value_iteration(model: Model, max_sweeps: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(item, x, value, y, sweeps, converged; item, sweep, delta), each item until its change is under theta."""
-    start = model.zero().withColumn("y", F.lit(0))
-    return _until_converged(model, start, lambda v: model.backup(v), max_sweeps)
+    solved = model.solved("values", max_sweeps)
+    return _by_state(solved, "sweeps", "converged"), _changes(solved)
 
 
 def policy_evaluation(model: Model, policy: DataFrame, start: DataFrame | None = None, max_sweeps: int = 100) -> tuple[DataFrame, DataFrame]:
     """(item, x, value, sweeps, converged; history) of a fixed policy."""
-    v = model.zero() if start is None else start.select("item", "x", "value")
-    return _until_converged(model, v, lambda v: model.evaluate_once(policy, v), max_sweeps)
+    solved = model.solved("policy", max_sweeps, policy=policy, start=start)
+    return _by_state(solved, "sweeps", "converged").drop("y"), _changes(solved)
 
 
 def policy_improvement(model: Model, v: DataFrame, policy: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,19 +134,4 @@ def policy_improvement(model: Model, v: DataFrame, policy: DataFrame) -> tuple[D
 def policy_iteration(model: Model, policy: DataFrame | None = None, pmf: DataFrame | None = None, max_iter: int = 100, max_sweeps: int = 100) -> DataFrame:
     """item, x, y, value, iterations, stable; values carry over between iterations, and items with a stable policy stop."""
     policy = initial_policy(model.states, pmf) if policy is None else policy
-    policy, v, done = materialize(policy.select("item", "x", "y"), "policy"), model.zero(), []
-    for k in range(1, max_iter + 1):
-        new_v, _ = policy_evaluation(model, policy, v, max_sweeps)
-        new_v = materialize(new_v.select("item", "x", "value"), "evaluated")
-        better, change = policy_improvement(model, new_v, policy)
-        now = materialize(better.join(new_v, ["item", "x"]).join(change, "item"), "improved")
-        closed = now.filter("stable") if k < max_iter else now
-        done.append(closed.select("item", "x", "y", "value", F.lit(k).alias("iterations"), "stable"))
-        rest = now.filter("not stable")
-        if k == max_iter or rest.isEmpty():
-            break
-        policy, v = rest.select("item", "x", "y"), rest.select("item", "x", "value")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    return _by_state(model.solved("iterate", max_iter, max_sweeps, policy=policy), "iterations", "stable")

@@ -55,14 +55,25 @@ def test_value_iteration_stops_each_item_where_it_would_alone(model):
 
 
 def test_golden_values_of_the_default_instance(spark):
-    """gamma 0.95: V(x <= 4) after k sweeps is -40 (1 - 0.95^k), and the policy is to order up to 4."""
-    params = spark.createDataFrame([(1, 1.0, 9.0, 0.0, 0.95, 1e-4, -2, 8)], PARAMS)
-    pmf = spark.createDataFrame([(1, d, 0.2) for d in range(5)], "item long, d int, p double")
-    out, _ = P.value_iteration(P.Model(params, pmf), 8)
-    got = {r.x: r for r in out.collect()}
-    assert abs(got[0].value + 40 * (1 - 0.95**8)) < 1e-9
+    """gamma 0.95: V(x <= 4) after k sweeps is -40 (1 - 0.95^k), the policy is to order up to 4, and it stops at sweep 195."""
+    params = spark.createDataFrame([(1, 1.0, 9.0, 0.0, 0.95, 1e-4, -2, 8), (2, 1.0, 9.0, 0.0, 0.95, 1e-4, 0, 3)], PARAMS)
+    pmf = spark.createDataFrame([(i, d, 0.2) for i in (1, 2) for d in range(5)], "item long, d int, p double")
+    model = P.Model(params, pmf)
+    eight = {r.x: r for r in P.value_iteration(model, 8)[0].filter("item = 1").collect()}
+    assert abs(eight[0].value + 40 * (1 - 0.95**8)) < 1e-9 and not eight[0].converged
+    out, history = P.value_iteration(model)
+    got = {r.x: r for r in out.filter("item = 1").collect()}
     assert [got[x].y for x in range(-2, 9)] == [4] * 7 + [5, 6, 7, 8]
-    assert not got[0].converged
+    assert [round(got[x].value, 4) for x in (-2, 4, 5, 6, 7, 8)] == [-39.9982, -39.9982, -41.2328, -42.7569, -44.6386, -46.9616]
+    assert {(r.sweeps, r.converged) for r in got.values()} == {(195, True)} and history.filter("item = 1").count() == 195
+    assert sorted(r.x for r in out.filter("item = 2").collect()) == [0, 1, 2, 3]
+    start = model.states.select("item", "x", F.greatest("x", F.lit(4)).alias("y"))
+    found = [r for r in P.policy_iteration(model, start).filter("item = 1 and x <= 4").collect()]
+    assert {(r.iterations, r.stable, round(r.value, 4)) for r in found} == {(1, True, -39.7632)}
+    raised, _ = P.policy_evaluation(model, start, out.select("item", "x", "value"), 3)
+    assert raised.filter("item = 1 and sweeps = 1 and converged").count() == 11
+    nothing = P.value_iteration(P.Model(params.limit(0), pmf))[0]
+    assert nothing.count() == 0
 
 
 def test_policy_iteration_agrees_with_value_iteration(model, spark):
