@@ -76,7 +76,18 @@ xs AS (SELECT *, CAST(CASE WHEN last IS NULL THEN 0 ELSE greatest(x_min, least(x
 SELECT item, seq, x, greatest(x, s) AS y, d, round(-(c * (greatest(x, s) - x) + h * greatest(0, greatest(x, s) - d) + b * greatest(0, d - greatest(x, s))), 6) + 0.0 AS reward,
   greatest(x_min, least(x_max, greatest(x, s) - d)) AS x_next FROM xs"""
 
+#: A step is an item's next transition; q and n are lists of 5 states by 7 actions.
+Q_SQL = f"""WITH RECURSIVE {EPISODES}, steps AS (SELECT item, row_number() OVER (PARTITION BY item ORDER BY episode_id, t) AS k, x * 7 + y + 1 AS pos, reward, x_next FROM transitions),
+it AS (SELECT item, 0::BIGINT AS k, list_transform(range(0, 35), lambda i: 0.0::DOUBLE) AS q, list_transform(range(0, 35), lambda i: 0::BIGINT) AS n FROM (SELECT DISTINCT item FROM steps)
+  UNION ALL SELECT item, k, list_transform(range(1, 36), lambda i: CASE WHEN i = pos THEN q[i] + 0.1::DOUBLE / (1 + 0.001::DOUBLE * (n[i] + 1)) * (reward + {GAMMA} * best - q[i]) ELSE q[i] END),
+    list_transform(range(1, 36), lambda i: CASE WHEN i = pos THEN n[i] + 1 ELSE n[i] END)
+  FROM (SELECT it.item, s.k, it.q, it.n, s.pos, s.reward, list_max(it.q[s.x_next * 8 + 1 : s.x_next * 7 + 7]) AS best FROM it JOIN steps s ON s.item = it.item AND s.k = it.k + 1)),
+last AS (SELECT item, arg_max(q, k) AS q, arg_max(n, k) AS n FROM it GROUP BY item),
+pairs AS (SELECT item, unnest(range(0, 35)) AS pos, unnest(q) AS q, unnest(n) AS n FROM last)
+SELECT item, CAST(pos // 7 AS INTEGER) AS x, CAST(pos % 7 AS INTEGER) AS y, round(q, 6) + 0.0 AS q, n FROM pairs WHERE n > 0"""
+
 ORACLES = {
+    "m11_q_learning": Q_SQL,
     "m7_base_stock_backtest": _BACK,
     "m7_policy_backtest": _BACK,
     "w6_discounted_return": f"WITH {EPISODES}{_SHIFTED} SELECT item, episode_id, t, round(g, 6) + 0.0 AS g FROM returns",

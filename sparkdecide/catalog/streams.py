@@ -46,10 +46,11 @@ def _last(spark: SparkSession, out: DataFrame) -> DataFrame:
 
 
 def _assigned(s, d):
-    stats = B.arm_stats(I.log(s, d))
+    """Arms for a stream of requests by the statistics that the newest batch of another stream has left."""
+    newest = _last(s, S.stream_arm_stats(_stream(s, I.log(s, d))))
     path = new_path(s, "assigned")
     requests = _stream(s, Q._requests(s, d))
-    w = S.stream_assign(requests, lambda: stats, lambda r, st: B.epsilon_greedy_assign(r, st, 0.1, 5), path)
+    w = S.stream_assign(requests, lambda: newest, lambda r, st: B.epsilon_greedy_assign(r, st, 0.1, 5), path)
     w.option("checkpointLocation", new_path(s, "offsets")).trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(path).drop("batch")
 
@@ -90,6 +91,7 @@ ORACLES = {
     "r1_stream_arm_stats": f"WITH {LOG} SELECT context, arm, count(*) AS n, round(avg(reward), 6) + 0.0 AS q FROM log GROUP BY context, arm",
     "r2_stream_beta_posterior": f"WITH {LOG} SELECT context, arm, 1.0::DOUBLE + sum(reward) AS alpha, 1.0::DOUBLE + sum(1 - reward) AS beta FROM log GROUP BY context, arm",
     "r3_stream_assign": Q.ORACLES["b1_epsilon_greedy"],
+    "r4_stream_q_learning": L.Q_SQL,
     "r4_stream_visit_counts": f"WITH {I.EPISODES} SELECT item, x, y, count(*) AS n FROM transitions GROUP BY ALL",
     "r5_stream_regret": f"WITH {LOG}{PROBS}{RUNS} SELECT alg, count(*) AS steps, round(sum(regret), 6) + 0.0 AS regret, CAST(sum(reward) AS BIGINT) AS reward, round(100 * avg(optimal), 6) + 0.0 AS pct_optimal FROM truth GROUP BY alg",
     "s9_write_results": f"WITH {LOG}, g AS (SELECT c.run, a.arm FROM (SELECT DISTINCT run FROM log) c CROSS JOIN (SELECT DISTINCT arm FROM log) a) SELECT g.run, g.arm, count(l.reward) AS n, round(coalesce(avg(l.reward), 0.0), 6) + 0.0 AS q FROM g LEFT JOIN log l ON l.run = g.run AND l.arm = g.arm GROUP BY g.run, g.arm",

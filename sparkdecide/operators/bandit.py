@@ -80,12 +80,37 @@ def epsilon_greedy_assign(requests: DataFrame, stats: DataFrame, eps: float = 0.
     return rows.select("request_id", "context", F.when(explored, F.element_at("arms", place + 1)).otherwise(F.col("greedy")).alias("arm"), explored.cast("int").alias("explored"))
 
 
+def _uniforms(keys: np.ndarray, draw: int, seed: int) -> np.ndarray:
+    """Numbers in (0, 1) from hashes of key, draw and seed."""
+    x = keys + np.uint64((0x9E3779B97F4A7C15 * (draw + 1) + 0xD1B54A32D192ED03 * seed) & (1 << 64) - 1)
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(times)
+    return ((x ^ x >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 0.5 / (1 << 53)
+
+
+def _gammas(keys: np.ndarray, shape: np.ndarray, seed: int) -> np.ndarray:
+    """A draw of Gamma(shape, 1) for each key, shapes of 1 or more: cubes of normal numbers, accepted or drawn again together."""
+    d = shape - 1 / 3
+    out, open_, k = np.empty(len(keys)), np.arange(len(keys)), 0
+    while len(open_):
+        u, w, accept = (_uniforms(keys[open_], 3 * k + i, seed) for i in range(3))
+        z = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * w)
+        v = (1 + z / np.sqrt(9 * d[open_])) ** 3
+        good = v > 0
+        good[good] = np.log(accept[good]) < 0.5 * z[good] ** 2 + d[open_][good] * (1 - v[good] + np.log(v[good]))
+        out[open_[good]] = d[open_[good]] * v[good]
+        open_, k = open_[~good], k + 1
+    return out
+
+
 def beta_sample(key: Column, alpha: Column, beta: Column, seed: int = 1) -> Column:
-    """A draw of Beta(alpha, beta) for each row that depends on its key and the seed, not on partitions."""
+    """A draw of Beta(alpha, beta), both 1 or more, for each row that depends on its key and the seed, not on partitions."""
 
     @F.pandas_udf("double")
     def draw(k: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng([seed, int(i) & 0x7FFFFFFFFFFFFFFF]).beta(x, y) for i, x, y in zip(k, a, b, strict=True)])
+        keys = k.to_numpy(np.int64).view(np.uint64)
+        x, y = _gammas(keys, a.to_numpy(np.float64), 2 * seed), _gammas(keys, b.to_numpy(np.float64), 2 * seed + 1)
+        return pd.Series(x / (x + y))
 
     return draw(key, alpha, beta)
 
@@ -97,18 +122,30 @@ def thompson_assign(requests: DataFrame, posterior: DataFrame, seed: int = 1) ->
     return greedy_pick(rows.withColumn("score", beta_sample(key, F.col("alpha"), F.col("beta"), seed)), ["request_id", "context"])
 
 
-def running_arm_stats(log: DataFrame, by: list[str] | None = None) -> DataFrame:
+#: Decisions of a block whose running sums one window takes.
+BLOCK = 1 << 14
+
+
+def running_arm_stats(log: DataFrame, by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """step, by, arm, chosen, n, q, t, alpha, beta before each decision, a row for each arm.
 
-    Arms of one decision stand beside it, so the rows are log x arms; partitions are by
-    context and arm. t counts the coming choice.
+    Arms of one decision stand beside it, so the rows are log x arms. Running sums are taken in two
+    levels: inside blocks of ``block`` consecutive step numbers, and over the blocks' totals, one row for
+    each block and arm; so a context that holds most of the log is spread over its blocks. t counts the
+    coming choice.
     """
     by = ["context"] if by is None else by
     arms = log.agg(F.sort_array(F.collect_set("arm")).alias("arms"))
-    rows = log.select("step", *by, F.col("arm").alias("chosen"), "reward").crossJoin(F.broadcast(arms)).select("step", *by, "chosen", "reward", F.explode("arms").alias("arm"))
-    before = Window.partitionBy(*by, "arm").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    rows = log.select("step", *by, F.col("arm").alias("chosen"), "reward", F.floor(F.col("step") / block).alias("_block"))
+    rows = rows.crossJoin(F.broadcast(arms)).select("*", F.explode("arms").alias("arm")).drop("arms")
     hit = (F.col("arm") == F.col("chosen")).cast("long")
-    n, s, t = (F.coalesce(F.sum(x).over(before), F.lit(0)) for x in (hit, hit * F.col("reward"), F.lit(1)))
+    sums = {"n": hit, "s": hit * F.col("reward"), "t": F.lit(1)}
+    totals = rows.groupBy(*by, "arm", "_block").agg(*(F.sum(x).alias(f"_{k}") for k, x in sums.items()))
+    blocks = Window.partitionBy(*by, "arm").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = totals.select(*by, "arm", "_block", *(F.coalesce(F.sum(f"_{k}").over(blocks), F.lit(0)).alias(f"_{k}") for k in sums))
+    inside = Window.partitionBy(*by, "arm", "_block").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({k: F.coalesce(F.sum(x).over(inside), F.lit(0)) for k, x in sums.items()}).join(earlier, [*by, "arm", "_block"])
+    n, s, t = (F.col(k) + F.col(f"_{k}") for k in ("n", "s", "t"))
     rows = rows.select("step", *by, "arm", "chosen", n.alias("n"), s.alias("s"), (t + 1).alias("t"))
     return rows.select("step", *by, "arm", "chosen", "n", F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0).alias("q"), "t", (1.0 + F.col("s")).alias("alpha"), (1.0 + F.col("n") - F.col("s")).alias("beta"))
 

@@ -7,6 +7,7 @@ its own; a single endless episode stays serial, many episodes run in parallel.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -69,21 +70,27 @@ def discounted_return(episodes: DataFrame, gamma: float = 0.95, convention: str
     standard: g_t = r_t + gamma * g_(t+1), the terminal value after the last step.
     shifted: as the inventory evaluation counts it: at the last step T, r_T + gamma * r_(T+1)
     with the terminal value as r_(T+1), before that r_(t+1) + gamma * g_(t+1).
+    A null reward counts as 0. An episode's steps stay in one row.
     """
     keys = ["item", "episode_id"] if keys is None else keys
     rows = episodes if terminal is None else episodes.join(terminal, keys, "left")
-    end = F.coalesce(F.col("terminal").cast("double"), F.lit(0.0)) if terminal is not None else F.lit(0.0)
-    by = Window.partitionBy(*keys).orderBy("t")
-    last = F.lead("t").over(by).isNull()
-    # what each step adds, so that g is a plain discounted sum to the end
-    if convention == "standard":
-        part = F.col("reward") + F.when(last, gamma * end).otherwise(0.0)
-    else:
-        part = F.when(last, F.col("reward") + gamma * end).otherwise(F.lead("reward").over(by))
-    rows = rows.withColumn("_part", part)
-    ahead = by.rowsBetween(0, Window.unboundedFollowing)
-    fold = F.aggregate(F.reverse(F.collect_list("_part").over(ahead)), F.lit(0.0), lambda acc, r: r + F.lit(gamma) * acc)
-    return rows.withColumn("g", fold).select(*episodes.columns, "g")
+    end = F.coalesce(F.max("terminal").cast("double"), F.lit(0.0)) if terminal is not None else F.lit(0.0)
+    step = F.struct("t", *(F.col(c) for c in episodes.columns if c not in (*keys, "t")))
+    whole = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(step)).alias("_steps"), end.alias("_end"))
+    rewards = F.transform("_steps", lambda s: F.coalesce(s["reward"].cast("double"), F.lit(0.0)))
+
+    def fold(rewards: pa.Array, ends: pa.Array) -> pa.Array:
+        out = []
+        for r, last in zip(rewards.to_pylist(), ends.to_pylist(), strict=True):
+            # what each step adds, so that g is a plain discounted sum to the end
+            parts = [*r[:-1], r[-1] + gamma * last] if convention == "standard" else [*r[1:], r[-1] + gamma * last]
+            out.append([*accumulate(reversed(parts), lambda g, part: part + gamma * g)][::-1])
+        return pa.array(out, pa.list_(pa.float64()))
+
+    # one pass from an episode's end to its start gives the returns of all its steps
+    g = F.arrow_udf(fold, "array<double>")(rewards, F.col("_end").cast("double"))
+    paired = F.explode(F.arrays_zip(F.col("_steps").alias("s"), F.col("_g").alias("g"))).alias("_r")
+    return whole.withColumn("_g", g).select(*keys, paired).select(*keys, "_r.s.*", F.col("_r.g").alias("g")).select(*episodes.columns, "g")
 
 
 def visit_filter(returns: DataFrame, visit: str = "last", keys: list[str] | None = None) -> DataFrame:

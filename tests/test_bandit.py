@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkdecide.operators import bandit as B
@@ -32,9 +33,10 @@ def test_statistics_fit_together(spark):
         assert r.alpha + r.beta - 2 == r.n
 
 
-def test_running_statistics_by_hand(spark):
+@pytest.mark.parametrize("block", [7, B.BLOCK])
+def test_running_statistics_by_hand(spark, block):
     rows = [tuple(r) for r in some_log(spark, 60).select("step", "context", "arm", "reward").collect()]
-    got = {(r.step, r.arm): (r.n, round(r.q, 9), r.t) for r in B.running_arm_stats(some_log(spark, 60)).collect()}
+    got = {(r.step, r.arm): (r.n, round(r.q, 9), r.t) for r in B.running_arm_stats(some_log(spark, 60), block=block).collect()}
     for step, context, _, _ in rows:
         before = [x for x in rows if x[0] < step and x[1] == context]
         for arm in range(3):
@@ -84,3 +86,10 @@ def test_smoothing(spark):
 def test_empty_log(spark):
     none = spark.createDataFrame([], LOG)
     assert B.arm_stats(none).count() == B.beta_posterior(none).count() == B.policy_audit(none).count() == 0
+
+
+def test_beta_draws_have_their_mean_and_spread(spark):
+    for a, b in ((1.0, 1.0), (3.0, 9.0), (400.0, 100.0)):
+        r = spark.range(20000).select(B.beta_sample(F.xxhash64("id"), F.lit(a), F.lit(b), 4).alias("x")).agg(F.avg("x"), F.variance("x"), F.min("x"), F.max("x")).first()
+        var = a * b / ((a + b) ** 2 * (a + b + 1))
+        assert abs(r[0] - a / (a + b)) < 5 * (var / 20000) ** 0.5 and abs(r[1] / var - 1) < 0.1 and 0 < r[2] < r[3] < 1
