@@ -240,8 +240,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, share: float = 0.5, consis
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), "text")
     known = materialize(items.mapInArrow(_window_rows(None, None), WINDOW_DDL), "templates")
     bits = np.zeros(1 << BITS, bool)
-    places = known.select(F.shiftrightunsigned("hash", 64 - BITS).alias("bit")).distinct().collect()  # 2**BITS at most
-    bits[[r[0] for r in places]] = True
+    places = known.select(F.shiftrightunsigned("hash", 64 - BITS).alias("bit")).distinct().toArrow()["bit"]  # 2**BITS long integers at most
+    bits[places.to_numpy()] = True
     sizes = sorted((r[0], r[1]) for r in known.select("size", "form").distinct().collect())  # those of _all_sizes at most
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     found = docs.mapInArrow(_window_rows(sizes, np.packbits(bits).tobytes()), WINDOW_DDL)
