@@ -130,7 +130,7 @@ QUERIES = {
     "p3_nearest_known": lambda s, d: V.nearest_known(I.states(s, d), _known_states(s, d)),
     "p5_base_stock_level": _levels,
     "p9_strided_rows": lambda s, d: strided_rows(I.history(s, d).select("item", "seq", "d"), ["item"], "seq", 10),
-    "l2_value_lookup": lambda s, d: rounded(V.value_lookup(G.action_grid(I.states(s, d).filter("x % 3 = 0"), 4), I.states(s, d).select("item", "x", (F.col("x") * F.col("x") * 0.5).alias("value")), "y"), "value"),
+    "l2_value_lookup": lambda s, d: rounded(V.value_lookup(G.action_grid(I.states(s, d), 4), I.states(s, d).select("item", "x", (F.col("x") * F.col("x") * 0.5).alias("value")), "y"), "value"),
     "l3_policy_lookup": lambda s, d: V.policy_lookup(_costs(s, d).select("item", "seq", F.col("x_next").alias("x")), _start_policy(s, d)),
     "l4_demand_cross": lambda s, d: rounded(V.demand_cross(I.states(s, d).select("item", F.col("x").alias("y")), I.pmf(s, d)), "p"),
     "a6_expected_cost": lambda s, d: rounded(V.expected_cost(I.states(s, d).select("item", F.col("x").alias("y")), I.pmf(s, d), I.params(s, d)), "cost"),
@@ -190,7 +190,7 @@ ORACLES = {
     "p3_nearest_known": f"WITH {PARAMS}{HISTORY}, known AS (SELECT DISTINCT item, d * 3 - 4 AS k FROM history) SELECT s.item, s.x, k.k AS nearest FROM states s LEFT JOIN known k ON k.item = s.item QUALIFY row_number() OVER (PARTITION BY s.item, s.x ORDER BY abs(s.x - k.k), k.k) = 1",
     "p5_base_stock_level": f"WITH {PARAMS}{_ENDS} SELECT item, s FROM levels",
     "p9_strided_rows": f"WITH {PARAMS}{HISTORY} SELECT item, seq, d FROM history QUALIFY (row_number() OVER (PARTITION BY item ORDER BY seq) - 1) % greatest(1, count(*) OVER (PARTITION BY item) // 10) = 0",
-    "l2_value_lookup": f"WITH {PARAMS}{_HALF}, a AS (SELECT item, x, CAST(unnest(range(x, x + 5)) AS INTEGER) AS y FROM states WHERE x % 3 = 0) SELECT a.item, a.x, a.y, round(h.value, 6) + 0.0 AS value FROM a JOIN half h ON h.item = a.item AND h.x = greatest(-2, least(8, a.y))",
+    "l2_value_lookup": f"WITH {PARAMS}{_HALF}, a AS (SELECT item, x, CAST(unnest(range(x, x + 5)) AS INTEGER) AS y FROM states) SELECT a.item, a.x, a.y, round(h.value, 6) + 0.0 AS value FROM a JOIN half h ON h.item = a.item AND h.x = greatest(-2, least(8, a.y))",
     "l3_policy_lookup": f"WITH {PARAMS}{HISTORY}{_PER}{_ENDS}, n AS (SELECT item, seq, greatest(x_min, least(x_max, y - d)) AS x FROM costs) SELECT n.item, n.seq, n.x, s.y FROM n LEFT JOIN start s USING (item, x)",
     "l4_demand_cross": f"WITH {PARAMS} SELECT s.item, s.x AS y, d, round(p, 6) + 0.0 AS p FROM states s JOIN pmf USING (item)",
     "a6_expected_cost": f"WITH {PARAMS} SELECT s.item, s.x AS y, round(sum(p * (h * greatest(0, s.x - d) + b * greatest(0, d - s.x))), 6) + 0.0 AS cost FROM states s JOIN pmf USING (item) JOIN params USING (item) GROUP BY s.item, s.x",
