@@ -10,8 +10,9 @@ comes from the same texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and
 rejected. Rows are independent: repeated rows give equal values. Other columns
-pass through. An empty table gives an empty table. Without labelled texts there is no
-language to choose from, and every text is ``und`` with score 0 and rejected. Texts above
+pass through. An empty table gives an empty table: fitted on one, the model knows no language,
+and every text is ``und`` with score 0 and rejected. Rows without any labelled text raise
+ValueError when fitting. Texts above
 ``max_bytes`` are not in the sample that is learned from; their languages are predicted.
 """
 
@@ -141,6 +142,8 @@ def fit(labelled: DataFrame, *, per_lang: int = 700, max_bytes: int = 1 << 17, s
     known = labelled.filter(F.col("lang").isNotNull() & (F.octet_length("text") <= max_bytes)).select("doc_id", "text", "lang")
     rows = sampled(known, "lang", per_lang, seed).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text").collect()
     if not rows:
+        if not labelled.isEmpty():
+            raise ValueError("no labelled texts to learn languages from")
         return Model([], np.zeros((1, 1), np.float32), np.zeros(0))
     return train([r.text for r in rows], [r.lang for r in rows])
 
