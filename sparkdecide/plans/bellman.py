@@ -60,6 +60,8 @@ class Model:
         if start is not None:
             rows = rows.join(start.groupBy("item").agg(F.collect_list(F.struct("x", "value")).alias("start")), "item")
         rows = rows.withColumns({k: F.lit(None).cast(t) for k, t in (("policy", "array<struct<x:int,y:int>>"), ("start", "array<struct<x:int,value:double>>")) if k not in rows.columns})
+        # few bytes, much work: as many tasks as there are shuffle partitions, however small they are
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("item"))
         return materialize(rows.mapInArrow(solver(kind, self.span, most, most_sweeps), SOLVED_DDL), "solved")
 
     def zero(self) -> DataFrame:
