@@ -2,13 +2,16 @@
 
 A page is a stream of tags and texts, nested by its tags. A wrapper starts as the stream
 of one page; each further page of the host is aligned with it, level by level. Equal
-neighbours become a repeated group, what only one side has becomes optional, and texts
-become slots, which remember how much text and how much of it in links they have seen.
+neighbours become a repeated group and what only one side has becomes optional. Each group
+remembers how many pages have it, how much text and how much of it in links it has seen,
+and whether its text was always the same: then it is part of the template, otherwise a slot.
 In the finished wrapper the groups are marked as main text or as frame (menus, headers,
 footers, sidebars, notices, adverts, forms, comments), by their tags and names, by the
 article or main groups, and by the share of links on pages without any. An article or
 main group is main text if on at least half of the pages that have it, it has a fifth
-or more of the text of the page's largest one.
+or more of the text of the page's largest one. Template text is frame too, whatever its
+name: a group outside of repeated groups, in a main group (or a page) whose whole text differs,
+with the same text on TEMPLATE pages or more and on half of those that have the group around it.
 
 Wrappers are fitted on all pages of a host: pages with one skeleton (tags, names and
 quantities) are summed up first, and each skeleton is merged once. Pages are then read
@@ -18,7 +21,9 @@ Names that differ from page to page are left out: digits, ids without a meaning
 rules, and all such names of html, body, article and main.
 
 Defined results: null or empty html gives an empty text; a page without a host has
-no wrapper and is read by the rules alone. Unclosed tags end where HTML ends them.
+no wrapper and is read by the rules alone. Unclosed tags end where HTML ends them. From a
+tag on whose quotes never end, tags end at their first >; a tag without any takes the rest.
+Pages nest as deeply as they like, and lists of siblings are aligned in bit vectors.
 Rows are independent given the wrappers; repeated rows give equal texts. An empty
 table gives an empty table. Other columns are not read.
 """
@@ -27,13 +32,15 @@ from __future__ import annotations
 
 import html
 import re
-import sys
-from array import array
-from collections.abc import Iterator
-from functools import lru_cache
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,19 +62,40 @@ MAIN_NAMES = frozenset("article articlebody content entry main maincontent post
 
 #: Tasks that the skeletons of one host are first merged in.
 PARTS = 32
-# pages nest as deeply as they like
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
+#: Pages of a host with the same text in a group, for it to be part of the template.
+TEMPLATE = 5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[a-zA-Z/!?])[^<]*\Z", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "children", "size")
+    __slots__ = ("tag", "name", "children", "size", "digest")
 
     def __init__(self, tag: str, name: str = ""):
-        self.tag, self.name, self.children, self.size = tag, name, [], 0
+        self.tag, self.name, self.children, self.size, self.digest = tag, name, [], 0, 0
+
+
+def unrolled(f: Callable) -> Callable:
+    """A recursive function written as a generator, which yields the arguments of its inner calls."""
+
+    @wraps(f)
+    def run(*args: object) -> object:
+        calls, value = [f(*args)], None
+        while calls:
+            try:
+                inner = calls[-1].send(value)
+            except StopIteration as end:
+                calls.pop()
+                value = end.value
+            else:
+                calls.append(f(*inner))
+                value = None
+        return value
+
+    return run
 
 
 @lru_cache(maxsize=1 << 16)
@@ -92,44 +120,62 @@ def _is_main_name(word: str) -> bool:
 def parse(page: str) -> Node:
     """The page's stream, nested; texts are str children, with character references decoded."""
     root = Node("#root")
-    stack, at, n = [root], 0, len(page)
+    stack, opened, at, n, quotes = [root], Counter(), 0, len(page), True
 
     def put(text: str) -> None:
         if text:
             stack[-1].children.append(html.unescape(text))
 
+    def close(k: int) -> None:
+        opened.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
+        lt = page.find("<", at)
+        if lt < 0:
             put(page[at:])
             break
-        put(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        if page.startswith(("<!", "<?"), lt):
+            put(page[at:lt])
+            comment = page.startswith("<!--", lt)
+            end = page.find("-->", lt + 4) if comment else page.find(">", lt)
+            at = n if end < 0 else end + (3 if comment else 1)
             continue
+        m = _NAME.match(page, lt + 1)
+        if not m:
+            put(page[at : lt + 1])
+            at = lt + 1
+            continue
+        put(page[at:lt])
+        rest = _REST.match(page, m.end()) if quotes else None
+        quotes = rest is not None
+        end = rest.end() if rest else page.find(">", m.end()) + 1
+        if not end:
+            break
+        at, tag, attributes = end, m[2].lower(), page[m.end() : end - 1]
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPE and tag in INLINE:
                     break
             continue
-        close = ENDS.get(tag, ()) or (("p",) if tag in ENDS_P else ())
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in close:
-                del stack[k:]
+        ends = ENDS.get(tag, ()) or (("p",) if tag in ENDS_P else ())
+        for k in range(len(stack) - 1, 0, -1) if any(opened[e] for e in ends) else ():
+            if stack[k].tag in ends:
+                close(k)
                 break
             if stack[k].tag in SCOPE:
                 break
-        node = Node(tag, named(tag, m[3]) if m[3] else "")
+        node = Node(tag, named(tag, attributes) if attributes else "")
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
+            raw = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = raw.end() if raw else n
+        elif tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
@@ -137,37 +183,54 @@ def sign(node: Node | str) -> str:
     return "#" if isinstance(node, str) else f"{node.tag}.{node.name}"
 
 
-def wrapper_of(node: Node, in_link: bool = False) -> dict:
+def _digest(data: str | bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) >> 1 | 1
+
+
+def wrapper_of(root: Node) -> dict:
     """The stream of one page as a wrapper, with equal neighbours made one repeated group.
 
     s: sign; q: "1", "?", "+" or "*"; t, l: characters of text seen, and those in links; n, k: pages
-    that have it as a main region with text, and those that take it as main text; c: inner items.
+    that have it as a main region with text, and those that take it as main text; p: pages that have
+    it; lo, hi: the lowest and the highest digest of its text; c: inner items.
     """
-    in_link = in_link or node.tag == "a"
-    items: list[dict] = []
-    for child in node.children:
-        if isinstance(child, str):
-            size = len("".join(child.split()))
-            if not size:
-                continue
-            item = _item("#", size, size * in_link, [])
-        elif child.tag in INLINE and child.tag != "a":
-            continue_in = wrapper_of(child, in_link)
-            item = _item("#", continue_in["t"], continue_in["l"], [])
-            if not item["t"]:
-                continue
-        else:
-            item = wrapper_of(child, in_link)
-        if items and items[-1]["s"] == item["s"]:
-            items[-1] = merged(items[-1], item) | {"q": "+"}
-        else:
-            items.append(item)
-    node.size = sum(i["t"] for i in items)
-    return _item(sign(node), node.size, sum(i["l"] for i in items), items)
+    order, work = [], [(root, False)]
+    while work:
+        node, in_link = work.pop()
+        in_link = in_link or node.tag == "a"
+        order.append((node, in_link))
+        work.extend((c, in_link) for c in node.children if not isinstance(c, str))
+    done: dict[int, dict] = {}
+    for node, in_link in reversed(order):
+        items: list[dict] = []
+        seen: list[int] = []
+        for child in node.children:
+            if isinstance(child, str):
+                words = child.split()
+                if not words:
+                    continue
+                size = sum(map(len, words))
+                item = _item("#", size, size * in_link, _digest(" ".join(words)), [])
+            else:
+                item = done.pop(id(child))
+                if child.tag in INLINE and child.tag != "a":
+                    if not item["t"]:
+                        continue
+                    item = _item("#", item["t"], item["l"], child.digest, [])
+            if item["t"]:
+                seen.append(item["lo"] if isinstance(child, str) else child.digest)
+            if items and items[-1]["s"] == item["s"]:
+                items[-1] = merged(items[-1], item) | {"q": "+"}
+            else:
+                items.append(item)
+        node.size = sum(i["t"] for i in items)
+        node.digest = _digest(np.array(seen, np.int64).tobytes()) if seen else 0
+        done[id(node)] = _item(sign(node), node.size, sum(i["l"] for i in items), node.digest, items)
+    return done[id(root)]
 
 
-def _item(s: str, t: int, l: int, c: list[dict]) -> dict:  # noqa: E741
-    return {"s": s, "q": "1", "t": t, "l": l, "n": 0, "k": 0, "c": c}
+def _item(s: str, t: int, l: int, digest: int, c: list[dict]) -> dict:  # noqa: E741
+    return {"s": s, "q": "1", "t": t, "l": l, "n": 0, "k": 0, "p": 1, "lo": digest, "hi": digest, "c": c}
 
 
 def regions(wrapper: dict) -> list[dict]:
@@ -206,24 +269,69 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
     if (whole := _embedded(a, b)) is not None:
         by = {j: i for i, j in enumerate(whole)}
         return [(by.get(j), j) for j in range(len(b))]
-    best = [array("I", bytes(4 * (len(b) + 1))) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append((i, None))
-            i += 1
-        else:
-            out.append((None, j))
-            j += 1
+    common = set(a) & set(b)
+    left, right = [i for i, x in enumerate(a) if x in common], [j for j, x in enumerate(b) if x in common]
+    out: list[tuple[int | None, int | None]] = []
+    i = j = 0
+    for u, v in (*_matches([a[i] for i in left], [b[j] for j in right]), (len(left), len(right))):
+        to_i, to_j = left[u] if u < len(left) else len(a), right[v] if v < len(right) else len(b)
+        out += ((k, None) for k in range(i, to_i))
+        out += ((None, k) for k in range(j, to_j))
+        if to_i < len(a) and u < len(left):
+            out.append((to_i, to_j))
+        i, j = to_i + 1, to_j + 1
     return out
 
 
+def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence.
+
+    A row of the table is one integer: bit j is 0 where the length grows from b[:j] to b[: j + 1].
+    Rows are kept at the starts of blocks and made again for one block at a time on the way back.
+    """
+    ones = (1 << len(b)) - 1
+    places: dict[str, list[int]] = defaultdict(list)
+    for j, x in enumerate(b):
+        places[x].append(j)
+    masks: dict[str, int] = {}
+
+    def mask(x: str) -> int:
+        if x in masks:
+            return masks[x]
+        out = 0
+        for j in places[x]:
+            out |= 1 << j
+        if len(places[x]) > 16:  # few signs, so few masks to keep
+            masks[x] = out
+        return out
+
+    def rows(row: int, start: int, end: int) -> Iterator[int]:
+        for i in range(start, end):
+            both = row & mask(a[i])
+            row = ((row + both) | (row - both)) & ones
+            yield row
+
+    block = isqrt(len(a)) + 1
+    starts, row = [ones], ones
+    for i, row in enumerate(rows(ones, 0, len(a)), 1):  # noqa: B007
+        if i % block == 0:
+            starts.append(row)
+    out, j = [], len(b)
+    for k in range(len(starts) - 1, -1, -1):
+        start, end = k * block, min(len(a), (k + 1) * block)
+        kept = list(rows(starts[k], start, end))
+        i = end
+        while i > start and j:
+            if a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif kept[i - 1 - start] >> (j - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
+    return out[::-1]
+
+
 def _embedded(few: list[str], many: list[str]) -> list[int] | None:
     """Places in ``many`` of all of ``few``, in order, if they are there."""
     out, at = [], 0
@@ -238,18 +346,36 @@ def _embedded(few: list[str], many: list[str]) -> list[int] | None:
 
 def merged(a: dict, b: dict) -> dict:
     """Two groups of one sign as one: a mismatch becomes optional, a repetition stays one."""
+    return _merged(a, b) if a["c"] or b["c"] else _joined(a, b, [])
+
+
+def _joined(a: dict, b: dict, items: list[dict]) -> dict:
+    return {
+        "s": a["s"],
+        "q": _quantity(a["q"], b["q"]),
+        **{k: a[k] + b[k] for k in "tlnkp"},
+        "lo": min(a["lo"], b["lo"]),
+        "hi": max(a["hi"], b["hi"]),
+        "c": items,
+    }
+
+
+@unrolled
+def _merged(a: dict, b: dict) -> Iterator:
     items = []
     for i, j in aligned([x["s"] for x in a["c"]], [x["s"] for x in b["c"]]):
         if i is None or j is None:
             one = a["c"][i] if j is None else b["c"][j]
             item = one | {"q": _quantity(one["q"], "?")}
         else:
-            item = merged(a["c"][i], b["c"][j])
+            x, y = a["c"][i], b["c"][j]
+            item = (yield x, y) if x["c"] or y["c"] else _joined(x, y, [])
         if items and items[-1]["s"] == item["s"]:
-            items[-1] = merged(items[-1], item) | {"q": "*" if "?" in items[-1]["q"] + item["q"] else "+"}
+            q = "*" if "?" in items[-1]["q"] + item["q"] else "+"
+            items[-1] = (yield items[-1], item) | {"q": q}
         else:
             items.append(item)
-    return {"s": a["s"], "q": _quantity(a["q"], b["q"]), "t": a["t"] + b["t"], "l": a["l"] + b["l"], "n": a["n"] + b["n"], "k": a["k"] + b["k"], "c": items}
+    return _joined(a, b, items)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -276,19 +402,33 @@ def marked(wrapper: dict) -> dict:
     """The wrapper with marks: m by its main regions, a by the share of links, for pages without main regions.
 
     IN is main text, OUT is frame with all that is inside, OPEN is neither (it may hold main regions).
+    x says for which of the two (1 for m, 2 for a) a group is template text, and h its digest in hexadecimal.
     """
     chosen = {id(r) for r in regions(wrapper) if r["n"] and 2 * r["k"] >= r["n"]}
+    whole = ("#root.", "html.", "body.")
 
-    def mark(w: dict, m: int, a: int) -> dict:
+    @unrolled
+    def mark(w: dict, m: int, a: int, x: int, most: int) -> Iterator:
+        once, same = w["q"] in "1?", w["lo"] == w["hi"]
         if is_frame(w["s"]):
             m = a = OUT
         elif id(w) in chosen:
             m = IN
-        if a and w["s"] not in ("#root.", "html.", "body.") and w["t"] and w["l"] > 0.6 * w["t"]:
+        if a and w["s"] not in whole and w["t"] and w["l"] > 0.6 * w["t"]:
             a = OUT
-        return w | {"m": m, "a": a, "c": [mark(c, m, a) for c in w["c"]]}
+        # x: around this group, what differs as a whole and is not repeated
+        template = x if once and same and w["t"] and w["s"] not in ("#", *whole) and w["p"] >= TEMPLATE and 2 * w["p"] >= most else 0
+        if id(w) in chosen:
+            template, x = template & 2, x & 2 | (1 if once and not same else 0)
+        elif w is wrapper and not same:
+            x = 2
+        x = x if once else 0
+        items = []
+        for c in w["c"]:
+            items.append((yield c, m, a, x, w["p"]))
+        return {"s": w["s"], "m": m, "a": a, "x": template, "h": f"{w['lo']:x}" if template else "", "c": items}
 
-    return mark(wrapper, OPEN, IN)
+    return mark(wrapper, OPEN, IN, 0, wrapper["p"])
 
 
 def infer(pages: list[str]) -> dict:
@@ -300,12 +440,23 @@ def infer(pages: list[str]) -> dict:
     return marked(out)
 
 
-def _find(items: list[dict], s: str, at: int) -> int | None:
+def _find(group: dict | None, s: str, at: int) -> int | None:
     """The next item of a sign, or the first if they come in another order."""
-    for k in (*range(at, len(items)), *range(min(at, len(items)))):
-        if items[k]["s"] == s:
+    items = group["c"] if group else ()
+    for k in (at, at + 1):
+        if k < len(items) and items[k]["s"] == s:
             return k
-    return None
+    if not items:
+        return None
+    if "places" not in group:
+        group["places"] = places = {}
+        for k, item in enumerate(items):
+            places.setdefault(item["s"], []).append(k)
+    found = group["places"].get(s)
+    if not found:
+        return None
+    k = bisect_left(found, at)
+    return found[k] if k < len(found) else found[0]
 
 
 def read(page: str, wrapper: dict | None = None) -> str:
@@ -345,15 +496,15 @@ def _read(root: Node, wrapper: dict | None, own: dict, mode: str) -> str:
             end()
         todo: list[tuple] = []
         at = [0, 0]
-        items = [g["c"] if g else [] for g in (group, alone)]
+        groups = (group, alone)
 
         def step(s: str) -> list[dict | None]:
             out: list[dict | None] = []
             for w in (0, 1):
-                k = _find(items[w], s, at[w])  # noqa: B023
+                k = _find(groups[w], s, at[w])  # noqa: B023
                 if k is not None and k >= at[w]:  # noqa: B023
                     at[w] = k  # noqa: B023
-                out.append(None if k is None else items[w][k])  # noqa: B023
+                out.append(None if k is None else groups[w]["c"][k])  # noqa: B023
             return out
 
         for child in node.children:
@@ -369,7 +520,8 @@ def _read(root: Node, wrapper: dict | None, own: dict, mode: str) -> str:
                 s = sign(child)
                 known, here = step(s)
                 if known is not None:
-                    mark = known[mode]
+                    same = known["x"] & (1 if mode == "m" else 2) and known["h"] == f"{child.digest:x}"
+                    mark = OUT if same else known[mode]
                 elif state == OUT or is_frame(s):
                     mark = OUT
                 elif here is not None:
@@ -394,12 +546,22 @@ def flat(wrapper: dict, keys: str) -> str:
     return "\n".join(out)
 
 
+SUMS = ("t", "l", "n", "k", "p", "lo", "hi")
+
+
+def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of two wrappers of one skeleton as one."""
+    a, b = a.reshape(-1, len(SUMS)), b.reshape(-1, len(SUMS))
+    low, high = np.minimum(a[:, 5:6], b[:, 5:6]), np.maximum(a[:, 6:], b[:, 6:])
+    return np.hstack([a[:, :5] + b[:, :5], low, high]).ravel()
+
+
 def numbers(wrapper: dict) -> list[int]:
-    """t, l, n, k of the items in the order of ``flat``."""
+    """t, l, n, k, p, lo, hi of the items in the order of ``flat``."""
     out, work = [], [wrapper]
     while work:
         w = work.pop()
-        out += (w["t"], w["l"], w["n"], w["k"])
+        out += (w[k] for k in SUMS)
         work.extend(reversed(w["c"]))
     return out
 
@@ -421,8 +583,8 @@ def nested(text: str) -> list[dict]:
 
 def of_skeleton(skeleton: str, sums: np.ndarray) -> dict:
     items = nested(skeleton)
-    for item, (t, l, n, k) in zip(items, sums.reshape(-1, 4).tolist(), strict=True):  # noqa: E741
-        item |= {"q": item.pop("v"), "t": t, "l": l, "n": n, "k": k}
+    for item, values in zip(items, sums.reshape(-1, len(SUMS)).tolist(), strict=True):
+        item |= {"q": item.pop("v"), **dict(zip(SUMS, values, strict=True))}
     return items[0]
 
 
@@ -430,8 +592,8 @@ def of_skeleton(skeleton: str, sums: np.ndarray) -> dict:
 def _wrapper(text: str) -> dict:
     items = nested(text)
     for item in items:
-        m, a = item.pop("v")
-        item |= {"m": int(m), "a": int(a)}
+        v = item.pop("v")
+        item |= {"m": int(v[0]), "a": int(v[1]), "x": int(v[2]), "h": v[3:]}
     return items[0]
 
 
@@ -446,7 +608,7 @@ def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, page in zip(b["host"].to_pylist(), b["html"].to_pylist(), strict=True):
             w = page_wrapper(parse(page))
             key, sums = (h, flat(w, "q")), np.array(numbers(w), np.int64)
-            known[key] = known[key] + sums if key in known else sums
+            known[key] = added(known[key], sums) if key in known else sums
         yield _rows([k[0] for k in known], [k[1] for k in known], list(known.values()))
 
 
@@ -466,7 +628,7 @@ def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, dict]]:
         for h, part, s, v in zip(b["host"].to_pylist(), b["part"].to_pylist(), b["skeleton"].to_pylist(), b["sums"], strict=True):
             more = v.values.to_numpy(zero_copy_only=False)
             if run == (h, part) and skeleton == s:
-                sums = sums + more
+                sums = added(sums, more)
                 continue
             if run is not None:
                 out = put()
@@ -489,7 +651,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, w in fitted(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([flat(marked(w), "ma")])], names=["host", "wrapper"])
+            yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([flat(marked(w), "maxh")])], names=["host", "wrapper"])
 
     seen = rows.mapInArrow(skeletons, schema).withColumn("part", F.pmod(F.xxhash64("skeleton"), F.lit(PARTS)))
     parts = seen.repartition("host", "part").sortWithinPartitions("host", "part", "skeleton").mapInArrow(partly, schema).withColumn("part", F.lit(0).cast("long"))

@@ -1,5 +1,7 @@
 """Main text of layouts that few pages of a host have, or that only one page has."""
 
+from itertools import combinations, product
+
 from sparkdecide.llm import html
 
 MENU = "<nav><a href=/>Home</a></nav>"
@@ -36,3 +38,49 @@ def test_op6_html_main_text_compares_regions_on_each_page(spark):
 
 def test_op6_html_main_text_deep_pages(spark):
     assert texts(spark, ["<div>" * 3000 + "deep" + "</div>" * 3000]) == ["deep"]
+
+
+def test_op6_html_main_text_template_text_is_told_by_the_host(spark):
+    def page(k, note="We value you"):
+        return f"<body>{MENU}<article><h1>Title {k}</h1><div class=x7><p>{note}</div><p>text {k}</article><div class=q2>always</div>"
+
+    pages = [page(k) for k in range(6)]
+    assert texts(spark, pages) == [f"Title {k}\n\ntext {k}" for k in range(6)]
+    # one page alone can't know it, fewer than TEMPLATE pages don't say it, another text in its place is a slot
+    assert html.read(pages[0]) == "Title 0\n\nWe value you\n\ntext 0"
+    assert texts(spark, pages[:4])[0] == "Title 0\n\nWe value you\n\ntext 0"
+    assert texts(spark, [*pages, page(6, "Other")])[0] == "Title 0\n\nWe value you\n\ntext 0"
+    # copies of one page are all the same, and stay
+    assert texts(spark, [pages[0]] * 8) == ["Title 0\n\nWe value you\n\ntext 0"] * 8
+    # pages without main groups
+    plain = [f"<body><div class=x7>We value you</div><div class=y1><p>text {k}</div>" for k in range(6)]
+    assert texts(spark, plain) == [f"text {k}" for k in range(6)]
+    # a group that few pages have, and a repeated one, are text
+    few = [f"<body><article><p>text {k}<p>more<h2>See</h2><p>end {k}</article>" for k in range(5)]
+    assert texts(spark, few + [f"<body><article><p>text {k}</article>" for k in range(9)])[0] == "text 0\n\nmore\n\nSee\n\nend 0"
+
+
+def test_op6_html_main_text_odd_pages():
+    deep = "<div>" * 5000 + "<article><p>deep</article>"
+    assert html.read(deep, html.infer([deep, deep])) == "deep"
+    one = "<article>" + "".join(f"<p class=w{'abcdefgh'[k * k % 97 % 8]}>t{k}</p>" for k in range(20_000)) + "</article>"
+    two = "<article>" + "".join(f"<p class=w{'abcdefgh'[k * k % 89 % 8]}>t{k}</p>" for k in range(20_000)) + "</article>"
+    assert html.read(one, html.infer([one, two])).count("\n\n") == 19_999
+    assert html.read("<p>x" + '<a b="y ' * 8001) == "x"
+    assert html.read("<p>1 < 2 <- 3<!" + "<!" * 8000) == "1 < 2 <- 3"
+    assert html.read('<p title="a>b">x</p><p title="open>y</p><p>z') == "x\n\ny\n\nz"
+
+
+def test_op6_html_main_text_alignment_is_a_longest_common_subsequence():
+    lists = [list(x) for n in range(5) for x in product("abc", repeat=n)][::3]
+
+    def longest(a, b):
+        subs = [{tuple(x) for n in range(len(y) + 1) for x in combinations(y, n)} for y in (a, b)]
+        return max(map(len, subs[0] & subs[1]))
+
+    for a, b in product(lists, lists):
+        pairs = html.aligned(a, b)
+        assert [i for i, _ in pairs if i is not None] == list(range(len(a)))
+        assert [j for _, j in pairs if j is not None] == list(range(len(b)))
+        both = [(i, j) for i, j in pairs if i is not None and j is not None]
+        assert all(a[i] == b[j] for i, j in both) and len(both) == longest(a, b)
