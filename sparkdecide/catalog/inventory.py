@@ -80,6 +80,15 @@ def _iterated(s, d):
     return P.policy_iteration(m, _raise_to_four(m.states))
 
 
+def _solved_instances(s, d):
+    """Every part's instance solved; equal instances are solved once, all of them together."""
+    parts = _instances(s, d)
+    kinds = parts.drop("item").distinct().withColumn("item", F.col("d_max").cast("long"))
+    params = kinds.select("item", "x_min", "x_max", *(F.lit(v).alias(k) for k, v in (("h", 1.0), ("b", 9.0), ("c", 0.0), ("gamma", 0.95), ("theta", 1e-4))))
+    solved = P.value_iteration(P.Model(params, G.instance_demand(kinds)))[0]
+    return parts.select("item", "d_max").join(solved.withColumnRenamed("item", "d_max"), "d_max")
+
+
 def _vectors(step: str) -> str:
     """CTEs m (an item's model in lists; level y stands at y + 3) and it: rows of item, k, v, delta of repeated sweeps."""
     return f"""WITH RECURSIVE {PARAMS}, m0 AS (SELECT p.item, any_value(q.h) AS h, any_value(q.b) AS b, any_value(q.c) AS c, list(p.d ORDER BY p.d) AS ds, list(p.p::DOUBLE ORDER BY p.d) AS ps FROM pmf p JOIN params q USING (item) GROUP BY p.item),
@@ -142,6 +151,7 @@ QUERIES = {
     "m1_q_values": lambda s, d: (lambda m, v: rounded(m.q_values(v), "q"))(*_swept(s, d, 1)),
     "m2_bellman_backup": lambda s, d: rounded(_swept(s, d, 3)[1], "value"),
     "m3_value_iteration": lambda s, d: rounded(P.value_iteration(_whole_model(s, d))[0], "value", places=5),
+    "e3_instance_sweep": lambda s, d: rounded(_solved_instances(s, d), "value", places=5),
     "m3_twelve_sweeps": lambda s, d: rounded(P.value_iteration(_model(s, d), SWEEPS)[0], "value", places=5),
     "m4_policy_evaluation": lambda s, d: rounded(_evaluated_whole(s, d), "value"),
     "m4_three_sweeps": lambda s, d: rounded(_evaluated(s, d), "value"),
@@ -175,7 +185,21 @@ ed{k} AS (SELECT a.item, max(abs(a.value - b.value)) AS delta FROM e{k} a JOIN e
     return sql
 
 
+#: Lists of an instance: level j is y = x_min + j - 1, and n states; demand is uniform, costs are 1 and 9.
+_SWEPT_LEVELS = "list_transform(range(1, n + 11), lambda j: fixed[j] + 0.95 * list_sum(list_transform(range(0, d_max + 1), lambda e: v[greatest(1, least(n, j - e))])) / (d_max + 1))"
+_SWEPT_BEST = "list_transform(range(1, n + 1), lambda i: list_position(list_transform(g[i : i + 10], lambda z: round(z, 9)), list_max(list_transform(g[i : i + 10], lambda z: round(z, 9)))) + i - 1)"
+_INSTANCES = f"""WITH RECURSIVE {_INST}, kinds AS (SELECT DISTINCT d_max, x_min, x_max - x_min + 1 AS n FROM inst),
+m AS (SELECT *, list_transform(range(1, n + 11), lambda j: -list_sum(list_transform(range(0, d_max + 1), lambda e: 1.0::DOUBLE * greatest(0, x_min + j - 1 - e) + 9.0::DOUBLE * greatest(0, e - x_min - j + 1))) / (d_max + 1)) AS fixed FROM kinds),
+it AS (SELECT d_max, x_min, n, fixed, 0 AS k, list_transform(range(0, n), lambda i: 0.0::DOUBLE) AS v, list_transform(range(0, n), lambda i: 0::BIGINT) AS pick, 1e9::DOUBLE AS delta FROM m
+  UNION ALL SELECT d_max, x_min, n, fixed, k + 1, nv, pick, list_max(list_transform(range(1, n + 1), lambda i: abs(nv[i] - v[i])))
+  FROM (SELECT d_max, x_min, n, fixed, k, v, pick, list_transform(pick, lambda a: g[a]) AS nv
+    FROM (SELECT *, {_SWEPT_BEST} AS pick FROM (SELECT * EXCLUDE (pick), {_SWEPT_LEVELS} AS g FROM it WHERE delta >= 1e-4 AND k < 1000)))),
+last AS (SELECT d_max, x_min, n, max(k) AS k, arg_max(v, k) AS v, arg_max(pick, k) AS pick, arg_max(delta, k) AS delta FROM it GROUP BY d_max, x_min, n),
+solved AS (SELECT d_max, CAST(unnest(range(x_min, x_min + n)) AS INTEGER) AS x, round(unnest(v), 5) + 0.0 AS value, CAST(x_min - 1 + unnest(pick) AS INTEGER) AS y, CAST(k AS INTEGER) AS sweeps, delta < 1e-4 AS converged FROM last)
+SELECT i.item, s.* FROM inst i JOIN solved s USING (d_max)"""
+
 ORACLES = {
+    "e3_instance_sweep": _INSTANCES,
     "m3_value_iteration": _vectors(_OPTIMAL),
     "m4_policy_evaluation": _vectors(_RAISED),
     "m6_policy_iteration": _vectors(_ITERATED),

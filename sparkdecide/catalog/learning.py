@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import learning_rate, terminal_value
+from ..operators.compare import compare_policies, value_error
+from ..plans import bellman as P
 from ..plans import episodes as E
 from ..plans import qlearning as Q
+from ..storage import materialize
 from . import inputs as I
 from . import inventory as N
 from .inputs import EPISODES, HISTORY, PARAMS, rounded
@@ -18,6 +21,16 @@ def _q(s, d):
     return Q.q_learning(I.transitions(s, d), 6, gamma=GAMMA)
 
 
+def _held_against_optimum(s, d):
+    """Q-learning over logged periods beside value iteration of the same items: equal actions and errors of the values."""
+    m = N._whole_model(s, d)
+    log = N._costs(s, d).select("item", F.lit(0).alias("episode_id"), F.col("seq").alias("t"), "x", "y", (-F.col("cost")).alias("reward"), "x_next")
+    learned = Q.greedy_from_q(Q.q_learning(log, 10), m.states, 10)
+    best = materialize(P.value_iteration(m)[0], "optimum")
+    learned = materialize(learned, "learned")
+    return rounded(compare_policies(best, learned).join(value_error(best, learned), "item"), "pct_agree", "max_error", "mean_error", places=4)
+
+
 def _mean_q(s, d):
     """Mean reward of each pair, as a table of q that SQL can give too."""
     return I.transitions(s, d).groupBy("item", "x", "y").agg(F.round(F.avg("reward"), 6).alias("q"))
@@ -56,6 +69,7 @@ QUERIES = {
     "m8_mc_evaluate": lambda s, d: rounded(E.mc_evaluate(I.episodes(s, d), I.episode_states(s, d), GAMMA), "value"),
     "m9_trace_policy_iteration": _trace,
     "m10_td_target": lambda s, d: rounded(Q.td_target(I.transitions(s, d), _mean_q(s, d), GAMMA).select("item", "episode_id", "t", "target"), "target"),
+    "e2_learned_against_optimum": _held_against_optimum,
     "m11_q_learning": lambda s, d: rounded(_q(s, d), "q"),
     "m12_greedy_from_q": lambda s, d: rounded(Q.greedy_from_q(_mean_q(s, d), I.episode_states(s, d), 6), "value"),
     "p7_learning_rate": lambda s, d: rounded(I.transitions(s, d).groupBy("item", "x", "y").agg(F.count("*").alias("n")).withColumn("rate", learning_rate(F.col("n"), 0.1)), "rate"),
@@ -86,7 +100,23 @@ last AS (SELECT item, arg_max(q, k) AS q, arg_max(n, k) AS n FROM it GROUP BY it
 pairs AS (SELECT item, unnest(range(0, 35)) AS pos, unnest(q) AS q, unnest(n) AS n FROM last)
 SELECT item, CAST(pos // 7 AS INTEGER) AS x, CAST(pos % 7 AS INTEGER) AS y, round(q, 6) + 0.0 AS q, n FROM pairs WHERE n > 0"""
 
+#: The same over logged periods: lists of 11 states by 13 levels, both from -2 on.
+_LEARNED = f"""lit AS (SELECT item, 0::BIGINT AS k, list_transform(range(0, 143), lambda i: 0.0::DOUBLE) AS q, list_transform(range(0, 143), lambda i: 0::BIGINT) AS n FROM (SELECT DISTINCT item FROM steps)
+  UNION ALL SELECT item, k, list_transform(range(1, 144), lambda i: CASE WHEN i = pos THEN q[i] + 0.1::DOUBLE / (1 + 0.001::DOUBLE * (n[i] + 1)) * (reward + 0.95::DOUBLE * best - q[i]) ELSE q[i] END),
+    list_transform(range(1, 144), lambda i: CASE WHEN i = pos THEN n[i] + 1 ELSE n[i] END)
+  FROM (SELECT lit.item, s.k, lit.q, lit.n, s.pos, s.reward, list_max(lit.q[s.x_next * 14 + 1 : s.x_next * 13 + 13]) AS best FROM lit JOIN steps s ON s.item = lit.item AND s.k = lit.k + 1)),
+learned AS (SELECT item, arg_max(q, k) AS q FROM lit GROUP BY item),
+greedy AS (SELECT item, x - 2 AS x, q[x * 14 + 1 : x * 13 + 13] AS open FROM learned, range(0, 11) r(x))"""
+AGAINST_SQL = f"""{N._vectors(N._OPTIMAL.rpartition("SELECT item, CAST")[0].rstrip())},
+optimum AS (SELECT item, CAST(unnest(range(-2, 9)) AS INTEGER) AS x, unnest(v) AS value, CAST(unnest(y) AS INTEGER) AS y FROM last){HISTORY}{N._PER},
+steps AS (SELECT item, seq AS k, (x + 2) * 13 + y + 3 AS pos, -(c * (y - x) + hh * greatest(0, y - d) + b * greatest(0, d - y)) AS reward, greatest(x_min, least(x_max, y - d)) + 2 AS x_next FROM costs),
+{_LEARNED},
+both_ AS (SELECT o.item, o.y = list_position(g.open, list_max(g.open)) + g.x - 1 AS same, abs(o.value - list_max(g.open)) AS gap FROM optimum o JOIN greedy g USING (item, x))
+SELECT item, count(*) AS states, CAST(sum(CASE WHEN same THEN 1 ELSE 0 END) AS BIGINT) AS agree, round(100.0::DOUBLE * sum(CASE WHEN same THEN 1 ELSE 0 END) / count(*), 4) + 0.0 AS pct_agree,
+  round(max(gap), 4) + 0.0 AS max_error, round(avg(gap), 4) + 0.0 AS mean_error FROM both_ GROUP BY item"""
+
 ORACLES = {
+    "e2_learned_against_optimum": AGAINST_SQL,
     "m11_q_learning": Q_SQL,
     "m7_base_stock_backtest": _BACK,
     "m7_policy_backtest": _BACK,

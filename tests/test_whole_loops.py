@@ -39,3 +39,17 @@ def test_m3_m4_m6_run_to_the_end(spark, tables):
     assert all(x.converged for x in catalog.QUERIES["m4_policy_evaluation"](spark, tables).collect())
     best = {(x.item, x.x): x for x in catalog.QUERIES["m6_policy_iteration"](spark, tables).collect()}
     assert all(best[x.item, x.x].stable and best[x.item, x.x].y == x.y for x in optimal)
+
+
+def test_e3_default_instance_has_the_known_values(spark, tmp_path):
+    spark.createDataFrame([(7, 2), (8, 2), (9, 17)], "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.QUERIES["e3_instance_sweep"](spark, str(tmp_path)).collect()
+    assert len(got) == 33 and all(x.sweeps == 195 and x.converged and x.d_max == 4 for x in got)
+    by = {x.x: x for x in got if x.item == 8}
+    assert [by[x].value for x in range(-2, 5)] == pytest.approx([-39.9982] * 7, abs=1e-4)
+    assert [by[x].y for x in range(-2, 9)] == [4] * 7 + [5, 6, 7, 8]
+
+
+def test_e2_learning_is_held_against_the_optimum(spark, tables):
+    got = catalog.QUERIES["e2_learned_against_optimum"](spark, tables).collect()
+    assert {x.item for x in got} == {0, 1} and all(x.states == 11 and 0 <= x.agree <= 11 and 0 < x.mean_error <= x.max_error for x in got)
