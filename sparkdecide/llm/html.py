@@ -426,7 +426,7 @@ def marked(wrapper: dict) -> dict:
         items = []
         for c in w["c"]:
             items.append((yield c, m, a, x, w["p"]))
-        return {"s": w["s"], "m": m, "a": a, "x": template, "h": f"{w['lo']:x}" if template else "", "c": items}
+        return w | {"m": m, "a": a, "x": template, "h": f"{w['lo']:x}" if template else "", "c": items}
 
     return mark(wrapper, OPEN, IN, 0, wrapper["p"])
 
