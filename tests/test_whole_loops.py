@@ -53,3 +53,46 @@ def test_e3_default_instance_has_the_known_values(spark, tmp_path):
 def test_e2_learning_is_held_against_the_optimum(spark, tables):
     got = catalog.QUERIES["e2_learned_against_optimum"](spark, tables).collect()
     assert {x.item for x in got} == {0, 1} and all(x.states == 11 and 0 <= x.agree <= 11 and 0 < x.mean_error <= x.max_error for x in got)
+
+
+def traced(demand, b, c, h=1.071313739, gamma=0.95, length=10, most=15):
+    """Monte Carlo policy iteration over one demand history, by hand: policy, values, iterations, stable."""
+    states, share = range(-2, 9), {d: demand.count(d) / len(demand) for d in set(demand)}
+    policy = {x: max(x, 4) for x in states}
+    for k in range(1, most + 1):
+        x, steps = 0, []
+        for d in demand:
+            y = policy[x]
+            to = min(8, max(-2, y - d))
+            steps.append((x, -(c * (y - x) + h * max(0, y - d) + b * max(0, d - y)), to))
+            x = to
+        seen = {x: [] for x in states}
+        for at in range(0, len(steps), length):
+            episode = steps[at : at + length]
+            rewards = [r for _, r, _ in episode]
+            last = {x: t for t, (x, _, _) in enumerate(episode)}
+            for x, t in last.items():
+                # rewards from the next step on; at the end the last one, and the terminal value after it
+                ahead = [*rewards[t + 1 :], rewards[-1] + gamma * -c * max(episode[-1][2], 0)]
+                seen[x].append(sum(gamma**i * r for i, r in enumerate(ahead)))
+        v = {x: sum(g) / len(g) if g else 0.0 for x, g in seen.items()}
+
+        def worth(x, y, v=v):
+            return sum(p * (-c * (y - x) - h * max(0, y - d) - b * max(0, d - y) + gamma * v[min(8, max(-2, y - d))]) for d, p in share.items())
+
+        better = {x: max(range(x, x + 11), key=lambda y: (round(worth(x, y), 9), -y)) for x in states}  # noqa: B023
+        stable = better == policy
+        policy = better
+        if stable:
+            break
+    return policy, v, k, stable
+
+
+def test_m9_trace_policy_iteration_by_hand(spark, tables):
+    got = catalog.QUERIES["m9_trace_policy_iteration"](spark, tables).collect()
+    for item, size in ((0, 3), (1, 8)):
+        policy, v, k, stable = traced([o * (item + 2) % 5 + 1 for o in range(30)], 4.371773331 + size % 6, size % 4 * 0.231171713)
+        rows = {x.x: x for x in got if x.item == item}
+        assert {x: r.y for x, r in rows.items()} == policy
+        assert {x: r.value for x, r in rows.items()} == pytest.approx(v, abs=1e-4)
+        assert {(r.iterations, r.stable) for r in rows.values()} == {(k, stable)}
