@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialize, table
-from . import bpe, chat, decontaminate, html, langid, media, neardup, quality, samples, store, suffix
+from ..storage import materialize, remove, table
+from . import bpe, chat, decontaminate, html, langid, manifest, media, neardup, negatives, quality, samples, secrets, store, suffix
+from .oracles import OP11_SQL, OP12_SQL, OP13_SQL
+from .texts import bounded_batches
 
 try:
     from public_tokenizers import path as tokenizer_path
@@ -124,6 +126,38 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.withColumns({"tile_hash": media.tile_hash(F.col("tile")), "tile_sha256": F.sha2("tile", 256)}).drop("tile")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    rows = table(spark, sf_dir, "documents").select("doc_id", secrets.spans(F.col("text")).alias("s"))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("s", lambda x: x["kind"].isin(*kinds))
+
+    base = ("assign", "access", "hex")
+    counts = (F.size(of(k)).cast("long").alias(f"n_{k}") for k in base)
+    return rows.select("doc_id", *counts, F.sha2(secrets.told(of(*base)), 256).alias("base_sha256"), secrets.told(F.col("s")).alias("spans"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.integer_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id"), label, F.col("embedding"))
+    return negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    *rest, text = map(F.col, docs.columns)
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, manifest.leaf_digest(*rest, manifest.lower_ascii(text)))
+    leaves = materialize(docs.select("doc_id", "lang", manifest.leaf_digest(*rest, text).alias("leaf"), changed.alias("changed")), "digests")
+    m = manifest.build(leaves)
+    now = F.coalesce("changed", "leaf")
+    found = manifest.proofs(m).select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("path")), 256).alias("proof_sha256"), manifest.folded(F.col("path"), now).alias("folded_root"))
+    out = materialize(found.withColumn("verified", F.col("folded_root") == F.col("root")), "verified")
+    m.remove()
+    remove(leaves)
+    return out
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_token_store": op2_token_store,
@@ -135,9 +169,15 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_media_columns": op10_media_columns,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES = {
     "op5_near_duplicates": OP5_SQL,
     "op9_chat_format": OP9_SQL,
+    "op11_secret_scan": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
