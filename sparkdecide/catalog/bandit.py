@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import bandit as B
 from ..operators import regret as R
 from ..operators.grids import arm_grid
@@ -39,6 +40,30 @@ def _unit(key: str, seed: int) -> str:
     return f"((({key} % 1000003) * {48271 + 2 * seed} + {11 + seed}) % 2147483647 * 69621 % 2147483647) / 2147483647.0::DOUBLE"
 
 
+def _mixing(name: str, source: str, x: str) -> str:
+    """CTEs that mix a number x of each row of ``source`` into h, one step a CTE."""
+    return f""", {name}a AS (SELECT *, (xor(z, z >> 16) * {C.MIX_A}) & {C.WORD} AS z1 FROM (SELECT * EXCLUDE (h), {x} AS z FROM {source})),
+{name}b AS (SELECT * EXCLUDE (z, z1), (xor(z1, z1 >> 15) * {C.MIX_B}) & {C.WORD} AS z2 FROM {name}a),
+{name} AS (SELECT * EXCLUDE (z2), xor(z2, z2 >> 15) AS h FROM {name}b)"""
+
+
+def _thompson_sql(seed: int) -> str:
+    """Draws by the same counters. A proposal is a row; an arm's draw is its first accepted one."""
+    posts = "posts AS (SELECT g.context, g.arm, 1.0::DOUBLE + coalesce(sum(reward), 0) AS alpha, 1.0::DOUBLE + coalesce(sum(1 - reward), 0) AS beta FROM grid g LEFT JOIN log l USING (context, arm) GROUP BY g.context, g.arm)"
+    rows = "pairs AS (SELECT event_id AS request_id, 0 AS h, p.* FROM events JOIN posts p ON p.context = user_id % 2)"
+    keyed = _mixing("k1", "pairs", f"xor(arm & {C.WORD}, {seed * C.STEP & C.WORD})")
+    keyed += _mixing("k2", "k1", f"xor(h, request_id & {C.WORD})") + _mixing("k3", "k2", "xor(h, request_id >> 32)")
+    proposals = f""", tries AS (SELECT request_id, context, arm, side, k, CASE side WHEN 0 THEN alpha ELSE beta END - 1.0::DOUBLE / 3.0 AS d, i, h AS own, 0 AS h FROM k3, range(0, 2) s(side), range(0, {C.PROPOSALS}) r(k), range(0, 3) n(i))"""
+    uniform = _mixing("u", "tries", f"xor(own, ((side * {3 * C.PROPOSALS} + k * 3 + i) * {C.STEP}) & {C.WORD})")
+    return f"""WITH {LOG}{ARMS}, {posts}, {rows}{keyed}{proposals}{uniform},
+us AS (SELECT request_id, context, arm, side, k, d, max((h + 0.5) / 4294967296.0::DOUBLE) FILTER (i = 0) AS u, max((h + 0.5) / 4294967296.0::DOUBLE) FILTER (i = 1) AS w, max((h + 0.5) / 4294967296.0::DOUBLE) FILTER (i = 2) AS a FROM u GROUP BY ALL),
+zs AS (SELECT *, sqrt(-2.0::DOUBLE * ln(u)) * cos(2.0::DOUBLE * pi() * w) AS z FROM us),
+vs AS (SELECT *, (1.0 + z / sqrt(9.0 * d)) * (1.0 + z / sqrt(9.0 * d)) * (1.0 + z / sqrt(9.0 * d)) AS v FROM zs),
+draws AS (SELECT request_id, context, arm, side, coalesce(first(d * v ORDER BY k) FILTER (v > 0 AND ln(a) < 0.5 * z * z + d * (1.0 - v + ln(CASE WHEN v > 0 THEN v ELSE 1 END))), any_value(d)) AS g FROM vs GROUP BY ALL),
+scores AS (SELECT request_id, context, arm, max(g) FILTER (side = 0) / (max(g) FILTER (side = 0) + max(g) FILTER (side = 1)) AS score FROM draws GROUP BY ALL)
+SELECT request_id, context, arm FROM scores QUALIFY row_number() OVER (PARTITION BY request_id, context ORDER BY score DESC, arm) = 1"""
+
+
 QUERIES = {
     "s2_decision_log": lambda s, d: I.log(s, d).select("step", "context", "arm", "reward", "alg", "run"),
     "s6_arm_grid": lambda s, d: arm_grid(I.log(s, d)),
@@ -80,6 +105,7 @@ ORACLES = {
     "p6_is_optimal": f"WITH {LOG}{PROBS} SELECT l.step, CASE WHEN l.arm = b.best THEN 1 ELSE 0 END AS optimal FROM log l JOIN best b USING (context)",
     "p8_instant_regret": f"WITH {LOG}{PROBS} SELECT l.step, round(b.best_prob - p.prob, 6) + 0.0 AS regret FROM log l JOIN probs p USING (context, arm) JOIN best b USING (context)",
     "b1_epsilon_greedy": f"WITH {LOG}{ARMS}, greedy AS (SELECT context, arm FROM stats QUALIFY row_number() OVER (PARTITION BY context ORDER BY q DESC, arm) = 1), arms AS (SELECT context, list(arm ORDER BY arm) AS arms FROM stats GROUP BY context), r AS (SELECT event_id AS request_id, user_id % 2 AS context, {_unit('event_id', 5)} AS u, {_unit('event_id', 12)} AS v FROM events) SELECT request_id, r.context, CASE WHEN u < 0.1 THEN arms[CAST(floor(v * len(arms)) AS INTEGER) + 1] ELSE g.arm END AS arm, CASE WHEN u < 0.1 THEN 1 ELSE 0 END AS explored FROM r JOIN greedy g USING (context) JOIN arms USING (context)",
+    "b4_thompson_assign": _thompson_sql(5),
     "b2_ucb_scores": f"WITH {LOG}{ARMS} SELECT context, arm, n, round(q, 6) + 0.0 AS q, round(CASE WHEN n = 0 THEN CAST('inf' AS DOUBLE) ELSE q + 2.0 * sqrt(ln(sum(n) OVER (PARTITION BY context) + 1) / n) END, 6) + 0.0 AS score FROM stats",
     "b3_ucb_scores_blind": f"WITH {LOG}, s AS (SELECT arm, count(*) AS n, avg(reward) AS q FROM log GROUP BY arm) SELECT arm, n, round(q, 6) + 0.0 AS q, round(q + 2.0 * sqrt(ln(sum(n) OVER () + 1) / n), 6) + 0.0 AS score FROM s",
     "b5_policy_audit": f"WITH {LOG}{_FRAME.format(key='context')}, p AS (SELECT step, context, chosen, first(arm ORDER BY round(q, 9) DESC, arm) AS greedy, first(arm ORDER BY score DESC, arm) AS ucb FROM scored GROUP BY step, context, chosen) SELECT *, CASE WHEN chosen = greedy THEN 1 ELSE 0 END AS agrees_greedy, CASE WHEN chosen = ucb THEN 1 ELSE 0 END AS agrees_ucb FROM p",

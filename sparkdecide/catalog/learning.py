@@ -115,7 +115,27 @@ both_ AS (SELECT o.item, o.y = list_position(g.open, list_max(g.open)) + g.x - 1
 SELECT item, count(*) AS states, CAST(sum(CASE WHEN same THEN 1 ELSE 0 END) AS BIGINT) AS agree, round(100.0::DOUBLE * sum(CASE WHEN same THEN 1 ELSE 0 END) / count(*), 4) + 0.0 AS pct_agree,
   round(max(gap), 4) + 0.0 AS max_error, round(avg(gap), 4) + 0.0 AS mean_error FROM both_ GROUP BY item"""
 
+#: A step is an iteration: xs are the states held, rs the rewards, gs the returns, of all periods in order; episodes have ten.
+_END = "least(len(hs), ((t - 1) // 10 + 1) * 10)"
+TRACE_SQL = f"""{N._vectors(HISTORY.removeprefix(", "))},
+hist AS (SELECT item, list(CAST(d AS BIGINT) ORDER BY seq) AS hs FROM history GROUP BY item),
+own AS (SELECT m.*, m0.h, m0.b, hist.hs FROM m JOIN m0 USING (item) JOIN hist USING (item)),
+it AS (SELECT item, 0 AS k, list_transform(range(0, 11), lambda i: 0.0::DOUBLE) AS v, list_transform(range(-2, 9), lambda x: greatest(x, 4)) AS y, false AS stable FROM own
+  UNION ALL SELECT item, k + 1, nv, better, better = y
+  FROM (SELECT item, k, nv, y, {N._BEST.format(g="after")} AS better
+    FROM (SELECT z.item, z.k, z.y, z.nv, {N._LEVELS.replace("it.v", "z.nv")} AS after
+      FROM (SELECT item, k, y, list_transform(range(-2, 9), lambda s: coalesce(list_avg(list_transform(list_filter(range(1, len(hs) + 1), lambda t: xs[t] = s AND len(list_filter(range(t + 1, {_END} + 1), lambda j: xs[j] = s)) = 0), lambda t: gs[t])), 0.0)) AS nv
+        FROM (SELECT *, list_transform(range(1, len(hs) + 1), lambda t: coalesce(list_sum(list_transform(range(t + 1, {_END} + 1), lambda j: power(0.95, j - t - 1) * rs[j])), 0.0)
+            + power(0.95, {_END} - t) * (rs[{_END}] + 0.95 * -c * greatest(xs[{_END} + 1], 0))) AS gs
+          FROM (SELECT *, list_transform(range(1, len(hs) + 1), lambda t: -(c * (y[xs[t] + 3] - xs[t]) + h * greatest(0, y[xs[t] + 3] - hs[t]) + b * greatest(0, hs[t] - y[xs[t] + 3]))) AS rs
+            FROM (SELECT it.item, it.k, it.y, own.c, own.h, own.b, own.hs,
+                list_reduce(list_concat([[0::BIGINT]], list_transform(own.hs, lambda d: [d])), lambda seen, d: list_append(seen, greatest(-2, least(8, it.y[seen[len(seen)] + 3] - d[1])))) AS xs
+              FROM it JOIN own USING (item) WHERE NOT it.stable AND it.k < 15)))) z JOIN m USING (item)))),
+last AS (SELECT item, max(k) AS k, arg_max(v, k) AS v, arg_max(y, k) AS y, bool_or(stable) AS stable FROM it GROUP BY item)
+SELECT item, CAST(unnest(range(-2, 9)) AS INTEGER) AS x, CAST(unnest(y) AS INTEGER) AS y, round(unnest(v), 4) + 0.0 AS value, CAST(k AS INTEGER) AS iterations, stable FROM last"""
+
 ORACLES = {
+    "m9_trace_policy_iteration": TRACE_SQL,
     "e2_learned_against_optimum": AGAINST_SQL,
     "m11_q_learning": Q_SQL,
     "m7_base_stock_backtest": _BACK,

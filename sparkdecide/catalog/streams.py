@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bandit as B
+from ..operators.grids import arm_grid
 from ..sources.tables import write_results
 from ..storage import materialize, new_path
 from ..streaming import bandit as S
+from ..streaming.versions import Versions, file_system
 from . import bandit as Q
 from . import inputs as I
 from . import learning as L
@@ -35,24 +37,65 @@ def _stream_in_order(spark: SparkSession, rows: DataFrame, files: int = 4) -> Da
 
 def _last(spark: SparkSession, out: DataFrame) -> DataFrame:
     """The table that a complete-mode aggregation has when its source is used up."""
-    path = new_path(spark, "state")
+    sink = Versions(spark, new_path(spark, "state"), out.schema)
+    w = S.to_versions(out, sink).option("checkpointLocation", new_path(spark, "offsets"))
+    w.trigger(availableNow=True).start().awaitTermination()
+    newest = sink.newest()
+    return spark.createDataFrame([], out.schema) if newest is None else sink.at(newest)
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/latest")
 
-    w = out.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", new_path(spark, "offsets"))
-    w.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{path}/latest")
+#: Parts that the log and the requests arrive in.
+PARTS = 4
+
+
+def _part(rows: DataFrame, id_col: str) -> DataFrame:
+    """rows with _part, by equal ranges of ids."""
+    ends = rows.agg(F.min(id_col).alias("_lo"), F.max(id_col).alias("_hi"))
+    part = F.floor((F.col(id_col) - F.col("_lo")) * PARTS / (F.col("_hi") - F.col("_lo") + 1)).cast("int")
+    return rows.crossJoin(F.broadcast(ends)).withColumn("_part", part).drop("_lo", "_hi")
+
+
+def _arrive(spark: SparkSession, rows: DataFrame, folder: str, name: str) -> None:
+    """Add rows to a folder that a stream watches: written aside, and moved there in one step."""
+    aside = new_path(spark, "aside")
+    rows.write.parquet(aside)
+    fs, at = file_system(spark, aside)
+    to = file_system(spark, f"{folder}/{name}")[1]
+    fs.mkdirs(to.getParent())
+    fs.rename(at, to)
 
 
 def _assigned(s, d):
-    """Arms for a stream of requests by the statistics that the newest batch of another stream has left."""
-    newest = _last(s, S.stream_arm_stats(_stream(s, I.log(s, d))))
-    path = new_path(s, "assigned")
-    requests = _stream(s, Q._requests(s, d))
-    w = S.stream_assign(requests, lambda: newest, lambda r, st: B.epsilon_greedy_assign(r, st, 0.1, 5), path)
-    w.option("checkpointLocation", new_path(s, "offsets")).trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(path).drop("batch")
+    """Arms for a stream of requests while the stream of decisions goes on.
+
+    Both streams run all the time. A part of the log arrives, then a part of the requests, and so on: each
+    request is served by the statistics of all decisions that have arrived.
+    """
+    log, requests = _part(I.log(s, d), "step"), _part(Q._requests(s, d), "request_id")
+    watched = [new_path(s, name) for name in ("log", "requests")]
+    for folder in watched:
+        fs, at = file_system(s, folder)
+        fs.mkdirs(at)
+    live_log, live_requests = (s.readStream.schema(x.drop("_part").schema).option("recursiveFileLookup", "true").parquet(folder) for x, folder in zip((log, requests), watched, strict=True))
+    stats = S.stream_arm_stats(live_log)
+    sink, start = Versions(s, new_path(s, "statistics"), stats.schema), materialize(arm_grid(I.log(s, d)), "arms")
+
+    def assign(r: DataFrame, known: DataFrame) -> DataFrame:
+        return B.epsilon_greedy_assign(r, known, 0.1, 5)
+
+    out = Versions(s, new_path(s, "assigned"), assign(requests, start).withColumn("version", F.lit(0).cast("long")).schema)
+    running = []
+    try:
+        running.append(S.to_versions(stats, sink).option("checkpointLocation", new_path(s, "offsets")).start())
+        running.append(S.stream_assign(live_requests, sink, assign, out, start).option("checkpointLocation", new_path(s, "offsets")).start())
+        for k in range(PARTS):
+            for rows, folder, stream in zip((log, requests), watched, running, strict=True):
+                _arrive(s, rows.filter(F.col("_part") == k).drop("_part"), folder, str(k))
+                stream.processAllAvailable()
+    finally:
+        for stream in running:
+            stream.stop()
+    return out.all()
 
 
 def _q_learning(s, d):
@@ -87,10 +130,22 @@ QUERIES = {
     "s9_write_results": _written,
 }
 
+_CUT = f"least({PARTS - 1}, (event_id - min(event_id) OVER ()) * {PARTS} // (max(event_id) OVER () - min(event_id) OVER () + 1))"
+#: Requests of a part by all decisions up to that part.
+ASSIGNED_SQL = f"""WITH {LOG}, grid AS (SELECT c.context, a.arm FROM (SELECT DISTINCT context FROM log) c CROSS JOIN (SELECT DISTINCT arm FROM log) a),
+parts AS (SELECT event_id, user_id % 2 AS context, {_CUT} AS part FROM events),
+so_far AS (SELECT v.v AS part, g.context, g.arm, coalesce(avg(l.reward), 0.0) AS q FROM range(0, {PARTS}) v(v) CROSS JOIN grid g
+  LEFT JOIN (SELECT log.*, part FROM log JOIN parts ON event_id = step) l ON l.context = g.context AND l.arm = g.arm AND l.part <= v.v GROUP BY ALL),
+greedy AS (SELECT part, context, arm FROM so_far QUALIFY row_number() OVER (PARTITION BY part, context ORDER BY q DESC, arm) = 1),
+arms AS (SELECT context, list(arm ORDER BY arm) AS arms FROM grid GROUP BY context),
+r AS (SELECT event_id AS request_id, context, part, {Q._unit("event_id", 5)} AS u, {Q._unit("event_id", 12)} AS v FROM parts)
+SELECT request_id, r.context, CASE WHEN u < 0.1 THEN arms[CAST(floor(v * len(arms)) AS INTEGER) + 1] ELSE g.arm END AS arm, CASE WHEN u < 0.1 THEN 1 ELSE 0 END AS explored, CAST(part AS BIGINT) AS version
+FROM r JOIN greedy g USING (part, context) JOIN arms USING (context)"""
+
 ORACLES = {
     "r1_stream_arm_stats": f"WITH {LOG} SELECT context, arm, count(*) AS n, round(avg(reward), 6) + 0.0 AS q FROM log GROUP BY context, arm",
     "r2_stream_beta_posterior": f"WITH {LOG} SELECT context, arm, 1.0::DOUBLE + sum(reward) AS alpha, 1.0::DOUBLE + sum(1 - reward) AS beta FROM log GROUP BY context, arm",
-    "r3_stream_assign": Q.ORACLES["b1_epsilon_greedy"],
+    "r3_stream_assign": ASSIGNED_SQL,
     "r4_stream_q_learning": L.Q_SQL,
     "r4_stream_visit_counts": f"WITH {I.EPISODES} SELECT item, x, y, count(*) AS n FROM transitions GROUP BY ALL",
     "r5_stream_regret": f"WITH {LOG}{PROBS}{RUNS} SELECT alg, count(*) AS steps, round(sum(regret), 6) + 0.0 AS regret, CAST(sum(reward) AS BIGINT) AS reward, round(100 * avg(optimal), 6) + 0.0 AS pct_optimal FROM truth GROUP BY alg",

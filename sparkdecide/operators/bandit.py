@@ -8,12 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ucb_score, unit_hash
+from ..functions.columns import beta_sample, ucb_score, unit_hash
 from .grids import arm_grid
 
 Score = Callable[[Column, Column, Column], Column]
@@ -80,46 +78,11 @@ def epsilon_greedy_assign(requests: DataFrame, stats: DataFrame, eps: float = 0.
     return rows.select("request_id", "context", F.when(explored, F.element_at("arms", place + 1)).otherwise(F.col("greedy")).alias("arm"), explored.cast("int").alias("explored"))
 
 
-def _uniforms(keys: np.ndarray, draw: int, seed: int) -> np.ndarray:
-    """Numbers in (0, 1) from hashes of key, draw and seed."""
-    x = keys + np.uint64((0x9E3779B97F4A7C15 * (draw + 1) + 0xD1B54A32D192ED03 * seed) & (1 << 64) - 1)
-    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ x >> np.uint64(shift)) * np.uint64(times)
-    return ((x ^ x >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) / (1 << 53) + 0.5 / (1 << 53)
-
-
-def _gammas(keys: np.ndarray, shape: np.ndarray, seed: int) -> np.ndarray:
-    """A draw of Gamma(shape, 1) for each key, shapes of 1 or more: cubes of normal numbers, accepted or drawn again together."""
-    d = shape - 1 / 3
-    out, open_, k = np.empty(len(keys)), np.arange(len(keys)), 0
-    while len(open_):
-        u, w, accept = (_uniforms(keys[open_], 3 * k + i, seed) for i in range(3))
-        z = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * w)
-        v = (1 + z / np.sqrt(9 * d[open_])) ** 3
-        good = v > 0
-        good[good] = np.log(accept[good]) < 0.5 * z[good] ** 2 + d[open_][good] * (1 - v[good] + np.log(v[good]))
-        out[open_[good]] = d[open_[good]] * v[good]
-        open_, k = open_[~good], k + 1
-    return out
-
-
-def beta_sample(key: Column, alpha: Column, beta: Column, seed: int = 1) -> Column:
-    """A draw of Beta(alpha, beta), both 1 or more, for each row that depends on its key and the seed, not on partitions."""
-
-    @F.pandas_udf("double")
-    def draw(k: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        keys = k.to_numpy(np.int64).view(np.uint64)
-        x, y = _gammas(keys, a.to_numpy(np.float64), 2 * seed), _gammas(keys, b.to_numpy(np.float64), 2 * seed + 1)
-        return pd.Series(x / (x + y))
-
-    return draw(key, alpha, beta)
-
-
 def thompson_assign(requests: DataFrame, posterior: DataFrame, seed: int = 1) -> DataFrame:
-    """request_id, context, arm: the arm with the highest draw from its posterior."""
+    """request_id, context, arm: the arm with the highest draw from its posterior. request_id and arm are integers."""
     rows = requests.select("request_id", "context").join(posterior.select("context", "arm", "alpha", "beta"), "context")
-    key = F.xxhash64("request_id", "arm")
-    return greedy_pick(rows.withColumn("score", beta_sample(key, F.col("alpha"), F.col("beta"), seed)), ["request_id", "context"])
+    draw = beta_sample(F.col("request_id"), F.col("alpha"), F.col("beta"), seed, F.col("arm"))
+    return greedy_pick(rows.withColumn("score", draw), ["request_id", "context"])
 
 
 #: Decisions of a block whose running sums one window takes.

@@ -121,10 +121,11 @@ def _chunks(rows: list[dict], span: int) -> Iterator[list[dict]]:
     held: list[dict] = []
     wide = deep = 0
     for r in rows:
-        w, d = max(wide, r["x_max"] - r["x_min"] + 1 + span), max(deep, len(r["demand"]))
+        own_wide, own_deep = r["x_max"] - r["x_min"] + 1 + span, max(len(r["demand"]), len(r.get("history") or ()) // 4)
+        w, d = max(wide, own_wide), max(deep, own_deep)
         if held and (len(held) + 1) * w * d > CELLS:
             yield held
-            held, w, d = [], r["x_max"] - r["x_min"] + 1 + span, len(r["demand"])
+            held, w, d = [], own_wide, own_deep
         held.append(r)
         wide, deep = w, d
     if held:
@@ -142,6 +143,14 @@ def _table(rows: list[dict], name: str, field: str, m: Items, missing: np.ndarra
     return out
 
 
+def _solved(rows: list[dict], m: Items, v: np.ndarray, y: np.ndarray, rounds: np.ndarray, done: np.ndarray, changes: list[list[float]]) -> pa.RecordBatch:
+    """Rows of SOLVED; the states as flat columns under their items."""
+    some = np.arange(v.shape[1]) < m.states[:, None]
+    flat = [pa.array(a[some], t) for a, t in ((m.x, pa.int32()), (v, pa.float64()), (m.x + y, pa.int32()))]
+    states = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(m.states)]), pa.int32()), pa.StructArray.from_arrays(flat, ["x", "value", "y"]))
+    return pa.RecordBatch.from_arrays([pa.array([r["item"] for r in rows], pa.int64()), pa.array(rounds, pa.int32()), pa.array(done), states, pa.array(changes, pa.list_(pa.float64()))], schema=SOLVED)
+
+
 def solver(kind: str, span: int, most: int, most_sweeps: int = 0):
     """mapInArrow over rows of item, parameters, demand, policy (structs of x, y) and start (structs of x, value)."""
 
@@ -156,9 +165,84 @@ def solver(kind: str, span: int, most: int, most_sweeps: int = 0):
                     changes = [[] for _ in rows]
                 else:
                     v, y, rounds, done, changes = swept(m, _table(rows, "start", "value", m, np.zeros(m.x.shape)), policy, most)
-                states = [
-                    [{"x": x, "value": w, "y": x + o} for x, w, o in zip(m.x[k, :n].tolist(), v[k, :n].tolist(), y[k, :n].tolist(), strict=True)] for k, n in enumerate(m.states.tolist())
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(([r["item"] for r in rows], rounds, done, states, changes), SOLVED, strict=True)], schema=SOLVED)
+                yield _solved(rows, m, v, y, rounds, done, changes)
+
+    return run
+
+
+class Histories:
+    """Real demand of the items of a batch, padded; rows with history (demands in order), h, b, c and terminal (structs of x, value)."""
+
+    def __init__(self, rows: list[dict], m: Items, x0: int, length: int, gamma: float):
+        self.x0, self.length, self.gamma = x0, length, gamma
+        self.n = np.array([len(r["history"] or ()) for r in rows], np.int64)
+        self.d = np.zeros((len(rows), int(self.n.max(initial=0))), np.int64)
+        for k, r in enumerate(rows):
+            self.d[k, : self.n[k]] = r["history"] or ()
+        self.h, self.b = (np.array([r[k] for r in rows], np.float64) for k in ("h", "b"))
+        self.terminal = _table(rows, "terminal", "value", m, np.zeros(m.x.shape))
+
+    def some(self, rows: np.ndarray) -> Histories:
+        out = object.__new__(Histories)
+        out.x0, out.length, out.gamma = self.x0, self.length, self.gamma
+        for k in ("n", "d", "h", "b", "terminal"):
+            setattr(out, k, getattr(self, k)[rows])
+        return out
+
+    def values(self, m: Items, policy: np.ndarray) -> np.ndarray:
+        """Mean return of each state's last visits in episodes of ``length`` periods, under a policy of offsets; 0 without visits."""
+        each, periods = np.arange(len(self.n)), self.d.shape[1]
+        low, top = m.x[:, 0], m.states - 1
+        at, x = np.zeros((len(each), periods + 1), np.int64), np.full(len(each), self.x0)
+        reward, inside = np.zeros((len(each), periods)), np.ones((len(each), periods), bool)
+        for t in range(periods):  # all items take period t together
+            at[:, t] = np.clip(x - low, 0, top)
+            inside[:, t] = x == low + at[:, t]
+            y = low + at[:, t] + policy[each, at[:, t]]
+            left = y - self.d[:, t]
+            reward[:, t] = -(m.c * (y - x) + self.h * np.maximum(left, 0) + self.b * np.maximum(-left, 0))
+            x = np.clip(left, low, low + top)
+        at[:, periods] = x - low
+        total, count, seen = np.zeros(m.x.shape), np.zeros(m.x.shape), np.zeros(m.x.shape, bool)
+        g = np.zeros(len(each))
+        for t in range(periods - 1, -1, -1):
+            there, ends = t < self.n, (t + 1 == self.n) | ((t + 1) % self.length == 0)
+            ahead = reward[:, t + 1] if t + 1 < periods else 0.0
+            g = np.where(ends, reward[:, t] + self.gamma * self.terminal[each, at[:, t + 1]], ahead + self.gamma * g)
+            seen[ends] = False
+            new = np.flatnonzero(there & inside[:, t] & ~seen[each, at[:, t]])
+            total[new, at[new, t]] += g[new]
+            count[new, at[new, t]] += 1
+            seen[each, at[:, t]] = True
+        return total / np.maximum(count, 1) + 0.0
+
+
+def traced(m: Items, histories: Histories, policy: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(values, offsets, iterations, stable) of Monte Carlo policy iteration over real demand, each item until its policy stays."""
+    n = len(policy)
+    v, policy = np.zeros(policy.shape), policy.copy()
+    iterations, stable = np.zeros(n, np.int64), np.zeros(n, bool)
+    open_ = np.arange(n)
+    for k in range(1, most + 1):
+        part = m.some(open_)
+        v[open_] = histories.some(open_).values(part, policy[open_])
+        better = part.best(v[open_])[1]
+        same = ((better == policy[open_]) | ~part.valid).all(axis=1)
+        policy[open_], iterations[open_], stable[open_] = better, k, same
+        open_ = open_[~same]
+        if not len(open_):
+            break
+    return v, policy, iterations, stable
+
+
+def tracer(span: int, most: int, x0: int, length: int, gamma: float):
+    """mapInArrow over the rows of ``solver`` with history and terminal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows in _chunks(b.to_pylist(), span):
+                m = Items(rows, span)
+                start = np.clip(_table(rows, "policy", "y", m, m.x) - m.x, 0, span)
+                yield _solved(rows, m, *traced(m, Histories(rows, m, x0, length, gamma), start, most), [[] for _ in rows])
 
     return run

@@ -10,8 +10,10 @@ item, whatever the number of sweeps; an item's states and demands have to fit a
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,18 +53,24 @@ class Model:
     def moves(self) -> DataFrame:
         return materialize(transitions(self._actions, self._pmf, self.params), "moves")
 
-    def solved(self, kind: str, most: int, most_sweeps: int = 0, policy: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
-        """item, rounds, done, states (x, value, y), changes: a loop of sweeps over each item, written once."""
+    def by_item(self, policy: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
+        """item, its parameters, demand, policy and start, each in one row."""
         demand = self.pmf.groupBy("item").agg(F.sort_array(F.collect_list(F.struct(F.col("d").cast("int").alias("d"), F.col("p").cast("double").alias("p")))).alias("demand"))
         rows = self.params.select(F.col("item").cast("long").alias("item"), *(F.col(k).cast("double").alias(k) for k in ("h", "b", "c", "gamma", "theta")), "x_min", "x_max").join(demand, "item")
         if policy is not None:
             rows = rows.join(policy.groupBy("item").agg(F.collect_list(F.struct("x", "y")).alias("policy")), "item")
         if start is not None:
             rows = rows.join(start.groupBy("item").agg(F.collect_list(F.struct("x", "value")).alias("start")), "item")
-        rows = rows.withColumns({k: F.lit(None).cast(t) for k, t in (("policy", "array<struct<x:int,y:int>>"), ("start", "array<struct<x:int,value:double>>")) if k not in rows.columns})
+        return rows.withColumns({k: F.lit(None).cast(t) for k, t in (("policy", "array<struct<x:int,y:int>>"), ("start", "array<struct<x:int,value:double>>")) if k not in rows.columns})
+
+    def in_tasks(self, rows: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+        """item, rounds, done, states (x, value, y), changes: a loop over each item, written once."""
         # few bytes, much work: as many tasks as there are shuffle partitions, however small they are
         rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("item"))
-        return materialize(rows.mapInArrow(solver(kind, self.span, most, most_sweeps), SOLVED_DDL), "solved")
+        return materialize(rows.mapInArrow(kernel, SOLVED_DDL), "solved")
+
+    def solved(self, kind: str, most: int, most_sweeps: int = 0, policy: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
+        return self.in_tasks(self.by_item(policy, start), solver(kind, self.span, most, most_sweeps))
 
     def zero(self) -> DataFrame:
         return self.states.select("item", "x", F.lit(0.0).alias("value"))
@@ -106,7 +114,7 @@ def value_range(v: DataFrame) -> DataFrame:
     return v.groupBy("item").agg(F.min("value").alias("low"), F.max("value").alias("high"))
 
 
-def _by_state(solved: DataFrame, rounds: str, done: str) -> DataFrame:
+def by_state(solved: DataFrame, rounds: str, done: str) -> DataFrame:
     return solved.select("item", F.explode("states").alias("s"), F.col("rounds").alias(rounds), F.col("done").alias(done)).select("item", "s.*", rounds, done)
 
 
@@ -118,13 +126,13 @@ def _changes(solved: DataFrame) -> DataFrame:
 def value_iteration(model: Model, max_sweeps: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(item, x, value, y, sweeps, converged; item, sweep, delta), each item until its change is under theta."""
     solved = model.solved("values", max_sweeps)
-    return _by_state(solved, "sweeps", "converged"), _changes(solved)
+    return by_state(solved, "sweeps", "converged"), _changes(solved)
 
 
 def policy_evaluation(model: Model, policy: DataFrame, start: DataFrame | None = None, max_sweeps: int = 100) -> tuple[DataFrame, DataFrame]:
     """(item, x, value, sweeps, converged; history) of a fixed policy."""
     solved = model.solved("policy", max_sweeps, policy=policy, start=start)
-    return _by_state(solved, "sweeps", "converged").drop("y"), _changes(solved)
+    return by_state(solved, "sweeps", "converged").drop("y"), _changes(solved)
 
 
 def policy_improvement(model: Model, v: DataFrame, policy: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,4 +144,4 @@ def policy_improvement(model: Model, v: DataFrame, policy: DataFrame) -> tuple[D
 def policy_iteration(model: Model, policy: DataFrame | None = None, pmf: DataFrame | None = None, max_iter: int = 100, max_sweeps: int = 100) -> DataFrame:
     """item, x, y, value, iterations, stable; values carry over between iterations, and items with a stable policy stop."""
     policy = initial_policy(model.states, pmf) if policy is None else policy
-    return _by_state(model.solved("iterate", max_iter, max_sweeps, policy=policy), "iterations", "stable")
+    return by_state(model.solved("iterate", max_iter, max_sweeps, policy=policy), "iterations", "stable")

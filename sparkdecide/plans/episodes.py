@@ -1,13 +1,13 @@
 """Episodes from real demand or logs: backtests, returns, Monte Carlo values.
 
-An episode is rows of (item, episode_id, t, x, y, reward). Returns fold each episode on
-its own; a single endless episode stays serial, many episodes run in parallel.
+An episode is rows of (item, episode_id, t, x, y, reward). Returns are scanned in blocks of
+steps, so one endless episode runs in parallel too.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import period_cost
 from ..storage import materialize
-from .bellman import Model, policy_changes
+from .batches import tracer
+from .bellman import Model, by_state
 
 
 def base_stock_backtest(history: DataFrame, params: DataFrame, level: DataFrame, x0: int = 0) -> DataFrame:
@@ -64,33 +65,90 @@ def policy_backtest(history: DataFrame, params: DataFrame, policy: DataFrame, x0
     return rows.select("item", "seq", "x", "y", "d", reward.alias("reward"), "x_next")
 
 
-def discounted_return(episodes: DataFrame, gamma: float = 0.95, convention: str = "shifted", terminal: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+#: Steps of a block whose discounted sums one window takes, and blocks of a group that are composed together.
+BLOCK, GROUP = 1 << 12, 1 << 8
+
+
+def block_length(gamma: float, most: int = BLOCK) -> int:
+    """Steps over which powers of gamma stay within 1e-100 and 1e100."""
+    return most if gamma in (0.0, 1.0) else max(1, min(most, int(230 / abs(math.log(gamma)))))
+
+
+def _from_the_end(pieces: Column, end: Column) -> Column:
+    """For pieces (k, a, c) in order, each with value c + a * (value of the next one): (k, ahead), the next one's value; ``end`` is after the last."""
+    start = F.struct(end.alias("value"), F.expr("cast(array() as array<struct<k:bigint,ahead:double>>)").alias("seen"))
+    done = F.aggregate(F.reverse(pieces), start, lambda at, x: F.struct((x["c"] + x["a"] * at["value"]).alias("value"), F.concat(F.array(F.struct(x["k"].alias("k"), at["value"].alias("ahead"))), at["seen"]).alias("seen")))
+    return done["seen"]
+
+
+def _composed(pieces: Column) -> Column:
+    """(a, c) of all pieces as one."""
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("c"))
+    return F.aggregate(F.reverse(pieces), start, lambda at, x: F.struct((x["a"] * at["a"]).alias("a"), (x["c"] + x["a"] * at["c"]).alias("c")))
+
+
+def values_ahead(blocks: DataFrame, keys: list[str], end: Column, group: int = GROUP) -> DataFrame:
+    """keys, k, ahead: the value after block k, over blocks keys, k, a, c, last, terminal of maps value -> c + a * value.
+
+    ``end`` is what stands after an episode's last block, from ``last`` of that block and ``terminal``. Blocks are composed
+    within groups of ``group`` numbers, then the groups of an episode one after the other, and each group
+    is gone through again with what stands after it; so no array has more than a group's blocks or an episode's groups.
+    """
+    piece = F.sort_array(F.collect_list(F.struct("k", "a", "c"))).alias("pieces")
+    groups = blocks.groupBy(*keys, F.floor(F.col("k") / group).alias("_g")).agg(piece, F.max_by("last", "k").alias("last"), F.max("terminal").alias("terminal")).withColumn("_of", _composed(F.col("pieces")))
+    over = groups.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("_g").alias("k"), F.col("_of.a").alias("a"), F.col("_of.c").alias("c"), "pieces"))).alias("groups"), F.max_by("last", "_g").alias("last"), F.max("terminal").alias("terminal"))
+    after = F.explode(F.arrays_zip(_from_the_end(F.col("groups"), end).alias("at"), F.col("groups.pieces").alias("pieces"))).alias("_x")
+    each = over.select(*keys, after).select(*keys, F.explode(_from_the_end(F.col("_x.pieces"), F.col("_x.at.ahead"))).alias("_y"))
+    return each.select(*keys, "_y.k", "_y.ahead")
+
+
+def discounted_return(
+    episodes: DataFrame, gamma: float = 0.95, convention: str = "shifted", terminal: DataFrame | None = None, keys: list[str] | None = None, block: int = BLOCK, group: int = GROUP
+) -> DataFrame:
     """episodes with g, the return from each step on.
 
     standard: g_t = r_t + gamma * g_(t+1), the terminal value after the last step.
     shifted: as the inventory evaluation counts it: at the last step T, r_T + gamma * r_(T+1)
     with the terminal value as r_(T+1), before that r_(t+1) + gamma * g_(t+1).
-    A null reward counts as 0. An episode's steps stay in one row.
+    A null reward counts as 0; equal t are ordered by the other columns. gamma is 0 or more.
+
+    A suffix scan in blocks of ``block`` numbers of t, so that an endless episode is spread over its blocks.
+    Inside a block, sums of gamma^j r_j run from its end; over the blocks, a block is the map from the value after it
+    to its own. t are step numbers: far apart ones cost more blocks, not another result.
     """
+    if gamma < 0:
+        raise ValueError("gamma is 0 or more")
     keys = ["item", "episode_id"] if keys is None else keys
-    rows = episodes if terminal is None else episodes.join(terminal, keys, "left")
-    end = F.coalesce(F.max("terminal").cast("double"), F.lit(0.0)) if terminal is not None else F.lit(0.0)
-    step = F.struct("t", *(F.col(c) for c in episodes.columns if c not in (*keys, "t")))
-    whole = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(step)).alias("_steps"), end.alias("_end"))
-    rewards = F.transform("_steps", lambda s: F.coalesce(s["reward"].cast("double"), F.lit(0.0)))
-
-    def fold(rewards: pa.Array, ends: pa.Array) -> pa.Array:
-        out = []
-        for r, last in zip(rewards.to_pylist(), ends.to_pylist(), strict=True):
-            # what each step adds, so that g is a plain discounted sum to the end
-            parts = [*r[:-1], r[-1] + gamma * last] if convention == "standard" else [*r[1:], r[-1] + gamma * last]
-            out.append([*accumulate(reversed(parts), lambda g, part: part + gamma * g)][::-1])
-        return pa.array(out, pa.list_(pa.float64()))
-
-    # one pass from an episode's end to its start gives the returns of all its steps
-    g = F.arrow_udf(fold, "array<double>")(rewards, F.col("_end").cast("double"))
-    paired = F.explode(F.arrays_zip(F.col("_steps").alias("s"), F.col("_g").alias("g"))).alias("_r")
-    return whole.withColumn("_g", g).select(*keys, paired).select(*keys, "_r.s.*", F.col("_r.g").alias("g")).select(*episodes.columns, "g")
+    plain = [f for f in episodes.schema.fields if f.name not in (*keys, "t") and f.dataType.typeName() not in ("map", "variant")]
+    back = [F.desc("t"), *(F.desc(f.name) for f in plain)]
+    in_block = Window.partitionBy(*keys, "_block").orderBy(*back)
+    rows = episodes.withColumn("_block", F.floor(F.col("t") / block_length(gamma, block)).cast("long")).withColumn("_r", F.coalesce(F.col("reward").cast("double"), F.lit(0.0)))
+    rows = rows.withColumn("_k", F.row_number().over(in_block))
+    standard = convention == "standard"
+    # sums from the block's end to this step, or to the one after it
+    to = 0 if standard else -1
+    if gamma == 0:
+        rows = rows.withColumn("_s", F.col("_r") if standard else F.coalesce(F.lag("_r").over(in_block), F.lit(0.0)))
+        power = F.when(F.col("_k") == (0 if standard else 1), 1.0).otherwise(0.0)
+        own = F.col("_r")
+    else:
+        run = F.sum(F.col("_r") * F.pow(F.lit(gamma), -F.col("_k"))).over(in_block.rowsBetween(Window.unboundedPreceding, to))
+        power = F.pow(F.lit(gamma), F.col("_k") + (0 if standard else -1))
+        rows = rows.withColumn("_s", F.coalesce(run, F.lit(0.0)) * power)
+        own = F.col("_s") if standard else F.col("_r") + gamma * F.col("_s")
+    blocks = rows.groupBy(*keys, F.col("_block").alias("k")).agg(F.pow(F.lit(gamma), F.max("_k")).alias("a"), F.max_by(own, "_k").alias("c"), F.min_by("_r", "_k").alias("last"))
+    if terminal is None:
+        blocks = blocks.withColumn("terminal", F.lit(0.0))
+    else:
+        blocks = blocks.join(terminal.groupBy(*keys).agg(F.max(F.col("terminal").cast("double")).alias("terminal")), keys, "left")
+    end = F.coalesce("terminal", F.lit(0.0))
+    if not standard:  # the last reward counts at the last step too
+        end = F.col("last") + gamma * end
+    ahead = values_ahead(blocks, keys, end, group).select(*(F.col(c).alias(f"_{c}") for c in keys), "k", "ahead")
+    same = F.col("_block") == F.col("k")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(ahead, same).select(*episodes.columns, (F.col("_s") + power * F.col("ahead") + F.lit(0.0)).alias("g"))
 
 
 def visit_filter(returns: DataFrame, visit: str = "last", keys: list[str] | None = None) -> DataFrame:
@@ -135,25 +193,18 @@ def cut_episodes(backtest: DataFrame, length: int) -> DataFrame:
     return backtest.select("item", F.floor((F.col("seq") - 1) / length).cast("long").alias("episode_id"), (F.pmod(F.col("seq") - 1, F.lit(length)) + 1).alias("t"), "x", "y", "reward", "x_next")
 
 
-def trace_policy_iteration(model: Model, history: DataFrame, policy: DataFrame, terminal_value: Callable[[Column, Column], Column], gamma: float = 0.95, length: int = 10, max_iter: int = 5) -> DataFrame:
-    """item, x, y, value, iterations, stable: Monte Carlo policy iteration on fixed historical demand."""
-    policy, done = materialize(policy.select("item", "x", "y"), "policy"), []
+def trace_policy_iteration(
+    model: Model, history: DataFrame, policy: DataFrame, terminal_value: Callable[[Column, Column], Column], gamma: float = 0.95, length: int = 10, max_iter: int = 5, x0: int = 0
+) -> DataFrame:
+    """item, x, y, value, iterations, stable: Monte Carlo policy iteration on fixed historical demand.
+
+    An iteration rolls the policy over the item's demand (a backtest cut into episodes of ``length`` periods), takes the mean
+    shifted return of each state's last visits, and improves. Items don't depend on each other, so tasks run batches of
+    items until their policies stay: one job, whatever the number of iterations. ``terminal_value`` is an expression
+    of the end state and the cost of an item; it is computed for every state beforehand. An item's history has to fit a task.
+    """
     cost = model.params.select("item", "c")
-    for k in range(1, max_iter + 1):
-        items = policy.select("item").distinct()
-        episodes = materialize(cut_episodes(policy_backtest(history.join(items, "item", "left_semi"), model.params, policy), length), "episodes")
-        last = episodes.groupBy("item", "episode_id").agg(F.max_by("x_next", "t").alias("x_end")).join(cost, "item")
-        terminal = last.select("item", "episode_id", terminal_value(F.col("x_end"), F.col("c")).alias("terminal"))
-        v = mc_evaluate(episodes.drop("x_next"), model.states.join(items, "item", "left_semi"), gamma, terminal=terminal).select("item", "x", "value")
-        v = materialize(v, "values")
-        better = materialize(model.backup(v).select("item", "x", "y"), "policy")
-        now = materialize(better.join(v, ["item", "x"]).join(policy_changes(better, policy), "item"), "improved")
-        done.append((now.filter("stable") if k < max_iter else now).select("item", "x", "y", "value", F.lit(k).alias("iterations"), "stable"))
-        rest = now.filter("not stable")
-        if k == max_iter or rest.isEmpty():
-            break
-        policy = rest.select("item", "x", "y")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    at_end = model.states.join(cost, "item").groupBy("item").agg(F.collect_list(F.struct("x", terminal_value(F.col("x"), F.col("c")).cast("double").alias("value"))).alias("terminal"))
+    demand = history.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("d").cast("long").alias("d")))), lambda x: x["d"]).alias("history"))
+    rows = model.by_item(policy.select("item", "x", "y")).join(at_end, "item").join(demand, "item", "left")
+    return by_state(model.in_tasks(rows, tracer(model.span, max_iter, x0, length, gamma)), "iterations", "stable")

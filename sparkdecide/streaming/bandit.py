@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.regret import attach_truth
 from ..plans.qlearning import Q_SCHEMA, update
+from .versions import Versions
 
 
 def stream_arm_stats(log: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -36,14 +37,29 @@ def stream_regret(log: DataFrame, arm_probs: DataFrame) -> DataFrame:
     return joined.groupBy("alg").agg(F.count("*").alias("steps"), F.sum("regret").alias("regret"), F.sum("reward").alias("reward"), (100 * F.avg("optimal")).alias("pct_optimal"))
 
 
-def stream_assign(requests: DataFrame, stats: Callable[[], DataFrame], assign: Callable[[DataFrame, DataFrame], DataFrame], path: str):
-    """A writer that gives each micro-batch of requests arms by the newest statistics and appends them at ``path``.
+def to_versions(table: DataFrame, sink: Versions) -> DataStreamWriter:
+    """A writer of a complete-mode aggregation that makes each micro-batch's whole table a version."""
+    return table.writeStream.outputMode("complete").foreachBatch(sink.put)
 
-    A batch that is run again after a failure overwrites its own folder.
+
+def stream_assign(requests: DataFrame, stats: Versions, assign: Callable[[DataFrame, DataFrame], DataFrame], out: Versions, start: DataFrame, by: list[str] | None = None) -> DataStreamWriter:
+    """A writer that gives each micro-batch of requests arms by the newest statistics there are when it begins.
+
+    ``stats`` is read afresh in each batch, while the stream that writes it still runs; what it
+    doesn't have is taken from ``start`` (by, arm, n, q: every arm of every context), so that no
+    request is without arms. Rows say in ``version`` which statistics they are by, -1 before the first.
+    A batch names its version before it writes: run again after a failure, it takes the same one.
     """
+    keys = [*(["context"] if by is None else by), "arm"]
 
     def each(batch: DataFrame, number: int) -> None:
-        assign(batch, stats()).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        newest = stats.newest()
+        version = int(out.pin(number, str(-1 if newest is None else newest)))
+        known = start
+        if version >= 0:
+            seen = stats.at(version).select(*keys, F.col("n").alias("_n"), F.col("q").alias("_q"))
+            known = start.join(seen, keys, "left").select(*keys, F.coalesce("_n", "n").alias("n"), F.coalesce("_q", "q").alias("q"))
+        out.put(assign(batch, known).withColumn("version", F.lit(version).cast("long")), number)
 
     return requests.writeStream.foreachBatch(each)
 

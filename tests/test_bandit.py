@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sparkdecide.functions import columns as C
 from sparkdecide.operators import bandit as B
 from sparkdecide.operators import regret as R
 
@@ -90,6 +91,6 @@ def test_empty_log(spark):
 
 def test_beta_draws_have_their_mean_and_spread(spark):
     for a, b in ((1.0, 1.0), (3.0, 9.0), (400.0, 100.0)):
-        r = spark.range(20000).select(B.beta_sample(F.xxhash64("id"), F.lit(a), F.lit(b), 4).alias("x")).agg(F.avg("x"), F.variance("x"), F.min("x"), F.max("x")).first()
+        r = spark.range(20000).select(C.beta_sample(F.col("id"), F.lit(a), F.lit(b), 4).alias("x")).agg(F.avg("x"), F.variance("x"), F.min("x"), F.max("x")).first()
         var = a * b / ((a + b) ** 2 * (a + b + 1))
         assert abs(r[0] - a / (a + b)) < 5 * (var / 20000) ** 0.5 and abs(r[1] / var - 1) < 0.1 and 0 < r[2] < r[3] < 1

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkdecide.plans import bellman as P
@@ -93,3 +94,43 @@ def test_stream_q_learning_equals_the_batch(spark, tmp_path):
 
     S.stream_q_learning(stream, 6).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert out == {(r.item, r.x, r.y): (round(r.q, 9), r.n) for r in Q.q_learning(rows, 6).collect()}
+
+
+def returned(rewards, gamma, convention, end):
+    """Returns of one episode, step by step from its end."""
+    out, g = [], None
+    for t in range(len(rewards) - 1, -1, -1):
+        if convention == "standard":
+            g = rewards[t] + gamma * (end if g is None else g)
+        else:
+            g = rewards[t] + gamma * end if g is None else rewards[t + 1] + gamma * g
+        out.append(g)
+    return out[::-1]
+
+
+@pytest.mark.parametrize("convention", ["shifted", "standard"])
+@pytest.mark.parametrize("gamma", [0.0, 1e-9, 0.5, 0.95, 1.0, 1.01])
+def test_returns_over_many_blocks(spark, gamma, convention):
+    r = random.Random(4)
+    episodes = {(1, "a"): 300, (1, "b"): 1, (2, "a"): 17, (None, "c"): 8, (3, None): 2}
+    rewards = {k: [r.choice([None, r.uniform(-2, 2)]) for _ in range(n)] for k, n in episodes.items()}
+    rows = [(*k, 5 + 3 * t if k == (2, "a") else t, 0, 0, x) for k, xs in rewards.items() for t, x in enumerate(xs)]
+    e = spark.createDataFrame(rows, "item long, episode_id string, t int, x int, y int, reward double").repartition(5)
+    end = spark.createDataFrame([(1, "a", 4.0), (2, "a", None)], "item long, episode_id string, terminal double")
+    got = {}
+    for x in E.discounted_return(e, gamma, convention, end, block=7, group=4).orderBy("t").collect():
+        got.setdefault((x.item, x.episode_id), []).append(x.g)
+    for k, xs in rewards.items():
+        assert got[k] == pytest.approx(returned([x or 0.0 for x in xs], gamma, convention, 4.0 if k == (1, "a") else 0.0), rel=1e-9, abs=1e-12)
+    with pytest.raises(ValueError, match="gamma"):
+        E.discounted_return(e, -0.1)
+
+
+def test_returns_need_no_python_and_no_whole_episode(spark):
+    e = spark.range(200_000).select(F.lit(1).alias("item"), F.lit(1).alias("episode_id"), F.col("id").cast("int").alias("t"), F.lit(0).alias("x"), F.lit(0).alias("y"), (F.col("id") % 7).cast("double").alias("reward"))
+    g = E.discounted_return(e, 0.999, "standard")
+    plan = g._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    want = returned([float(t % 7) for t in range(200_000)], 0.999, "standard", 0.0)
+    got = {x.t: x.g for x in g.filter("t % 9973 = 0 or t > 199990").collect()}
+    assert len(got) == 30 and all(got[t] == pytest.approx(want[t], rel=1e-9) for t in got)
