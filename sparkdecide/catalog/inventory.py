@@ -10,7 +10,7 @@ from ..operators import grids as G
 from ..operators import inventory as V
 from ..operators.regret import strided_rows
 from ..plans import bellman as P
-from ..storage import materialize, table
+from ..storage import table
 from . import inputs as I
 from .inputs import HISTORY, MODEL, PARAMS, rounded, sweep
 
@@ -31,10 +31,7 @@ def _whole_model(s, d):
 def _swept(s, d, k):
     """The model and values after k sweeps."""
     m = _model(s, d)
-    v = m.zero().withColumn("y", F.lit(0))
-    for _ in range(k):
-        v = materialize(m.backup(v), "values")
-    return m, v
+    return m, m.backup(m.zero(), k)
 
 
 def _levels(s, d):

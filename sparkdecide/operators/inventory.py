@@ -24,10 +24,19 @@ def policy_lookup(keys: DataFrame, policy: DataFrame) -> DataFrame:
 
 
 def nearest_known(keys: DataFrame, known: DataFrame) -> DataFrame:
-    """keys with nearest: the known state of the item at the least distance, the lower on ties; known states may be sparse."""
-    pairs = keys.select("item", "x").distinct().join(known.select("item", F.col("x").alias("k")).distinct(), "item")
-    best = pairs.groupBy("item", "x").agg(F.min_by("k", F.struct(F.abs(F.col("x") - F.col("k")), "k")).alias("nearest"))
-    return keys.join(best, ["item", "x"], "left")
+    """keys with nearest: the known state of the item at the least distance, the lower on ties; known states may be sparse.
+
+    Keys and known states are merged in their order, so each row sees the last known state up to it and the next one from
+    it on: rows grow with the keys and the known states, not with their product.
+    """
+    rows = keys.withColumns({"_k": F.lit(None).cast("long"), "_key": F.lit(1)})
+    there = known.select("item", F.col("x"), F.col("x").cast("long").alias("_k"), F.lit(0).alias("_key")).filter("item is not null and x is not null").distinct()
+    of_item = Window.partitionBy("item")
+    below, above = (F.last("_k", ignorenulls=True).over(of_item.orderBy(x, "_key").rowsBetween(Window.unboundedPreceding, 0)) for x in (F.asc("x"), F.desc("x")))
+    both = rows.unionByName(there, allowMissingColumns=True).withColumns({"_below": below, "_above": above}).filter("_key = 1")
+    lower = F.col("_above").isNull() | (F.col("x") - F.col("_below") <= F.col("_above") - F.col("x"))
+    nearest = F.when(F.col("x").isNotNull(), F.when(F.col("_below").isNotNull() & lower, F.col("_below")).otherwise(F.col("_above")))
+    return both.select(*keys.columns, nearest.cast(known.schema["x"].dataType).alias("nearest"))
 
 
 def demand_cross(actions: DataFrame, pmf: DataFrame) -> DataFrame:
@@ -36,11 +45,20 @@ def demand_cross(actions: DataFrame, pmf: DataFrame) -> DataFrame:
 
 
 def expected_cost(actions: DataFrame, pmf: DataFrame, params: DataFrame) -> DataFrame:
-    """item, y, cost: expected holding and shortage cost of one period."""
-    pairs = demand_cross(actions.select("item", "y").distinct(), pmf).join(params.select("item", "h", "b"), "item")
-    nil = F.lit(0)
-    cost = F.col("h") * F.greatest(nil, F.col("y") - F.col("d")) + F.col("b") * F.greatest(nil, F.col("d") - F.col("y"))
-    return pairs.groupBy("item", "y").agg(F.sum(F.col("p") * cost).alias("cost"))
+    """item, y, cost: expected holding and shortage cost of one period.
+
+    From running sums of p and p * d over an item's demands, merged with its levels in their order: at a level the
+    demands up to it are held against, the others are short. No level meets each demand.
+    """
+    levels = actions.select("item", F.col("y").alias("_at")).distinct().withColumns({"_p": F.lit(0.0), "_pd": F.lit(0.0), "_level": F.lit(1)})
+    demands = pmf.select("item", F.col("d").alias("_at"), F.col("p").alias("_p"), (F.col("p") * F.col("d")).alias("_pd"), F.lit(0).alias("_level"))
+    of_item = Window.partitionBy("item")
+    up_to = of_item.orderBy("_at", "_level").rowsBetween(Window.unboundedPreceding, 0)
+    sums = {f"{c}_{name}": F.sum(c).over(w) for c in ("_p", "_pd") for name, w in (("low", up_to), ("all", of_item))}
+    rows = levels.unionByName(demands).withColumns(sums | {"_known": F.min("_level").over(of_item)}).filter("_level = 1 and _known = 0")
+    y = F.col("_at")
+    held, short = y * F.col("_p_low") - F.col("_pd_low"), (F.col("_pd_all") - F.col("_pd_low")) - y * (F.col("_p_all") - F.col("_p_low"))
+    return rows.join(params.select("item", "h", "b"), "item").select("item", y.alias("y"), (F.col("h") * held + F.col("b") * short).alias("cost"))
 
 
 def transitions(actions: DataFrame, pmf: DataFrame, params: DataFrame) -> DataFrame:

@@ -64,16 +64,20 @@ def trailing_smooth(series: DataFrame, value: str, keys: list[str], order: str =
     if width is not None:
         w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(width - 1), 0)
         return series.withColumn("smooth", F.avg(value).over(w))
-    # a width that differs by series: the difference of two running sums
-    whole, so_far = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count(F.lit(1)).over(whole)
-    s = series.withColumns({"_w": F.greatest(F.lit(1), F.least(F.lit(1000), F.floor(n / 10))).cast("int"), "_i": F.row_number().over(Window.partitionBy(*keys).orderBy(order)), "_s": F.sum(value).over(so_far)})
-    sums = s.select(*(F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)), F.col("_i").alias("_j"), F.col("_s").alias("_p"))
-    same = F.col("_j") == F.col("_i") - F.col("_w")
-    for j, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{j}"))
-    both = s.join(sums, same, "left").withColumn("smooth", (F.col("_s") - F.coalesce("_p", F.lit(0.0))) / F.least("_i", "_w"))
-    return both.select(*series.columns, "smooth")
+    # A width that differs by series: a series is cut into blocks of its width, so the last rows of a width are the end of one
+    # block and the start of the next. Sums never run over more than a block, and the end of a block goes to the next one.
+    i = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    w = F.greatest(F.lit(1), F.least(F.lit(1000), F.floor(F.count(F.lit(1)).over(Window.partitionBy(*keys)) / 10))).cast("int")
+    s = series.withColumns({"_i": i, "_w": w}).withColumns({"_block": F.floor(F.col("_i") / F.col("_w")), "_off": F.pmod("_i", "_w")})
+    block = Window.partitionBy(*keys, "_block")
+    start, end = block.orderBy("_off").rowsBetween(Window.unboundedPreceding, 0), block.orderBy(F.desc("_off")).rowsBetween(Window.unboundedPreceding, 0)
+    some = F.col(value).isNotNull().cast("int")
+    s = s.withColumns({"_s": F.coalesce(F.sum(value).over(start), F.lit(0.0)), "_n": F.sum(some).over(start), "_rest": F.struct(F.coalesce(F.sum(value).over(end), F.lit(0.0)).alias("s"), F.sum(some).over(end).alias("n"))})
+    own = s.select(*series.columns, "_block", "_off", "_s", "_n", F.lit(None).cast(s.schema["_rest"].dataType).alias("_rest"), F.lit(True).alias("_own"))
+    sent = s.filter("_off > 0").select(*keys, (F.col("_block") + 1).alias("_block"), (F.col("_off") - 1).alias("_off"), "_rest", F.lit(False).alias("_own"))
+    met = own.unionByName(sent, allowMissingColumns=True).withColumn("_rest", F.max("_rest").over(Window.partitionBy(*keys, "_block", "_off"))).filter("_own")
+    total, n = (F.col(f"_{c}") + F.coalesce(f"_rest.{c}", F.lit(0)) for c in ("s", "n"))
+    return met.select(*series.columns, F.when(n > 0, total / n).alias("smooth"))
 
 
 def recent_mean(series: DataFrame, value: str, keys: list[str], order: str = "step", back: int = 1000, reports: int = 5) -> DataFrame:

@@ -1,8 +1,8 @@
 """Value and policy iteration over all items.
 
-One sweep (``Model.backup``, ``Model.evaluate_once``) is a join and an aggregation by
-(item, y) and one sliding window per item, as costs other than c * (y - x) do not depend
-on the state. Items don't depend on each other, so loops over sweeps don't come back to
+Costs other than c * (y - x) do not depend on the state, so values of levels stand for all
+pairs. One sweep (``Model.backup``, ``Model.evaluate_once``) is a projection of a row that holds an
+item's demand and values as arrays. Items don't depend on each other, so loops over sweeps don't come back to
 the driver: each item's parameters, demand, policy and start values meet in one row, and
 tasks sweep batches of items until each has converged. That is one job with shuffles by
 item, whatever the number of sweeps; an item's states and demands have to fit a task.
@@ -11,22 +11,26 @@ item, whatever the number of sweeps; an item's states and demands have to fit a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.grids import action_grid, initial_policy, state_grid
-from ..operators.inventory import expected_cost, expected_next_value, sliding_best_action, transitions
+from ..functions.columns import let
+from ..operators.grids import initial_policy, state_grid
 from ..storage import materialize
 from .batches import SOLVED_DDL, solver
 
 SPAN = 10
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Few bytes, much work: rows by ``keys`` (item) in as many tasks as there are shuffle partitions, however small they are."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*(keys or ("item",))))
+
+
 class Model:
-    """States of a set of items, and for every reachable y its cost and transitions, which are written when first used.
+    """Models of a set of items: their states, parameters and demand.
 
     params: item, h, b, c, gamma, theta, x_min, x_max. pmf: item, d, p.
     """
@@ -36,23 +40,6 @@ class Model:
         self.params, self.pmf = params, pmf
         self.states = state_grid(params)
 
-    @cached_property
-    def _pmf(self) -> DataFrame:
-        return materialize(self.pmf, "pmf")
-
-    @cached_property
-    def _actions(self) -> DataFrame:
-        return action_grid(self.states, self.span).select("item", "y").distinct()
-
-    @cached_property
-    def costs(self) -> DataFrame:
-        costs = expected_cost(self._actions, self._pmf, self.params).join(self.params.select("item", "c", "gamma"), "item")
-        return materialize(costs, "costs")
-
-    @cached_property
-    def moves(self) -> DataFrame:
-        return materialize(transitions(self._actions, self._pmf, self.params), "moves")
-
     def by_item(self, policy: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
         """item, its parameters, demand, policy and start, each in one row."""
         demand = self.pmf.groupBy("item").agg(F.sort_array(F.collect_list(F.struct(F.col("d").cast("int").alias("d"), F.col("p").cast("double").alias("p")))).alias("demand"))
@@ -65,9 +52,7 @@ class Model:
 
     def in_tasks(self, rows: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
         """item, rounds, done, states (x, value, y), changes: a loop over each item, written once."""
-        # few bytes, much work: as many tasks as there are shuffle partitions, however small they are
-        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("item"))
-        return materialize(rows.mapInArrow(kernel, SOLVED_DDL), "solved")
+        return materialize(spread(rows).mapInArrow(kernel, SOLVED_DDL), "solved")
 
     def solved(self, kind: str, most: int, most_sweeps: int = 0, policy: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
         return self.in_tasks(self.by_item(policy, start), solver(kind, self.span, most, most_sweeps))
@@ -75,22 +60,68 @@ class Model:
     def zero(self) -> DataFrame:
         return self.states.select("item", "x", F.lit(0.0).alias("value"))
 
+    def _with_values(self, v: DataFrame) -> DataFrame:
+        """A row for each item: its parameters, demand, and v, the values of its states in order (0 for missing ones)."""
+        of = v.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("x", "value"))).alias("_values"))
+        values = F.transform(F.sequence("x_min", "x_max"), lambda x: F.coalesce(F.try_element_at("_values", x), F.lit(0.0)))
+        return spread(self.by_item().join(of, "item")).withColumn("v", values).drop("_values")
+
+    def _fixed(self) -> Column:
+        """What each level from x_min on is worth without a next state."""
+        nil = F.lit(0.0)
+
+        def worth(y: Column) -> Column:
+            def cost(e: Column) -> Column:
+                left = (y - e["d"]).cast("double")
+                return e["p"] * (F.col("h") * F.greatest(nil, left) + F.col("b") * F.greatest(nil, -left))
+
+            return -F.col("c") * y - F.aggregate("demand", nil, lambda s, e: s + cost(e))
+
+        return F.transform(F.sequence(F.col("x_min"), F.col("x_max") + self.span), worth)
+
+    def _levels(self, fixed: Column, v: Column) -> Column:
+        """g, the value of each level with v ahead: level number i is x_min + i, and a demand d leads to state number i - d, inside the range."""
+        last = F.col("x_max") - F.col("x_min")
+
+        def ahead(own: Column, i: Column) -> Column:
+            return own + F.col("gamma") * F.aggregate("demand", F.lit(0.0), lambda s, e: s + e["p"] * F.get(v, F.greatest(F.lit(0), F.least(last, i - e["d"]))))
+
+        return F.transform(fixed, ahead)
+
     def action_values(self, v: DataFrame) -> DataFrame:
-        """item, y, g: value of having y on hand, without the part that depends on the state."""
-        ev = expected_next_value(self.moves, v)
-        return self.costs.join(ev, ["item", "y"]).select("item", "y", "c", (-F.col("c") * F.col("y") - F.col("cost") + F.col("gamma") * F.col("ev")).alias("g"))
+        """item, y, c, g: value of having y on hand, without the part that depends on the state."""
+        g = let(F.col("v"), lambda v: self._levels(self._fixed(), v))
+        rows = self._with_values(v).select("item", "c", "x_min", F.posexplode(g).alias("i", "g"))
+        return rows.select("item", (F.col("x_min") + F.col("i")).alias("y"), "c", "g")
 
     def q_values(self, v: DataFrame) -> DataFrame:
         """item, x, y, q for all pairs of state and action."""
-        g = self.action_values(v)
-        return action_grid(self.states, self.span).join(g, ["item", "y"]).select("item", "x", "y", (F.col("c") * F.col("x") + F.col("g") + F.lit(0.0)).alias("q"))
-
-    def backup(self, v: DataFrame) -> DataFrame:
-        """item, x, value, y: one optimality sweep and its greedy policy."""
-        g = self.action_values(v)
-        best = sliding_best_action(g, self.span).withColumnRenamed("y", "x")
-        c = self.params.select("item", "c", "x_min", "x_max")
-        return best.join(c, "item").filter("x between x_min and x_max").select("item", "x", (F.col("c") * F.col("x") + F.col("best") + F.lit(0.0)).alias("value"), F.col("arg").alias("y"))
+        options = lambda g: F.transform(F.sequence("x_min", "x_max"), lambda x: F.struct(x.alias("x"), F.slice(g, x - F.col("x_min") + 1, F.lit(self.span + 1)).alias("g")))
+        states = let(F.col("v"), lambda v: let(self._levels(self._fixed(), v), options))
+        rows = self._with_values(v).select("item", "c", F.explode(states).alias("s"))
+        rows = rows.select("item", "c", F.col("s.x").alias("x"), F.posexplode("s.g").alias("o", "g"))
+        return rows.select("item", "x", (F.col("x") + F.col("o")).alias("y"), (F.col("c") * F.col("x") + F.col("g") + F.lit(0.0)).alias("q"))
+
+    def backup(self, v: DataFrame, sweeps: int = 1) -> DataFrame:
+        """item, x, value, y: optimality sweeps and the greedy policy of the last. Levels within 1e-9 are ties, the lowest wins.
+
+        An item's values stay in its row, so a sweep is an expression and several of them have no shuffle between them.
+        """
+        state = F.sequence(F.lit(0), F.col("x_max") - F.col("x_min"))
+
+        def best(g: Column, x: Column) -> Column:
+            top = F.array_max(F.transform(F.slice(g, x + 1, F.lit(self.span + 1)), lambda z, o: F.struct(F.round(z, 9).alias("r"), (-o).alias("m"), z.alias("g"))))
+            return let(top, lambda t: F.struct((F.col("x_min") + x).alias("x"), (F.col("c") * (F.col("x_min") + x) + t["g"] + F.lit(0.0)).alias("value"), (F.col("x_min") + x - t["m"]).alias("y")))
+
+        def swept(fixed: Column) -> Column:
+            values = F.col("v")
+            for _ in range(sweeps):
+                out = let(values, lambda v: let(self._levels(fixed, v), lambda g: F.transform(state, lambda x: best(g, x))))
+                values = F.transform(out, lambda t: t["value"])
+            return out
+
+        rows = self._with_values(v).select("item", F.explode(let(self._fixed(), swept)).alias("s"))
+        return rows.select("item", "s.x", "s.value", "s.y")
 
     def evaluate_once(self, policy: DataFrame, v: DataFrame) -> DataFrame:
         """item, x, value: one sweep under a fixed policy."""

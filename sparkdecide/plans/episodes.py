@@ -9,14 +9,16 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import period_cost
-from ..storage import materialize
+from ..operators.inventory import nearest_known
 from .batches import tracer
-from .bellman import Model, by_state
+from .bellman import Model, by_state, spread
+
+#: Steps of a block whose discounted sums one window takes, periods of one whose states are mapped together, and blocks of a group.
+BLOCK, PERIODS, GROUP = 1 << 12, 1 << 8, 1 << 8
 
 
 def base_stock_backtest(history: DataFrame, params: DataFrame, level: DataFrame, x0: int = 0) -> DataFrame:
@@ -34,39 +36,63 @@ def base_stock_backtest(history: DataFrame, params: DataFrame, level: DataFrame,
     return rows.select("item", "seq", "x", "y", "d", reward.alias("reward"), to.alias("x_next"))
 
 
-BACKTEST = "array<struct<seq:int,x:int,y:int,d:int,x_next:int>>"
 
 
-def policy_backtest(history: DataFrame, params: DataFrame, policy: DataFrame, x0: int = 0) -> DataFrame:
-    """The same for any policy (item, x, y): a fold over each item's demand in order, items in parallel.
+def _levels(params: DataFrame, policy: DataFrame, x0: int) -> DataFrame:
+    """item, x_min, x_max, lo, levels: the policy's action of every state from lo on, that of the nearest one it has."""
+    grid = params.select("item", F.explode(F.sequence(F.least("x_min", F.lit(x0)), F.greatest("x_max", F.lit(x0)))).alias("x"))
+    acts = policy.select("item", F.col("x").alias("nearest"), "y")
+    of = nearest_known(grid, acts.select("item", F.col("nearest").alias("x"))).join(acts, ["item", "nearest"]).groupBy("item")
+    levels = of.agg(F.min("x").alias("lo"), F.transform(F.array_sort(F.collect_list(F.struct("x", F.col("y").cast("int").alias("y")))), lambda s: s["y"]).alias("levels"))
+    return params.select("item", "x_min", "x_max").join(levels, "item")
+
+
+def policy_backtest(history: DataFrame, params: DataFrame, policy: DataFrame, x0: int = 0, block: int = PERIODS, group: int = GROUP) -> DataFrame:
+    """The same for any policy (item, x, y), one long history in parallel too.
 
-    A state that the policy doesn't have takes the action of the nearest one it has.
+    Under a policy a demand is a map from the state before it to the next one. A block of ``block`` numbers of seq is the
+    composition of its maps, and a group of ``group`` blocks that of theirs; from x0 over an item's groups, the blocks of a
+    group and the periods of a block, every period's state follows. A state that the policy doesn't have takes the
+    action of the nearest one it has, the lower on ties.
     """
-    table = policy.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("acts"))
-    demand = history.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("seq", "d"))).alias("demand"))
-    p = params.select("item", "h", "b", "c", "x_min", "x_max")
-
-    def fold(demand: pa.Array, acts: pa.Array, x_min: pa.Array, x_max: pa.Array) -> pa.Array:
-        out = []
-        for ds, table, lo, hi in zip(demand.to_pylist(), acts.to_pylist(), x_min.to_pylist(), x_max.to_pylist(), strict=True):
-            act = {a["x"]: a["y"] for a in table}
-            x, rows = x0, []
-            for r in ds:
-                y = act[x] if x in act else act[min(act, key=lambda k: (abs(k - x), k))]
-                to = max(lo, min(hi, y - r["d"]))
-                rows.append({"seq": r["seq"], "x": x, "y": y, "d": r["d"], "x_next": to})
-                x = to
-            out.append(rows)
-        return pa.array(out, pa.list_(pa.struct([(k, pa.int32()) for k in ("seq", "x", "y", "d", "x_next")])))
-
-    steps = F.explode(F.arrow_udf(fold, BACKTEST)("demand", "acts", "x_min", "x_max")).alias("s")
-    rows = demand.join(p, "item").join(table, "item").select("item", "h", "b", "c", steps).select("item", "h", "b", "c", "s.*")
+    known = _levels(params, policy, x0)
+    cut = history.select("item", F.floor(F.col("seq") / block).alias("k"), "seq", F.col("d").cast("int").alias("d"))
+    steps = cut.groupBy("item", "k").agg(F.array_sort(F.collect_list(F.struct("seq", "d"))).alias("steps"))
+    # nothing follows an item's last block, so that needs no map; most items have no other
+    steps = steps.withColumn("last", F.max("k").over(Window.partitionBy("item")))
+    blocks = spread(steps.join(known, "item"), "item", "k")
+
+    def act(x: Column) -> Column:
+        return F.get("levels", x - F.col("lo"))
+
+    def after(x: Column, d: Column) -> Column:
+        return F.greatest("x_min", F.least("x_max", act(x) - d))
+
+    states = F.transform(F.sequence(F.lit(0), F.size("levels") - 1), lambda i: i + F.col("lo"))
+    mapped = F.aggregate("steps", states, lambda at, s: F.transform(at, lambda x: after(x, s["d"])))
+    pieces = blocks.select("item", "k", "lo", F.size("levels").alias("n"), F.when(F.col("k") < F.col("last"), mapped).alias("to"))
+    piece = F.array_sort(F.collect_list(F.struct("k", "to"))).alias("pieces")
+    groups = pieces.groupBy("item", F.floor(F.col("k") / group).alias("g")).agg(piece, F.first("lo").alias("lo"), F.first("n").alias("n"))
+    start = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: i + F.col("lo"))
+    whole = F.aggregate("pieces", start, lambda at, p: F.transform(at, lambda x: F.get(p["to"], x - F.col("lo"))))
+    # k and the state before it, for maps in order
+    none = F.expr("cast(array() as array<struct<k:bigint,x:int>>)")
+
+    def before(maps: Column, x: Column) -> Column:
+        begin = F.struct(x.cast("int").alias("x"), none.alias("seen"))
+        return F.explode(F.aggregate(maps, begin, lambda at, p: F.struct(F.get(p["to"], at["x"] - F.col("lo")).alias("x"), F.concat(at["seen"], F.array(F.struct(p["k"].alias("k"), at["x"].alias("x")))).alias("seen")))["seen"])
+
+    each = groups.groupBy("item").agg(F.array_sort(F.collect_list(F.struct(F.col("g").alias("k"), whole.alias("to")))).alias("groups"), F.first("lo").alias("lo"))
+    each = each.select("item", before(F.col("groups"), F.lit(x0)).alias("s")).select("item", F.col("s.k").alias("g"), F.col("s.x").alias("x"))
+    each = groups.join(each, ["item", "g"]).select("item", before(F.col("pieces"), F.col("x")).alias("s")).select("item", "s.k", "s.x")
+    run = F.aggregate("steps", F.array("x"), lambda at, s: F.concat(at, F.array(after(F.element_at(at, -1), s["d"]))))
+    rows = blocks.join(each, ["item", "k"]).withColumn("_run", run)
+    period = F.explode(F.transform("steps", lambda s, i: F.struct(s["seq"].alias("seq"), s["d"].alias("d"), F.get("_run", i).alias("x"), F.get("_run", i + 1).alias("x_next"), act(F.get("_run", i)).alias("y"))))
+    rows = rows.select("item", period.alias("s")).select("item", "s.*").join(params.select("item", "h", "b", "c"), "item")
     reward = -period_cost(F.col("y"), F.col("d"), F.col("x"), F.col("h"), F.col("b"), F.col("c")) + F.lit(0.0)
     return rows.select("item", "seq", "x", "y", "d", reward.alias("reward"), "x_next")
 
 
-#: Steps of a block whose discounted sums one window takes, and blocks of a group that are composed together.
-BLOCK, GROUP = 1 << 12, 1 << 8
 
 
 def block_length(gamma: float, most: int = BLOCK) -> int:
@@ -92,7 +118,7 @@ def values_ahead(blocks: DataFrame, keys: list[str], end: Column, group: int = G
 
     ``end`` is what stands after an episode's last block, from ``last`` of that block and ``terminal``. Blocks are composed
     within groups of ``group`` numbers, then the groups of an episode one after the other, and each group
-    is gone through again with what stands after it; so no array has more than a group's blocks or an episode's groups.
+    is gone through again with what stands after it. An episode's row holds three numbers for each of its blocks.
     """
     piece = F.sort_array(F.collect_list(F.struct("k", "a", "c"))).alias("pieces")
     groups = blocks.groupBy(*keys, F.floor(F.col("k") / group).alias("_g")).agg(piece, F.max_by("last", "k").alias("last"), F.max("terminal").alias("terminal")).withColumn("_of", _composed(F.col("pieces")))
@@ -151,11 +177,14 @@ def discounted_return(
     return rows.join(ahead, same).select(*episodes.columns, (F.col("_s") + power * F.col("ahead") + F.lit(0.0)).alias("g"))
 
 
+def _nth_visit(visit: str, keys: list[str]) -> Column:
+    """1 at an episode's last (or first) visit of a state."""
+    return F.row_number().over(Window.partitionBy(*keys, "x").orderBy(F.desc("t") if visit == "last" else F.asc("t")))
+
+
 def visit_filter(returns: DataFrame, visit: str = "last", keys: list[str] | None = None) -> DataFrame:
     """One row for each episode and state: its last visit, or its first."""
-    keys = ["item", "episode_id"] if keys is None else keys
-    order = F.desc("t") if visit == "last" else F.asc("t")
-    return returns.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "x").orderBy(order))).filter("_n = 1").drop("_n")
+    return returns.withColumn("_n", _nth_visit(visit, ["item", "episode_id"] if keys is None else keys)).filter("_n = 1").drop("_n")
 
 
 def mc_value(returns: DataFrame, states: DataFrame) -> DataFrame:
@@ -183,9 +212,11 @@ def episode_reward(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def mc_evaluate(episodes: DataFrame, states: DataFrame, gamma: float = 0.95, visit: str = "last", convention: str = "shifted", terminal: DataFrame | None = None) -> DataFrame:
-    """item, x, value, n, visits from logged episodes."""
-    g = visit_filter(discounted_return(episodes, gamma, convention, terminal), visit)
-    return mc_value(g, states).join(visit_counts(episodes, states).select("item", "x", F.col("n").alias("visits")), ["item", "x"])
+    """item, x, value, n, visits from logged episodes, in one pass over the returns."""
+    g = discounted_return(episodes, gamma, convention, terminal).withColumn("_n", _nth_visit(visit, ["item", "episode_id"]))
+    counted = F.when(F.col("_n") == 1, F.col("g"))
+    seen = g.groupBy("item", "x").agg(F.avg(counted).alias("value"), F.count(counted).alias("n"), F.count("*").alias("visits"))
+    return states.select("item", "x").join(seen, ["item", "x"], "left").fillna(0.0, ["value"]).fillna(0, ["n", "visits"])
 
 
 def cut_episodes(backtest: DataFrame, length: int) -> DataFrame:

@@ -134,3 +134,23 @@ def test_returns_need_no_python_and_no_whole_episode(spark):
     want = returned([float(t % 7) for t in range(200_000)], 0.999, "standard", 0.0)
     got = {x.t: x.g for x in g.filter("t % 9973 = 0 or t > 199990").collect()}
     assert len(got) == 30 and all(got[t] == pytest.approx(want[t], rel=1e-9) for t in got)
+
+
+def test_backtest_over_many_blocks(spark):
+    """Composed maps equal one period after the other, also from outside the range and with states that the policy lacks."""
+    r = random.Random(8)
+    demand = {1: [r.randrange(6) for _ in range(300)], 2: [3], 3: [r.randrange(4) for _ in range(33)]}
+    rows = spark.createDataFrame([(i, k, d) for i, ds in demand.items() for k, d in enumerate(ds, 1)], "item long, seq int, d int").repartition(4)
+    params = spark.createDataFrame([(i, 1.0, 9.0, 0.5, 0.5, 0.01, -2, 8) for i in demand], PARAMS)
+    acts = {(i, x): x + r.randrange(5) for i in demand for x in (-2, 1, 2, 5, 8)}
+    policy = spark.createDataFrame([(*k, y) for k, y in acts.items()], "item long, x int, y int")
+    for x0 in (0, -5, 12):
+        got = {(g.item, g.seq): (g.x, g.y, g.d, g.x_next, round(g.reward, 9)) for g in E.policy_backtest(rows, params, policy, x0, block=7, group=3).collect()}
+        assert len(got) == 334
+        for i, ds in demand.items():
+            x = x0
+            for k, d in enumerate(ds, 1):
+                y = acts[i, min((-2, 1, 2, 5, 8), key=lambda z: (abs(z - x), z))]  # noqa: B023
+                to = max(-2, min(8, y - d))
+                assert got[i, k] == (x, y, d, to, round(-(0.5 * (y - x) + max(0, y - d) + 9 * max(0, d - y)) + 0.0, 9))
+                x = to
