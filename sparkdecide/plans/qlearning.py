@@ -6,7 +6,10 @@ item's updates are in the order of (episode_id, t) and stay in one task.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,20 +33,122 @@ def update(q: dict, n: dict, x: int, y: int, reward: float, x_next: int, y_max:
 
 
 Q_SCHEMA = "item bigint, x int, y int, q double, n bigint"
+Q_FIELDS = pa.schema([("item", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("q", pa.float64()), ("n", pa.int64())])
+
+#: Rows that are stepped through together, cells of their tables, and items below which rows go one by one.
+ROWS, CELLS, FEW = 1 << 16, 1 << 22, 8
+
+
+class Learner:
+    """Updates of sorted rows (item, x, y, reward, x_next), many items together; the last item is carried on to the next rows."""
+
+    def __init__(self, y_max: int, alpha0: float, gamma: float, decay: float):
+        self.y_max, self.alpha0, self.gamma, self.decay = y_max, alpha0, gamma, decay
+        self.open: tuple[int, dict, dict] | None = None
+
+    def take(self, item: np.ndarray, x: np.ndarray, y: np.ndarray, reward: np.ndarray, x_next: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Tables of the items that are complete: all before the last one."""
+        starts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
+        ends = np.append(starts[1:], len(item))
+        if self.open and self.open[0] != item[0]:
+            yield self._told([self.open])
+            self.open = None
+        low_x, low_y = int(min(x.min(), x_next.min())), int(min(y.min(), x_next.min(), self.y_max))
+        wide, deep = int(max(x.max(), x_next.max())) - low_x + 1, int(max(y.max(), self.y_max)) - low_y + 1
+        rows = (x, y, reward, x_next)
+        many = max(1, CELLS // (wide * deep))
+        for at in range(0, len(starts), many):
+            some = slice(at, at + many)
+            first = self.open if at == 0 else None
+            if wide * deep > CELLS:
+                done = [self._alone(int(item[starts[at]]), [r[starts[at] : ends[at]] for r in rows], first)]
+            else:
+                done = self._together(item[starts[some]], starts[some], ends[some], rows, (low_x, low_y, wide, deep), first)
+            if at + many >= len(starts):
+                *done, self.open = done
+            if done:
+                yield self._told(done)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.open:
+            yield self._told([self.open])
+
+    def _alone(self, item: int, rows: list[np.ndarray], known: tuple[int, dict, dict] | None) -> tuple[int, dict, dict]:
+        q, n = (known[1], known[2]) if known else ({}, {})
+        for r in zip(*(c.tolist() for c in rows), strict=True):
+            update(q, n, *r, self.y_max, self.alpha0, self.gamma, self.decay)
+        return item, q, n
+
+    def _together(self, items: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: tuple[np.ndarray, ...], frame: tuple[int, int, int, int], known: tuple[int, dict, dict] | None) -> list[tuple[int, dict, dict]]:
+        """Step k takes row k of every item that has one; what few long items have left goes row by row."""
+        low_x, low_y, wide, deep = frame
+        q, n = np.zeros((len(items), wide, deep)), np.zeros((len(items), wide, deep), np.int64)
+        outside: dict[tuple[int, int], tuple[float, int]] = {}
+        for (a, b), value in known[1].items() if known else ():
+            if 0 <= a - low_x < wide and 0 <= b - low_y < deep:
+                q[0, a - low_x, b - low_y], n[0, a - low_x, b - low_y] = value, known[2][a, b]
+            else:  # a pair that these rows don't meet
+                outside[a, b] = value, known[2][a, b]
+        levels, states = low_y + np.arange(deep), low_x + np.arange(wide)
+        barred = (levels < states[:, None]) | (levels > self.y_max)
+        none = barred.all(axis=1)
+        x, y, reward, x_next = rows
+        sizes = ends - starts
+        order = np.argsort(-sizes, kind="stable")
+        falling = sizes[order]
+        steps = int(falling[FEW]) if len(order) > FEW else 0
+        for k in range(steps):
+            of = order[: np.searchsorted(-falling, -k, side="left")]
+            at = starts[of] + k
+            i, j, to = x[at] - low_x, y[at] - low_y, x_next[at] - low_x
+            n[of, i, j] += 1
+            ahead = np.where(none[to], 0.0, np.where(barred[to], -np.inf, q[of, to]).max(axis=1))
+            q[of, i, j] += self.alpha0 / (1 + self.decay * n[of, i, j]) * (reward[at] + self.gamma * ahead - q[of, i, j])
+        out = []
+        for k, item in enumerate(items.tolist()):
+            i, j = np.nonzero(n[k])
+            pairs = list(zip((i + low_x).tolist(), (j + low_y).tolist(), strict=True))
+            one = (item, dict(zip(pairs, q[k, i, j].tolist(), strict=True)), dict(zip(pairs, n[k, i, j].tolist(), strict=True)))
+            if k == 0:
+                one[1].update({p: v for p, (v, _) in outside.items()})
+                one[2].update({p: c for p, (_, c) in outside.items()})
+            out.append(self._alone(item, [r[starts[k] + steps : ends[k]] for r in rows], one) if sizes[k] > steps else one)
+        return out
+
+    @staticmethod
+    def _told(done: list[tuple[int, dict, dict]]) -> pa.RecordBatch:
+        told = [(item, *p, q[p], n[p]) for item, q, n in done for p in sorted(q)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*told, strict=True), Q_FIELDS, strict=True)], schema=Q_FIELDS)
 
 
 def q_learning(transitions: DataFrame, y_max: int, alpha0: float = 0.1, gamma: float = 0.95, decay: float = 0.001) -> DataFrame:
-    """item, x, y, q, n of every pair in the log."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        q: dict = {}
-        n: dict = {}
-        pdf = pdf.sort_values(["episode_id", "t"])
-        for r in zip(pdf["x"], pdf["y"], pdf["reward"], pdf["x_next"], strict=True):
-            update(q, n, int(r[0]), int(r[1]), float(r[2]), int(r[3]), y_max, alpha0, gamma, decay)
-        return pd.DataFrame([(pdf["item"].iloc[0], *k, q[k], n[k]) for k in sorted(q)], columns=["item", "x", "y", "q", "n"])
-
-    return transitions.groupBy("item").applyInPandas(fold, Q_SCHEMA)
+    """item, x, y, q, n of every pair in the log. Rows without an item, state, action or reward are left out.
+
+    A task reads its items' rows in order, ROWS at a time, and holds no more of a log than that: what an item has
+    learned is carried over when its log goes on.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, held, size = Learner(y_max, alpha0, gamma, decay), [], 0
+
+        def columns() -> list[np.ndarray]:
+            return [np.concatenate([b[c].to_numpy(zero_copy_only=False) for b in held]) for c in ("item", "x", "y", "reward", "x_next")]
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+            if size >= ROWS:
+                yield from learner.take(*columns())
+                held, size = [], 0
+        if held:
+            yield from learner.take(*columns())
+        yield from learner.rest()
+
+    rows = transitions.select(F.col("item").cast("long").alias("item"), "episode_id", "t", *(F.col(c).cast("long").alias(c) for c in ("x", "y", "x_next")), F.col("reward").cast("double").alias("reward"))
+    rows = rows.dropna(subset=["item", "x", "y", "reward", "x_next"])
+    sorted_rows = rows.repartition("item").sortWithinPartitions("item", "episode_id", "t")
+    return sorted_rows.select("item", "x", "y", "reward", "x_next").mapInArrow(fold, Q_SCHEMA)
 
 
 def greedy_from_q(q_table: DataFrame, states: DataFrame, y_max: int) -> DataFrame:

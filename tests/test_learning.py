@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,28 @@ def test_backtest_over_many_blocks(spark):
                 to = max(-2, min(8, y - d))
                 assert got[i, k] == (x, y, d, to, round(-(0.5 * (y - x) + max(0, y - d) + 9 * max(0, d - y)) + 0.0, 9))
                 x = to
+
+
+@pytest.mark.parametrize(("rows_at_once", "cells", "few"), [(1 << 16, 1 << 22, 8), (37, 1 << 22, 2), (11, 60, 0), (5, 1, 8)])
+def test_q_learning_in_any_pieces(rows_at_once, cells, few, monkeypatch):
+    """Items cut anywhere, stepped together or alone, learn what one update after the other does."""
+    r = random.Random(6)
+    log = [(i, r.randrange(-2, 4), r.randrange(0, 9), r.random(), r.randrange(-2, 9)) for i, n in enumerate((40, 1, 3, 90, 17, 2, 2, 5, 9, 30, 1, 1)) for _ in range(n)]
+    monkeypatch.setattr(Q, "CELLS", cells)
+    monkeypatch.setattr(Q, "FEW", few)
+    learner, got = Q.Learner(6, 0.1, 0.9, 0.01), {}
+    told = []
+    for k in range(0, len(log), rows_at_once):
+        told += learner.take(*map(np.array, zip(*log[k : k + rows_at_once])))
+    for b in [*told, *learner.rest()]:
+        for x in b.to_pylist():
+            assert (x["item"], x["x"], x["y"]) not in got
+            got[x["item"], x["x"], x["y"]] = (x["q"], x["n"])
+    want = {}
+    for i in range(12):
+        q, n = {}, {}
+        for row in log:
+            if row[0] == i:
+                Q.update(q, n, *row[1:], 6, 0.1, 0.9, 0.01)
+        want |= {(i, *p): (q[p], n[p]) for p in q}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
