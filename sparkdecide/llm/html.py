@@ -9,16 +9,18 @@ In the finished wrapper the groups are marked as main text or as frame (menus, h
 footers, sidebars, notices, adverts, forms, comments), by their tags and names, by the
 article or main groups, and by the share of links on pages without any. An article or
 main group is main text if on at least half of the pages that have it, it has a fifth
-or more of the text of the page's largest one. Template text is frame too, whatever its
-name: a group outside of repeated groups, in a main group (or a page) whose whole text differs,
-with the same text on TEMPLATE pages or more and on half of those that have the group around it.
+or more of the text of the page's largest one. On pages without such groups template text is frame
+too, whatever its name: a group outside of repeated groups, before the first or after the last of its
+neighbours whose text differs from page to page (not between them, where headings stand), with the same text on TEMPLATE
+pages or more and on half of those that have the group around it.
 
 Wrappers are fitted on all pages of a host: pages with one skeleton (tags, names and
 quantities) are summed up first, and each skeleton is merged once. Pages are then read
 along their host's wrapper. What it doesn't have where the page has it, and a page none
 of whose main groups the wrapper takes, are marked by the same rules on the page alone.
 Names that differ from page to page are left out: digits, ids without a meaning for the
-rules, and all such names of html, body, article and main.
+rules, and all such names of html, body, article and main. Text inside a main group is never left out for being the same
+on all pages: headings, labels and names of authors repeat there.
 
 Defined results: null or empty html gives an empty text; a page without a host has
 no wrapper and is read by the rules alone. Unclosed tags end where HTML ends them. From a
@@ -402,7 +404,7 @@ def marked(wrapper: dict) -> dict:
     """The wrapper with marks: m by its main regions, a by the share of links, for pages without main regions.
 
     IN is main text, OUT is frame with all that is inside, OPEN is neither (it may hold main regions).
-    x says for which of the two (1 for m, 2 for a) a group is template text, and h its digest in hexadecimal.
+    x says whether a group is template text for a page without main regions, and h its digest in hexadecimal.
     """
     chosen = {id(r) for r in regions(wrapper) if r["n"] and 2 * r["k"] >= r["n"]}
     whole = ("#root.", "html.", "body.")
@@ -416,16 +418,14 @@ def marked(wrapper: dict) -> dict:
             m = IN
         if a and w["s"] not in whole and w["t"] and w["l"] > 0.6 * w["t"]:
             a = OUT
-        # x: around this group, what differs as a whole and is not repeated
         template = x if once and same and w["t"] and w["s"] not in ("#", *whole) and w["p"] >= TEMPLATE and 2 * w["p"] >= most else 0
-        if id(w) in chosen:
-            template, x = template & 2, x & 2 | (1 if once and not same else 0)
-        elif w is wrapper and not same:
-            x = 2
-        x = x if once else 0
+        # x: this group, or one around it, differs as a whole and is not repeated
+        x = 1 if once and not same and (x or w is wrapper) else 0
+        slots = [k for k, c in enumerate(w["c"]) if c["lo"] != c["hi"] or c["q"] not in "1?"]
         items = []
-        for c in w["c"]:
-            items.append((yield c, m, a, x, w["p"]))
+        for k, c in enumerate(w["c"]):
+            inside = slots and slots[0] < k < slots[-1]
+            items.append((yield c, m, a, 0 if inside or id(w) in chosen else x, w["p"]))
         return w | {"m": m, "a": a, "x": template, "h": f"{w['lo']:x}" if template else "", "c": items}
 
     return mark(wrapper, OPEN, IN, 0, wrapper["p"])
@@ -520,7 +520,7 @@ def _read(root: Node, wrapper: dict | None, own: dict, mode: str) -> str:
                 s = sign(child)
                 known, here = step(s)
                 if known is not None:
-                    same = known["x"] & (1 if mode == "m" else 2) and known["h"] == f"{child.digest:x}"
+                    same = mode == "a" and known["x"] and known["h"] == f"{child.digest:x}"
                     mark = OUT if same else known[mode]
                 elif state == OUT or is_frame(s):
                     mark = OUT

@@ -2,6 +2,8 @@
 
 from itertools import combinations, product
 
+import pytest
+
 from sparkdecide.llm import html
 
 MENU = "<nav><a href=/>Home</a></nav>"
@@ -44,22 +46,31 @@ def test_op6_html_main_text_template_text_is_told_by_the_host(spark):
     def page(k, note="We value you"):
         return f"<body>{MENU}<article><h1>Title {k}</h1><div class=x7><p>{note}</div><p>text {k}</article><div class=q2>always</div>"
 
-    pages = [page(k) for k in range(6)]
-    assert texts(spark, pages) == [f"Title {k}\n\ntext {k}" for k in range(6)]
-    # one page alone can't know it, fewer than TEMPLATE pages don't say it, another text in its place is a slot
-    assert html.read(pages[0]) == "Title 0\n\nWe value you\n\ntext 0"
-    assert texts(spark, pages[:4])[0] == "Title 0\n\nWe value you\n\ntext 0"
-    assert texts(spark, [*pages, page(6, "Other")])[0] == "Title 0\n\nWe value you\n\ntext 0"
-    # copies of one page are all the same, and stay
-    assert texts(spark, [pages[0]] * 8) == ["Title 0\n\nWe value you\n\ntext 0"] * 8
+    # inside the article nothing goes for being the same on all pages
+    for n in (1, 4, 6, 60):
+        assert texts(spark, [page(k) for k in range(n)]) == [f"Title {k}\n\nWe value you\n\ntext {k}" for k in range(n)]
     # pages without main groups
     plain = [f"<body><div class=x7>We value you</div><div class=y1><p>text {k}</div>" for k in range(6)]
     assert texts(spark, plain) == [f"text {k}" for k in range(6)]
+    # one page alone can't know it, fewer than TEMPLATE pages don't say it, another text in its place is a slot, copies of one page are all the same
+    assert html.read(plain[0]) == "We value you\n\ntext 0"
+    assert texts(spark, plain[:4])[0] == "We value you\n\ntext 0"
+    assert texts(spark, [*plain, plain[0].replace("value", "like")])[0] == "We value you\n\ntext 0"
+    assert texts(spark, [plain[0]] * 8) == ["We value you\n\ntext 0"] * 8
+    # between texts that differ, the same heading is text
+    parts = [f"<body><div class=x7>We value you</div><div class=y1>Cake {k}</div><h2>Ingredients</h2><div class=y2>flour {k}</div><h3>Method</h3><div class=y3>mix {k}</div>" for k in range(600)]
+    assert texts(spark, parts) == [f"Cake {k}\n\nIngredients\n\nflour {k}\n\nMethod\n\nmix {k}" for k in range(600)]
     # a group that few pages have, and a repeated one, are text
     few = [f"<body><article><p>text {k}<p>more<h2>See</h2><p>end {k}</article>" for k in range(5)]
     assert texts(spark, few + [f"<body><article><p>text {k}</article>" for k in range(9)])[0] == "text 0\n\nmore\n\nSee\n\nend 0"
 
 
+@pytest.mark.parametrize("n", [4, 6, 600])
+def test_op6_html_main_text_keeps_what_all_articles_have(spark, n):
+    pages = [f"<article><h1>Cake {k}</h1><p>Story {k}<h2>Ingredients</h2><ul><li>flour {k}</ul><p class=author>By Jo Doe</p><h3>Method</h3><p>Mix {k}</article>" for k in range(n)]
+    assert texts(spark, pages) == [f"Cake {k}\n\nStory {k}\n\nIngredients\n\nflour {k}\n\nBy Jo Doe\n\nMethod\n\nMix {k}" for k in range(n)]
+
+
 def test_op6_html_main_text_odd_pages():
     deep = "<div>" * 5000 + "<article><p>deep</article>"
     assert html.read(deep, html.infer([deep, deep])) == "deep"
