@@ -64,21 +64,21 @@ def states(spark: SparkSession, sf: str) -> DataFrame:
     return state_grid(params(spark, sf))
 
 
-def episodes(spark: SparkSession, sf: str) -> DataFrame:
-    """One episode for each user and day: states are event types, actions x + k % 3, rewards the values."""
+def episodes(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    """One episode for each user and day: states are event types, actions x + k % 3, rewards the values; ``more`` of ts and event_id."""
     e = table(spark, sf, "events")
     kinds = F.create_map(*(y for i, k in enumerate(("click", "error", "purchase", "signup", "view")) for y in (F.lit(k), F.lit(i))))
     rows = e.select(F.col("user_id").alias("item"), F.date_format("ts", "yyyy-MM-dd").alias("episode_id"), "ts", "event_id", kinds[F.col("event_type")].alias("x"), _k().alias("k"), F.col("value").alias("reward"))
     t = F.row_number().over(Window.partitionBy("item", "episode_id").orderBy("ts", "event_id"))
-    return rows.select("item", "episode_id", t.alias("t"), "x", (F.col("x") + F.col("k") % 3).alias("y"), "reward")
+    return rows.select("item", "episode_id", t.alias("t"), "x", (F.col("x") + F.col("k") % 3).alias("y"), "reward", *more)
 
 
 def episode_states(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.col("user_id").alias("item")).distinct().select("item", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("x"))
 
 
-def transitions(spark: SparkSession, sf: str) -> DataFrame:
-    e = episodes(spark, sf)
+def transitions(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    e = episodes(spark, sf, *more)
     return e.withColumn("x_next", F.lead("x").over(Window.partitionBy("item", "episode_id").orderBy("t"))).filter("x_next is not null")
 
 

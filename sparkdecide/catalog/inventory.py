@@ -222,7 +222,7 @@ ORACLES = {
     "w8_sliding_best": f"WITH {PARAMS}, g AS (SELECT s.item, s.x AS y, sum(p * (h * greatest(0, s.x - d) + b * greatest(0, d - s.x))) AS g FROM states s JOIN pmf USING (item) JOIN params USING (item) GROUP BY s.item, s.x) SELECT a.item, a.y, round(b.g, 6) + 0.0 AS best, b.y AS arg FROM g a JOIN g b ON a.item = b.item AND b.y BETWEEN a.y AND a.y + 3 QUALIFY row_number() OVER (PARTITION BY a.item, a.y ORDER BY round(b.g, 9) DESC, b.y) = 1",
     "m1_q_values": f"WITH {PARAMS}{MODEL}{sweep(1)}{sweep(2)} SELECT s.item, s.x, g.y, round(g.c * s.x + g.g, 6) + 0.0 AS q FROM states s JOIN g2 g ON g.item = s.item AND g.y BETWEEN s.x AND s.x + 10",
     "m2_bellman_backup": f"WITH {PARAMS}{MODEL}{sweep(1)}{sweep(2)}{sweep(3)} SELECT item, x, round(value, 6) + 0.0 AS value, y FROM v3",
-    "m3_twelve_sweeps": f"WITH {PARAMS}{MODEL}{_ALL}{_STOP}, vs AS ({_V}) SELECT v.item, v.x, round(v.value, 5) + 0.0 AS value, v.y, s.sweeps, s.converged FROM vs v JOIN stops s ON v.item = s.item AND v.sweep = s.sweeps",
+    "m3_twelve_sweeps": _vectors(_OPTIMAL.replace("k < 1000", f"k < {SWEEPS}").replace("1e-4", "0.01").replace("0.95 *", "0.4712393331::DOUBLE *")),
     "m4_three_sweeps": f"WITH {PARAMS}{MODEL}{_evaluation()} SELECT e.item, e.x, round(e.value, 6) + 0.0 AS value, k AS sweeps, k < 3 OR (SELECT delta FROM ed3 WHERE ed3.item = e.item) < 0.01 AS converged FROM (SELECT *, 1 AS k FROM e1 UNION ALL SELECT *, 2 FROM e2 UNION ALL SELECT *, 3 FROM e3) e JOIN (SELECT a.item, CASE WHEN a.delta < 0.01 THEN 1 WHEN b.delta < 0.01 THEN 2 ELSE 3 END AS stop FROM ed1 a JOIN ed2 b USING (item)) s ON s.item = e.item AND s.stop = e.k",
     "m5_policy_improvement": f"WITH {PARAMS}{MODEL}{sweep(1)}{sweep(2)}{sweep(3)} SELECT item, x, y FROM v3",
     "c1_compare_policies": f"WITH {PARAMS}{MODEL}{_ENDS}{sweep(1)}{sweep(2)} SELECT a.item, count(*) AS states, CAST(sum(CASE WHEN a.y = b.y THEN 1 ELSE 0 END) AS BIGINT) AS agree, round(100.0::DOUBLE * sum(CASE WHEN a.y = b.y THEN 1 ELSE 0 END) / count(*), 6) + 0.0 AS pct_agree FROM start a JOIN v2 b USING (item, x) GROUP BY a.item",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,20 +100,40 @@ def _assigned(s, d):
     return out.all()
 
 
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """The state store that custom state needs, for as long as a stream starts and runs."""
+    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _learned(s, changes: DataFrame) -> DataFrame:
+    """Pairs, q and counts after a stream of changed pairs: those with the highest count."""
+    sink = Versions(s, new_path(s, "q"), changes.schema)
+    with _state_store(s):
+        w = changes.writeStream.outputMode("update").foreachBatch(sink.put).option("checkpointLocation", new_path(s, "offsets"))
+        w.trigger(availableNow=True).start().awaitTermination()
+    last = sink.all().groupBy("item", "x", "y").agg(F.max(F.struct("n", "q")).alias("last"))
+    return last.select("item", "x", "y", F.col("last.q").alias("q"), F.col("last.n").alias("n"))
+
+
 def _q_learning(s, d):
-    """Pairs, q and counts after the stream, which takes the episodes in order."""
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    path = new_path(s, "q")
+    """After the stream, which takes the episodes in order."""
     rows = _stream_in_order(s, I.transitions(s, d).select("episode_id", "item", "t", "x", "y", "reward", "x_next"))
+    return _learned(s, S.stream_q_learning(rows, 6, gamma=L.GAMMA))
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    w = S.stream_q_learning(rows, 6, gamma=L.GAMMA).writeStream.outputMode("update").foreachBatch(put)
-    w.option("checkpointLocation", new_path(s, "offsets")).trigger(availableNow=True).start().awaitTermination()
-    rows = s.read.parquet(path)
-    last = rows.groupBy("item", "x", "y").agg(F.max(F.struct("n", "q")).alias("last"))
-    return last.select("item", "x", "y", F.col("last.q").alias("q"), F.col("last.n").alias("n"))
+def _late_q_learning(s, d):
+    """The same for transitions that arrive up to two days late, by a hash of their event; a last row of no item moves the watermark past all."""
+    late = F.pmod(F.col("event_id") * 7919, F.lit(48)) * 3600
+    rows = I.transitions(s, d, "ts", "event_id").select((F.unix_timestamp("ts") + late).alias("arrived"), "episode_id", "item", "t", "x", "y", "reward", "x_next", F.col("ts").cast("timestamp").alias("ts"))
+    end = rows.agg(F.max("arrived").alias("arrived"), F.max("ts").alias("ts")).select(F.col("arrived") + 9 * 86400, F.lit(""), F.lit(-1).cast("long"), *(F.lit(0),) * 3, F.lit(0.0), F.lit(0), F.col("ts") + F.expr("interval 9 days"))
+    stream = _stream_in_order(s, rows.unionAll(end.toDF(*rows.columns)))
+    return _learned(s, S.stream_late_q_learning(stream.drop("arrived"), 6, "2 days", gamma=L.GAMMA))
 
 
 def _written(s, d):
@@ -125,6 +147,7 @@ QUERIES = {
     "r2_stream_beta_posterior": lambda s, d: _last(s, S.stream_beta_posterior(_stream(s, I.log(s, d)))),
     "r3_stream_assign": _assigned,
     "r4_stream_q_learning": lambda s, d: rounded(_q_learning(s, d), "q"),
+    "r4_late_rows": lambda s, d: rounded(_late_q_learning(s, d), "q"),
     "r4_stream_visit_counts": lambda s, d: _q_learning(s, d).drop("q"),
     "r5_stream_regret": lambda s, d: rounded(_last(s, S.stream_regret(_stream(s, I.log(s, d)), I.arm_probs(s, d))), "regret", "pct_optimal"),
     "s9_write_results": _written,
@@ -147,6 +170,7 @@ ORACLES = {
     "r2_stream_beta_posterior": f"WITH {LOG} SELECT context, arm, 1.0::DOUBLE + sum(reward) AS alpha, 1.0::DOUBLE + sum(1 - reward) AS beta FROM log GROUP BY context, arm",
     "r3_stream_assign": ASSIGNED_SQL,
     "r4_stream_q_learning": L.Q_SQL,
+    "r4_late_rows": L.Q_SQL,
     "r4_stream_visit_counts": f"WITH {I.EPISODES} SELECT item, x, y, count(*) AS n FROM transitions GROUP BY ALL",
     "r5_stream_regret": f"WITH {LOG}{PROBS}{RUNS} SELECT alg, count(*) AS steps, round(sum(regret), 6) + 0.0 AS regret, CAST(sum(reward) AS BIGINT) AS reward, round(100 * avg(optimal), 6) + 0.0 AS pct_optimal FROM truth GROUP BY alg",
     "s9_write_results": f"WITH {LOG}, g AS (SELECT c.run, a.arm FROM (SELECT DISTINCT run FROM log) c CROSS JOIN (SELECT DISTINCT arm FROM log) a) SELECT g.run, g.arm, count(l.reward) AS n, round(coalesce(avg(l.reward), 0.0), 6) + 0.0 AS q FROM g LEFT JOIN log l ON l.run = g.run AND l.arm = g.arm GROUP BY g.run, g.arm",

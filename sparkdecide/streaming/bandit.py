@@ -1,8 +1,9 @@
 """Running statistics and learning over streams of decisions.
 
 Counts and sums do not depend on order, so late rows are harmless and the state is
-bounded by contexts x arms: no watermark is needed. Q-learning depends on order: rows
-are sorted inside a micro-batch, and across batches the order is that of arrival.
+bounded by contexts x arms: no watermark is needed. Q-learning depends on order: either rows
+are sorted inside a micro-batch and the order across batches is that of arrival, or rows with an event
+time wait for a watermark.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ class QState(StatefulProcessor):
         seen = list(self.table.iterator()) if self.table.exists() else []
         q = {(k[0], k[1]): v[0] for k, v in seen}
         n = {(k[0], k[1]): v[1] for k, v in seen}
-        pdf = pd.concat(list(rows)).sort_values(["episode_id", "t"])
+        pdf = self.ordered(pd.concat(list(rows)))
         changed = set()
         for r in zip(pdf["x"], pdf["y"], pdf["reward"], pdf["x_next"], strict=True):
             update(q, n, int(r[0]), int(r[1]), float(r[2]), int(r[3]), *self.settings)
@@ -86,6 +87,9 @@ class QState(StatefulProcessor):
             self.table.updateValue(k, (q[k], n[k]))
         yield pd.DataFrame([(key[0], *k, q[k], n[k]) for k in sorted(changed)], columns=["item", "x", "y", "q", "n"])
 
+    def ordered(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.sort_values(["episode_id", "t"])
+
     def close(self) -> None:
         pass
 
@@ -95,3 +99,53 @@ def stream_q_learning(transitions: DataFrame, y_max: int, alpha0: float = 0.1, g
     return transitions.groupBy("item").transformWithStateInPandas(QState(y_max, alpha0, gamma, decay), Q_SCHEMA, "Update", "None")
 
 
+class LateQState(QState):
+    """QState that holds rows back until the watermark has passed them, and learns them in the order of their event time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.until = handle.getValueState("until", "ms bigint")
+        self.waiting = handle.getListState("waiting", "ts bigint, episode_id string, t int, x int, y int, reward double, x_next int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows))
+        if self.until.exists():  # what has been learned stays: an earlier row is too late, even if Spark still lets it pass
+            new = new[new["ts_ms"] > self.until.get()[0]]
+        if new.empty:
+            return
+        ts = new["ts_ms"]
+        columns = (new[c].tolist() for c in ("episode_id", "t", "x", "y", "reward", "x_next"))
+        self.waiting.appendList([(int(a), str(e), int(t), int(x), int(y), float(r), int(z)) for a, e, t, x, y, r, z in zip(ts, *columns, strict=True)])
+        self.handle.registerTimer(int(ts.min()))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in rows if r[0] <= now]
+        if not due:
+            return
+        self.until.update((now,))
+        rest = rows[len(due) :]
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][0])
+        else:
+            self.waiting.clear()
+        yield from super().handleInputRows(key, iter([pd.DataFrame(due, columns=["ts", "episode_id", "t", "x", "y", "reward", "x_next"])]), timerValues)
+
+    def ordered(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.sort_values(["ts", "episode_id", "t"])
+
+
+def stream_late_q_learning(transitions: DataFrame, y_max: int, delay: str, alpha0: float = 0.1, gamma: float = 0.95, decay: float = 0.001) -> DataFrame:
+    """The same for rows with an event time ``ts`` that arrive in any order, up to ``delay`` late.
+
+    Rows wait in the item's state until the watermark is past them, so each item learns in the order of (ts, episode_id, t)
+    whatever the order of arrival. Rows that come after their item has learned up to a watermark past them are left out. What
+    the watermark hasn't reached at the end of a source waits for later rows.
+    """
+    # milliseconds, rounded up, so that no row is learned before the watermark is past it
+    rows = transitions.withColumn("ts_ms", F.ceil(F.unix_micros("ts") / 1000)).withWatermark("ts", delay)
+    return rows.groupBy("item").transformWithStateInPandas(LateQState(y_max, alpha0, gamma, decay), Q_SCHEMA, "Update", "EventTime")

@@ -180,3 +180,29 @@ def test_q_learning_in_any_pieces(rows_at_once, cells, few, monkeypatch):
                 Q.update(q, n, *row[1:], 6, 0.1, 0.9, 0.01)
         want |= {(i, *p): (q[p], n[p]) for p in q}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_late_rows_are_learned_in_the_order_of_their_time(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    r = random.Random(7)
+    rows = sorted(map(tuple, transitions(spark).collect()), key=lambda x: (int(x[1][1:]), x[2], x[0]))
+    day = 86_400
+    timed = [(*x, at, at + r.randrange(day)) for at, x in zip(range(10**6, 10**7, 3600), rows)]  # a row an hour, up to a day late
+    end = (-1, "", 0, 0, 0, 0.0, 0, 10**8, 10**8)
+    late = (0, "late", 0, 0, 4, 1e6, 0, 10**6, 10**9)  # after the watermark has passed it
+    for k, part in enumerate((*(sorted(timed, key=lambda x: x[-1])[at : at + 15] for at in range(0, 90, 15)), [end], [late], [(*end[:-2], 2 * 10**8, 0)])):
+        df = spark.createDataFrame(part, TRANSITIONS + ", at long, arrived long").withColumn("ts", F.timestamp_seconds("at")).drop("at", "arrived")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = {}
+
+    def put(batch, number):
+        for x in batch.collect():
+            out[x.item, x.x, x.y] = (round(x.q, 9), x.n)
+
+    w = S.stream_late_q_learning(stream, 6, "1 day").writeStream.outputMode("update").foreachBatch(put)
+    w.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    # by time: the learner's order is that of rows, as episodes are named in it
+    want = {(x.item, x.x, x.y): (round(x.q, 9), x.n) for x in Q.q_learning(transitions(spark), 6).collect()}
+    got = {k: v for k, v in out.items() if k[0] >= 0}
+    assert got == want
