@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -242,25 +243,50 @@ PIECES = "array<struct<at:int,piece:string,glued:boolean>>"
 _PLAIN = "A-Za-z\u0410-\u044f\u05d0-\u05ea\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
 #: Between the third and the fourth of four letters a word goes on, whatever stands before them.
 _WORDS = re.compile(f"[{_PLAIN}]{{4}}")
-_SPACES = re.compile(f"[{SPACE}]")
+_SPACES, _RUNS = re.compile(f"[{SPACE}]"), re.compile(f"[{SPACE}]+")
+_SPACE_SET = frozenset(c for c in map(chr, range(0x3001)) if _RUNS.match(c))
 
 
 def pieces_of(text: str, most: int, at_special: re.Pattern | None = None) -> list[tuple[int, str, bool]]:
-    """Pieces of about ``most`` characters: cut at spaces or, in text without them, between two letters of a word
-    outside special tokens; such a piece is glued to the next. Text with neither stays whole."""
+    """Pieces of about ``most`` characters: cut where white space begins or, in text without any, between two letters of a word
+    outside special tokens; such a piece is glued to the next. White space that is longer than that is cut before its last
+    character. Text with none of these stays whole."""
     out, at = [], 0
     specials = [m.span() for m in at_special.finditer(text)] if at_special else []
+    begins = [i for i, _ in specials]
+
+    def free(c: int) -> bool:
+        k = bisect_left(begins, c) - 1
+        return k < 0 or specials[k][1] <= c
+
+    def space_cut(start: int, end: int, last: bool) -> int | None:
+        """Where the last (or first) white space met from start to end begins, or what cuts one that began at the piece's begin."""
+        runs = _RUNS.finditer(text, start, end)
+        found = next(runs, None)
+        for found in runs if last else ():  # noqa: B007
+            pass
+        if found is None:
+            return None
+        cut = found.start()
+        while cut > at and text[cut - 1] in _SPACE_SET:
+            cut -= 1
+        if cut > at:
+            return cut
+        end = _RUNS.match(text, found.start()).end()
+        k = bisect_left(begins, end)
+        end -= not (k < len(begins) and begins[k] == end)  # before a special token white space is whole
+        return end if at < end < len(text) - 1 else None
+
     while len(text) - at > most:
-        tail = [m.start() for m in _SPACES.finditer(text, at + most // 2, at + most)]
-        if tail:
-            cut, glued = tail[-1], False
-        else:
+        cut, glued = space_cut(at + most // 2, at + most, True), False
+        if cut is None:
             inside = (m.start() + 3 for m in _WORDS.finditer(text, at + most // 2))
-            cut = next((c for c in inside if not any(i < c < j for i, j in specials)), None)
-            space = _SPACES.search(text, at + most // 2, len(text) if cut is None else cut)
+            cut, glued = next((c for c in inside if free(c)), None), True
+            space = space_cut(at + most // 2, len(text) if cut is None else cut, False)
             if cut is None and space is None:
                 break
-            cut, glued = (space.start(), False) if space else (cut, True)
+            if space is not None:
+                cut, glued = space, False
         out.append((len(out), text[at:cut], glued))
         at = cut
     return [*out, (len(out), text[at:], False)]

@@ -9,12 +9,12 @@ in ascending order of doc_id:
   root over the addresses, and the bytes of the chunks that occur nowhere else;
 * ``chunk`` rows: a chunk that occurs more than once, stored once, beside the
   document that has it first;
-* ``pack`` rows: the manifest of a file: the Merkle root over its documents' roots.
+* ``pack`` rows: the manifest of a file: the Merkle root over its documents' roots;
+* a ``store`` row: the number of files and a digest over their manifests, in order.
 
 Reading puts documents together again and checks every chunk against its address,
-every recipe against its root, and the roots of a file against its manifest. A missing
-chunk, document or manifest raises ValueError like a changed one; of a file that is gone
-as a whole the store knows nothing.
+every recipe against its root, the roots of a file against its manifest, and the files
+against the store's. A missing chunk, document, file or manifest raises ValueError like a changed one.
 
 Defined results: a null text is an empty text, and its ids are the end id alone.
 Repeated doc_ids are stored one after the other, by row number. Null doc_ids come
@@ -208,8 +208,30 @@ def write_store(encoded: DataFrame, width: type = np.uint16) -> DataFrame:
 
     parts = max(8, int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = both.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "row", F.col("addresses").isNotNull())
-    packed = ordered.mapInArrow(pack, STORE_DDL).withColumn("pack", F.spark_partition_id())
-    return materialize(packed, "store")
+    packed = materialize(ordered.mapInArrow(pack, STORE_DDL).withColumn("pack", F.spark_partition_id()), "store")
+    digest, n = _files(packed)
+    top = packed.sparkSession.createDataFrame([("store", n, bytes.fromhex(digest))], "kind string, n_tokens bigint, root binary")
+    rows = (F.lit(None).cast(f.dataType).alias(f.name) if f.name not in top.columns else F.col(f.name) for f in packed.schema)
+    return packed.unionByName(materialize(top.select(*rows), "store-manifest"))
+
+
+def _files(store: DataFrame) -> tuple[str, int]:
+    """A digest over the numbers and roots of all files, in order, and how many they are. One row a file."""
+    roots = store.filter("kind = 'pack'").select("pack", F.concat_ws(":", "pack", F.hex("root")).alias("told"))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pack", "told"))), lambda x: x["told"]), ",")
+    return roots.agg(F.sha2(told, 256), F.count("*")).first()
+
+
+def verify_files(store: DataFrame) -> None:
+    """Raises ValueError if the store's files are not those that its manifest names."""
+    top = store.filter("kind = 'store'").select("n_tokens", "root").first()
+    if top is None:
+        raise ValueError("the manifest of the store is missing")
+    digest, n = _files(store)
+    if n != top.n_tokens:
+        raise ValueError(f"the store has {n} of its {top.n_tokens} files")
+    if bytes.fromhex(digest) != bytes(top.root):
+        raise ValueError("the files of the store differ from its manifest")
 
 
 def starts(store: DataFrame) -> DataFrame:
@@ -217,7 +239,8 @@ def starts(store: DataFrame) -> DataFrame:
 
     Each pack's documents are counted in order and their roots checked against its manifest.
     """
-    rows = store.select("pack", "doc_id", "row", "n_tokens", "kind", "root").filter("kind <> 'chunk'")
+    verify_files(store)
+    rows = store.select("pack", "doc_id", "row", "n_tokens", "kind", "root").filter("kind in ('doc', 'pack')")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tree, at, done = None, Merkle(), 0, True
@@ -250,6 +273,7 @@ def starts(store: DataFrame) -> DataFrame:
 
 def read_store(store: DataFrame, width: type = np.uint16) -> DataFrame:
     """doc_id, row, n_tokens, ids (bytes of unsigned 32-bit little-endian integers) of all documents; raises ValueError if a digest differs."""
+    verify_files(store)
     docs = store.filter("kind = 'doc'").select("doc_id", "row", "n_tokens", "addresses", "lengths", "inline", "root", "ids")
     alone = F.forall("inline", lambda x: x)
     chunks = store.filter("kind = 'chunk'").select("address", F.col("ids").alias("piece"))

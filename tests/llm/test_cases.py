@@ -2,6 +2,8 @@
 
 import hashlib
 import io
+import random
+import time
 
 import duckdb
 import numpy as np
@@ -64,10 +66,11 @@ def test_op2_token_store_odd_rows(spark, stored):
 
 @pytest.mark.parametrize(
     ("lost", "read", "message"),
-    [("kind = 'chunk'", store.read_store, "missing"), ("kind = 'doc' and doc_id = 3", store.starts, "differ from its manifest"), ("kind = 'pack'", store.starts, "manifest of file")],
+    [("kind = 'chunk'", store.read_store, "missing"), ("kind = 'doc' and doc_id = 3", store.starts, "differ from its manifest"), ("kind = 'pack'", store.starts, r"0 of its \d+ files"), ("pack = (select_pack)", store.read_store, r"has \d+ of its \d+ files"), ("kind = 'store'", store.read_store, "manifest of the store is missing"), ("kind is not null", store.starts, "manifest of the store is missing")],
 )
 def test_op2_token_store_notices_lost_rows(stored, lost, read, message):
     _, written = stored
+    lost = lost.replace("(select_pack)", str(written.filter("kind = 'pack'").first().pack))
     assert written.filter(lost).count()
     with pytest.raises(Exception, match=message):
         read(written.filter(f"not coalesce({lost}, false)")).collect()
@@ -196,3 +199,20 @@ def test_pipeline_stages_by_hand(spark):
 def test_pipeline_whole_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() and {"doc_id", "text", "ids", "n_tokens", "decoded_sha256"} <= set(got.columns)
+
+
+@pytest.mark.parametrize("path", [BYTE_PATH, tokenizer_path("word_bpe_49k.json")])
+def test_op3_bpe_of_cut_texts_equals_the_library(spark, path):
+    """Unlike white space, special tokens, marks and many scripts around the cuts."""
+    r = random.Random(12)
+    parts = ["a", "word", "é", "日本", "한국", "שלום", "привет", "ไทย", "हिन्दी", " ", "  ", "\n", "\xa0", "\t", " \n", "　", "-", "!!", "e- ", "12345", "don't", "<|endoftext|>"]
+    texts = ["".join(r.choice(parts) * r.choice([1, 1, 1, 2, 40]) for _ in range(r.randint(1, 150))) for _ in range(400)] + ["<|endoftext|>" * 300, " " * 900, "\xa0\n" * 400 + "x"]
+    got = {x.doc_id: list(x.ids) for x in bpe.encode(spark.createDataFrame(list(enumerate(texts)), DOCS), path, split_chars=200).collect()}
+    e = bpe.encoder(path).tokenizer
+    assert [k for k, t in enumerate(texts) if got[k] != e.encode(t, add_special_tokens=False).ids] == []
+
+
+def test_op3_bpe_cuts_a_megabyte_of_special_tokens_at_once():
+    began = time.time()
+    assert len(bpe.pieces_of("<|endoftext|>" * 80_000, 1 << 14, bpe.encoder(BYTE_PATH).at_special)) == 1
+    assert time.time() - began < 5
