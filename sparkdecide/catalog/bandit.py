@@ -80,6 +80,7 @@ QUERIES = {
     "b3_ucb_scores_blind": lambda s, d: rounded(B.ucb_scores_blind(B.arm_stats_blind(I.log(s, d))), "q", "score"),
     "b4_thompson_assign": lambda s, d: B.thompson_assign(_requests(s, d), B.beta_posterior(I.log(s, d)), 5),
     "b5_policy_audit": lambda s, d: B.policy_audit(I.log(s, d)),
+    "u2_custom_audit": lambda s, d: B.policy_audit(I.log(s, d), score=lambda n, q, t: (q * n + 1) / (n + 2) + F.sqrt(F.ln(t + 1.0)) / (n + 1)).select("step", "context", "chosen", "custom", "agrees_custom"),
     "b5_blind_audit": lambda s, d: B.blind_audit(I.log(s, d), "run"),
     "b6_regret_report": lambda s, d: rounded(R.regret_report(I.run_log(s, d), I.arm_probs(s, d)), *_SUMMARY),
     "b7_uncertainty_band": lambda s, d: rounded(R.uncertainty_band(_summary(s, d)), "low", "high"),
@@ -109,6 +110,7 @@ ORACLES = {
     "b2_ucb_scores": f"WITH {LOG}{ARMS} SELECT context, arm, n, round(q, 6) + 0.0 AS q, round(CASE WHEN n = 0 THEN CAST('inf' AS DOUBLE) ELSE q + 2.0 * sqrt(ln(sum(n) OVER (PARTITION BY context) + 1) / n) END, 6) + 0.0 AS score FROM stats",
     "b3_ucb_scores_blind": f"WITH {LOG}, s AS (SELECT arm, count(*) AS n, avg(reward) AS q FROM log GROUP BY arm) SELECT arm, n, round(q, 6) + 0.0 AS q, round(q + 2.0 * sqrt(ln(sum(n) OVER () + 1) / n), 6) + 0.0 AS score FROM s",
     "b5_policy_audit": f"WITH {LOG}{_FRAME.format(key='context')}, p AS (SELECT step, context, chosen, first(arm ORDER BY round(q, 9) DESC, arm) AS greedy, first(arm ORDER BY score DESC, arm) AS ucb FROM scored GROUP BY step, context, chosen) SELECT *, CASE WHEN chosen = greedy THEN 1 ELSE 0 END AS agrees_greedy, CASE WHEN chosen = ucb THEN 1 ELSE 0 END AS agrees_ucb FROM p",
+    "u2_custom_audit": f"WITH {LOG}{_FRAME.format(key='context')}, p AS (SELECT step, context, chosen, first(arm ORDER BY round((q * n + 1) / (n + 2) + sqrt(ln(t + 1.0::DOUBLE)) / (n + 1), 9) DESC, arm) AS custom FROM running GROUP BY step, context, chosen) SELECT *, CASE WHEN chosen = custom THEN 1 ELSE 0 END AS agrees_custom FROM p",
     "b5_blind_audit": f"WITH {LOG}{_FRAME.format(key='run')}, p AS (SELECT step, run, chosen, first(arm ORDER BY score DESC, arm) AS blind FROM scored GROUP BY step, run, chosen) SELECT *, CASE WHEN chosen = blind THEN 1 ELSE 0 END AS agrees_blind FROM p",
     "b6_regret_report": f"WITH {LOG}{PROBS}{RUNS} SELECT alg, step, n_runs, {_SUMMARY_SQL} FROM summary QUALIFY row_number() OVER (PARTITION BY alg ORDER BY step DESC) = 1",
     "b7_uncertainty_band": f"WITH {LOG}{PROBS}{RUNS} SELECT alg, step, round(mean_cum_regret - std_cum_regret, 6) + 0.0 AS low, round(mean_cum_regret + std_cum_regret, 6) + 0.0 AS high FROM summary",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import learning_rate, terminal_value
-from ..operators.compare import compare_policies, value_error
+from ..operators.compare import compare_policies, method_report, value_error
 from ..plans import bellman as P
 from ..plans import episodes as E
 from ..plans import qlearning as Q
@@ -24,13 +24,26 @@ def _q(s, d):
 def _held_against_optimum(s, d):
     """Q-learning over logged periods beside value iteration of the same items: equal actions and errors of the values."""
     m = N._whole_model(s, d)
-    log = N._costs(s, d).select("item", F.lit(0).alias("episode_id"), F.col("seq").alias("t"), "x", "y", (-F.col("cost")).alias("reward"), "x_next")
-    learned = Q.greedy_from_q(Q.q_learning(log, 10), m.states, 10)
+    learned = _learned(s, d, m)
     best = materialize(P.value_iteration(m)[0], "optimum")
     learned = materialize(learned, "learned")
     return rounded(compare_policies(best, learned).join(value_error(best, learned), "item"), "pct_agree", "max_error", "mean_error", places=4)
 
 
+def _learned(s, d, m):
+    log = N._costs(s, d).select("item", F.lit(0).alias("episode_id"), F.col("seq").alias("t"), "x", "y", (-F.col("cost")).alias("reward"), "x_next")
+    return Q.greedy_from_q(Q.q_learning(log, 10), m.states, 10)
+
+
+def _all_methods(s, d):
+    """Value and policy iteration, Monte Carlo iteration over real demand, Q-learning and the base-stock formula side by side, for every item."""
+    m = N._whole_model(s, d)
+    start = N._raise_to_four(m.states)
+    traced = E.trace_policy_iteration(m, I.history(s, d), start, terminal_value, max_iter=15)
+    methods = {"value_iteration": P.value_iteration(m)[0], "policy_iteration": P.policy_iteration(m, start), "monte_carlo": traced, "q_learning": _learned(s, d, m)}
+    return rounded(method_report(methods, "value_iteration", N._levels(s, d)), "pct_agree", "max_error", "mean_error", places=3)
+
+
 def _mean_q(s, d):
     """Mean reward of each pair, as a table of q that SQL can give too."""
     return I.transitions(s, d).groupBy("item", "x", "y").agg(F.round(F.avg("reward"), 6).alias("q"))
@@ -70,6 +83,7 @@ QUERIES = {
     "m9_trace_policy_iteration": _trace,
     "m10_td_target": lambda s, d: rounded(Q.td_target(I.transitions(s, d), _mean_q(s, d), GAMMA).select("item", "episode_id", "t", "target"), "target"),
     "e2_learned_against_optimum": _held_against_optimum,
+    "e2_all_methods": _all_methods,
     "m11_q_learning": lambda s, d: rounded(_q(s, d), "q"),
     "m12_greedy_from_q": lambda s, d: rounded(Q.greedy_from_q(_mean_q(s, d), I.episode_states(s, d), 6), "value"),
     "p7_learning_rate": lambda s, d: rounded(I.transitions(s, d).groupBy("item", "x", "y").agg(F.count("*").alias("n")).withColumn("rate", learning_rate(F.col("n"), 0.1)), "rate"),
@@ -134,7 +148,22 @@ it AS (SELECT item, 0 AS k, list_transform(range(0, 11), lambda i: 0.0::DOUBLE)
 last AS (SELECT item, max(k) AS k, arg_max(v, k) AS v, arg_max(y, k) AS y, bool_or(stable) AS stable FROM it GROUP BY item)
 SELECT item, CAST(unnest(range(-2, 9)) AS INTEGER) AS x, CAST(unnest(y) AS INTEGER) AS y, round(unnest(v), 4) + 0.0 AS value, CAST(k AS INTEGER) AS iterations, stable FROM last"""
 
+_STEPS = "steps AS (SELECT item, seq AS k, (x + 2) * 13 + y + 3 AS pos, -(c * (y - x) + hh * greatest(0, y - d) + b * greatest(0, d - y)) AS reward, greatest(x_min, least(x_max, y - d)) + 2 AS x_next FROM costs)"
+_LEARNED_SQL = f"""WITH RECURSIVE {PARAMS}{HISTORY}{N._PER}, {_STEPS},
+{_LEARNED}
+SELECT item, CAST(x AS INTEGER) AS x, CAST(list_position(open, list_max(open)) + x - 1 AS INTEGER) AS y, list_max(open) AS value FROM greedy"""
+ALL_SQL = f"""WITH best AS MATERIALIZED ({N.ORACLES["m3_value_iteration"].replace("round(unnest(v), 5) + 0.0", "unnest(v)")}),
+{PARAMS.strip()}{N._ENDS},
+methods AS (SELECT 'value_iteration' AS method, item, x, y, value FROM best
+  UNION ALL SELECT 'policy_iteration', item, x, y, value FROM ({N.ORACLES["m6_policy_iteration"].replace("round(unnest(v), 4) + 0.0", "unnest(v)")})
+  UNION ALL SELECT 'monte_carlo', item, x, y, value FROM ({TRACE_SQL.replace("round(unnest(v), 4) + 0.0", "unnest(v)")})
+  UNION ALL SELECT 'q_learning', item, x, y, value FROM ({_LEARNED_SQL}))
+SELECT m.method, m.item, count(*) AS states, CAST(sum(CASE WHEN m.y = b.y THEN 1 ELSE 0 END) AS BIGINT) AS agree, round(100.0::DOUBLE * sum(CASE WHEN m.y = b.y THEN 1 ELSE 0 END) / count(*), 3) + 0.0 AS pct_agree,
+  round(max(abs(m.value - b.value)), 3) + 0.0 AS max_error, round(avg(abs(m.value - b.value)), 3) + 0.0 AS mean_error, arg_min(m.y, m.x) AS s, any_value(l.s) AS s_formula, abs(arg_min(m.y, m.x) - any_value(l.s)) AS s_error
+FROM methods m JOIN best b USING (item, x) JOIN levels l ON l.item = m.item GROUP BY m.method, m.item"""
+
 ORACLES = {
+    "e2_all_methods": ALL_SQL,
     "m9_trace_policy_iteration": TRACE_SQL,
     "e2_learned_against_optimum": AGAINST_SQL,
     "m11_q_learning": Q_SQL,

@@ -113,12 +113,18 @@ def running_arm_stats(log: DataFrame, by: list[str] | None = None, block: int =
     return rows.select("step", *by, "arm", "chosen", "n", F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0).alias("q"), "t", (1.0 + F.col("s")).alias("alpha"), (1.0 + F.col("n") - F.col("s")).alias("beta"))
 
 
-def policy_audit(log: DataFrame, c: float = 2.0) -> DataFrame:
-    """step, context, chosen, greedy, ucb, agrees_greedy, agrees_ucb: what each policy would have taken from the history so far."""
+def policy_audit(log: DataFrame, c: float = 2.0, score: Score | None = None) -> DataFrame:
+    """step, context, chosen, greedy, ucb, agrees_greedy, agrees_ucb: what each policy would have taken from the history so far.
+
+    With ``score``, an expression over n, q and t (pulls of the context, the coming one included), also custom and agrees_custom.
+    """
     r = running_arm_stats(log).withColumn("score", ucb_score(F.col("n"), F.col("q"), F.col("t").cast("double"), c))
+    scores = {"greedy": F.col("q"), "ucb": F.col("score")}
+    if score is not None:
+        scores["custom"] = score(F.col("n"), F.col("q"), F.col("t"))
     low = -F.col("arm")
-    picked = r.groupBy("step", "context", "chosen").agg(F.max_by("arm", F.struct(F.round("q", 9), low)).alias("greedy"), F.max_by("arm", F.struct(F.round("score", 9), low)).alias("ucb"))
-    return picked.select("*", (F.col("chosen") == F.col("greedy")).cast("int").alias("agrees_greedy"), (F.col("chosen") == F.col("ucb")).cast("int").alias("agrees_ucb"))
+    picked = r.groupBy("step", "context", "chosen").agg(*(F.max_by("arm", F.struct(F.round(x, 9), low)).alias(name) for name, x in scores.items()))
+    return picked.select("*", *((F.col("chosen") == F.col(name)).cast("int").alias(f"agrees_{name}") for name in scores))
 
 
 def blind_audit(log: DataFrame, key: str, c: float = 2.0) -> DataFrame:

@@ -36,3 +36,20 @@ def base_stock_report(policies: DataFrame, levels: DataFrame) -> DataFrame:
 def convergence_report(history: DataFrame) -> DataFrame:
     """method, item, sweeps, last_delta. history: method, item, sweep, delta."""
     return history.groupBy("method", "item").agg(F.max("sweep").alias("sweeps"), F.max_by("delta", "sweep").alias("last_delta"))
+
+
+def method_report(methods: dict[str, DataFrame], best: str, levels: DataFrame) -> DataFrame:
+    """method, item: how far each method's policy and values are from those of the method named ``best``.
+
+    states, agree, pct_agree (equal actions), max_error, mean_error (of values), s (action at the lowest state), s_formula,
+    s_error. methods: item, x, y, value. One join and one aggregation over the rows of all methods; states that the
+    best method lacks are left out.
+    """
+    of_best = methods[best].select("item", "x", F.col("y").alias("_y"), F.col("value").alias("_value"))
+    rows = method_union({name: t.select("item", "x", "y", "value") for name, t in methods.items()}).join(of_best, ["item", "x"])
+    gap = F.abs(F.col("value") - F.col("_value"))
+    out = rows.groupBy("method", "item").agg(
+        F.count("*").alias("states"), F.sum((F.col("y") == F.col("_y")).cast("long")).alias("agree"), F.max(gap).alias("max_error"), F.avg(gap).alias("mean_error"), F.min_by("y", "x").alias("s"),
+    )
+    out = out.withColumn("pct_agree", 100.0 * F.col("agree") / F.col("states")).join(levels.select("item", F.col("s").alias("s_formula")), "item")
+    return out.withColumn("s_error", F.abs(F.col("s") - F.col("s_formula")))
