@@ -18,7 +18,7 @@ language that holds most rows is spread like any other.
 Defined results: a null column counts as ``-``; null languages are one language, the
 first; null ids come first. Rows with one id are ordered by digest, and equal rows are leaves of
 their own, with proofs of their own. An empty table gives no rows and no root. Other
-columns are not read. Rows that agree in language and id are ranked in one task.
+columns are not read. Rows that are equal in all that is hashed are ranked in one task.
 """
 
 from __future__ import annotations
