@@ -94,3 +94,17 @@ def test_beta_draws_have_their_mean_and_spread(spark):
         r = spark.range(20000).select(C.beta_sample(F.col("id"), F.lit(a), F.lit(b), 4).alias("x")).agg(F.avg("x"), F.variance("x"), F.min("x"), F.max("x")).first()
         var = a * b / ((a + b) ** 2 * (a + b + 1))
         assert abs(r[0] - a / (a + b)) < 5 * (var / 20000) ** 0.5 and abs(r[1] / var - 1) < 0.1 and 0 < r[2] < r[3] < 1
+
+
+def test_trailing_means_keep_small_values_beside_large_ones(spark):
+    """Widths differ by series; a series on a high level loses nothing to long sums; nulls don't count."""
+    rows = [("a", k, 1e9 + (k % 3) / 8) for k in range(4000)] + [("b", k, None if k % 5 == 0 else float(k)) for k in range(57)] + [("c", 0, 2.5)]
+    s = spark.createDataFrame(rows, "alg string, step int, v double").repartition(4)
+    got = {(r.alg, r.step): r.smooth for r in R.trailing_smooth(s, "v", ["alg"]).collect()}
+    assert len(got) == len(rows)
+    for alg, width in (("a", 400), ("b", 5), ("c", 1)):
+        values = [v for a, _, v in rows if a == alg]
+        for k in range(0, len(values), 37):
+            some = [v for v in values[max(0, k - width + 1) : k + 1] if v is not None]
+            want = sum(v - 1e9 for v in some) / len(some) + 1e9 if alg == "a" else sum(some) / len(some) if some else None
+            assert got[alg, k] == (want if want is None else pytest.approx(want, abs=3e-6)), (alg, k)

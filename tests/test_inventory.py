@@ -110,3 +110,24 @@ def test_nearest_state_of_a_sparse_grid(spark):
 def test_no_negative_zero(spark):
     v = spark.range(1).select(C.terminal_value(F.lit(0), F.lit(0.0)).alias("v")).first().v
     assert str(v) == "0.0"
+
+
+def test_method_report_by_hand(spark):
+    def rows(*cells):
+        return spark.createDataFrame([(7, *c) for c in cells], "item long, x int, y int, value double")
+
+    best = rows((-1, 3, 1.0), (0, 3, 2.0), (1, 4, 3.0))
+    other = rows((-1, 2, 1.5), (0, 3, 4.0), (1, 4, 3.0), (9, 9, 9.0))
+    level = spark.createDataFrame([(7, 5)], "item long, s int")
+    got = {r.method: r for r in M.method_report({"best": best, "other": other}, "best", level).collect()}
+    r = got["other"]
+    assert (r.states, r.agree, r.max_error, round(r.mean_error, 9), r.s, r.s_formula, r.s_error) == (3, 2, 2.0, round(2.5 / 3, 9), 2, 5, 3)
+    assert got["best"].agree == 3 and got["best"].max_error == 0.0 and got["best"].s_error == 2
+
+
+def test_sparse_and_odd_keys(spark):
+    """As-of lookups with null keys, ties, items without known states, and repeated keys with columns of their own."""
+    known = spark.createDataFrame([(1, 0), (1, 4), (1, 4), (2, 9), (None, 3), (3, None)], "item long, x int")
+    keys = spark.createDataFrame([(1, 2, "tie"), (1, 2, "tie"), (1, -7, "below"), (1, 99, "above"), (1, 4, "same"), (1, None, "null"), (2, 0, "one"), (3, 0, "none"), (None, 3, "no item")], "item long, x int, note string")
+    got = sorted((r.note, r.nearest) for r in V.nearest_known(keys, known).collect())
+    assert got == sorted([("tie", 0), ("tie", 0), ("below", 0), ("above", 4), ("same", 4), ("null", None), ("one", 9), ("none", None), ("no item", None)], key=lambda x: x[0])
