@@ -210,7 +210,7 @@ def write_store(encoded: DataFrame, width: type = np.uint16) -> DataFrame:
     ordered = both.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "row", F.col("addresses").isNotNull())
     packed = materialize(ordered.mapInArrow(pack, STORE_DDL).withColumn("pack", F.spark_partition_id()), "store")
     digest, n = _files(packed)
-    top = packed.sparkSession.createDataFrame([("store", n, bytes.fromhex(digest))], "kind string, n_tokens bigint, root binary")
+    top = packed.sparkSession.createDataFrame([("store", n, bytes.fromhex(digest), b"")], "kind string, n_tokens bigint, root binary, ids binary")
     rows = (F.lit(None).cast(f.dataType).alias(f.name) if f.name not in top.columns else F.col(f.name) for f in packed.schema)
     return packed.unionByName(materialize(top.select(*rows), "store-manifest"))
 
@@ -229,7 +229,7 @@ def verify_files(store: DataFrame) -> None:
         raise ValueError("the manifest of the store is missing")
     digest, n = _files(store)
     if n != top.n_tokens:
-        raise ValueError(f"the store has {n} of its {top.n_tokens} files")
+        raise ValueError(f"the manifest of files names {top.n_tokens}, the store has {n}")
     if bytes.fromhex(digest) != bytes(top.root):
         raise ValueError("the files of the store differ from its manifest")
 
