@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.joins import merged
 from ..operators import compare as M
 from ..operators import grids as G
 from ..operators import inventory as V
@@ -19,13 +20,13 @@ SWEEPS = 12
 
 
 def _model(s, d):
-    return P.Model(I.params(s, d).join(I.pmf(s, d).select("item").distinct(), "item"), I.pmf(s, d))
+    return P.Model(merged(I.params(s, d), I.pmf(s, d).select("item").distinct(), "item"), I.pmf(s, d))
 
 
 def _whole_model(s, d):
     """The model with the reference's discount and threshold."""
     pmf = I.pmf(s, d)
-    return P.Model(I.reference_params(s, d).join(pmf.select("item").distinct(), "item"), pmf)
+    return P.Model(merged(I.reference_params(s, d), pmf.select("item").distinct(), "item"), pmf)
 
 
 def _swept(s, d, k):
@@ -36,12 +37,12 @@ def _swept(s, d, k):
 
 def _levels(s, d):
     ends = I.pmf(s, d).groupBy("item").agg(F.min("d").alias("d_min"), F.max("d").alias("d_max"))
-    p = I.params(s, d).join(ends, "item")
+    p = merged(I.params(s, d), ends, "item")
     return p.select("item", C.base_stock_level(F.col("h"), F.col("b"), F.col("c"), F.col("gamma"), F.col("d_min"), F.col("d_max")).alias("s"))
 
 
 def _costs(s, d):
-    rows = I.history(s, d).join(I.params(s, d), "item").withColumns({"x": F.pmod(F.col("seq") * 3, F.lit(7)), "y": F.pmod(F.col("seq") * 3, F.lit(7)) + F.pmod("seq", F.lit(4))})
+    rows = merged(I.history(s, d), I.params(s, d), "item").withColumns({"x": F.pmod(F.col("seq") * 3, F.lit(7)), "y": F.pmod(F.col("seq") * 3, F.lit(7)) + F.pmod("seq", F.lit(4))})
     return rows.select(
         "item", "seq", "x", "y",
         (C.period_cost(F.col("y"), F.col("d"), F.col("x"), F.col("h"), F.col("b"), F.col("c")) + F.lit(0.0)).alias("cost"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import merged
+
 
 def state_grid(params: DataFrame) -> DataFrame:
     """item, x: all integer states from x_min to x_max."""
@@ -47,4 +49,4 @@ def instance_demand(grid: DataFrame) -> DataFrame:
 
 def initial_policy(states: DataFrame, pmf: DataFrame) -> DataFrame:
     """item, x, y: order up to the largest demand."""
-    return states.join(pmf.groupBy("item").agg(F.max("d").alias("d_max")), "item").select("item", "x", F.greatest("x", "d_max").alias("y"))
+    return merged(states, pmf.groupBy("item").agg(F.max("d").alias("d_max")), "item").select("item", "x", F.greatest("x", "d_max").alias("y"))

@@ -9,18 +9,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import next_state
+from ..functions.joins import merged
 
 
 def value_lookup(keys: DataFrame, v: DataFrame, at: str = "x") -> DataFrame:
     """keys with value: V at the state, taken at the ends of the range where it lies outside."""
     ends = v.groupBy("item").agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
-    k = keys.join(ends, "item").withColumn("_x", F.greatest("_lo", F.least("_hi", F.col(at)))).drop("_lo", "_hi")
-    return k.join(v.select("item", F.col("x").alias("_x"), "value"), ["item", "_x"], "left").drop("_x")
+    k = merged(keys, ends, "item").withColumn("_x", F.greatest("_lo", F.least("_hi", F.col(at)))).drop("_lo", "_hi")
+    return merged(k, v.select("item", F.col("x").alias("_x"), "value"), ["item", "_x"], "left").drop("_x")
 
 
 def policy_lookup(keys: DataFrame, policy: DataFrame) -> DataFrame:
     """keys with y of their item and state."""
-    return keys.join(policy.select("item", "x", "y"), ["item", "x"], "left")
+    return merged(keys, policy.select("item", "x", "y"), ["item", "x"], "left")
 
 
 def nearest_known(keys: DataFrame, known: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def nearest_known(keys: DataFrame, known: DataFrame) -> DataFrame:
 
 def demand_cross(actions: DataFrame, pmf: DataFrame) -> DataFrame:
     """Every action of an item beside every demand of the item, with its probability."""
-    return actions.join(pmf.select("item", "d", "p"), "item")
+    return merged(actions, pmf.select("item", "d", "p"), "item")
 
 
 def expected_cost(actions: DataFrame, pmf: DataFrame, params: DataFrame) -> DataFrame:
@@ -58,19 +59,19 @@ def expected_cost(actions: DataFrame, pmf: DataFrame, params: DataFrame) -> Data
     rows = levels.unionByName(demands).withColumns(sums | {"_known": F.min("_level").over(of_item)}).filter("_level = 1 and _known = 0")
     y = F.col("_at")
     held, short = y * F.col("_p_low") - F.col("_pd_low"), (F.col("_pd_all") - F.col("_pd_low")) - y * (F.col("_p_all") - F.col("_p_low"))
-    return rows.join(params.select("item", "h", "b"), "item").select("item", y.alias("y"), (F.col("h") * held + F.col("b") * short).alias("cost"))
+    return merged(rows, params.select("item", "h", "b"), "item").select("item", y.alias("y"), (F.col("h") * held + F.col("b") * short).alias("cost"))
 
 
 def transitions(actions: DataFrame, pmf: DataFrame, params: DataFrame) -> DataFrame:
     """item, y, x_next, p: demands that lead to one state are one row."""
-    pairs = demand_cross(actions.select("item", "y").distinct(), pmf).join(params.select("item", "x_min", "x_max"), "item")
+    pairs = merged(demand_cross(actions.select("item", "y").distinct(), pmf), params.select("item", "x_min", "x_max"), "item")
     to = next_state(F.col("y"), F.col("d"), F.col("x_min"), F.col("x_max"))
     return pairs.groupBy("item", "y", to.alias("x_next")).agg(F.sum("p").alias("p"))
 
 
 def expected_next_value(moves: DataFrame, v: DataFrame) -> DataFrame:
     """item, y, ev: expected value of the next state. moves: as ``transitions`` gives them."""
-    both = moves.join(v.select("item", F.col("x").alias("x_next"), "value"), ["item", "x_next"])
+    both = merged(moves, v.select("item", F.col("x").alias("x_next"), "value"), ["item", "x_next"])
     return both.groupBy("item", "y").agg(F.sum(F.col("p") * F.col("value")).alias("ev"))
 
 

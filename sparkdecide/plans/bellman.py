@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
+from ..functions.joins import merged
 from ..operators.grids import initial_policy, state_grid
 from ..storage import materialize
 from .batches import SOLVED_DDL, solver
@@ -43,11 +44,12 @@ class Model:
     def by_item(self, policy: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
         """item, its parameters, demand, policy and start, each in one row."""
         demand = self.pmf.groupBy("item").agg(F.sort_array(F.collect_list(F.struct(F.col("d").cast("int").alias("d"), F.col("p").cast("double").alias("p")))).alias("demand"))
-        rows = self.params.select(F.col("item").cast("long").alias("item"), *(F.col(k).cast("double").alias(k) for k in ("h", "b", "c", "gamma", "theta")), "x_min", "x_max").join(demand, "item")
+        rows = self.params.select(F.col("item").cast("long").alias("item"), *(F.col(k).cast("double").alias(k) for k in ("h", "b", "c", "gamma", "theta")), "x_min", "x_max")
+        rows = merged(rows, demand, "item")
         if policy is not None:
-            rows = rows.join(policy.groupBy("item").agg(F.collect_list(F.struct("x", "y")).alias("policy")), "item")
+            rows = merged(rows, policy.groupBy("item").agg(F.collect_list(F.struct("x", "y")).alias("policy")), "item")
         if start is not None:
-            rows = rows.join(start.groupBy("item").agg(F.collect_list(F.struct("x", "value")).alias("start")), "item")
+            rows = merged(rows, start.groupBy("item").agg(F.collect_list(F.struct("x", "value")).alias("start")), "item")
         return rows.withColumns({k: F.lit(None).cast(t) for k, t in (("policy", "array<struct<x:int,y:int>>"), ("start", "array<struct<x:int,value:double>>")) if k not in rows.columns})
 
     def in_tasks(self, rows: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
@@ -64,7 +66,7 @@ class Model:
         """A row for each item: its parameters, demand, and v, the values of its states in order (0 for missing ones)."""
         of = v.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("x", "value"))).alias("_values"))
         values = F.transform(F.sequence("x_min", "x_max"), lambda x: F.coalesce(F.try_element_at("_values", x), F.lit(0.0)))
-        return spread(self.by_item().join(of, "item")).withColumn("v", values).drop("_values")
+        return spread(merged(self.by_item(), of, "item")).withColumn("v", values).drop("_values")
 
     def _fixed(self) -> Column:
         """What each level from x_min on is worth without a next state."""
@@ -126,18 +128,18 @@ class Model:
     def evaluate_once(self, policy: DataFrame, v: DataFrame) -> DataFrame:
         """item, x, value: one sweep under a fixed policy."""
         g = self.action_values(v)
-        return policy.select("item", "x", "y").join(g, ["item", "y"]).select("item", "x", (F.col("c") * F.col("x") + F.col("g") + F.lit(0.0)).alias("value"))
+        return merged(policy.select("item", "x", "y"), g, ["item", "y"]).select("item", "x", (F.col("c") * F.col("x") + F.col("g") + F.lit(0.0)).alias("value"))
 
 
 def sweep_delta(new: DataFrame, old: DataFrame) -> DataFrame:
     """item, delta: largest change of a value."""
-    both = new.select("item", "x", F.col("value").alias("_n")).join(old.select("item", "x", F.col("value").alias("_o")), ["item", "x"])
+    both = merged(new.select("item", "x", F.col("value").alias("_n")), old.select("item", "x", F.col("value").alias("_o")), ["item", "x"])
     return both.groupBy("item").agg(F.max(F.abs(F.col("_n") - F.col("_o"))).alias("delta"))
 
 
 def policy_changes(new: DataFrame, old: DataFrame) -> DataFrame:
     """item, changed (states with another action), stable."""
-    both = new.select("item", "x", F.col("y").alias("_n")).join(old.select("item", "x", F.col("y").alias("_o")), ["item", "x"])
+    both = merged(new.select("item", "x", F.col("y").alias("_n")), old.select("item", "x", F.col("y").alias("_o")), ["item", "x"])
     return both.groupBy("item").agg(F.sum((F.col("_n") != F.col("_o")).cast("long")).alias("changed")).withColumn("stable", F.col("changed") == 0)
 
 

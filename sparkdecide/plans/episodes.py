@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import period_cost
+from ..functions.joins import merged
 from ..operators.inventory import nearest_known
 from .batches import tracer
 from .bellman import Model, by_state, spread
@@ -27,7 +28,7 @@ def base_stock_backtest(history: DataFrame, params: DataFrame, level: DataFrame,
     From x0 at or below the level the stock before an order is the level less the last
     demand, so one lag window does it. params: item, h, b, c, x_min, x_max; level: item, s.
     """
-    rows = history.join(params.select("item", "h", "b", "c", "x_min", "x_max"), "item").join(level.select("item", "s"), "item")
+    rows = merged(merged(history, params.select("item", "h", "b", "c", "x_min", "x_max"), "item"), level.select("item", "s"), "item")
     last = F.lag("d").over(Window.partitionBy("item").orderBy("seq"))
     x = F.when(last.isNull(), F.lit(x0)).otherwise(F.greatest("x_min", F.least("x_max", F.col("s") - last)))
     rows = rows.withColumn("x", x.cast("int")).withColumn("y", F.greatest("x", "s"))
@@ -42,9 +43,9 @@ def _levels(params: DataFrame, policy: DataFrame, x0: int) -> DataFrame:
     """item, x_min, x_max, lo, levels: the policy's action of every state from lo on, that of the nearest one it has."""
     grid = params.select("item", F.explode(F.sequence(F.least("x_min", F.lit(x0)), F.greatest("x_max", F.lit(x0)))).alias("x"))
     acts = policy.select("item", F.col("x").alias("nearest"), "y")
-    of = nearest_known(grid, acts.select("item", F.col("nearest").alias("x"))).join(acts, ["item", "nearest"]).groupBy("item")
+    of = merged(nearest_known(grid, acts.select("item", F.col("nearest").alias("x"))), acts, ["item", "nearest"]).groupBy("item")
     levels = of.agg(F.min("x").alias("lo"), F.transform(F.array_sort(F.collect_list(F.struct("x", F.col("y").cast("int").alias("y")))), lambda s: s["y"]).alias("levels"))
-    return params.select("item", "x_min", "x_max").join(levels, "item")
+    return merged(params.select("item", "x_min", "x_max"), levels, "item")
 
 
 def policy_backtest(history: DataFrame, params: DataFrame, policy: DataFrame, x0: int = 0, block: int = PERIODS, group: int = GROUP) -> DataFrame:
@@ -60,7 +61,7 @@ def policy_backtest(history: DataFrame, params: DataFrame, policy: DataFrame, x0
     steps = cut.groupBy("item", "k").agg(F.array_sort(F.collect_list(F.struct("seq", "d"))).alias("steps"))
     # nothing follows an item's last block, so that needs no map; most items have no other
     steps = steps.withColumn("last", F.max("k").over(Window.partitionBy("item")))
-    blocks = spread(steps.join(known, "item"), "item", "k")
+    blocks = spread(merged(steps, known, "item"), "item", "k")
 
     def act(x: Column) -> Column:
         return F.get("levels", x - F.col("lo"))
@@ -88,7 +89,7 @@ def policy_backtest(history: DataFrame, params: DataFrame, policy: DataFrame, x0
     run = F.aggregate("steps", F.array("x"), lambda at, s: F.concat(at, F.array(after(F.element_at(at, -1), s["d"]))))
     rows = blocks.join(each, ["item", "k"]).withColumn("_run", run)
     period = F.explode(F.transform("steps", lambda s, i: F.struct(s["seq"].alias("seq"), s["d"].alias("d"), F.get("_run", i).alias("x"), F.get("_run", i + 1).alias("x_next"), act(F.get("_run", i)).alias("y"))))
-    rows = rows.select("item", period.alias("s")).select("item", "s.*").join(params.select("item", "h", "b", "c"), "item")
+    rows = merged(rows.select("item", period.alias("s")).select("item", "s.*"), params.select("item", "h", "b", "c"), "item")
     reward = -period_cost(F.col("y"), F.col("d"), F.col("x"), F.col("h"), F.col("b"), F.col("c")) + F.lit(0.0)
     return rows.select("item", "seq", "x", "y", "d", reward.alias("reward"), "x_next")
 
@@ -190,13 +191,13 @@ def visit_filter(returns: DataFrame, visit: str = "last", keys: list[str] | None
 def mc_value(returns: DataFrame, states: DataFrame) -> DataFrame:
     """item, x, value, n: mean return of each state, 0 where it was never visited."""
     seen = returns.groupBy("item", "x").agg(F.avg("g").alias("value"), F.count("*").alias("n"))
-    return states.select("item", "x").join(seen, ["item", "x"], "left").fillna(0.0, ["value"]).fillna(0, ["n"])
+    return merged(states.select("item", "x"), seen, ["item", "x"], "left").fillna(0.0, ["value"]).fillna(0, ["n"])
 
 
 def visit_counts(episodes: DataFrame, states: DataFrame) -> DataFrame:
     """item, x, n, share (percent of the item's visits)."""
     seen = episodes.groupBy("item", "x").agg(F.count("*").alias("n"))
-    n = states.select("item", "x").join(seen, ["item", "x"], "left").fillna(0, ["n"])
+    n = merged(states.select("item", "x"), seen, ["item", "x"], "left").fillna(0, ["n"])
     total = F.sum("n").over(Window.partitionBy("item"))
     return n.withColumn("share", F.when(total > 0, 100.0 * F.col("n") / total).otherwise(0.0))
 
@@ -216,7 +217,7 @@ def mc_evaluate(episodes: DataFrame, states: DataFrame, gamma: float = 0.95, vis
     g = discounted_return(episodes, gamma, convention, terminal).withColumn("_n", _nth_visit(visit, ["item", "episode_id"]))
     counted = F.when(F.col("_n") == 1, F.col("g"))
     seen = g.groupBy("item", "x").agg(F.avg(counted).alias("value"), F.count(counted).alias("n"), F.count("*").alias("visits"))
-    return states.select("item", "x").join(seen, ["item", "x"], "left").fillna(0.0, ["value"]).fillna(0, ["n", "visits"])
+    return merged(states.select("item", "x"), seen, ["item", "x"], "left").fillna(0.0, ["value"]).fillna(0, ["n", "visits"])
 
 
 def cut_episodes(backtest: DataFrame, length: int) -> DataFrame:
@@ -235,7 +236,7 @@ def trace_policy_iteration(
     of the end state and the cost of an item; it is computed for every state beforehand. An item's history has to fit a task.
     """
     cost = model.params.select("item", "c")
-    at_end = model.states.join(cost, "item").groupBy("item").agg(F.collect_list(F.struct("x", terminal_value(F.col("x"), F.col("c")).cast("double").alias("value"))).alias("terminal"))
+    at_end = merged(model.states, cost, "item").groupBy("item").agg(F.collect_list(F.struct("x", terminal_value(F.col("x"), F.col("c")).cast("double").alias("value"))).alias("terminal"))
     demand = history.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("d").cast("long").alias("d")))), lambda x: x["d"]).alias("history"))
-    rows = model.by_item(policy.select("item", "x", "y")).join(at_end, "item").join(demand, "item", "left")
+    rows = merged(merged(model.by_item(policy.select("item", "x", "y")), at_end, "item"), demand, "item", "left")
     return by_state(model.in_tasks(rows, tracer(model.span, max_iter, x0, length, gamma)), "iterations", "stable")

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import merged
 from ..operators.grids import masked_action_grid
 
 
@@ -20,7 +21,7 @@ def td_target(transitions: DataFrame, q_table: DataFrame, gamma: float = 0.95) -
     """transitions with target: reward + gamma * the best known q from the next state on, 0 where none is known."""
     best = q_table.filter("y >= x").groupBy("item", "x").agg(F.max("q").alias("best")).withColumnRenamed("x", "x_next")
     best = best.select("item", "x_next", F.greatest("best", F.lit(float("-inf"))).alias("best"))
-    return transitions.join(best, ["item", "x_next"], "left").withColumn("target", F.col("reward") + F.lit(gamma) * F.coalesce("best", F.lit(0.0))).drop("best")
+    return merged(transitions, best, ["item", "x_next"], "left").withColumn("target", F.col("reward") + F.lit(gamma) * F.coalesce("best", F.lit(0.0))).drop("best")
 
 
 def update(q: dict, n: dict, x: int, y: int, reward: float, x_next: int, y_max: int, alpha0: float, gamma: float, decay: float) -> None:
@@ -154,5 +155,5 @@ def q_learning(transitions: DataFrame, y_max: int, alpha0: float = 0.1, gamma: f
 def greedy_from_q(q_table: DataFrame, states: DataFrame, y_max: int) -> DataFrame:
     """item, x, y, value: best action of each state under y >= x; missing q counts as 0, ties go to the smallest y."""
     grid = masked_action_grid(states.select("item", "x"), y_max)
-    q = grid.join(q_table.select("item", "x", "y", "q"), ["item", "x", "y"], "left").fillna(0.0, ["q"])
+    q = merged(grid, q_table.select("item", "x", "y", "q"), ["item", "x", "y"], "left").fillna(0.0, ["q"])
     return q.groupBy("item", "x").agg(F.max_by("y", F.struct("q", -F.col("y"))).alias("y"), F.max("q").alias("value"))
