@@ -9,9 +9,10 @@ time wait for a watermark.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
@@ -65,87 +66,106 @@ def stream_assign(requests: DataFrame, stats: Versions, assign: Callable[[DataFr
     return requests.writeStream.foreachBatch(each)
 
 
+#: Groups that items are dealt over: a group's items share each call of the processor, its rows of a micro-batch fit a task.
+GROUPS = 1024
+
+_PAIRS = "x array<int>, y array<int>, q array<double>, n array<bigint>"
+
+
 class QState(StatefulProcessor):
-    """State of an item: (x, y) -> (q, n)."""
+    """State of a group of items: item -> its pairs (x, y) with q and n, read and written once in a micro-batch."""
 
     def __init__(self, y_max: int, alpha0: float, gamma: float, decay: float):
         self.settings = (y_max, alpha0, gamma, decay)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.table = handle.getMapState("q", "x int, y int", "q double, n bigint")
+        self.table = handle.getMapState("q", "item bigint", _PAIRS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        seen = list(self.table.iterator()) if self.table.exists() else []
-        q = {(k[0], k[1]): v[0] for k, v in seen}
-        n = {(k[0], k[1]): v[1] for k, v in seen}
-        pdf = self.ordered(pd.concat(list(rows)))
-        changed = set()
-        for r in zip(pdf["x"], pdf["y"], pdf["reward"], pdf["x_next"], strict=True):
-            update(q, n, int(r[0]), int(r[1]), float(r[2]), int(r[3]), *self.settings)
-            changed.add((int(r[0]), int(r[1])))
-        for k in changed:
-            self.table.updateValue(k, (q[k], n[k]))
-        yield pd.DataFrame([(key[0], *k, q[k], n[k]) for k in sorted(changed)], columns=["item", "x", "y", "q", "n"])
-
-    def ordered(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(["episode_id", "t"])
+        pdf = pd.concat(list(rows))
+        columns = (pdf[c].tolist() for c in ("item", "episode_id", "t", "x", "y", "reward", "x_next"))
+        yield from self.learned(sorted(zip(*columns, strict=True), key=lambda r: r[:3]))
+
+    def learned(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        """Changed pairs after rows that end in x, y, reward, x_next, sorted by item first."""
+        out = []
+        for item, own in groupby(rows, key=lambda r: r[0]):
+            known = self.table.getValue((item,)) or ((), (), (), ())
+            pairs = list(zip(known[0], known[1], strict=True))
+            q, n = dict(zip(pairs, known[2], strict=True)), dict(zip(pairs, known[3], strict=True))
+            changed = set()
+            for *_, x, y, reward, x_next in own:
+                update(q, n, int(x), int(y), float(reward), int(x_next), *self.settings)
+                changed.add((int(x), int(y)))
+            self.table.updateValue((item,), ([k[0] for k in q], [k[1] for k in q], list(q.values()), [n[k] for k in q]))
+            out += [(item, *k, q[k], n[k]) for k in sorted(changed)]
+        if out:
+            yield pd.DataFrame(out, columns=["item", "x", "y", "q", "n"])
 
     def close(self) -> None:
         pass
 
 
+def _grouped(rows: DataFrame) -> GroupedData:
+    """Rows with an item, state, action and reward, by their items' group."""
+    group = F.pmod(F.xxhash64("item"), F.lit(GROUPS)).cast("int")
+    return rows.withColumn("item", F.col("item").cast("long")).dropna(subset=["item", "x", "y", "reward", "x_next"]).withColumn("_group", group).groupBy("_group")
+
+
 def stream_q_learning(transitions: DataFrame, y_max: int, alpha0: float = 0.1, gamma: float = 0.95, decay: float = 0.001) -> DataFrame:
     """Changed pairs (item, x, y, q, n) of each micro-batch; needs the RocksDB state store."""
-    return transitions.groupBy("item").transformWithStateInPandas(QState(y_max, alpha0, gamma, decay), Q_SCHEMA, "Update", "None")
+    return _grouped(transitions).transformWithStateInPandas(QState(y_max, alpha0, gamma, decay), Q_SCHEMA, "Update", "None")
 
 
 class LateQState(QState):
-    """QState that holds rows back until the watermark has passed them, and learns them in the order of their event time."""
+    """QState that holds rows back until the watermark has passed them, and learns each item's in the order of their event time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.handle = handle
-        self.until = handle.getValueState("until", "ms bigint")
-        self.waiting = handle.getListState("waiting", "ts bigint, episode_id string, t int, x int, y int, reward double, x_next int")
+        self.until = handle.getMapState("until", "item bigint", "ms bigint")
+        self.last = handle.getValueState("last", "ms bigint")
+        self.waiting = handle.getListState("waiting", "item bigint, ts bigint, episode_id string, t int, x int, y int, reward double, x_next int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new = pd.concat(list(rows))
-        if self.until.exists():  # what has been learned stays: an earlier row is too late, even if Spark still lets it pass
-            new = new[new["ts_ms"] > self.until.get()[0]]
+        last = self.last.get()
+        early = new["ts_ms"] <= last[0] if last else None
+        if early is not None and early.any():  # what an item has learned stays: an earlier row is too late, even if Spark still lets it pass
+            until = {i: self.until.getValue((i,)) for i in set(new["item"][early].tolist())}
+            new = new[[not (until.get(i) and ms <= until[i][0]) for i, ms in zip(new["item"].tolist(), new["ts_ms"].tolist(), strict=True)]]
         if new.empty:
             return
-        ts = new["ts_ms"]
-        columns = (new[c].tolist() for c in ("episode_id", "t", "x", "y", "reward", "x_next"))
-        self.waiting.appendList([(int(a), str(e), int(t), int(x), int(y), float(r), int(z)) for a, e, t, x, y, r, z in zip(ts, *columns, strict=True)])
-        self.handle.registerTimer(int(ts.min()))
+        columns = (new[c].tolist() for c in ("item", "ts_ms", "episode_id", "t", "x", "y", "reward", "x_next"))
+        self.waiting.appendList([(int(i), int(a), str(e), int(t), int(x), int(y), float(r), int(z)) for i, a, e, t, x, y, r, z in zip(*columns, strict=True)])
+        self.handle.registerTimer(int(new["ts_ms"].min()))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        due = [r for r in rows if r[0] <= now]
+        rows = [tuple(r) for r in self.waiting.get()]
+        due = sorted((r for r in rows if r[1] <= now), key=lambda r: r[:4])
         if not due:
             return
-        self.until.update((now,))
-        rest = rows[len(due) :]
+        for item in {r[0] for r in due}:
+            self.until.updateValue((item,), (now,))
+        self.last.update((now,))
+        rest = [r for r in rows if r[1] > now]
         if rest:
             self.waiting.put(rest)
-            self.handle.registerTimer(rest[0][0])
+            self.handle.registerTimer(min(r[1] for r in rest))
         else:
             self.waiting.clear()
-        yield from super().handleInputRows(key, iter([pd.DataFrame(due, columns=["ts", "episode_id", "t", "x", "y", "reward", "x_next"])]), timerValues)
-
-    def ordered(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values(["ts", "episode_id", "t"])
+        yield from self.learned(due)
 
 
 def stream_late_q_learning(transitions: DataFrame, y_max: int, delay: str, alpha0: float = 0.1, gamma: float = 0.95, decay: float = 0.001) -> DataFrame:
     """The same for rows with an event time ``ts`` that arrive in any order, up to ``delay`` late.
 
-    Rows wait in the item's state until the watermark is past them, so each item learns in the order of (ts, episode_id, t)
+    Rows wait in the state until the watermark is past them, so each item learns in the order of (ts, episode_id, t)
     whatever the order of arrival. Rows that come after their item has learned up to a watermark past them are left out. What
     the watermark hasn't reached at the end of a source waits for later rows.
     """
     # milliseconds, rounded up, so that no row is learned before the watermark is past it
     rows = transitions.withColumn("ts_ms", F.ceil(F.unix_micros("ts") / 1000)).withWatermark("ts", delay)
-    return rows.groupBy("item").transformWithStateInPandas(LateQState(y_max, alpha0, gamma, decay), Q_SCHEMA, "Update", "EventTime")
+    return _grouped(rows).transformWithStateInPandas(LateQState(y_max, alpha0, gamma, decay), Q_SCHEMA, "Update", "EventTime")
