@@ -12,3 +12,8 @@ def merged(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner")
     gather tables that grow with the items on the driver and copy them to every executor.
     """
     return a.join(b.hint("merge"), on, how)
+
+
+def dealt(rows: DataFrame, key: str = "item") -> DataFrame:
+    """rows by ``key`` in as many tasks as there are shuffle partitions; grids shrink so much in a shuffle that Spark would join many into one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import next_state
-from ..functions.joins import merged
+from ..functions.joins import dealt, merged
 
 
 def value_lookup(keys: DataFrame, v: DataFrame, at: str = "x") -> DataFrame:
@@ -51,12 +51,12 @@ def expected_cost(actions: DataFrame, pmf: DataFrame, params: DataFrame) -> Data
     From running sums of p and p * d over an item's demands, merged with its levels in their order: at a level the
     demands up to it are held against, the others are short. No level meets each demand.
     """
-    levels = actions.select("item", F.col("y").alias("_at")).distinct().withColumns({"_p": F.lit(0.0), "_pd": F.lit(0.0), "_level": F.lit(1)})
+    levels = dealt(actions.select("item", F.col("y").alias("_at"))).distinct().withColumns({"_p": F.lit(0.0), "_pd": F.lit(0.0), "_level": F.lit(1)})
     demands = pmf.select("item", F.col("d").alias("_at"), F.col("p").alias("_p"), (F.col("p") * F.col("d")).alias("_pd"), F.lit(0).alias("_level"))
     of_item = Window.partitionBy("item")
     up_to = of_item.orderBy("_at", "_level").rowsBetween(Window.unboundedPreceding, 0)
     sums = {f"{c}_{name}": F.sum(c).over(w) for c in ("_p", "_pd") for name, w in (("low", up_to), ("all", of_item))}
-    rows = levels.unionByName(demands).withColumns(sums | {"_known": F.min("_level").over(of_item)}).filter("_level = 1 and _known = 0")
+    rows = dealt(levels.unionByName(demands)).withColumns(sums | {"_known": F.min("_level").over(of_item)}).filter("_level = 1 and _known = 0")
     y = F.col("_at")
     held, short = y * F.col("_p_low") - F.col("_pd_low"), (F.col("_pd_all") - F.col("_pd_low")) - y * (F.col("_p_all") - F.col("_p_low"))
     return merged(rows, params.select("item", "h", "b"), "item").select("item", y.alias("y"), (F.col("h") * held + F.col("b") * short).alias("cost"))
@@ -64,7 +64,7 @@ def expected_cost(actions: DataFrame, pmf: DataFrame, params: DataFrame) -> Data
 
 def transitions(actions: DataFrame, pmf: DataFrame, params: DataFrame) -> DataFrame:
     """item, y, x_next, p: demands that lead to one state are one row."""
-    pairs = merged(demand_cross(actions.select("item", "y").distinct(), pmf), params.select("item", "x_min", "x_max"), "item")
+    pairs = merged(demand_cross(dealt(actions.select("item", "y")).distinct(), pmf), params.select("item", "x_min", "x_max"), "item")
     to = next_state(F.col("y"), F.col("d"), F.col("x_min"), F.col("x_max"))
     return pairs.groupBy("item", "y", to.alias("x_next")).agg(F.sum("p").alias("p"))
 
