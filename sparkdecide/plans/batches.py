@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Cells (items x levels x demands) of a batch, unless one item has more.
-CELLS = 1 << 21
+#: Cells (items x levels x demands) of a batch, unless one item has more, and rows that are Python objects at a time.
+CELLS, ROWS = 1 << 17, 1 << 10
 
 
 class Items:
@@ -117,7 +117,12 @@ SOLVED = pa.schema([("item", pa.int64()), ("rounds", pa.int32()), ("done", pa.bo
 SOLVED_DDL = "item bigint, rounds int, done boolean, states array<struct<x:int,value:double,y:int>>, changes array<double>"
 
 
-def _chunks(rows: list[dict], span: int) -> Iterator[list[dict]]:
+def _chunks(b: pa.RecordBatch, span: int) -> Iterator[list[dict]]:
+    for at in range(0, b.num_rows, ROWS):
+        yield from _cut(b.slice(at, ROWS).to_pylist(), span)
+
+
+def _cut(rows: list[dict], span: int) -> Iterator[list[dict]]:
     held: list[dict] = []
     wide = deep = 0
     for r in rows:
@@ -156,7 +161,7 @@ def solver(kind: str, span: int, most: int, most_sweeps: int = 0):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rows in _chunks(b.to_pylist(), span):
+            for rows in _chunks(b, span):
                 m = Items(rows, span)
                 # a state without an action orders nothing
                 policy = None if kind == "values" else np.clip(_table(rows, "policy", "y", m, m.x) - m.x, 0, span)
@@ -240,7 +245,7 @@ def tracer(span: int, most: int, x0: int, length: int, gamma: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rows in _chunks(b.to_pylist(), span):
+            for rows in _chunks(b, span):
                 m = Items(rows, span)
                 start = np.clip(_table(rows, "policy", "y", m, m.x) - m.x, 0, span)
                 yield _solved(rows, m, *traced(m, Histories(rows, m, x0, length, gamma), start, most), [[] for _ in rows])
