@@ -6,107 +6,201 @@ and demands d of each item side by side. Items that have converged leave the arr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Cells (items x levels x demands) of a batch, unless one item has more, and rows that are Python objects at a time.
-CELLS, ROWS = 1 << 17, 1 << 10
+#: Cells (items x levels x demands) of a batch, unless one item has more, and items at a time; small arrays stay in a core's cache.
+CELLS, ROWS = 1 << 17, 1 << 9
+
+
+class Rows:
+    """Rows of a record batch: item, h, b, c, gamma, theta, x_min, x_max, demand (structs of d, p in order of d) and what a loop needs besides."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch = batch
+
+    def __len__(self) -> int:
+        return self.batch.num_rows
+
+    def __iter__(self) -> Iterator[dict]:
+        return iter(self.batch.to_pylist())
+
+    def column(self, name: str, kind: type = np.float64) -> np.ndarray:
+        return self.batch[name].to_numpy(zero_copy_only=False).astype(kind)
+
+    def sizes(self, name: str) -> np.ndarray:
+        """Lengths of the lists of ``name``, 0 for nulls."""
+        if name not in self.batch.schema.names:
+            return np.zeros(len(self), np.int64)
+        return self.batch[name].value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def flat(self, name: str) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """For all elements of the lists of ``name``: the row they are of, their place in its list, and themselves."""
+        size = self.sizes(name)
+        row = np.repeat(np.arange(len(self)), size)
+        return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size), self.batch[name].flatten()
+
+
+def _numbers(values: pa.Array, kind: type) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False).astype(kind)
 
 
 class Items:
-    """Padded models; rows of a record batch with item, h, b, c, gamma, theta, x_min, x_max, demand (structs of d, p)."""
+    """Padded models of Rows, an item a column: states x, levels and demands go down.
+
+    Next states of a demand are the values shifted by it, so a sweep gathers nothing unless demands lie far apart.
+    """
 
-    def __init__(self, rows: list[dict], span: int):
+    def __init__(self, rows: Rows, span: int):
         n = len(rows)
         self.span = span
-        col = {k: np.array([r[k] for r in rows], np.float64) for k in ("h", "b", "c", "gamma", "theta")}
-        self.c, self.gamma, self.theta = col["c"], col["gamma"][:, None], col["theta"]
-        low, high = (np.array([r[k] for r in rows], np.int64) for k in ("x_min", "x_max"))
-        self.states = high - low + 1
+        h, b, self.c, self.gamma, self.theta = (rows.column(k) for k in ("h", "b", "c", "gamma", "theta"))
+        self.low, high = (rows.column(k, np.int64) for k in ("x_min", "x_max"))
+        self.states = high - self.low + 1
         wide = int(self.states.max())
-        deep = max(len(r["demand"]) for r in rows)
-        d, self.p = np.zeros((n, 1, deep), np.int64), np.zeros((n, 1, deep))
-        for k, r in enumerate(rows):
-            d[k, 0, : len(r["demand"])] = [x["d"] for x in r["demand"]]
-            self.p[k, 0, : len(r["demand"])] = [x["p"] for x in r["demand"]]
-        self.x = low[:, None] + np.arange(wide)
-        y = low[:, None] + np.arange(wide + span)
-        left = y[:, :, None] - d
-        self.next = np.clip(left, low[:, None, None], high[:, None, None]) - low[:, None, None]
-        cost = ((col["h"][:, None, None] * np.maximum(left, 0) + col["b"][:, None, None] * np.maximum(-left, 0)) * self.p).sum(axis=2)
-        self.fixed = np.where(y <= high[:, None] + span, -col["c"][:, None] * y - cost, -np.inf)
-        self.valid = np.arange(wide) < self.states[:, None]
+        owner, place, demand = rows.flat("demand")
+        each, p = _numbers(demand.field("d"), np.int64), _numbers(demand.field("p"), np.float64)
+        least, most, deep = int(each.min(initial=0)), int(each.max(initial=0)), int(place.max(initial=-1)) + 1
+        self.dense = most - least < 2 * deep + 16
+        if self.dense:  # row k is demand least + k
+            self.least, self.d = least, None
+            self.p = np.zeros((most - least + 1, n))
+            np.add.at(self.p, (each - least, owner), p)
+        else:
+            self.least, self.d, self.p = 0, np.zeros((deep, n), np.int64), np.zeros((deep, n))
+            self.d[place, owner], self.p[place, owner] = each, p
+        self.x = self.low + np.arange(wide)[:, None]
+        y = self.low + np.arange(wide + span)[:, None]
+        cost = np.zeros(y.shape)
+        for k in range(len(self.p)):
+            left = y - self._demand(k)
+            cost += (h * np.maximum(left, 0) + b * np.maximum(-left, 0)) * self.p[k]
+        self.fixed = np.where(y <= high + span, -self.c * y - cost, -np.inf)
+        self._frame()
+
+    def _demand(self, k: int) -> int | np.ndarray:
+        return self.least + k if self.dense else self.d[k]
+
+    def _frame(self) -> None:
+        """What follows from the items that are left."""
+        self.wide = len(self.x)
+        self.valid = np.arange(self.wide)[:, None] < self.states
+        self.whole = bool(self.valid.all())
+        self.ordered = self.c * self.x
+        if self.dense:
+            at = np.arange(len(self.fixed) + len(self.p) - 1) - (self.least + len(self.p) - 1)
+            self.at, self.over = np.clip(at, 0, self.wide - 1), None if self.whole else at[:, None] > self.states - 1
 
     def some(self, rows: np.ndarray) -> Items:
         out = object.__new__(Items)
-        out.span = self.span
-        for k in ("c", "gamma", "theta", "states", "p", "x", "next", "fixed", "valid"):
+        out.span, out.dense, out.least = self.span, self.dense, self.least
+        for k in ("c", "gamma", "theta", "low", "states"):
             setattr(out, k, getattr(self, k)[rows])
+        for k in ("p", "x", "fixed", "d"):
+            v = getattr(self, k)
+            setattr(out, k, None if v is None else v[:, rows])
+        out._frame()
         return out
 
     def action_values(self, v: np.ndarray) -> np.ndarray:
         """Value of having y on hand, without the part that depends on the state."""
-        ahead = v[np.arange(len(v))[:, None, None], self.next]
-        return self.fixed + self.gamma * (ahead * self.p).sum(axis=2)
+        levels, deep = len(self.fixed), len(self.p)
+        total = np.zeros(self.fixed.shape)
+        if self.dense:
+            ext = v[self.at]
+            if self.over is not None:
+                ext = np.where(self.over, v[self.states - 1, np.arange(v.shape[1])], ext)
+            one = np.empty_like(total)
+            for k in range(deep):
+                total += np.multiply(ext[deep - 1 - k : deep - 1 - k + levels], self.p[k], out=one)
+        else:
+            for k in range(deep):
+                to = np.clip(np.arange(levels)[:, None] - self.d[k], 0, self.states - 1)
+                total += np.take_along_axis(v, to, axis=0) * self.p[k]
+        total *= self.gamma
+        total += self.fixed
+        return total
+
+    def _values(self, chosen: np.ndarray) -> np.ndarray:
+        out = self.ordered + chosen + 0.0
+        return out if self.whole else np.where(self.valid, out, 0.0)
 
     def best(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """New values and the best levels as offsets from the state; levels within 1e-9 are ties and the lowest wins."""
+        """New values and the best levels as offsets from the state; levels within 1e-9 are ties and the lowest wins.
+
+        The best of two neighbouring stretches of levels is that of the left one, unless the right one's is more.
+        """
         g = self.action_values(v)
-        r, wide = np.round(g, 9), v.shape[1]
-        top, arg = r[:, :wide].copy(), np.zeros(v.shape, np.int64)
-        for k in range(1, self.span + 1):
-            more = r[:, k : k + wide] > top
-            top[more] = r[:, k : k + wide][more]
-            arg[more] = k
-        chosen = np.take_along_axis(g, np.arange(wide) + arg, axis=1)
-        return np.where(self.valid, self.c[:, None] * self.x + chosen + 0.0, 0.0), arg
+        top, arg, have = np.round(g, 9), np.zeros(g.shape, np.int32), 1
+        while have < self.span + 1:
+            step = min(have, self.span + 1 - have)
+            more = top[step:] > top[:-step]
+            top, g, arg = (np.where(more, right, left) for right, left in ((top[step:], top[:-step]), (g[step:], g[:-step]), (arg[step:] + np.int32(step), arg[:-step])))
+            have += step
+        return self._values(g), arg.astype(np.int64)
 
     def under(self, policy: np.ndarray, v: np.ndarray) -> np.ndarray:
         """New values under a policy of offsets from the state."""
-        chosen = np.take_along_axis(self.action_values(v), np.arange(v.shape[1]) + policy, axis=1)
-        return np.where(self.valid, self.c[:, None] * self.x + chosen + 0.0, 0.0)
+        return self._values(np.take_along_axis(self.action_values(v), np.arange(self.wide)[:, None] + policy, axis=0))
+
 
+def swept(m: Items, v: np.ndarray, policy: np.ndarray | None, most: int, told: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+    """(values, offsets, sweeps, converged, changes of each sweep if ``told``) of repeated sweeps, each item until its change
+    is under its threshold; optimal ones, or under a fixed policy. Items that are done leave the arrays a quarter at a time."""
+    n = v.shape[1]
+    out, chosen = v.copy(), np.zeros(v.shape, np.int64) if policy is None else policy
+    sweeps, converged, changes = np.zeros(n, np.int64), np.zeros(n, bool), [[] for _ in range(n)] if told else [None] * n
+    open_, part, now, done, arg = np.arange(n), m, v, np.zeros(n, bool), None
+
+    def keep(which: np.ndarray, k: int) -> None:
+        at = open_[which]
+        out[:, at], sweeps[at] = now[:, which], k
+        if arg is not None:
+            chosen[:, at] = arg[:, which]
 
-def swept(m: Items, v: np.ndarray, policy: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[float]]]:
-    """(values, offsets, sweeps, converged, changes of each sweep) of repeated sweeps, each item until its change is under
-    its threshold; optimal ones, or under a fixed policy."""
-    n = len(v)
-    v, chosen = v.copy(), np.zeros(v.shape, np.int64) if policy is None else policy
-    sweeps, converged, changes = np.zeros(n, np.int64), np.zeros(n, bool), [[] for _ in range(n)]
-    open_, part = np.arange(n), m
     for k in range(1, most + 1):
         if policy is None:
-            new, chosen[open_] = part.best(v[open_])
+            new, arg = part.best(now)
         else:
-            new = part.under(policy[open_], v[open_])
-        delta = np.abs(new - v[open_]).max(axis=1)
-        v[open_], sweeps[open_] = new, k
-        for i, d in zip(open_.tolist(), delta.tolist(), strict=True):
-            changes[i].append(d)
-        closed = delta < part.theta
+            new = part.under(policy[:, open_] if len(open_) < n else policy, now)
+        delta, now = np.abs(new - now).max(axis=0), new
+        if told:
+            for i, d in zip(open_[~done].tolist(), delta[~done].tolist(), strict=True):
+                changes[i].append(d)
+        closed = (delta < part.theta) & ~done
         if closed.any():
+            keep(closed, k)
             converged[open_[closed]] = True
-            open_ = open_[~closed]
-            if not len(open_):
+            done |= closed
+            if done.all():
                 break
-            part = m.some(open_)
-    return v, chosen, sweeps, converged, changes
+            if 4 * np.count_nonzero(done) >= len(done):
+                part, now, open_ = part.some(~done), now[:, ~done], open_[~done]
+                done = np.zeros(len(open_), bool)
+    else:
+        keep(~done, most)
+    return out, chosen, sweeps, converged, changes
 
 
 def iterated(m: Items, policy: np.ndarray, most: int, most_sweeps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(values, offsets, iterations, stable) of policy iteration; values carry over between iterations."""
-    n = len(policy)
+    return _improved(m, policy, most, lambda part, at, v, chosen: swept(part, v, chosen, most_sweeps, False)[0])
+
+
+def _improved(m: Items, policy: np.ndarray, most: int, valued) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Iterations of valued(models, their numbers, values, offsets) and improvement, each item until its policy stays."""
+    n = policy.shape[1]
     v, policy = np.zeros(policy.shape), policy.copy()
     iterations, stable = np.zeros(n, np.int64), np.zeros(n, bool)
     open_ = np.arange(n)
     for k in range(1, most + 1):
         part = m.some(open_)
-        v[open_] = swept(part, v[open_], policy[open_], most_sweeps)[0]
-        better = part.best(v[open_])[1]
-        same = ((better == policy[open_]) | ~part.valid).all(axis=1)
-        policy[open_], iterations[open_], stable[open_] = better, k, same
+        v[:, open_] = valued(part, open_, v[:, open_], policy[:, open_])
+        better = part.best(v[:, open_])[1]
+        same = ((better == policy[:, open_]) | ~part.valid).all(axis=0)
+        policy[:, open_], iterations[open_], stable[open_] = better, k, same
         open_ = open_[~same]
         if not len(open_):
             break
@@ -117,46 +211,44 @@ SOLVED = pa.schema([("item", pa.int64()), ("rounds", pa.int32()), ("done", pa.bo
 SOLVED_DDL = "item bigint, rounds int, done boolean, states array<struct<x:int,value:double,y:int>>, changes array<double>"
 
 
-def _chunks(b: pa.RecordBatch, span: int) -> Iterator[list[dict]]:
+def _chunks(b: pa.RecordBatch, span: int) -> Iterator[Rows]:
     for at in range(0, b.num_rows, ROWS):
-        yield from _cut(b.slice(at, ROWS).to_pylist(), span)
+        yield from _cut(Rows(b.slice(at, ROWS)), span)
 
 
-def _cut(rows: list[dict], span: int) -> Iterator[list[dict]]:
-    held: list[dict] = []
-    wide = deep = 0
-    for r in rows:
-        own_wide, own_deep = r["x_max"] - r["x_min"] + 1 + span, max(len(r["demand"]), len(r.get("history") or ()) // 4)
-        w, d = max(wide, own_wide), max(deep, own_deep)
-        if held and (len(held) + 1) * w * d > CELLS:
-            yield held
-            held, w, d = [], own_wide, own_deep
-        held.append(r)
-        wide, deep = w, d
-    if held:
-        yield held
+def _cut(rows: Rows, span: int) -> Iterator[Rows]:
+    wides = rows.column("x_max", np.int64) - rows.column("x_min", np.int64) + 1 + span
+    deeps = np.maximum(rows.sizes("demand"), rows.sizes("history") // 4)
+    begin = wide = deep = 0
+    for k, (own_wide, own_deep) in enumerate(zip(wides.tolist(), deeps.tolist(), strict=True)):
+        wide, deep = max(wide, own_wide), max(deep, own_deep)
+        if k > begin and (k + 1 - begin) * wide * deep > CELLS:
+            yield Rows(rows.batch.slice(begin, k - begin))
+            begin, wide, deep = k, own_wide, own_deep
+    if len(rows) > begin:
+        yield Rows(rows.batch.slice(begin))
 
 
-def _table(rows: list[dict], name: str, field: str, m: Items, missing: np.ndarray) -> np.ndarray:
+def _table(rows: Rows, name: str, field: str, m: Items, missing: np.ndarray) -> np.ndarray:
     """Values of ``field`` by state, from lists of structs; ``missing`` where an item has none."""
     out = missing.copy()
-    for k, r in enumerate(rows):
-        for e in r[name] or ():
-            at = e["x"] - int(m.x[k, 0])
-            if 0 <= at < m.states[k]:
-                out[k, at] = e[field]
+    if pa.types.is_list(rows.batch.schema.field(name).type):
+        owner, _, of = rows.flat(name)
+        at = _numbers(of.field("x"), np.int64) - m.low[owner]
+        inside = (at >= 0) & (at < m.states[owner])
+        out[at[inside], owner[inside]] = _numbers(of.field(field), out.dtype)[inside]
     return out
 
 
-def _solved(rows: list[dict], m: Items, v: np.ndarray, y: np.ndarray, rounds: np.ndarray, done: np.ndarray, changes: list[list[float]]) -> pa.RecordBatch:
+def _solved(rows: Rows, m: Items, v: np.ndarray, y: np.ndarray, rounds: np.ndarray, done: np.ndarray, changes: list) -> pa.RecordBatch:
     """Rows of SOLVED; the states as flat columns under their items."""
-    some = np.arange(v.shape[1]) < m.states[:, None]
-    flat = [pa.array(a[some], t) for a, t in ((m.x, pa.int32()), (v, pa.float64()), (m.x + y, pa.int32()))]
+    some = m.valid.T
+    flat = [pa.array(a.T[some], t) for a, t in ((m.x, pa.int32()), (v, pa.float64()), (m.x + y, pa.int32()))]
     states = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(m.states)]), pa.int32()), pa.StructArray.from_arrays(flat, ["x", "value", "y"]))
-    return pa.RecordBatch.from_arrays([pa.array([r["item"] for r in rows], pa.int64()), pa.array(rounds, pa.int32()), pa.array(done), states, pa.array(changes, pa.list_(pa.float64()))], schema=SOLVED)
+    return pa.RecordBatch.from_arrays([rows.batch["item"].cast(pa.int64()), pa.array(rounds, pa.int32()), pa.array(done), states, pa.array(changes, pa.list_(pa.float64()))], schema=SOLVED)
 
 
-def solver(kind: str, span: int, most: int, most_sweeps: int = 0):
+def solver(kind: str, span: int, most: int, most_sweeps: int = 0, told: bool = True):
     """mapInArrow over rows of item, parameters, demand, policy (structs of x, y) and start (structs of x, value)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +259,9 @@ def solver(kind: str, span: int, most: int, most_sweeps: int = 0):
                 policy = None if kind == "values" else np.clip(_table(rows, "policy", "y", m, m.x) - m.x, 0, span)
                 if kind == "iterate":
                     v, y, rounds, done = iterated(m, policy, most, most_sweeps)
-                    changes = [[] for _ in rows]
+                    changes = [None] * len(rows)
                 else:
-                    v, y, rounds, done, changes = swept(m, _table(rows, "start", "value", m, np.zeros(m.x.shape)), policy, most)
+                    v, y, rounds, done, changes = swept(m, _table(rows, "start", "value", m, np.zeros(m.x.shape)), policy, most, told)
                 yield _solved(rows, m, v, y, rounds, done, changes)
 
     return run
@@ -178,66 +270,54 @@ def solver(kind: str, span: int, most: int, most_sweeps: int = 0):
 class Histories:
     """Real demand of the items of a batch, padded; rows with history (demands in order), h, b, c and terminal (structs of x, value)."""
 
-    def __init__(self, rows: list[dict], m: Items, x0: int, length: int, gamma: float):
+    def __init__(self, rows: Rows, m: Items, x0: int, length: int, gamma: float):
         self.x0, self.length, self.gamma = x0, length, gamma
-        self.n = np.array([len(r["history"] or ()) for r in rows], np.int64)
-        self.d = np.zeros((len(rows), int(self.n.max(initial=0))), np.int64)
-        for k, r in enumerate(rows):
-            self.d[k, : self.n[k]] = r["history"] or ()
-        self.h, self.b = (np.array([r[k] for r in rows], np.float64) for k in ("h", "b"))
+        self.n = rows.sizes("history")
+        self.d = np.zeros((int(self.n.max(initial=0)), len(rows)), np.int64)
+        owner, place, demand = rows.flat("history")
+        self.d[place, owner] = _numbers(demand, np.int64)
+        self.h, self.b = (rows.column(k) for k in ("h", "b"))
         self.terminal = _table(rows, "terminal", "value", m, np.zeros(m.x.shape))
 
     def some(self, rows: np.ndarray) -> Histories:
         out = object.__new__(Histories)
         out.x0, out.length, out.gamma = self.x0, self.length, self.gamma
-        for k in ("n", "d", "h", "b", "terminal"):
+        for k in ("n", "h", "b"):
             setattr(out, k, getattr(self, k)[rows])
+        most = int(out.n.max(initial=0))
+        out.d, out.terminal = self.d[:most, rows], self.terminal[:, rows]
         return out
 
     def values(self, m: Items, policy: np.ndarray) -> np.ndarray:
         """Mean return of each state's last visits in episodes of ``length`` periods, under a policy of offsets; 0 without visits."""
-        each, periods = np.arange(len(self.n)), self.d.shape[1]
-        low, top = m.x[:, 0], m.states - 1
-        at, x = np.zeros((len(each), periods + 1), np.int64), np.full(len(each), self.x0)
-        reward, inside = np.zeros((len(each), periods)), np.ones((len(each), periods), bool)
+        periods, n = self.d.shape
+        each, low, top, order = np.arange(n), m.low, m.states - 1, policy.ravel()
+        at, reward, inside = np.zeros((periods + 1, n), np.int64), np.zeros((periods + 1, n)), np.ones((periods, n), bool)
+        x = np.full(n, self.x0)
         for t in range(periods):  # all items take period t together
-            at[:, t] = np.clip(x - low, 0, top)
-            inside[:, t] = x == low + at[:, t]
-            y = low + at[:, t] + policy[each, at[:, t]]
-            left = y - self.d[:, t]
-            reward[:, t] = -(m.c * (y - x) + self.h * np.maximum(left, 0) + self.b * np.maximum(-left, 0))
+            there = x - low
+            now = np.clip(there, 0, top)
+            at[t], inside[t] = now * n + each, there == now
+            y = low + now + order[at[t]]
+            left = y - self.d[t]
+            reward[t] = -(m.c * (y - x) + self.h * np.maximum(left, 0) + self.b * np.maximum(-left, 0))
             x = np.clip(left, low, low + top)
-        at[:, periods] = x - low
-        total, count, seen = np.zeros(m.x.shape), np.zeros(m.x.shape), np.zeros(m.x.shape, bool)
-        g = np.zeros(len(each))
+        # an item without periods may begin outside its states
+        at[periods] = np.clip(x - low, 0, top) * n + each
+        total, count, seen, g, at_end = np.zeros(policy.size), np.zeros(policy.size), np.full(policy.size, -1), np.zeros(n), self.terminal.ravel()
         for t in range(periods - 1, -1, -1):
-            there, ends = t < self.n, (t + 1 == self.n) | ((t + 1) % self.length == 0)
-            ahead = reward[:, t + 1] if t + 1 < periods else 0.0
-            g = np.where(ends, reward[:, t] + self.gamma * self.terminal[each, at[:, t + 1]], ahead + self.gamma * g)
-            seen[ends] = False
-            new = np.flatnonzero(there & inside[:, t] & ~seen[each, at[:, t]])
-            total[new, at[new, t]] += g[new]
-            count[new, at[new, t]] += 1
-            seen[each, at[:, t]] = True
-        return total / np.maximum(count, 1) + 0.0
+            ends, episode, state = (t + 1 == self.n) | ((t + 1) % self.length == 0), t // self.length, at[t]
+            g = np.where(ends, reward[t] + self.gamma * at_end[at[t + 1]], reward[t + 1] + self.gamma * g)
+            new = (t < self.n) & inside[t] & (seen[state] != episode)
+            total[state] += np.where(new, g, 0.0)
+            count[state] += new
+            seen[state] = np.where(t < self.n, episode, seen[state])
+        return (total / np.maximum(count, 1) + 0.0).reshape(policy.shape)
 
 
 def traced(m: Items, histories: Histories, policy: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(values, offsets, iterations, stable) of Monte Carlo policy iteration over real demand, each item until its policy stays."""
-    n = len(policy)
-    v, policy = np.zeros(policy.shape), policy.copy()
-    iterations, stable = np.zeros(n, np.int64), np.zeros(n, bool)
-    open_ = np.arange(n)
-    for k in range(1, most + 1):
-        part = m.some(open_)
-        v[open_] = histories.some(open_).values(part, policy[open_])
-        better = part.best(v[open_])[1]
-        same = ((better == policy[open_]) | ~part.valid).all(axis=1)
-        policy[open_], iterations[open_], stable[open_] = better, k, same
-        open_ = open_[~same]
-        if not len(open_):
-            break
-    return v, policy, iterations, stable
+    return _improved(m, policy, most, lambda part, at, v, chosen: histories.some(at).values(part, chosen))
 
 
 def tracer(span: int, most: int, x0: int, length: int, gamma: float):
@@ -248,6 +328,20 @@ def tracer(span: int, most: int, x0: int, length: int, gamma: float):
             for rows in _chunks(b, span):
                 m = Items(rows, span)
                 start = np.clip(_table(rows, "policy", "y", m, m.x) - m.x, 0, span)
-                yield _solved(rows, m, *traced(m, Histories(rows, m, x0, length, gamma), start, most), [[] for _ in rows])
+                yield _solved(rows, m, *traced(m, Histories(rows, m, x0, length, gamma), start, most), [None] * len(rows))
 
     return run
+
+
+STATES_DDL = "array<struct<x:int,value:double,y:int>>"
+
+
+def together(kernels: dict[str, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]):
+    """Several loops over the same rows: item and, in a column for each, the states it ends with. All have one span, so they cut rows alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for parts in zip(*(k(iter([b])) for k in kernels.values()), strict=True):
+                yield pa.RecordBatch.from_arrays([parts[0]["item"], *(p["states"] for p in parts)], names=["item", *kernels])
+
+    return run, ", ".join(["item bigint", *(f"`{k}` {STATES_DDL}" for k in kernels)])

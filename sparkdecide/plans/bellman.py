@@ -41,12 +41,15 @@ class Model:
         self.params, self.pmf = params, pmf
         self.states = state_grid(params)
 
-    def by_item(self, policy: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
-        """item, its parameters, demand, policy and start, each in one row."""
+    def by_item(self, policy: DataFrame | Callable[[Column], Column] | None = None, start: DataFrame | None = None) -> DataFrame:
+        """item, its parameters, demand, policy and start, each in one row. A policy is a table or an expression of the state;
+        such an expression needs no rows of states."""
         demand = self.pmf.groupBy("item").agg(F.sort_array(F.collect_list(F.struct(F.col("d").cast("int").alias("d"), F.col("p").cast("double").alias("p")))).alias("demand"))
         rows = self.params.select(F.col("item").cast("long").alias("item"), *(F.col(k).cast("double").alias(k) for k in ("h", "b", "c", "gamma", "theta")), "x_min", "x_max")
         rows = merged(rows, demand, "item")
-        if policy is not None:
+        if callable(policy):
+            rows = rows.withColumn("policy", F.transform(F.sequence("x_min", "x_max"), lambda x: F.struct(x.alias("x"), policy(x).cast("int").alias("y"))))
+        elif policy is not None:
             rows = merged(rows, policy.groupBy("item").agg(F.collect_list(F.struct("x", "y")).alias("policy")), "item")
         if start is not None:
             rows = merged(rows, start.groupBy("item").agg(F.collect_list(F.struct("x", "value")).alias("start")), "item")
@@ -56,8 +59,8 @@ class Model:
         """item, rounds, done, states (x, value, y), changes: a loop over each item, written once."""
         return materialize(spread(rows).mapInArrow(kernel, SOLVED_DDL), "solved")
 
-    def solved(self, kind: str, most: int, most_sweeps: int = 0, policy: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
-        return self.in_tasks(self.by_item(policy, start), solver(kind, self.span, most, most_sweeps))
+    def solved(self, kind: str, most: int, most_sweeps: int = 0, policy: DataFrame | Callable[[Column], Column] | None = None, start: DataFrame | None = None, told: bool = True) -> DataFrame:
+        return self.in_tasks(self.by_item(policy, start), solver(kind, self.span, most, most_sweeps, told))
 
     def zero(self) -> DataFrame:
         return self.states.select("item", "x", F.lit(0.0).alias("value"))
@@ -156,15 +159,16 @@ def _changes(solved: DataFrame) -> DataFrame:
     return solved.select("item", F.posexplode("changes").alias("at", "delta")).select("item", (F.col("at") + 1).alias("sweep"), "delta")
 
 
-def value_iteration(model: Model, max_sweeps: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(item, x, value, y, sweeps, converged; item, sweep, delta), each item until its change is under theta."""
-    solved = model.solved("values", max_sweeps)
+def value_iteration(model: Model, max_sweeps: int = 1000, told: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(item, x, value, y, sweeps, converged; item, sweep, delta), each item until its change is under theta. The changes of all
+    sweeps are more bytes than the values: they are only written if ``told``, and the second table is empty otherwise."""
+    solved = model.solved("values", max_sweeps, told=told)
     return by_state(solved, "sweeps", "converged"), _changes(solved)
 
 
-def policy_evaluation(model: Model, policy: DataFrame, start: DataFrame | None = None, max_sweeps: int = 100) -> tuple[DataFrame, DataFrame]:
+def policy_evaluation(model: Model, policy: DataFrame | Callable[[Column], Column], start: DataFrame | None = None, max_sweeps: int = 100, told: bool = True) -> tuple[DataFrame, DataFrame]:
     """(item, x, value, sweeps, converged; history) of a fixed policy."""
-    solved = model.solved("policy", max_sweeps, policy=policy, start=start)
+    solved = model.solved("policy", max_sweeps, policy=policy, start=start, told=told)
     return by_state(solved, "sweeps", "converged").drop("y"), _changes(solved)
 
 
@@ -174,7 +178,7 @@ def policy_improvement(model: Model, v: DataFrame, policy: DataFrame) -> tuple[D
     return better, policy_changes(better, policy)
 
 
-def policy_iteration(model: Model, policy: DataFrame | None = None, pmf: DataFrame | None = None, max_iter: int = 100, max_sweeps: int = 100) -> DataFrame:
+def policy_iteration(model: Model, policy: DataFrame | Callable[[Column], Column] | None = None, pmf: DataFrame | None = None, max_iter: int = 100, max_sweeps: int = 100) -> DataFrame:
     """item, x, y, value, iterations, stable; values carry over between iterations, and items with a stable policy stop."""
     policy = initial_policy(model.states, pmf) if policy is None else policy
     return by_state(model.solved("iterate", max_iter, max_sweeps, policy=policy), "iterations", "stable")

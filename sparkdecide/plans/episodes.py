@@ -226,17 +226,20 @@ def cut_episodes(backtest: DataFrame, length: int) -> DataFrame:
 
 
 def trace_policy_iteration(
-    model: Model, history: DataFrame, policy: DataFrame, terminal_value: Callable[[Column, Column], Column], gamma: float = 0.95, length: int = 10, max_iter: int = 5, x0: int = 0
+    model: Model, history: DataFrame, policy: DataFrame | Callable[[Column], Column], terminal_value: Callable[[Column, Column], Column], gamma: float = 0.95, length: int = 10, max_iter: int = 5, x0: int = 0
 ) -> DataFrame:
     """item, x, y, value, iterations, stable: Monte Carlo policy iteration on fixed historical demand.
 
     An iteration rolls the policy over the item's demand (a backtest cut into episodes of ``length`` periods), takes the mean
     shifted return of each state's last visits, and improves. Items don't depend on each other, so tasks run batches of
     items until their policies stay: one job, whatever the number of iterations. ``terminal_value`` is an expression
-    of the end state and the cost of an item; it is computed for every state beforehand. An item's history has to fit a task.
+    of the end state and the cost of an item; it is computed for every state beforehand. So may ``policy`` be, of the state. An item's history has to fit a task.
     """
-    cost = model.params.select("item", "c")
-    at_end = merged(model.states, cost, "item").groupBy("item").agg(F.collect_list(F.struct("x", terminal_value(F.col("x"), F.col("c")).cast("double").alias("value"))).alias("terminal"))
+    return by_state(model.in_tasks(traced_rows(model, history, policy, terminal_value), tracer(model.span, max_iter, x0, length, gamma)), "iterations", "stable")
+
+
+def traced_rows(model: Model, history: DataFrame, policy: DataFrame | Callable[[Column], Column], terminal_value: Callable[[Column, Column], Column]) -> DataFrame:
+    """The model's rows with policy, history and terminal values, as ``tracer`` takes them."""
     demand = history.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("d").cast("long").alias("d")))), lambda x: x["d"]).alias("history"))
-    rows = merged(merged(model.by_item(policy.select("item", "x", "y")), at_end, "item"), demand, "item", "left")
-    return by_state(model.in_tasks(rows, tracer(model.span, max_iter, x0, length, gamma)), "iterations", "stable")
+    at_end = F.transform(F.sequence("x_min", "x_max"), lambda x: F.struct(x.alias("x"), terminal_value(x, F.col("c")).cast("double").alias("value")))
+    return merged(model.by_item(policy if callable(policy) else policy.select("item", "x", "y")).withColumn("terminal", at_end), demand, "item", "left")

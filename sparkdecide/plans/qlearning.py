@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import merged
-from ..operators.grids import masked_action_grid
+from .batches import STATES_DDL
 
 
 def td_target(transitions: DataFrame, q_table: DataFrame, gamma: float = 0.95) -> DataFrame:
@@ -34,7 +34,9 @@ def update(q: dict, n: dict, x: int, y: int, reward: float, x_next: int, y_max:
 
 
 Q_SCHEMA = "item bigint, x int, y int, q double, n bigint"
+TABLES = "item bigint, pairs array<struct<x:int,y:int,q:double,n:bigint>>"
 Q_FIELDS = pa.schema([("item", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("q", pa.float64()), ("n", pa.int64())])
+PAIR = pa.struct(list(Q_FIELDS)[1:])
 
 #: Rows that are stepped through together, cells of their tables, and items below which rows go one by one.
 ROWS, CELLS, FEW = 1 << 16, 1 << 22, 8
@@ -46,6 +48,7 @@ class Learner:
     def __init__(self, y_max: int, alpha0: float, gamma: float, decay: float):
         self.y_max, self.alpha0, self.gamma, self.decay = y_max, alpha0, gamma, decay
         self.open: tuple[int, dict, dict] | None = None
+        self.done: tuple[np.ndarray, ...] = ()
 
     def take(self, item: np.ndarray, x: np.ndarray, y: np.ndarray, reward: np.ndarray, x_next: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Tables of the items that are complete: all before the last one."""
@@ -65,6 +68,8 @@ class Learner:
                 done = [self._alone(int(item[starts[at]]), [r[starts[at] : ends[at]] for r in rows], first)]
             else:
                 done = self._together(item[starts[some]], starts[some], ends[some], rows, (low_x, low_y, wide, deep), first)
+                if len(self.done[0]):
+                    yield _rows(*self.done)
             if at + many >= len(starts):
                 *done, self.open = done
             if done:
@@ -105,8 +110,13 @@ class Learner:
             n[of, i, j] += 1
             ahead = np.where(none[to], 0.0, np.where(barred[to], -np.inf, q[of, to]).max(axis=1))
             q[of, i, j] += self.alpha0 / (1 + self.decay * n[of, i, j]) * (reward[at] + self.gamma * ahead - q[of, i, j])
+        # tables of items that are complete leave as arrays; the last item and what is stepped alone need theirs by pair
+        by_pair = np.flatnonzero((sizes > steps) | (np.arange(len(items)) == len(items) - 1) | (np.arange(len(items)) == 0))
+        plain = np.setdiff1d(np.arange(len(items)), by_pair)
+        of, i, j = np.nonzero(n[plain])
+        self.done = (items[plain][of], i + low_x, j + low_y, q[plain][of, i, j], n[plain][of, i, j])
         out = []
-        for k, item in enumerate(items.tolist()):
+        for k, item in zip(by_pair.tolist(), items[by_pair].tolist(), strict=True):
             i, j = np.nonzero(n[k])
             pairs = list(zip((i + low_x).tolist(), (j + low_y).tolist(), strict=True))
             one = (item, dict(zip(pairs, q[k, i, j].tolist(), strict=True)), dict(zip(pairs, n[k, i, j].tolist(), strict=True)))
@@ -118,12 +128,24 @@ class Learner:
 
     @staticmethod
     def _told(done: list[tuple[int, dict, dict]]) -> pa.RecordBatch:
-        told = [(item, *p, q[p], n[p]) for item, q, n in done for p in sorted(q)]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*told, strict=True), Q_FIELDS, strict=True)], schema=Q_FIELDS)
+        return _rows(*zip(*((item, *p, q[p], n[p]) for item, q, n in done for p in sorted(q)), strict=True))
 
 
-def q_learning(transitions: DataFrame, y_max: int, alpha0: float = 0.1, gamma: float = 0.95, decay: float = 0.001) -> DataFrame:
-    """item, x, y, q, n of every pair in the log. Rows without an item, state, action or reward are left out.
+def _rows(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, Q_FIELDS, strict=True)], schema=Q_FIELDS)
+
+
+def _by_item(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of whole items as a row for each item."""
+    item = b["item"].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
+    flat = pa.StructArray.from_arrays([b[f.name] for f in PAIR], fields=list(PAIR))
+    return pa.RecordBatch.from_arrays([pa.array(item[starts]), pa.ListArray.from_arrays(pa.array(np.append(starts, len(item)), pa.int32()), flat)], names=["item", "pairs"])
+
+
+def q_tables(transitions: DataFrame, y_max: int, alpha0: float = 0.1, gamma: float = 0.95, decay: float = 0.001) -> DataFrame:
+    """item, pairs (x, y, q, n in order of x and y): what each item has learned, in one row. Rows without an item, state,
+    action or reward are left out.
 
     A task reads its items' rows in order, ROWS at a time, and holds no more of a log than that: what an item has
     learned is carried over when its log goes on.
@@ -140,20 +162,83 @@ def q_learning(transitions: DataFrame, y_max: int, alpha0: float = 0.1, gamma: f
                 held.append(b)
                 size += b.num_rows
             if size >= ROWS:
-                yield from learner.take(*columns())
+                yield from map(_by_item, learner.take(*columns()))
                 held, size = [], 0
         if held:
-            yield from learner.take(*columns())
-        yield from learner.rest()
+            yield from map(_by_item, learner.take(*columns()))
+        yield from map(_by_item, learner.rest())
 
     rows = transitions.select(F.col("item").cast("long").alias("item"), "episode_id", "t", *(F.col(c).cast("long").alias(c) for c in ("x", "y", "x_next")), F.col("reward").cast("double").alias("reward"))
     rows = rows.dropna(subset=["item", "x", "y", "reward", "x_next"])
     sorted_rows = rows.repartition("item").sortWithinPartitions("item", "episode_id", "t")
-    return sorted_rows.select("item", "x", "y", "reward", "x_next").mapInArrow(fold, Q_SCHEMA)
+    return sorted_rows.select("item", "x", "y", "reward", "x_next").mapInArrow(fold, TABLES)
+
+
+def q_learning(transitions: DataFrame, y_max: int, alpha0: float = 0.1, gamma: float = 0.95, decay: float = 0.001) -> DataFrame:
+    """item, x, y, q, n of every pair in the log."""
+    return q_tables(transitions, y_max, alpha0, gamma, decay).select("item", F.explode("pairs").alias("p")).select("item", "p.*")
+
+
+CHOSEN = pa.list_(pa.struct([("x", pa.int32()), ("value", pa.float64()), ("y", pa.int32())]))
+
+
+def _greedy(y_max: int):
+    """Rows of item, xs, pairs: the states xs up to y_max with their best action; only pairs that are known are looked at."""
+
+    def flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.repeat(np.arange(len(lists)), sizes), lists.flatten()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            item, pairs = flat(b["pairs"])
+            x, y = (pairs.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("x", "y"))
+            q = pairs.field("q").to_numpy(zero_copy_only=False).astype(np.float64)
+            use = (y >= x) & (y <= y_max)
+            item, x, y, q = item[use], x[use], y[use], np.where(np.isnan(q), 0.0, q)[use]
+            by = np.lexsort((-q, y, x, item))
+            item, x, y, q = item[by], x[by], y[by], q[by]
+            new = np.ones(len(item), bool)  # a pair that stands twice counts with its best value
+            new[1:] = (item[1:] != item[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            item, x, y, q = item[new], x[new], y[new], q[new]
+            of, states = flat(b["xs"])
+            states = states.to_numpy(zero_copy_only=False).astype(np.int64)
+            of, states = of[states <= y_max], states[states <= y_max]
+            value, best = np.zeros(len(states)), states.copy()
+            if len(item) and len(states):
+                low, wide = int(min(x.min(), states.min())), int(max(x.max(), states.max())) + 1
+                key, wanted = item * (wide - low) + x - low, of * (wide - low) + states - low
+                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                sizes = np.diff(np.append(starts, len(key)))
+                owner = np.repeat(np.arange(len(starts)), sizes)
+                top = np.maximum.reduceat(q, starts)
+                at_top = np.minimum.reduceat(np.where(q == top[owner], y, y_max + 1), starts)
+                # the lowest action that isn't known is worth 0
+                rank = np.arange(len(y)) - starts[owner]
+                missing = x[starts] + np.minimum.reduceat(np.where(y == x + rank, sizes[owner], rank), starts)
+                zero = (missing <= y_max) & ((top < 0) | ((top == 0) & (missing < at_top)))
+                at = np.minimum(np.searchsorted(key[starts], wanted), len(starts) - 1)
+                known = key[starts][at] == wanted
+                value = np.where(known, np.where(zero, 0.0, top)[at], 0.0)
+                best = np.where(known, np.where(zero, missing, at_top)[at], states)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=b.num_rows))]), pa.int32())
+            chosen = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip((states, value, best), CHOSEN.value_type, strict=True)], fields=list(CHOSEN.value_type))
+            yield pa.RecordBatch.from_arrays([b["item"].cast(pa.int64()), pa.ListArray.from_arrays(ends, chosen)], names=["item", "states"])
+
+    return run
+
+
+def greedy_of_tables(tables: DataFrame, states: DataFrame, y_max: int) -> DataFrame:
+    """item, states (x, value, y in order of x): the best action of each state under y >= x, an item in one row.
+
+    tables: item, pairs. A pair that isn't there is worth 0, ties go to the smallest y. No row is made for a pair.
+    """
+    xs = states.groupBy("item").agg(F.sort_array(F.collect_set("x")).alias("xs"))
+    rows = merged(xs, tables.select("item", F.transform("pairs", lambda p: F.struct(p["x"].cast("int").alias("x"), p["y"].cast("int").alias("y"), p["q"].cast("double").alias("q"))).alias("pairs")), "item", "left")
+    return rows.select(F.col("item").cast("long").alias("item"), F.col("xs").cast("array<int>").alias("xs"), "pairs").mapInArrow(_greedy(y_max), f"item bigint, states {STATES_DDL}")
 
 
 def greedy_from_q(q_table: DataFrame, states: DataFrame, y_max: int) -> DataFrame:
     """item, x, y, value: best action of each state under y >= x; missing q counts as 0, ties go to the smallest y."""
-    grid = masked_action_grid(states.select("item", "x"), y_max)
-    q = merged(grid, q_table.select("item", "x", "y", "q"), ["item", "x", "y"], "left").fillna(0.0, ["q"])
-    return q.groupBy("item", "x").agg(F.max_by("y", F.struct("q", -F.col("y"))).alias("y"), F.max("q").alias("value"))
+    tables = q_table.filter("x is not null and y is not null").groupBy("item").agg(F.collect_list(F.struct("x", "y", "q")).alias("pairs"))
+    return greedy_of_tables(tables, states, y_max).select("item", F.explode("states").alias("s")).select("item", "s.x", "s.y", "s.value")
