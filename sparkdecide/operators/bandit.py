@@ -8,10 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import beta_sample, ucb_score, unit_hash
+from ..functions.columns import ucb_score, unit_hash
+from ..functions.draws import beta_draw
+from ..functions.joins import dealt
 from .grids import arm_grid
 
 Score = Callable[[Column, Column, Column], Column]
@@ -79,10 +83,27 @@ def epsilon_greedy_assign(requests: DataFrame, stats: DataFrame, eps: float = 0.
 
 
 def thompson_assign(requests: DataFrame, posterior: DataFrame, seed: int = 1) -> DataFrame:
-    """request_id, context, arm: the arm with the highest draw from its posterior. request_id and arm are integers."""
-    rows = requests.select("request_id", "context").join(posterior.select("context", "arm", "alpha", "beta"), "context")
-    draw = beta_sample(F.col("request_id"), F.col("alpha"), F.col("beta"), seed, F.col("arm"))
-    return greedy_pick(rows.withColumn("score", draw), ["request_id", "context"])
+    """request_id, context, arm: the arm with the highest draw from its posterior. request_id and arm are integers.
+
+    A context's arms stand beside its requests as a list, and a request's draws are made and compared where it is.
+    """
+    arms = posterior.groupBy("context").agg(F.array_sort(F.collect_list(F.struct("arm", F.col("alpha").cast("double").alias("alpha"), F.col("beta").cast("double").alias("beta")))).alias("arms"))
+
+    def picked(key: pa.Array, arms: pa.Array) -> pa.Array:
+        sizes = arms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts, flat = np.cumsum(sizes) - sizes, arms.flatten()
+        arm, alpha, beta = (flat.field(k) for k in ("arm", "alpha", "beta"))
+        known = np.repeat(key.is_valid().to_numpy(zero_copy_only=False), sizes)
+        of = np.repeat(key.fill_null(0).to_numpy(zero_copy_only=False), sizes)
+        score = np.where(known, beta_draw(of, alpha.to_numpy(), beta.to_numpy(), seed, arm.cast(pa.int64()).to_numpy()), -np.inf)
+        top = np.repeat(np.maximum.reduceat(score, starts), sizes)
+        best = np.minimum.reduceat(np.where(score == top, np.arange(len(score)), len(score) - 1), starts)
+        return arm.take(pa.array(best))
+
+    # few bytes, much work: Spark would draw for millions of requests in one task
+    rows = dealt(requests.select("request_id", "context").distinct().join(arms, "context"), "request_id")
+    pick = F.arrow_udf(picked, posterior.schema["arm"].dataType)(F.col("request_id").cast("long"), F.col("arms"))
+    return rows.select("request_id", "context", pick.alias("arm"))
 
 
 #: Decisions of a block whose running sums one window takes.

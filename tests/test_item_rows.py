@@ -5,8 +5,11 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkdecide import catalog
+from sparkdecide.functions import columns as C
+from sparkdecide.operators import bandit as B
 from sparkdecide.plans import bellman as P
 from sparkdecide.plans import qlearning as Q
 from tests import oracle
@@ -44,3 +47,13 @@ def test_changes_of_sweeps_are_written_only_if_told(spark):
     m = P.Model(params, pmf)
     (out, changes), (same, none) = P.value_iteration(m), P.value_iteration(m, told=False)
     assert sorted(out.collect()) == sorted(same.collect()) and changes.count() == out.first().sweeps and none.count() == 0
+
+
+def test_thompson_draws_where_the_request_is(spark):
+    post = spark.createDataFrame([(c, a, 1.0 + 3 * a, 2.0 + c) for c in (0, 1) for a in (0, 1, 2)], "context long, arm int, alpha double, beta double")
+    requests = spark.createDataFrame([(k, k % 2) for k in (*range(200), 7, 2**40, -5)] + [(None, 0)], "request_id long, context long")
+    df = B.thompson_assign(requests, post, 3)
+    # draws are dealt out over all tasks, however few bytes they take, and compared there
+    assert "REPARTITION_BY_NUM" in _plan(df) and "max_by" not in _plan(df)
+    scores = requests.distinct().join(post, "context").withColumn("score", C.beta_sample(F.col("request_id"), F.col("alpha"), F.col("beta"), 3, F.col("arm")))
+    assert sorted(B.greedy_pick(scores, ["request_id", "context"]).collect(), key=str) == sorted(df.collect(), key=str)
