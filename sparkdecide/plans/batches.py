@@ -240,12 +240,16 @@ def _table(rows: Rows, name: str, field: str, m: Items, missing: np.ndarray) ->
     return out
 
 
-def _solved(rows: Rows, m: Items, v: np.ndarray, y: np.ndarray, rounds: np.ndarray, done: np.ndarray, changes: list) -> pa.RecordBatch:
-    """Rows of SOLVED; the states as flat columns under their items."""
+def _states(m: Items, v: np.ndarray, y: np.ndarray) -> pa.ListArray:
+    """The states of each item, as flat columns under it."""
     some = m.valid.T
     flat = [pa.array(a.T[some], t) for a, t in ((m.x, pa.int32()), (v, pa.float64()), (m.x + y, pa.int32()))]
-    states = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(m.states)]), pa.int32()), pa.StructArray.from_arrays(flat, ["x", "value", "y"]))
-    return pa.RecordBatch.from_arrays([rows.batch["item"].cast(pa.int64()), pa.array(rounds, pa.int32()), pa.array(done), states, pa.array(changes, pa.list_(pa.float64()))], schema=SOLVED)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(m.states)]), pa.int32()), pa.StructArray.from_arrays(flat, ["x", "value", "y"]))
+
+
+def _solved(rows: Rows, m: Items, v: np.ndarray, y: np.ndarray, rounds: np.ndarray, done: np.ndarray, changes: list) -> pa.RecordBatch:
+    """Rows of SOLVED."""
+    return pa.RecordBatch.from_arrays([rows.batch["item"].cast(pa.int64()), pa.array(rounds, pa.int32()), pa.array(done), _states(m, v, y), pa.array(changes, pa.list_(pa.float64()))], schema=SOLVED)
 
 
 def solver(kind: str, span: int, most: int, most_sweeps: int = 0, told: bool = True):
@@ -333,6 +337,22 @@ def tracer(span: int, most: int, x0: int, length: int, gamma: float):
     return run
 
 
+def sweeper(span: int, sweeps: int):
+    """mapInArrow over the rows of ``solver``: item, the states after so many optimality sweeps (one or more), and those after one less."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows in _chunks(b, span):
+                m = Items(rows, span)
+                now, before = (_table(rows, "start", "value", m, np.zeros(m.x.shape)), None), None
+                for _ in range(sweeps):
+                    now, before = m.best(now[0]), now
+                last = _states(m, *now)
+                yield pa.RecordBatch.from_arrays([rows.batch["item"].cast(pa.int64()), last, _states(m, *before) if sweeps > 1 else pa.nulls(len(rows), last.type)], names=["item", "last", "before"])
+
+    return run, f"item bigint, last {STATES_DDL}, before {STATES_DDL}"
+
+
 STATES_DDL = "array<struct<x:int,value:double,y:int>>"
 
 

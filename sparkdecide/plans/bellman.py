@@ -1,7 +1,7 @@
 """Value and policy iteration over all items.
 
 Costs other than c * (y - x) do not depend on the state, so values of levels stand for all
-pairs. One sweep (``Model.backup``, ``Model.evaluate_once``) is a projection of a row that holds an
+pairs. Action values and one sweep under a policy (``Model.evaluate_once``) are projections of a row that holds an
 item's demand and values as arrays. Items don't depend on each other, so loops over sweeps don't come back to
 the driver: each item's parameters, demand, policy and start values meet in one row, and
 tasks sweep batches of items until each has converged. That is one job with shuffles by
@@ -20,7 +20,7 @@ from ..functions.columns import let
 from ..functions.joins import merged
 from ..operators.grids import initial_policy, state_grid
 from ..storage import materialize
-from .batches import SOLVED_DDL, solver
+from .batches import SOLVED_DDL, solver, sweeper
 
 SPAN = 10
 
@@ -107,26 +107,17 @@ class Model:
         rows = rows.select("item", "c", F.col("s.x").alias("x"), F.posexplode("s.g").alias("o", "g"))
         return rows.select("item", "x", (F.col("x") + F.col("o")).alias("y"), (F.col("c") * F.col("x") + F.col("g") + F.lit(0.0)).alias("q"))
 
-    def backup(self, v: DataFrame, sweeps: int = 1) -> DataFrame:
-        """item, x, value, y: optimality sweeps and the greedy policy of the last. Levels within 1e-9 are ties, the lowest wins.
+    def backup(self, v: DataFrame | None, sweeps: int = 1) -> DataFrame:
+        """item, x, value, y: optimality sweeps and the greedy policy of the last, from v (0 for missing values, and for all
+        without a table). Levels within 1e-9 are ties, the lowest wins."""
+        return self.backups(v, sweeps).select("item", F.explode("last").alias("s")).select("item", "s.x", "s.value", "s.y")
 
-        An item's values stay in its row, so a sweep is an expression and several of them have no shuffle between them.
-        """
-        state = F.sequence(F.lit(0), F.col("x_max") - F.col("x_min"))
-
-        def best(g: Column, x: Column) -> Column:
-            top = F.array_max(F.transform(F.slice(g, x + 1, F.lit(self.span + 1)), lambda z, o: F.struct(F.round(z, 9).alias("r"), (-o).alias("m"), z.alias("g"))))
-            return let(top, lambda t: F.struct((F.col("x_min") + x).alias("x"), (F.col("c") * (F.col("x_min") + x) + t["g"] + F.lit(0.0)).alias("value"), (F.col("x_min") + x - t["m"]).alias("y")))
-
-        def swept(fixed: Column) -> Column:
-            values = F.col("v")
-            for _ in range(sweeps):
-                out = let(values, lambda v: let(self._levels(fixed, v), lambda g: F.transform(state, lambda x: best(g, x))))
-                values = F.transform(out, lambda t: t["value"])
-            return out
+    def backups(self, v: DataFrame | None, sweeps: int) -> DataFrame:
+        """item, last, before: the states (x, value, y) after so many sweeps and, if there are more than one, after one less.
 
-        rows = self._with_values(v).select("item", F.explode(let(self._fixed(), swept)).alias("s"))
-        return rows.select("item", "s.x", "s.value", "s.y")
+        An item's values stay in its row, so several sweeps have no shuffle between them.
+        """
+        return spread(self.by_item(start=v)).mapInArrow(*sweeper(self.span, sweeps))
 
     def evaluate_once(self, policy: DataFrame, v: DataFrame) -> DataFrame:
         """item, x, value: one sweep under a fixed policy."""
@@ -146,6 +137,14 @@ def policy_changes(new: DataFrame, old: DataFrame) -> DataFrame:
     return both.groupBy("item").agg(F.sum((F.col("_n") != F.col("_o")).cast("long")).alias("changed")).withColumn("stable", F.col("changed") == 0)
 
 
+def last_changes(model: Model, v: DataFrame | None, sweeps: int) -> DataFrame:
+    """item, delta, changed, stable: what the last of ``sweeps`` sweeps (two or more) changed, compared in an item's row."""
+    rows = model.backups(v, sweeps)
+    delta = F.array_max(F.zip_with("last", "before", lambda a, b: F.abs(a["value"] - b["value"])))
+    changed = F.size(F.filter(F.zip_with("last", "before", lambda a, b: a["y"] != b["y"]), lambda c: c)).cast("long")
+    return rows.select("item", delta.alias("delta"), changed.alias("changed")).withColumn("stable", F.col("changed") == 0)
+
+
 def value_range(v: DataFrame) -> DataFrame:
     return v.groupBy("item").agg(F.min("value").alias("low"), F.max("value").alias("high"))
 

@@ -57,3 +57,10 @@ def test_thompson_draws_where_the_request_is(spark):
     assert "REPARTITION_BY_NUM" in _plan(df) and "max_by" not in _plan(df)
     scores = requests.distinct().join(post, "context").withColumn("score", C.beta_sample(F.col("request_id"), F.col("alpha"), F.col("beta"), 3, F.col("arm")))
     assert sorted(B.greedy_pick(scores, ["request_id", "context"]).collect(), key=str) == sorted(df.collect(), key=str)
+
+
+@pytest.mark.skipif(not os.path.isdir(oracle.SF), reason="no test tables here")
+@pytest.mark.parametrize("name", ["a12_sweep_delta", "a13_policy_changes", "c2_value_error"])
+def test_neighbouring_sweeps_are_compared_in_the_item_s_row(spark, name):
+    plan = _plan(catalog.QUERIES[name](spark, oracle.SF))
+    assert plan.count("Generate") == 0 and plan.count("lineitem.parquet") == 1
