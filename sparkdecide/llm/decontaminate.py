@@ -19,7 +19,9 @@ the text in lower case without white space. Literal windows have no slots. A ver
 item so matches wherever it stands.
 
 Only windows whose hash is in a bitmap of the benchmark's hashes leave the scan. The
-bitmap has a fixed size, so it is sent to all tasks whatever the benchmark's size.
+bitmap has a fixed size, so it is sent to all tasks whatever the benchmark's size. Items'
+windows are broadcast up to BROADCAST bytes; everything else is joined by sorting, as Spark
+goes by the bytes of a file, and rows that repeat take many times those in memory.
 
 Defined results: null texts and texts of white space match nothing; every other item
 has a window.
@@ -37,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import merged
 from ..storage import materialize
 from .texts import bounded_batches, chunks, encoded, joined, mixed, powers
 
@@ -50,6 +53,8 @@ COVERED = 0.8
 #: Least share of a window's tokens that are words and not placeholders.
 WORDS = 0.4
 BITS = 23
+#: Bytes of the rows of the items' windows up to which these are broadcast.
+BROADCAST = 16 << 20
 # Number words, and units that may follow a number.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion dozen".split()
 SCALES = "hundred thousand million billion trillion dozen".split()
@@ -242,13 +247,15 @@ def leaks(documents: DataFrame, benchmark: DataFrame, share: float = 0.5, consis
     bits = np.zeros(1 << BITS, bool)
     places = known.select(F.shiftrightunsigned("hash", 64 - BITS).alias("bit")).distinct().toArrow()["bit"]  # 2**BITS long integers at most
     bits[places.to_numpy()] = True
-    sizes = sorted((r[0], r[1]) for r in known.select("size", "form").distinct().collect())  # those of _all_sizes at most
+    held = known.groupBy("size", "form").agg(F.sum(100 + 16 * F.size("slots") + F.octet_length(F.concat_ws("", "slots"))).alias("bytes")).collect()  # those of _all_sizes at most
+    sizes, small = sorted((r["size"], r["form"]) for r in held), sum(r["bytes"] for r in held) <= BROADCAST
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     found = docs.mapInArrow(_window_rows(sizes, np.packbits(bits).tobytes()), WINDOW_DDL)
     per_item = known.groupBy("row", "form").agg(F.count("*").alias("windows"))
-    i = known.join(per_item, ["row", "form"]).select(F.col("id").alias("item_id"), F.col("row").alias("item"), F.col("at").alias("item_at"), "form", "hash", F.col("slots").alias("item_slots"), "windows", "size", "tokens")
+    how = "broadcast" if small else "merge"
+    i = known.join(per_item.hint(how), ["row", "form"]).select(F.col("id").alias("item_id"), F.col("row").alias("item"), F.col("at").alias("item_at"), "form", "hash", F.col("slots").alias("item_slots"), "windows", "size", "tokens")
     d = found.select(F.col("id").alias("doc_id"), "row", "at", "hash", "slots")
-    pairs = d.join(i, "hash").filter(F.size("slots") == F.size("item_slots"))
+    pairs = d.join(i.hint(how), "hash").filter(F.size("slots") == F.size("item_slots"))
     pairs = pairs.withColumn("shift", F.col("at") - F.col("item_at"))
     both = ["row", "doc_id", "item_id", "item", "form"]
     pairs = materialize(pairs.select(*both, "shift", "item_at", "windows", "size", "tokens", "slots", "item_slots"), "matches")
@@ -258,7 +265,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, share: float = 0.5, consis
     cut = F.coalesce(F.col("shift") - F.lag("shift").over(in_order) > F.greatest("tokens", F.lit(SIZE)), F.lit(False)).cast("int")
     chains = shifts.withColumn("cut", cut).withColumn("chain", F.sum("cut").over(in_order))
     several = chains.groupBy("row", "item", "form", "chain").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    chained = pairs.join(chains.join(several, ["row", "item", "form", "chain"]).select("row", "item", "form", "shift", F.col("chain").cast("long").alias("run")), ["row", "item", "form", "shift"])
+    runs = merged(chains, several, ["row", "item", "form", "chain"]).select("row", "item", "form", "shift", F.col("chain").cast("long").alias("run"))
+    chained = merged(pairs, runs, ["row", "item", "form", "shift"])
     side = [*both, "single", "run"]
     pairs = pairs.withColumns({"single": F.lit(True), "run": F.col("shift").cast("long")}).unionByName(chained.withColumn("single", F.lit(False)))
     whole = pairs.groupBy(*side).agg(F.array_sort(F.collect_set("item_at")).alias("a"), F.first("windows").alias("windows"), F.first("size").alias("size"), F.first("tokens").alias("tokens"))
@@ -268,7 +276,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, share: float = 0.5, consis
     reading = slot.groupBy(*side, "said", "reads").agg(F.count("*").alias("n"))
     by_value = reading.groupBy(*side, "said").agg(F.sum("n").alias("n"), F.max("n").alias("usual"), F.sum(F.when(F.col("said") != F.col("reads"), F.col("n")).otherwise(0)).alias("changed"))
     by_pair = by_value.groupBy(*side).agg(F.sum("n").alias("slots"), F.sum("usual").alias("usual"), F.sum("changed").alias("changed"))
-    judged = whole.join(by_pair.drop("doc_id", "item_id"), ["row", "item", "form", "single", "run"], "left").fillna(0, ["slots", "usual", "changed"])
+    judged = merged(whole, by_pair.drop("doc_id", "item_id"), ["row", "item", "form", "single", "run"], "left").fillna(0, ["slots", "usual", "changed"])
     leak = ((F.col("matched") >= share * F.col("windows")) | (F.col("covered") >= COVERED)) & (F.col("usual") >= consistent * F.col("slots"))
     most = F.struct((F.col("matched") / F.col("windows")).alias("share"), "matched", "windows", "single", "slots", F.negate("changed").alias("same"))
     best = judged.filter(leak).groupBy("row", "doc_id", "item_id", "item").agg(F.max(most).alias("b"))
