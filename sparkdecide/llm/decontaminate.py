@@ -53,8 +53,8 @@ COVERED = 0.8
 #: Least share of a window's tokens that are words and not placeholders.
 WORDS = 0.4
 BITS = 23
-#: Bytes of the rows of the items' windows up to which these are broadcast.
-BROADCAST = 16 << 20
+#: Bytes of the rows of the items' windows up to which these are broadcast, and those that a row has in the table that is sent, without its slots.
+BROADCAST, ROW = 16 << 20, 170
 # Number words, and units that may follow a number.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion dozen".split()
 SCALES = "hundred thousand million billion trillion dozen".split()
@@ -247,7 +247,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, share: float = 0.5, consis
     bits = np.zeros(1 << BITS, bool)
     places = known.select(F.shiftrightunsigned("hash", 64 - BITS).alias("bit")).distinct().toArrow()["bit"]  # 2**BITS long integers at most
     bits[places.to_numpy()] = True
-    held = known.groupBy("size", "form").agg(F.sum(100 + 16 * F.size("slots") + F.octet_length(F.concat_ws("", "slots"))).alias("bytes")).collect()  # those of _all_sizes at most
+    held = known.groupBy("size", "form").agg(F.sum(ROW + 16 * F.size("slots") + F.octet_length(F.concat_ws("", "slots"))).alias("bytes")).collect()  # those of _all_sizes at most
     sizes, small = sorted((r["size"], r["form"]) for r in held), sum(r["bytes"] for r in held) <= BROADCAST
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     found = docs.mapInArrow(_window_rows(sizes, np.packbits(bits).tobytes()), WINDOW_DDL)
